@@ -2,18 +2,69 @@
 
 from __future__ import annotations
 
-from codeloom.llm import mixing
+from pyspark.sql import functions as F
+
+from codeloom.llm import mixing, quality, topk, warc
 from codeloom.llm.shared import table
 
 
+def op1_top_k(spark, sf_dir):
+    v = topk.whole_numbers(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(v.where("id % 50 = 0"), v, 5)
+
+
+def op6_quality_rules(spark, sf_dir):
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    base, full = quality.fails(("base", 1)), quality.fails(("full", 1))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~(base | full)).alias("kept"))
+
+
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op10_mix_sources(spark, sf_dir):
     docs, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "size", "source_size", "target", "taken")
 
 
+_TEXT = r"coalesce(text, '')"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE = {
+    "op1_top_k": """
+with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) e from embeddings
+  where embedding is not null and vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+ s as (select q.vec_id query_id, c.vec_id vec_id,
+   cast(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) as bigint) score
+  from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+ r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op6_quality_rules": rf"""
+with d as (select doc_id, {_TEXT} t, {_WORDS} w from documents),
+ tri as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select doc_id, w, unnest(range(1, len(w) - 1)) i from d)),
+ rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) n from tri) where n > 1),
+ rw as (select doc_id, count(distinct i + k) n_repeat_words from rep, (values (0), (1), (2)) x(k) group by doc_id),
+ li as (select doc_id, l from (select doc_id, unnest(string_split(t, chr(10))) l from d) where regexp_matches(l, '[^\x20\x09-\x0D]')),
+ dl as (select doc_id, count(*) n_lines, count(*) - count(distinct l) n_dup_lines from li group by doc_id),
+ m as (select d.doc_id, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars,
+   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) n_symbols, coalesce(n_dup_lines, 0) n_dup_lines,
+   coalesce(n_repeat_words, 0) n_repeat_words, coalesce(n_lines, 0) n_lines,
+   length(regexp_replace(t, '[^A-Z]+', '', 'g')) n_upper, length(regexp_replace(t, '[^a-z]+', '', 'g')) n_lower
+  from d left join rw using (doc_id) left join dl using (doc_id)),
+ f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+   10 * n_symbols > 3 * n_words or (10 * n_dup_lines > 4 * n_lines and n_dup_lines >= 3)
+   or word_chars < 2 * n_words or word_chars > 15 * n_words or n_upper > n_lower own_failed from m)
+select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols,
+ cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, base_failed,
+ not (base_failed or own_failed) kept from f""",
+}
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
