@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import minhash, mixing, quality, topk, warc
+from codeloom.llm import lines, minhash, mixing, quality, topk, warc
 from codeloom.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op7_minhash_groups(spark, sf_dir):
     return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
