@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import lines, minhash, mixing, quality, topk, warc
+from codeloom.llm import lines, minhash, mixing, packing, quality, topk, toxicity, warc
 from codeloom.llm.shared import table
 
 
@@ -13,6 +14,16 @@ def op1_top_k(spark, sf_dir):
     return topk.top_k(v.where("id % 50 = 0"), v, 5)
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.scored(docs.select("doc_id", "text"), toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+
+
 def op6_quality_rules(spark, sf_dir):
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base, full = quality.fails(("base", 1)), quality.fails(("full", 1))
