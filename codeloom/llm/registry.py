@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import lines, minhash, mixing, packing, quality, topk, toxicity, warc
+from codeloom.llm import lines, lm, minhash, mixing, packing, quality, topk, toxicity, warc
 from codeloom.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_top_k(spark, sf_dir):
     return topk.top_k(v.where("id % 50 = 0"), v, 5)
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = toxicity.scored(docs.select("doc_id", "text"), toxicity.fitted(docs, table(spark, sf_dir, "labels")))
