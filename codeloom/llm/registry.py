@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import lines, lm, minhash, mixing, packing, quality, topk, toxicity, warc
+from codeloom.llm import lines, lm, minhash, mixing, packing, quality, suffixes, topk, toxicity, warc
 from codeloom.llm.shared import table
 
 
@@ -28,6 +28,18 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    rows = suffixes.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
+    return rows.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        cut.alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_quality_rules(spark, sf_dir):
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base, full = quality.fails(("base", 1)), quality.fails(("full", 1))
