@@ -1,11 +1,503 @@
-"""Every query over the reference data model, by name, with its oracle."""
+"""Every query over the reference data model, by name, with its DuckDB oracle."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from codeloom.functions import scalars as s
+from codeloom.operators import convert, finders, pages, render, store, trace, weave
+from codeloom.plans import lens
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+# The lens in SQL. {x} of an oracle is replaced by nothing else than these common tables.
+_LENS = """
+with types as (select 'nation/' || n_name file, r_name package, r_name || '.' || n_name class_fqn, n_name, r_name, n_nationkey,
+   case when n_nationkey % 5 = 0 then 'AbstractClass' else 'Class' end class_type,
+   first_value(n_name) over (partition by r_name order by n_nationkey) first_name from nation join region on n_regionkey = r_regionkey),
+ methods as (select 'nation/' || n_name file, class_fqn, n_name, r_name, c_name as name, c_mktsegment return_type, c_custkey k, 'c' kind from customer join types on c_nationkey = n_nationkey
+   union all select 'nation/' || n_name, class_fqn, n_name, r_name, s_name, 'void', s_suppkey, 's' from supplier join types on s_nationkey = n_nationkey),
+ nodes as (select 'class_' || replace(r_name, '.', '_') || '_' || n_name id, 'Class' label, n_name as name, r_name package, '' class_name, class_type node_type, '' target_type, file source_file, n_nationkey line_number, '' return_type from types
+   union all select 'interface_' || r_name, 'Interface', r_name, '', '', '', '', 'region/' || r_name, r_regionkey, '' from region
+   union all select 'method_' || n_name || '_' || name, 'Method', name, r_name, n_name, '', '', file, k, 'void' from methods
+   union all select 'annotation_Method_' || c_mktsegment, 'Annotation', c_mktsegment, '', '', '', 'Method', min(f), cast(arg_min(c_custkey, f || lpad(cast(c_custkey as varchar), 20, '0')) as bigint), ''
+     from (select *, 'nation/' || n_name f from customer join nation on c_nationkey = n_nationkey) group by c_mktsegment),
+ edges as (select 'class_' || r_name || '_' || m.n_name src, 'method_' || m.n_name || '_' || m.name dst, 'CONTAINS' "type" from methods m
+   union select 'class_' || r_name || '_' || n_name, 'class_' || r_name || '_' || first_name, 'EXTENDS' from types where n_name <> first_name
+   union select 'class_' || r_name || '_' || n_name, 'interface_' || r_name, 'IMPLEMENTS' from types
+   union select 'method_' || n_name || '_' || name, 'annotation_Method_' || return_type, 'HAS_ANNOTATION' from methods where kind = 'c'
+   union select 'method_' || a.n_name || '_' || a.name, 'method_' || b.n_name || '_' || b.name, 'CALLS' from orders join lineitem on o_orderkey = l_orderkey
+     join methods a on a.kind = 'c' and a.k = o_custkey join methods b on b.kind = 's' and b.k = l_suppkey)
+"""
+_EVENTS = """
+with recursive step as (select distinct caller, callee from (select 'u' || user_id || '.' || event_type caller,
+   'u' || user_id || '.' || lead(event_type) over (partition by user_id order by ts, event_id) callee from events) where callee is not null and caller <> callee)
+"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _n(columns: str):
+    return [c.strip() for c in columns.split(",")]
+
+
+# Nodes and edges ---------------------------------------------------------------------------------------------------
+
+
+@query(_LENS + "select id, name, package, node_type, source_file, cast(line_number as integer) line_number from nodes where label = 'Class'")
+def build_class_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return convert.class_nodes(lens.types(spark, d), 0).select(*_n("id, name, package, node_type, source_file, line_number"))
+
+
+@query(_LENS + "select id, name, package, source_file from nodes where label = 'Interface'")
+def build_interface_nodes(spark, d):
+    return convert.interface_nodes(lens.types(spark, d), 0).select(*_n("id, name, package, source_file"))
+
+
+@query(_LENS + "select 'method_' || n_name || '_' || name id, name, n_name class_name, r_name package, 'void' return_type, return_type real_type, cast(5 as integer) body_length from methods")
+def build_method_nodes(spark, d):
+    m = convert.method_nodes(lens.methods(spark, d), 0)
+    return m.select(*_n("id, name, class_name, package, return_type"), F.col("props")["return_type"].alias("real_type"), "body_length")
+
+
+@query(_LENS + "select id, name, target_type, source_file, 'value=' || name parameter from nodes where label = 'Annotation'")
+def build_annotation_nodes(spark, d):
+    return convert.annotation_nodes(lens.annotation_uses(spark, d), created_at=0).select("id", "name", "target_type", "source_file", F.col("parameters")[0].alias("parameter"))
+
+
+@query(_LENS + "select src, dst from edges where type = 'CONTAINS'")
+def contains_edges(spark, d):
+    return convert.contains_edges(lens.types(spark, d), lens.methods(spark, d)).select("src", "dst")
+
+
+@query(_LENS + "select src, dst from edges where type = 'CALLS'")
+def calls_edges(spark, d):
+    return convert.calls_edges(lens.calls(spark, d), lens.methods(spark, d)).select("src", "dst")
+
+
+@query(_LENS + "select src, dst from edges where type = 'HAS_ANNOTATION'")
+def has_annotation_edges(spark, d):
+    return convert.annotation_edges(lens.annotation_uses(spark, d)).select("src", "dst")
+
+
+@query(_LENS + "select src, dst from edges where type = 'EXTENDS'")
+def extends_edges(spark, d):
+    return convert.inheritance_edges(lens.types(spark, d)).where("type = 'EXTENDS'").select("src", "dst")
+
+
+@query(_LENS + "select src, dst from edges where type = 'IMPLEMENTS'")
+def implements_edges(spark, d):
+    return convert.inheritance_edges(lens.types(spark, d)).where("type = 'IMPLEMENTS'").select("src", "dst")
+
+
+_ACCESSORS = """
+with m as (select 'nation/' || c_nationkey file, (case when c_custkey % 4 = 0 then 'get' when c_custkey % 4 = 1 then 'set' when c_custkey % 4 = 2 then 'is' else 'work' end) || c_mktsegment || cast(c_custkey % 10 as varchar) as name from customer),
+ p as (select distinct file, name, left(name, 3) = 'set' setter, regexp_replace(name, '^(get|set|is)', '') prop from m where name not like 'work%')
+"""
+
+
+@query(_ACCESSORS + """select file, name, count(*) n from m where name like 'work%' or not exists (select 1 from p where p.file = m.file and p.prop = regexp_replace(m.name, '^(get|set|is)', '')
+ and p.setter <> (left(m.name, 3) = 'set')) group by file, name""")
+def accessor_pair_filter(spark, d):
+    k = F.col("c_custkey") % 4
+    name = F.concat(F.when(k == 0, "get").when(k == 1, "set").when(k == 2, "is").otherwise("work"), "c_mktsegment", (F.col("c_custkey") % 10).cast("string"))
+    m = lens.table(spark, d, "customer").select(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("file"), F.lit("a.B").alias("class_fqn"), name.alias("name"))
+    return convert.kept_methods(m).groupBy("file", "name").agg(F.count("*").alias("n"))
+
+
+@query("""select id, name, version from (select 'p' || p_partkey id, case when p_partkey % 3 = 0 then p_name || '!' else p_name end as name, case when p_partkey % 3 = 0 then 2 else 1 end version from part)
+union all select 'new' || p_partkey, p_name, 2 from part where p_partkey % 100 = 1""")
+def upsert_last_wins(spark, d):
+    p = lens.table(spark, d, "part")
+    old = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit(1).alias("version"), F.lit(0).cast("bigint").alias("created_at"))
+    same = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat("p_name", F.lit("!")).alias("name"), F.lit(2).alias("version"), F.lit(1).cast("bigint").alias("created_at"))
+    new = p.where("p_partkey % 100 = 1").select(F.concat(F.lit("new"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit(2).alias("version"), F.lit(1).cast("bigint").alias("created_at"))
+    return store.upsert_nodes(old, same.unionByName(new)).drop("created_at")
+
+
+@query(_LENS + "select src, dst from edges e where type = 'CALLS' and not exists (select 1 from nodes n where n.id = e.dst and n.line_number % 2 = 0)")
+def dangling_edges_dropped(spark, d):
+    n = lens.nodes(spark, d).where("label <> 'Method' or name like 'Customer%' or line_number % 2 = 0").select("id")
+    return store.dangling_edges(lens.edges(spark, d).where("type = 'CALLS'"), n).select("src", "dst")
+
+
+@query(_LENS + ", gone as (select id from nodes where source_file = 'nation/NATION_7') select type, count(*) n from edges where src not in (select id from gone) and dst not in (select id from gone) group by type")
+def cascade_delete_by_source(spark, d):
+    n, e = lens.nodes(spark, d), lens.edges(spark, d)
+    _, kept = store.detach_delete(n, e, n.where("source_file = 'nation/NATION_7'"))
+    return kept.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(_LENS + """, g as (select id from nodes where label = 'Annotation'), e2 as (select * from edges where dst not in (select id from g) and src not in (select id from g)),
+ c as (select cast(0 as bigint) nodes_created, cast(0 as bigint) relationships_created, (select count(*) from g) nodes_deleted, (select count(*) from edges) - (select count(*) from e2) relationships_deleted)
+ select *, nodes_created + relationships_created + nodes_deleted + relationships_deleted total from c""")
+def write_counters(spark, d):
+    n, e = lens.nodes(spark, d), lens.edges(spark, d)
+    left, kept = store.detach_delete(n, e, n.where("label = 'Annotation'"))
+    return store.change_counts(n, left, e, kept)
+
+
+# Counts ------------------------------------------------------------------------------------------------------------
+
+
+@query(_LENS + "select label, count(*) n from nodes group by label")
+def label_counts(spark, d):
+    return lens.nodes(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(_LENS + "select node_type, count(*) \"count\" from nodes where label = 'Class' group by node_type")
+def counts_by_node_type(spark, d):
+    return finders.CATALOG["Class.count_by_node_type"](lens.nodes(spark, d), lens.edges(spark, d))
+
+
+@query(_LENS + "select type, count(*) \"count\" from edges group by type")
+def edge_type_counts_desc(spark, d):
+    return finders.count_by(lens.edges(spark, d), "type")
+
+
+@query(_LENS + "select name, count(*) usages from edges join nodes on dst = id where type = 'HAS_ANNOTATION' group by name")
+def annotation_usage_counts(spark, d):
+    a = lens.nodes(spark, d).where("label = 'Annotation'").select("id", "name")
+    return lens.edges(spark, d).where("type = 'HAS_ANNOTATION'").join(a, F.col("dst") == a["id"]).groupBy("name").agg(F.count("*").alias("usages"))
+
+
+@query(_LENS + "select src as class_id, count(*) methods from edges where type = 'CONTAINS' group by src")
+def methods_per_class(spark, d):
+    return lens.edges(spark, d).where("type = 'CONTAINS'").groupBy(F.col("src").alias("class_id")).agg(F.count("*").alias("methods"))
+
+
+@query(_LENS + "select package, count(*) n from nodes where label in ('Class', 'Interface') group by package")
+def counts_by_package(spark, d):
+    return lens.nodes(spark, d).where("label in ('Class', 'Interface')").groupBy("package").agg(F.count("*").alias("n"))
+
+
+@query(_LENS + "select (count(*) > 0) found from nodes where name = 'NATION_3'")
+def exists_any(spark, d):
+    return finders.exists(lens.nodes(spark, d).where("name = 'NATION_3'"))
+
+
+@query(_LENS + """select 'label' kind, label as name, count(*) "count" from nodes group by label union all select 'type', type, count(*) from edges group by type
+ union all select 'total', 'nodes', count(*) from nodes union all select 'total', 'edges', count(*) from edges""")
+def graph_statistics(spark, d):
+    return finders.statistics(lens.nodes(spark, d), lens.edges(spark, d))
+
+
+@query(_LENS + ", c as (select src, count(*) n from edges where type = 'CALLS' group by src) select class_name, count(*) callers, cast(sum(n) as bigint) calls, max(n) most from c join nodes on src = id group by class_name")
+def call_totals_per_class(spark, d):
+    c = lens.edges(spark, d).where("type = 'CALLS'").groupBy("src").agg(F.count("*").alias("n"))
+    m = lens.nodes(spark, d).where("label = 'Method'").select("id", "class_name")
+    return c.join(m, c["src"] == m["id"]).groupBy("class_name").agg(F.count("*").alias("callers"), F.sum("n").alias("calls"), F.max("n").alias("most"))
+
+
+# Finders -----------------------------------------------------------------------------------------------------------
+
+
+@query(_LENS + "select id from nodes where label = 'Class' and name = 'NATION_4' and package = 'MIDDLE EAST'")
+def find_by_name_and_package(spark, d):
+    return finders.CATALOG["Class.by_name_and_package"](lens.nodes(spark, d), None, "NATION_4", "MIDDLE EAST").select("id")
+
+
+@query(_LENS + "select id from nodes where label = 'Method' and id in (select 'method_' || n_name || '_' || c_name from customer join nation on c_custkey % 25 = n_nationkey)")
+def find_by_ids_in_list(spark, d):
+    n = lens.table(spark, d, "nation")
+    c = lens.table(spark, d, "customer")
+    ids = c.join(F.broadcast(n), F.col("c_custkey") % 25 == F.col("n_nationkey")).select(s.method_id("c_name", "n_name").alias("id"))
+    return finders.existing_ids(lens.nodes(spark, d), "Method", ids)
+
+
+@query("""select 'abstract' flag, r_name || '.' || n_name fqn from nation join region on n_regionkey = r_regionkey where n_nationkey % 5 = 0
+ union all select 'final', r_name || '.' || n_name from nation join region on n_regionkey = r_regionkey where n_nationkey % 5 <> 0 and n_nationkey % 3 = 0
+ union all select 'public', r_name || '.' || n_name from nation join region on n_regionkey = r_regionkey where n_nationkey % 5 = 0 or n_nationkey % 3 <> 0""")
+def flags_filter(spark, d):
+    n, out = lens.nodes(spark, d), None
+    for flag in ("abstract", "final", "public"):
+        one = finders.CATALOG[f"Class.all_{flag}"](n, None).select(F.lit(flag).alias("flag"), F.concat("package", F.lit("."), "name").alias("fqn"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _pairs(kind: str, here: str, there: str):
+    return lambda spark, d: lens.edges(spark, d).where(F.col("type") == kind).join(lens.nodes(spark, d).select(F.col("id").alias(there), "name", "label"), there).select(F.col(here).alias("start"), "name", "label")
+
+
+for _name, _kind, _here, _there in (
+    ("superclasses", "EXTENDS", "src", "dst"), ("subclasses", "EXTENDS", "dst", "src"), ("implementers", "IMPLEMENTS", "dst", "src"), ("implemented_interfaces", "IMPLEMENTS", "src", "dst"),
+    ("callees", "CALLS", "src", "dst"), ("callers", "CALLS", "dst", "src"), ("annotated_methods", "HAS_ANNOTATION", "dst", "src"), ("annotations_of_method", "HAS_ANNOTATION", "src", "dst"),
+    ("methods_of_class", "CONTAINS", "src", "dst"), ("class_of_methods", "CONTAINS", "dst", "src"),
+):
+    _QUERIES[_name] = _pairs(_kind, _here, _there)
+    _SQL[_name] = _LENS + f"select {_here} as start, name, label from edges join nodes on {_there} = id where type = '{_kind}'"
+
+
+@query(_LENS + "select n.id, n.name from edges e join nodes n on e.dst = n.id where e.type = 'CALLS' and e.src = 'method_NATION_2_Customer#000000000'")
+def called_by_one(spark, d):
+    return finders.CATALOG["Method.called"](lens.nodes(spark, d), lens.edges(spark, d), "method_NATION_2_Customer#000000000").select("id", "name")
+
+
+@query(_LENS + "select e.src, e.type, n.id dst, n.label, n.name from edges e join nodes n on e.dst = n.id where e.src = 'class_ASIA_NATION_7'")
+def node_relationships(spark, d):
+    return finders.relationships(lens.nodes(spark, d), lens.edges(spark, d), "class_ASIA_NATION_7")
+
+
+@query(_LENS + """select c.src button, a.dst as method, i.dst as element from (select distinct src from edges where type = 'CONTAINS') c
+ left join edges a on a.src = c.src and a.type = 'EXTENDS' left join edges i on i.src = c.src and i.type = 'IMPLEMENTS'""")
+def button_workflow_left_joins(spark, d):
+    e = lens.edges(spark, d)
+    b = e.where("type = 'CONTAINS'").select(F.col("src").alias("button")).distinct()
+    side = lambda kind, name: e.where(F.col("type") == kind).select(F.col("src").alias("button"), F.col("dst").alias(name))
+    return b.join(side("EXTENDS", "method"), "button", "left").join(side("IMPLEMENTS", "element"), "button", "left")
+
+
+@query("select p_partkey, p_size score, p_type tag from part where p_size >= 40")
+def complexity_ge_desc(spark, d):
+    p = lens.table(spark, d, "part")
+    return p.where("p_size >= 40").orderBy(F.desc("p_size"), "p_partkey").select("p_partkey", F.col("p_size").alias("score"), F.col("p_type").alias("tag"))
+
+
+@query("select p_partkey from part where list_contains(string_split(p_name, ' '), 'red')")
+def functions_by_tag(spark, d):
+    n = lens.table(spark, d, "part").select("p_partkey", F.lit("JSFunction").alias("node_type"), F.create_map(F.lit("purpose_tags"), F.replace("p_name", F.lit(" "), F.lit(","))).alias("props"))
+    return finders.functions_by_tag(n, "red").select("p_partkey")
+
+
+_LINKS = "with b as (select c_custkey, 'bean.' || c_name as name, n_name class_name from customer join nation on (c_nationkey + c_custkey % 3) % 25 = n_nationkey), m as (select n_name, c_name, 'method_' || n_name || '_' || c_name id from customer join nation on c_nationkey = n_nationkey) "
+
+
+def _links(spark, d):
+    n = F.broadcast(lens.table(spark, d, "nation").select("n_nationkey", "n_name"))
+    b = lens.table(spark, d, "customer").join(n, (F.col("c_nationkey") + F.col("c_custkey") % 3) % 25 == F.col("n_nationkey"))
+    b = b.select("c_custkey", F.concat(F.lit("bean."), "c_name").alias("name"), F.col("n_name").alias("class_name"))
+    return pages.linked(b, lens.nodes(spark, d).where("label = 'Method'"))
+
+
+@query(_LINKS + "select c_custkey, id linked_id from b join m on b.name = 'bean.' || m.c_name and b.class_name = m.n_name")
+def linked_methods(spark, d):
+    return _links(spark, d).where("linked_id is not null").select("c_custkey", "linked_id")
+
+
+@query(_LINKS + "select c_custkey from b where not exists (select 1 from m where b.name = 'bean.' || m.c_name and b.class_name = m.n_name)")
+def unlinked_methods(spark, d):
+    return _links(spark, d).where("linked_id is null").select("c_custkey")
+
+
+@query(_LENS + "select id from nodes where label = 'Method' and not (package like 'A%' or name like 'Supplier%') ")
+def prefix_exclusion(spark, d):
+    n = lens.nodes(spark, d).where("label = 'Method'")
+    return n.where(~s.excluded("package", "name", ["A"], []) & ~s.starts_with_any("name", ["Supplier"])).select("id")
+
+
+@query("""select 'class_' || replace(x, '.', '_') id, case when contains(x, '.') then regexp_extract(x, '^(.*)\\.[^.]*$', 1) else '' end package, regexp_extract(x, '[^.]*$') as simple
+ from (select distinct regexp_replace(lower(p_brand) || '.' || p_type || '.' || split_part(p_name, ' ', 1), '<.*', '') x from part)""")
+def names_from_fqn(spark, d):
+    x = lens.table(spark, d, "part").select(F.concat_ws(".", F.lower("p_brand"), "p_type", F.substring_index("p_name", " ", 1), ).alias("x")).distinct()
+    x = x.withColumn("x", F.concat("x", F.lit("<T.U>")))
+    return x.select(s.class_id("x").alias("id"), s.package_of("x").alias("package"), s.simple_name("x").alias("simple")).distinct()
+
+
+# Traces ------------------------------------------------------------------------------------------------------------
+
+
+def _entries(spark, d):
+    return lens.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".signup")).alias("entry")).distinct()
+
+
+_TRACE = _EVENTS + """, t as (select distinct 'u' || user_id || '.signup' entry, 0 depth, cast(null as varchar) caller, 'u' || user_id || '.signup' callee, ['u' || user_id || '.signup'] path from events
+ union all select t.entry, t.depth + 1, s.caller, s.callee, case when list_contains(t.path, s.callee) then list_append(t.path, '#') else list_append(t.path, s.callee) end
+ from t join step s on s.caller = t.callee where t.depth < 3 and not list_contains(t.path, '#')) """
+
+
+@query(_TRACE + "select entry, depth, caller, callee, count(*) n from t where depth > 0 group by all")
+def trace_depth_n(spark, d):
+    t = trace.trace(lens.event_calls(spark, d), _entries(spark, d), trace.TraceConfig(depth=3))
+    return t.groupBy("entry", "depth", "caller", "callee").agg(F.count("*").alias("n"))
+
+
+@query(_TRACE + "select distinct entry, callee as method from t where entry in (select caller from step)")
+def trace_involved_methods(spark, d):
+    return trace.involved_methods(trace.trace(lens.event_calls(spark, d), _entries(spark, d), trace.TraceConfig(depth=3)))
+
+
+@query(_EVENTS + """, r as (select callee as start, caller as node, 1 distance from step union select r.start, s.caller, r.distance + 1 from r join step s on s.callee = r.node where r.distance < 6)
+ select start, node, cast(min(distance) as integer) distance from r where start <> node and start like '%.purchase' group by start, node""")
+def upstream_impact(spark, d):
+    e = lens.event_calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    starts = e.where("dst like '%.purchase'").select(F.col("dst").alias("start")).distinct()
+    return trace.reach(e, starts, backwards=True)
+
+
+@query("select event_id, event_type || cast(row_number() over (partition by user_id, event_type order by event_id) as varchar) as instance from events")
+def instance_numbering(spark, d):
+    e = lens.table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_type").alias("callee_variable"), F.col("event_id").alias("seq"))
+    return convert.instance_ids(e).select(F.col("seq").alias("event_id"), F.col("callee_instance").alias("instance"))
+
+
+# Text --------------------------------------------------------------------------------------------------------------
+
+_KIND = "case when event_type = 'signup' then 'activate' when event_type = 'purchase' then 'deactivate' when event_type = 'click' then 'alt' when event_type = 'error' then 'end' else 'call' end"
+
+
+def _items(spark, d):
+    e = F.col("event_type")
+    kind = F.when(e == "signup", "activate").when(e == "purchase", "deactivate").when(e == "click", "alt").when(e == "error", "end").otherwise("call")
+    return lens.table(spark, d, "events").select(F.col("user_id").cast("string").alias("entry"), F.col("event_id").alias("ord"), kind.alias("kind"), F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("dst"), F.lit("").alias("text"))
+
+
+@query(f"""select entry, ord, cast(coalesce(sum(delta) over (partition by entry order by ord rows between unbounded preceding and 1 preceding), 0) as integer) as indent from
+ (select cast(user_id as varchar) entry, event_id ord, case {_KIND} when 'activate' then 1 when 'alt' then 1 when 'deactivate' then -1 when 'end' then -1 else 0 end delta from events)""")
+def indent_levels(spark, d):
+    return render.indented(_items(spark, d)).select("entry", "ord", "indent")
+
+
+@query(f"""with i as (select cast(user_id as varchar) entry, event_id ord, {_KIND} kind from events),
+ w as (select *, lead(kind) over (partition by entry order by ord) nxt, lag(kind) over (partition by entry order by ord) prv,
+  last_value(case when kind = 'call' then 'n' || ord end ignore nulls) over (partition by entry order by ord rows between unbounded preceding and current row) callee from i)
+ select entry, ord, case when kind = 'alt' and nxt = 'end' then 'note' else kind end kind, case when kind = 'alt' and nxt = 'end' then callee else 'n' || ord end dst from w where not (kind = 'end' and coalesce(prv, '') = 'alt')""")
+def peephole_pairs(spark, d):
+    return render.peephole(_items(spark, d)).select("entry", "ord", "kind", "dst")
+
+
+@query("""select p_partkey, case when regexp_matches(x, '^get[A-Z][A-Za-z0-9_$]*$') then lower(substr(x, 4, 1)) || substr(x, 5) else x end argument from
+ (select p_partkey, regexp_replace(regexp_replace(case when p_partkey % 2 = 0 then 'a.' || p_type || '.getName()' else 'item.' || p_type end, '\\b[A-Za-z_$][A-Za-z0-9_$]*\\.', '', 'g'), '\\(\\)$', '') x from part)""")
+def argument_simplify(spark, d):
+    x = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("a."), "p_type", F.lit(".getName()"))).otherwise(F.concat(F.lit("item."), "p_type"))
+    return lens.table(spark, d, "part").select("p_partkey", s.simplified_argument(x).alias("argument"))
+
+
+_LINES = "with d as (select doc_id, regexp_replace(coalesce(text, ''), '\\n+$', '') t from documents), l as (select doc_id, unnest(string_split(t, chr(10))) as text, generate_subscripts(string_split(t, chr(10)), 1) line from d) "
+
+
+def _doc_lines(spark, d):
+    return weave.lines_of(lens.table(spark, d, "documents"), "text", "doc_id")
+
+
+@query(_LINES + "select doc_id, count(*) lines, cast(sum(length(text)) as bigint) chars from l group by doc_id")
+def source_lines(spark, d):
+    return _doc_lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(_LINES + ", m as (select *, max(case when contains(text, 'Licen') then 1 else 0 end) over (partition by doc_id order by line rows between unbounded preceding and current row) begun from l) select doc_id, count(*) lines from m where begun = 1 group by doc_id")
+def weave_header_prefix(spark, d):
+    w = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    return _doc_lines(spark, d).withColumn("begun", F.max(F.col("text").contains("Licen")).over(w)).where("begun").groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@query(_LINES + ", r as (select doc_id, 2 + quality as a, 4 + quality b from labels) select l.doc_id, cast(line as integer) line, length(text) as length from l where exists (select 1 from r where r.doc_id = l.doc_id and line between a and b)")
+def weave_kept_ranges(spark, d):
+    r = lens.table(spark, d, "labels").select("doc_id", (F.col("quality") + 2).alias("start_line"), (F.col("quality") + 4).alias("end_line"))
+    return weave.in_ranges(_doc_lines(spark, d), r, "doc_id").select("doc_id", "line", F.length("text").cast("bigint").alias("length"))
+
+
+@query("""select user_id, count(*) classes, md5(string_agg('## ' || event_type, chr(10) order by event_type)) digest from (select distinct user_id, event_type from events) group by user_id""")
+def merge_markdown(spark, d):
+    sections = lens.table(spark, d, "events").select("user_id", "event_type").distinct()  # a handful of types for each user
+    rows = sections.groupBy("user_id").agg(F.count("*").alias("classes"), F.array_sort(F.collect_list("event_type")).alias("names"))
+    return rows.select("user_id", "classes", F.md5(F.array_join(F.transform("names", lambda x: F.concat(F.lit("## "), x)), "\n").cast("binary")).alias("digest"))
+
+
+@query("""select doc_id, cast(case when p = '' then 1 when regexp_replace(p, '\\n+$', '') = '' then 0 else len(string_split(regexp_replace(p, '\\n+$', ''), chr(10))) end as integer) line from (select doc_id, substr(coalesce(text, ''), 1, 200) p from documents)""")
+def line_number_of_offset(spark, d):
+    return lens.table(spark, d, "documents").select("doc_id", s.line_of_offset(F.coalesce("text", F.lit("")), F.lit(200)).alias("line"))
+
+
+@query("select event_type, cast(json_extract_string(props, '$.k') as integer) k, count(*) n from events group by all")
+def json_props_tree(spark, d):
+    e = lens.table(spark, d, "events")
+    return e.groupBy("event_type", F.from_json("props", "k int")["k"].alias("k")).agg(F.count("*").alias("n"))
+
+
+# Pages -------------------------------------------------------------------------------------------------------------
+
+
+@query("select page_id, len(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>')) blocks, md5(regexp_extract(html, '(?is)<script[^>]*>(.*?)</script>', 1)) digest from pages")
+def script_blocks(spark, d):
+    p = lens.table(spark, d, "pages")
+    all_ = F.regexp_extract_all("html", F.lit(pages.SCRIPT), F.lit(1))
+    return p.select("page_id", F.size(all_).cast("bigint").alias("blocks"), F.md5(F.coalesce(F.get(all_, F.lit(0)), F.lit("")).cast("binary")).alias("digest"))
+
+
+@query("""select page_id, cast(line as integer) line, x as path from (select page_id, html, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) x, 0 line from pages)""")
+def external_refs(spark, d):
+    rows = pages.matches(lens.table(spark, d, "pages"), "html", r'href="([^"]+)"', 1, "page_id")
+    return rows.select("page_id", F.lit(0).alias("line"), F.col("found").alias("path"))
+
+
+@query("""select page_id, length(split_part(html, '<script', 1)) as at, len(string_split(split_part(html, '<script', 1), chr(10))) as line from pages where contains(html, '<script')""")
+def script_offsets(spark, d):
+    rows = pages.matches(lens.table(spark, d, "pages"), "html", pages.SCRIPT, 1, "page_id").where("ordinal = 1")
+    return rows.select("page_id", F.col("at").cast("bigint").alias("at"), F.size(F.split("before", "\n", -1)).cast("bigint").alias("line"))
+
+
+@query("""select page_id, call, count(*) n from (select page_id, unnest(regexp_extract_all(html, '([a-zA-Z_]+)\\(', 1)) call from pages) group by all""")
+def ajax_like_calls(spark, d):
+    return pages.matches(lens.table(spark, d, "pages"), "html", r"([a-zA-Z_]+)\(", 1, "page_id").groupBy("page_id", F.col("found").alias("call")).agg(F.count("*").alias("n"))
+
+
+@query("select page_id, case when regexp_extract(html, '(?i)id=\"([^\"]+)\"', 1) = '' then 'unknown' else regexp_extract(html, '(?i)id=\"([^\"]+)\"', 1) end id from pages")
+def tag_ids(spark, d):
+    return lens.table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract("html", pages.IDENTITY, 1), F.lit("")), F.lit("unknown")).alias("id"))
+
+
+@query("select page_id, regexp_matches(html, '(?i)check|validate') validates, contains(html, 'style.display') or contains(html, '.value') as manipulates from pages")
+def js_tags(spark, d):
+    tags = pages.purpose_tags("html")
+    return lens.table(spark, d, "pages").select("page_id", F.array_contains(tags, "Data_Validation").alias("validates"), F.array_contains(tags, "UI_Manipulation").alias("manipulates"))
+
+
+@query("""with l as (select distinct cast(page_id as varchar) file, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) x, 'DEPENDS_ON' "type" from pages
+ union select cast(page_id as varchar), unnest(regexp_extract_all(html, '([a-zA-Z_]+)\\(', 1)), 'CONTAINS' from pages)
+ select 'page_' || file src, case type when 'CONTAINS' then 'js_' || x else 'external_' || regexp_replace(x, '[^a-zA-Z0-9]', '_', 'g') end dst, type from l group by all""")
+def page_graph_edges(spark, d):
+    return lens.page_nodes_and_edges(spark, d)[1].select("src", "dst", "type")
+
+
+@query("""select 'js_' || x id, min(file) source_file from (select cast(page_id as varchar) file, unnest(regexp_extract_all(html, '([a-zA-Z_]+)\\(', 1)) x from pages) group by x""")
+def page_functions(spark, d):
+    return lens.page_nodes_and_edges(spark, d)[0].where("node_type = 'JSFunction'").select("id", "source_file")
+
+
+@query(_LENS + "select id, name from nodes where label = 'Class' and package = 'ASIA'")
+def variable_param_query(spark, d):
+    return spark.sql("select id, name from {n} where label = :label and package = :package", args={"label": "Class", "package": "ASIA"}, n=lens.nodes(spark, d))
+
+
+# Text without an oracle: held against brute force in the tests -----------------------------------------------------------
+
+
+@query()
+def sequence_diagrams(spark, d):
+    """A diagram for each user's first calls."""
+    entries = _entries(spark, d)
+    return render.diagrams(trace.trace(lens.event_calls(spark, d), entries, trace.TraceConfig(depth=2)), entries)
+
+
+@query()
+def script_functions(spark, d):
+    """Named functions of the pages' scripts, after each call is made a function of its own."""
+    p = lens.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("file"), F.regexp_replace("html", r"([a-zA-Z_]+)\((\d+)\);", "function $1($2){ if ($2) { winopen(a, b, c); } ajaxActionCall(this, \"$1.run\"); }").alias("content"))
+    return pages.functions(p)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls per class over the whole graph: who calls, how often, and how many methods each class contains."""
+    return call_totals_per_class(spark, sf_dir).join(
+        methods_per_class(spark, sf_dir).select(F.regexp_extract("class_id", r"(NATION_\d+)$", 1).alias("class_name"), F.col("methods")), "class_name"
+    )
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
