@@ -6,8 +6,10 @@ candidates: at a similarity of 0.85 a pair shares no band with probability (1 -
 
 Documents with the same set are one class. In a band's bucket each class is compared with the least class of the bucket,
 so that candidates are linear in the rows. Buckets whose classes these links leave in several components are then compared
-in full, in blocks of BLOCK by BLOCK classes whose signatures agree in LEAST_AGREE of 128 coordinates (five standard
-deviations below 0.85); pairs that are of one component already are skipped. So every link between two components is found.
+in full, in blocks of BLOCK by BLOCK classes: where signatures agree in as many coordinates as five standard deviations
+below the threshold, the sets, as 32-bit hashes, are intersected in the task. A block hands on no more links than it
+takes to join its components, each confirmed on the full sets; so no link between two components is lost, and what leaves
+a block is linear in its classes.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text of fewer than five words
 has one shingle, the whole; rows that repeat an id and text are one document's; of rows with a null id only the links count.
@@ -29,7 +31,7 @@ from codeloom.llm.shared import small, written
 
 WIDTH, BANDS, ROWS = 5, 32, 4
 COORDINATES = BANDS * ROWS
-BLOCK, LEAST_AGREE = 256, 88
+BLOCK = 256
 #: Odd multipliers: of the places in a shingle, and of the mixers below.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -96,8 +98,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, cls long, bands array<long>, sig binary")
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose signatures agree in LEAST_AGREE coordinates."""
+def least_agree(percent: int) -> int:
+    """Coordinates that a pair at the threshold shares, less five standard deviations."""
+    p = percent / 100
+    return int(COORDINATES * p - 5 * (COORDINATES * p * (1 - p)) ** 0.5)
+
+
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose signatures agree in least_agree(percent) coordinates."""
 
     @F.pandas_udf("int")
     def agree(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -105,48 +113,66 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         return pd.Series((x == y).sum(axis=1), dtype="int32")
 
     met = pairs.join(classes.select(F.col("cls").alias("u"), F.col("sig").alias("su")), "u").join(classes.select(F.col("cls").alias("v"), F.col("sig").alias("sv")), "v")
-    return met.where(agree("su", "sv") >= LEAST_AGREE).select("u", "v")
+    return met.where(agree("su", "sv") >= least_agree(percent)).select("u", "v")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
+    """(cls, own) of the classes in ids: their sets, as array<long>, or as binary of sorted unsigned 32-bit hashes."""
     reps = small(written(classes.join(ids, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls"), "reps"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [shingles(x) for x in b.text]
-            keep = [i for i, (x, c) in enumerate(zip(own, b.cls)) if set_id(x) == c]
-            yield pd.DataFrame({"cls": b.cls.iloc[keep].array, "own": [own[i].view(np.int64) for i in keep]})
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                own = [shingles(x) for x in part.text]
+                keep = [i for i, (x, c) in enumerate(zip(own, part.cls)) if set_id(x) == c]
+                shape = (lambda x: x.view(np.int64)) if kind == "array<long>" else (lambda x: np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes())
+                yield pd.DataFrame({"cls": part.cls.iloc[keep].array, "own": [shape(own[i]) for i in keep]})
+
+    return docs.select("doc_id", "text").join(reps, "doc_id").mapInPandas(sets, f"cls long, own {kind}").dropDuplicates(["cls"])
 
-    own = docs.select("doc_id", "text").join(reps, "doc_id").mapInPandas(sets, "cls long, own array<long>")
-    own = written(own, "sets").dropDuplicates(["cls"])
-    own = written(own, "sets")
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose full sets have 100 * intersection >= percent * union."""
+    ids = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+    own = written(sets_of(ids, classes, docs, "array<long>"), "sets")
     met = pairs.join(own.select(F.col("cls").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("cls").alias("v"), F.col("own").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return met.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """members: (key, cls, sig, component, n) of buckets with n classes. The pairs of different components whose signatures agree."""
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """members: (key, cls, sig, own, component, n) of buckets with n classes. Links that join their components."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    m = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "sig")
+    dealt = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    m = members.withColumn("blocks", blocks).withColumn("mine", dealt).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    m = m.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "component", "sig", "own")
+
+    least = least_agree(percent)
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(b.sig), np.uint16).reshape(-1, COORDINATES)
-        cls, comp, own = b.cls.to_numpy(), b.component.to_numpy(), b.own.to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in b.own]
+        sizes = np.array([len(x) for x in sets])
+        cls, comp, mine = b.cls.to_numpy(), b.component.to_numpy().copy(), b.mine.to_numpy()
         i, j = b.i.iloc[0], b.j.iloc[0]
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         found = []
         for x in left:
-            y = right[(comp[right] != comp[x]) & (cls[right] > cls[x] if i == j else True)]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= LEAST_AGREE]
-            found.append(np.stack([np.minimum(cls[y], cls[x]), np.maximum(cls[y], cls[x])]))
-        out = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"u": out[0], "v": out[1]})
+            y = right[(comp[right] != comp[x]) & ((cls[right] > cls[x]) | (i != j))]
+            y = y[100 * np.minimum(sizes[y], sizes[x]) >= (percent - 1) * np.maximum(sizes[y], sizes[x])]
+            for k in y[(sig[y] == sig[x]).sum(axis=1) >= least]:
+                if comp[k] == comp[x]:
+                    continue
+                a, c = sets[x], sets[k]
+                at = np.searchsorted(a, c)
+                shared = int((a[np.minimum(at, len(a) - 1)] == c).sum())
+                # 32-bit hashes only ever make sets look a little smaller or nearer, so a little less than percent will do.
+                if 100 * shared >= (percent - 0.5) * (len(a) + len(c) - shared):
+                    found.append((min(cls[x], cls[k]), max(cls[x], cls[k])))
+                    if 100 * shared >= (percent + 0.5) * (len(a) + len(c) - shared):
+                        comp[comp == comp[k]] = comp[x]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return m.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").distinct()
 
@@ -160,7 +186,7 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = written(keyed.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = written(keyed.join(buckets, "key"), "members")
     pairs = members.where("cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v")).distinct()
-    near = written(_agreeing(pairs, classes), "pairs")
+    near = written(_agreeing(pairs, classes, percent), "pairs")
     links = written(confirmed(near, classes, docs, percent), "links")
     linked = written(components(links), "linked")
 
@@ -168,8 +194,10 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     rest = members.where("n > 2").join(linked, members["cls"] == linked["node"], "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
     rest = written(rest, "rest")
     split = written(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "split")
-    rest = rest.join(split, "key").join(classes.select("cls", "sig"), "cls")
-    more = written(_across(rest).join(near, ["u", "v"], "left_anti"), "pairs")
+    rest = written(rest.join(split, "key"), "rest")
+    sets = written(sets_of(rest.select("cls").distinct(), classes, docs, "binary"), "sets")
+    rest = rest.join(classes.select("cls", "sig"), "cls").join(sets, "cls")
+    more = written(_across(rest, percent), "pairs")
     links = written(links.unionByName(confirmed(more, classes, docs, percent)), "links")
     linked = written(components(links), "linked")
 
