@@ -99,7 +99,9 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    import corpus_pipeline
+
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -351,9 +351,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """docs with `_spans`, the maximal ranges of bytes that go, and `_kept`, the bytes that stay."""
-    d = docs.withColumn("d", F.coalesce("doc_id", F.lit(_NULL)))
-    spans = repeated_spans(d.select("d", "text"))
-    per = spans.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("_all"))
+    d = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(_NULL)))
+    spans = repeated_spans(d.select(F.col("_doc").alias("d"), "text"))
+    per = spans.groupBy(F.col("d").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_all"))
 
     @F.pandas_udf("spans array<struct<lo: long, hi: long>>, kept binary")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -372,4 +372,4 @@ def removed(docs: DataFrame) -> DataFrame:
             spans.append([{"lo": lo, "hi": hi} for lo, hi in joined])
         return pd.DataFrame({"spans": spans, "kept": kept})
 
-    return d.join(per, "d", "left").withColumn("_x", cut("text", "_all")).select(*docs.columns, F.col("_x.spans").alias("_spans"), F.col("_x.kept").alias("_kept"))
+    return d.join(per, "_doc", "left").withColumn("_x", cut("text", "_all")).select(*docs.columns, F.col("_x.spans").alias("_spans"), F.col("_x.kept").alias("_kept"))
