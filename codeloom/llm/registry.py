@@ -56,7 +56,7 @@ def op8_line_dedup(spark, sf_dir):
 
 
 def op9_warc(spark, sf_dir):
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_mix_sources(spark, sf_dir):
@@ -95,6 +95,24 @@ with d as (select doc_id, {_TEXT} t, {_WORDS} w from documents),
 select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols,
  cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, base_failed,
  not (base_failed or own_failed) kept from f""",
+    "op7_minhash_groups": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+ s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) i from d where len(w) > 0)),
+ n as (select doc_id, count(*) k from s group by doc_id),
+ p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+ e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.k + b.k - c)),
+ l as (select x, y from e union all select y, x from e),
+ r as (select x as start, y as node from l union select r.start, l.y from r join l on r.node = l.x),
+ m as (select start, min(node) least from r group by start)
+select d.doc_id, coalesce(k, 0) n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) component_id, d.doc_id = least(d.doc_id, coalesce(m.least, d.doc_id)) kept
+ from d left join n on d.doc_id = n.doc_id left join m on m.start = d.doc_id""",
+    "op9_warc": """
+with p as (select page_id, coalesce(html, '') t from pages), h as (select page_id, t, lower(sha1(t)) x from p),
+ f as (select t, min(page_id) first from p group by t),
+ d as (select h.*, first, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((instr('0123456789abcdef', x[(5 * i) // 4 + 1]) - 1) * 16
+   + greatest(instr('0123456789abcdef', x[(5 * i) // 4 + 2]) - 1, 0)) >> (3 - (5 * i) % 4)) & 31)::int, 1)), '') digest from h join f using (t))
+select page_id, cast(strlen(t) as bigint) payload_bytes, digest payload_digest, case when first = page_id then 'response' else 'revisit' end record_type,
+ case when first <> page_id then first end refers_to from d""",
 }
 
 
