@@ -103,7 +103,8 @@ def mix(docs: DataFrame, block: int = 64, cap: float = 3.0, shard_slots: int = 6
 
     uses = slots.groupBy("skey", "block").agg(F.count("*").alias("uses"))
     taken = pieces.join(uses, ["skey", "block"]).groupBy("doc_id", "skey").agg(F.sum(F.expr("words * uses")).alias("taken"))
-    out = sized.join(taken, ["doc_id", "skey"], "left").join(known.select("skey", "total", "target"), "skey")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("skey").alias("_key"), "taken")
+    out = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("skey") == F.col("_key")), "left").join(known.select("skey", "total", "target"), "skey")
     out = out.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out, slots.select("shard", "source", "index", "block")
 
