@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import array
 import bisect
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,49 +28,90 @@ from pyspark.sql import functions as F
 from codeloom.llm.shared import running_total, small, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words that a task remembers the ids of, before it starts anew.
-REMEMBERED = 300_000
+#: Words that a worker remembers the ids of.
+REMEMBERED = 100_000
+#: Marks of which a run after letters is one pre-token.
+MARKS = ".,;:!?&#%$*|\"()"
 
 
-class WordTokens:
-    """Token ids of texts by a tokenizer file whose tokens never hold white space and whose normalizer lower-cases.
+class WordTokens(dict):
+    """Token ids of texts by a tokenizer file of byte-level pairs whose tokens never hold white space and whose normalizer
+    composes and lower-cases.
 
-    A word is encoded once and remembered. A word not met yet is looked up by its letters first: without combining marks,
-    small ASCII letters give the ids of capitals, and a full stop or comma after a letter is a token of its own."""
+    A word is encoded once and remembered, and so are its letters, which other words share; words met once are remembered
+    by their letters alone. What is letters of the Latin blocks is normalized by lower-casing and is one pre-token, a run
+    of marks after it another, so the model's pairs are merged at once; all else goes through the whole tokenizer."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
-
-    @staticmethod
-    def split(word: bytes) -> tuple[bytes, bytes]:
-        if max(word) < 0xCC and b"<|" not in word:  # else it may become a special token
-            word = word.lower()
-            if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
-                return word[:-1], word[-1:]
-        return word, b""
-
-    def learn(self, words: list[bytes]) -> None:
-        both = [self.split(w) for w in words]
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        if new := [x for x in {y for b in both for y in b} if x not in self.parts]:
-            for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-                self.parts[x] = array.array("I", e.ids).tobytes()
-        for w, (x, y) in zip(words, both):
-            self.known[w] = self.parts[x] + self.parts[y]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255
+        rest = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(rest)}
+        self.before, self.parts, self.parts_before = {}, {}, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            part, rest = word, b""
+            if (word.isascii() or max(word) < 0xCC) and b"<|" not in word:  # else it may become a special token
+                part = word.lower()
+                if len(part) > 1 and part[-1] in b".," and 97 <= part[-2] <= 122:
+                    part, rest = part[:-1], part[-1:]
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self._part(part)
+                return ids + self._part(rest) if rest else ids
+            if rest:
+                ids += self._part(rest)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _part(self, part: bytes) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts_before.get(part)
+            if ids is None:
+                ids = self._encode(part)
+            if len(self.parts) >= REMEMBERED:
+                self.parts_before = self.parts
+                self.parts = {}
+            self.parts[part] = ids
+        return ids
+
+    def _encode(self, part: bytes) -> bytes:
+        text = part.decode()
+        if (part.isascii() or max(part) < 0xCC) and b"<|" not in part:
+            low = text.lower()
+            if low.isalpha():
+                shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
+                return array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            stem = low.rstrip(MARKS)
+            if len(stem) < len(low) and stem.isalpha():
+                return self._part(stem.encode()) + self._part(low[len(stem) :].encode())
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def rest(self) -> None:
+        """Forgets the older half, between tasks."""
+        self.before, self.parts_before = {}, {}
 
     def ids(self, text: str | None) -> bytes:
         """Unsigned 32-bit ids, little-endian as the machine is."""
         words = text.encode("utf-8", "replace").split() if text else []
-        if new := set(words).difference(self.known):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = set(words)
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.__getitem__, words))
+
+
+@functools.cache
+def _tokens(path: str) -> WordTokens:
+    """A worker's, for all the tasks that it runs."""
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -77,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = WordTokens(tokenizer)
+        tokens = _tokens(tokenizer)
         for b in batches:
             rows = []
             for doc, text in zip(b.doc_id.astype(object), b.text):
@@ -87,6 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)) + ((own,) if keep_ids else ()))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids)
             yield out.astype({"doc_id": "Int64"})
+        tokens.rest()
 
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES + ", ids binary" * keep_ids)
 
