@@ -2,8 +2,9 @@
 
 Lines within EDITS edits of each other share one of EDITS + 1 segments: of a line cut into that many parts, one part at
 least is found unchanged in the other line, near its place. The distinct lines index their segments by length and number
-of the segment, and probe for those of lines that are up to EDITS shorter, at the places alone that EDITS edits allow.
-Pairs that meet are verified by a banded bit-parallel edit distance.
+of the segment, and probe for those of lines that are up to EDITS shorter, at the places alone that EDITS edits allow. Where they meet, a sketch of the counts of
+characters (a bit for each of 32 groups: odd or even) must differ in no more bits than EDITS edits can change, two each.
+Pairs that are left are verified by a banded bit-parallel edit distance.
 
 A line is a repeat if an earlier line (by doc_id, then number of the line) equals it or is within EDITS edits of it.
 Lines are what splits at \\n; those of fewer than SHORT code points take no part and are always kept.
@@ -108,15 +109,28 @@ def _signed(x: list[int]) -> np.ndarray:
     return np.array(x, np.uint64).view(np.int64)
 
 
+def sketches(texts: list[str]) -> np.ndarray:
+    """32 bits for each text: whether the characters of each group occur an odd number of times."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    group = (codes * np.uint32(0x9E3779B1)) >> np.uint32(27)
+    counts = np.bincount(np.repeat(np.arange(len(texts)) * 32, sizes) + group, minlength=32 * len(texts))
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 32), axis=1, bitorder="little").view("<i4").ravel()
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, id, keys, probes): each line that takes part, the hash of its text, of its segments and its probes.
+    """(doc_id, line, id, sketch, keys, probes): each line that takes part, the hash of its text, of its segments and probes.
 
-    Within a batch only the first of equal lines has keys and probes."""
+    In a task only the first of equal lines has keys and probes; but after many lines, one more may."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans: dict[int, tuple] = {}
-        for b in batches:
-            rows, seen = [], set()
+        seen: set[int] = set()
+        columns = ["doc_id", "line", "id", "sketch", "keys", "probes"]
+        for b in (part.iloc[at : at + 500] for part in batches for at in range(0, len(part), 500)):  # so that few lines are held at once
+            rows, fresh = [], []
+            if len(seen) > 500_000:
+                seen.clear()
             for doc, text in zip(b.doc_id.astype(object), b.text):
                 for k, x in enumerate(text.split("\n") if text else ()):
                     n = len(x)
@@ -127,6 +141,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                         rows.append((doc, k, own, None, None))
                         continue
                     seen.add(own)
+                    fresh.append(x)
                     if n not in plans:
                         if len(plans) > 20_000:
                             plans.clear()
@@ -138,20 +153,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
                     probes = [_hash(x[at : at + size]) + ((n - s) * 8 + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for s, i, at, size in probe]
                     rows.append((doc, k, own, _signed(keys), _signed(probes)))
             out = pd.DataFrame(rows, columns=["doc_id", "line", "id", "keys", "probes"])
-            yield out.assign(doc_id=out.doc_id.astype("Int64"), id=_signed(list(out.id)))
+            sketch = np.zeros(len(out), np.int32)
+            if fresh:
+                sketch[out["keys"].notna().to_numpy()] = sketches(fresh)
+            yield out.assign(doc_id=out.doc_id.astype("Int64"), id=_signed(list(out.id)), sketch=sketch)[columns]
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, line int, id long, keys array<long>, probes array<long>")
+    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, line int, id long, sketch int, keys array<long>, probes array<long>")
 
 
 def links(lines: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(u, v), u < v: the ids of different lines within EDITS edits of each other.
 
     firsts: (id, doc_id, ...), where a line's text is found."""
-    rows = lines.where("keys is not null").select("id", "keys", "probes")
-    index = rows.select(F.explode("keys").alias("key"), "id").distinct()
-    probe = rows.select(F.explode("probes").alias("key"), F.col("id").alias("other")).distinct()
-    still = index.withColumnRenamed("id", "other")
-    met = index.join(probe.unionByName(still), "key").where("id <> other")
+    rows = lines.where("keys is not null").select("id", "sketch", "keys", "probes").dropDuplicates(["id"])
+    index = rows.select(F.explode("keys").alias("key"), "id", "sketch")
+    other = lambda name: rows.select(F.explode(name).alias("key"), F.col("id").alias("other"), F.col("sketch").alias("theirs"))
+    met = index.join(other("probes"), "key").unionByName(index.join(other("keys"), "key"))
+    differ = F.col("sketch").bitwiseXOR(F.col("theirs")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))  # bit_count widens the sign
+    met = met.where((F.col("id") != F.col("other")) & (F.bit_count(differ) <= 2 * EDITS))
     pairs = written(met.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     wanted = written(firsts.join(ids, "id", "left_semi").select("doc_id", "id"), "wanted")
