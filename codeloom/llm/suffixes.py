@@ -4,7 +4,8 @@ A byte goes if a string of LENGTH bytes over it also starts earlier. Equal strin
 documents: each window of LENGTH bytes has an anchor, the GRAM bytes in it with the least hash (the leftmost, if equal),
 which depends on the window alone. Consecutive windows with one anchor are one context, LENGTH - 1 bytes and a byte for
 each window. Contexts whose anchor occurs once hold no repeat. Of the others, equal contexts become one, with its earliest
-place and the rule that all later places repeat it; the distinct ones are dealt into shards by their anchor.
+place and the rule that all later places repeat it; the distinct ones are dealt into shards by their anchor, and one that
+is alone with its anchor there has no equal.
 
 A shard is one text. Its suffixes are classified as larger or smaller than the next, the leftmost smaller ones sorted by
 induction, their substrings named and the shorter text of names sorted in turn; then the whole array is induced, linearly.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.shared import written
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 20
 #: Bytes of text that are hashed, or sorted, at once.
 BUFFER, SHARD = 1 << 18, 4 << 20
 #: Up to so many names the text of names is induced; beyond, its ranks are doubled.
@@ -55,7 +56,7 @@ def anchors(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
     if n < span:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     h = _words(raw, 0, n) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(8, GRAM, 8):
+    for k in [*range(8, GRAM - 8, 8), GRAM - 8]:
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + _words(raw, k, n)
     h = _mix(h)
     low = (h >> np.uint64(20) << np.uint64(20)) | np.arange(n, dtype=np.uint64)  # ties go to the left
@@ -335,6 +336,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def marks(own: pd.DataFrame) -> pd.DataFrame:
         own = own.drop_duplicates(["key", "part", "d", "at"])
+        own = own[own.duplicated("key", keep=False)]  # a context alone with its anchor has no equal
         out = []
         if len(own):
             order = np.empty(len(own), np.int64)
