@@ -354,7 +354,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """docs with `_spans`, the maximal ranges of bytes that go, and `_kept`, the bytes that stay."""
     d = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(_NULL)))
-    spans = repeated_spans(d.select(F.col("_doc").alias("d"), "text"))
+    spans = written(repeated_spans(d.select(F.col("_doc").alias("d"), "text")), "spans")
     per = spans.groupBy(F.col("d").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_all"))
 
     @F.pandas_udf("spans array<struct<lo: long, hi: long>>, kept binary")
