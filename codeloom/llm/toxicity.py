@@ -2,7 +2,8 @@
 
 A word is the bag of its character 3- to 5-grams and of itself, hashed into rows of one embedding table; a span of words is
 the mean of its words' vectors, and a linear softmax gives its two classes. A document is as toxic as its most toxic span of
-SPAN words. Training starts from the means of whole documents and goes on with the most toxic span of each, so that table
+SPAN words, wherever it starts. What has more than LONG characters without white space is read in pieces of LONG characters,
+each a word; consecutive ones share max(GRAMS) - 1 characters, so that no n-gram is lost at a cut. Training starts from the means of whole documents and goes on with the most toxic span of each, so that table
 and softmax learn from a few words in long texts. An unseen misspelling is scored by the n-grams it shares.
 
 The labels come from a sample of at most POSITIVE toxic and NEGATIVE other rows, taken by a hash of the id among those that
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.shared import written
 
 POSITIVE, NEGATIVE = 1500, 2500
-BUCKETS, DIMENSIONS, SPAN, STEP = 1 << 17, 6, 8, 4
-GRAMS = (3, 4, 5)
+BUCKETS, DIMENSIONS, SPAN = 1 << 17, 6, 8
+GRAMS, LONG = (3, 4, 5), 64
 
 
 def held_out(doc_id="doc_id") -> F.Column:
@@ -34,7 +35,7 @@ def held_out(doc_id="doc_id") -> F.Column:
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The rows of each word's n-grams, one word after the other, and the place where each word's begin."""
-    wrapped = [f"<{w[:64]}>" if len(w) > 64 else f"<{w}>" for w in words]
+    wrapped = [f"<{w}>" for w in words]
     sizes = np.fromiter(map(len, wrapped), np.int64, len(wrapped))
     codes = np.frombuffer("".join(wrapped).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
@@ -60,19 +61,23 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+    """The lower-cased words, those of more than LONG characters in pieces."""
+    words = text.lower().split() if text else []
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    both = max(GRAMS) - 1
+    return [w[at : at + LONG] for w in words for at in (range(0, len(w) - both, LONG - both) if len(w) > LONG else (0,))]
 
 
 def top_span(scores: np.ndarray) -> tuple[int, int, float]:
-    """Start, end and mean of the span of SPAN words with the highest mean; spans begin at every STEP-th word."""
+    """Start, end and mean of the span of SPAN words with the highest mean; the first of equal ones."""
     n = len(scores)
     if n <= SPAN:
         return 0, n, float(scores.mean()) if n else 0.0
     total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    at = np.arange(0, n - SPAN + STEP, STEP).clip(max=n - SPAN)
-    means = (total[at + SPAN] - total[at]) / SPAN
+    means = (total[SPAN:] - total[:-SPAN]) / SPAN
     k = int(means.argmax())
-    return int(at[k]), int(at[k]) + SPAN, float(means[k])
+    return k, k + SPAN, float(means[k])
 
 
 class _Adam:

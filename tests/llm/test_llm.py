@@ -431,6 +431,28 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_reads_all(spark):
+    """Every start of a span counts, and every character of a word."""
+    rng = np.random.default_rng(4)
+    for n in (1, 8, 9, 10, 11, 30, 200):
+        x = rng.normal(0, 1, n)
+        size = min(n, toxicity.SPAN)
+        assert toxicity.top_span(x)[2] == pytest.approx(max(x[k : k + size].mean() for k in range(n - size + 1)))
+    for n in (*range(1, 140), 1000):
+        w = "".join(map(chr, range(0x4E00, 0x4E00 + n)))
+        got = toxicity.words_of(f"a {w} b")[1:-1]
+        assert {w[k : k + 5] for k in range(n - 4)} == {x[k : k + 5] for x in got for k in range(len(x) - 4)}
+        assert set("".join(got)) == set(w) and all(len(x) <= 64 for x in got)
+    by_row = np.zeros(toxicity.BUCKETS, np.float32)
+    by_row[toxicity.features(["stupid"])[0]] = 9
+    calm, bad = ["calm"] * 40, ["stupid"] * 8
+    texts = [" ".join(calm[:k] + bad + calm[k:]) for k in range(12)] + ["-".join(calm), "-".join(calm + ["stupid"]), "-".join(["stupid"] + calm)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.score for r in toxicity.scored(df, (by_row, -2.0)).orderBy("doc_id").collect()]
+    assert got[:12] == pytest.approx([got[0]] * 12) and got[0] > 0.5
+    assert min(got[13:]) > got[12]
+
+
 def test_lm(spark, docs, rows, empty):
     got = lm.scored(docs).collect()
     assert len(got) == len(rows)
