@@ -7,7 +7,9 @@ characters (a bit for each of 32 groups: odd or even) must differ in no more bit
 Pairs that are left are verified by a banded bit-parallel edit distance.
 
 A line is a repeat if an earlier line (by doc_id, then number of the line) equals it or is within EDITS edits of it.
-Lines are what splits at \\n; those of fewer than SHORT code points take no part and are always kept.
+Lines are what splits at \\n. Those of fewer than `short` code points and blank ones take no part and are always kept; op8 and
+the pipeline leave out no line but the blank ones. Lines of up to EDITS code points are all within EDITS edits of each other, so
+they repeat by equality alone; longer ones are compared with those of more than EDITS code points.
 
 Defined results: a null or empty text has no line that takes part; rows that repeat an id are taken together, their equal
 lines no repeats of each other; a null id comes before all others.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.shared import small, written
 
 EDITS, SHORT = 2, 20
+BLANK = " \t\n\v\f\r"
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -118,10 +121,11 @@ def sketches(texts: list[str]) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 32), axis=1, bitorder="little").view("<i4").ravel()
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, short: int = SHORT) -> DataFrame:
     """(doc_id, line, id, sketch, keys, probes): each line that takes part, the hash of its text, of its segments and probes.
 
-    In a task only the first of equal lines has keys and probes; but after many lines, one more may."""
+    In a task only the first of equal lines has keys and probes; but after many lines, one more may. Lines of up to EDITS
+    code points have none."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans: dict[int, tuple] = {}
@@ -134,10 +138,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
             for doc, text in zip(b.doc_id.astype(object), b.text):
                 for k, x in enumerate(text.split("\n") if text else ()):
                     n = len(x)
-                    if n < SHORT:
+                    if n < short or not x.strip(BLANK):
                         continue
                     own = _hash(x)
-                    if own in seen:
+                    if n <= EDITS or own in seen:
                         rows.append((doc, k, own, None, None))
                         continue
                     seen.add(own)
@@ -146,7 +150,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                         if len(plans) > 20_000:
                             plans.clear()
                         still = {(i, at, size) for i, (at, size) in enumerate(segments(n))}
-                        plans[n] = (sorted(still), [(s, *p) for s in range(EDITS + 1) for p in places(n, s) if s or p not in still])
+                        plans[n] = (sorted(still), [(s, *p) for s in range(EDITS + 1) for p in places(n, s) if n - s > EDITS and (s or p not in still)])
                     index, probe = plans[n]
                     # A key: the text of the segment, its number and the length of the line that it indexes.
                     keys = [_hash(x[at : at + size]) + (n * 8 + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for i, at, size in index]
@@ -161,7 +165,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, line int, id long, sketch int, keys array<long>, probes array<long>")
 
 
-def links(lines: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def links(lines: DataFrame, docs: DataFrame, firsts: DataFrame, short: int = SHORT) -> DataFrame:
     """(u, v), u < v: the ids of different lines within EDITS edits of each other.
 
     firsts: (id, doc_id, ...), where a line's text is found."""
@@ -182,7 +186,7 @@ def links(lines: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
             for text, ids in zip(b.text, b.ids):
                 ids = set(map(int, ids))
                 for x in text.split("\n") if text else ():
-                    if len(x) >= SHORT and (own := int(_signed([_hash(x)])[0])) in ids:
+                    if len(x) >= short and (own := int(_signed([_hash(x)])[0])) in ids:
                         out.append((own, x))
             yield pd.DataFrame(out, columns=["id", "text"]).astype({"id": "int64"})
 
@@ -197,13 +201,13 @@ def links(lines: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return both.where(near("a", "b")).select("u", "v")
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, line, id, near): the lines that repeat an earlier one, near if none that equals them is earlier; and
     (doc_id, lines, links): of each document, the lines that take part and the links of their texts."""
-    lines = written(lines_of(docs), "lines")
+    lines = written(lines_of(docs, short), "lines")
     firsts = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts.select("id", "first.doc_id", "first.line", "n"), "firsts")
-    near = written(links(lines, docs, firsts), "links")
+    near = written(links(lines, docs, firsts, short), "links")
     both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
     at = lambda name: F.struct(F.col(f"{name}.doc_id"), F.col(f"{name}.line"))
     met = both.join(firsts.alias("a"), F.col("u") == F.col("a.id")).join(firsts.alias("b"), F.col("v") == F.col("b.id"))
@@ -217,10 +221,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, counts
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, short: int = SHORT) -> DataFrame:
     """(doc_id, n_lines, n_exact, n_near, n_links, repeats), a row for each document: its lines that take part, those that
     repeat an earlier one exactly or nearly, the links of its lines' texts, and the numbers of the repeats from 0."""
-    out, counts = repeats(docs)
+    out, counts = repeats(docs, short)
     exact = F.sum(F.when(~F.col("near"), 1).otherwise(0))
     per = out.groupBy("doc_id").agg(exact.alias("n_exact"), F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("n_near"), F.array_sort(F.collect_list("line")).alias("repeats"))
     counts, per = counts.withColumnRenamed("doc_id", "c"), per.withColumnRenamed("doc_id", "p")
@@ -230,10 +234,10 @@ def report(docs: DataFrame) -> DataFrame:
     return all_.select("doc_id", zero("lines"), zero("n_exact"), zero("n_near"), zero("links"), F.coalesce("repeats", F.array().cast("array<int>")).alias("repeats"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, short: int = SHORT) -> DataFrame:
     """The documents without the lines that repeat earlier ones, with the columns of docs; a document none of whose words
     are left goes, if it had any."""
-    out, _ = repeats(docs)
+    out, _ = repeats(docs, short)
     per = out.groupBy("doc_id").agg(F.collect_set("line").alias("_drop")).withColumnRenamed("doc_id", "_d")
 
     @F.pandas_udf("string")

@@ -52,7 +52,7 @@ def op7_minhash_groups(spark, sf_dir):
 
 
 def op8_line_dedup(spark, sf_dir):
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), short=1)
 
 
 def op9_warc(spark, sf_dir):

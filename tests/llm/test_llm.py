@@ -266,6 +266,41 @@ def test_lines(spark, docs, rows, empty):
     assert lines.report(empty).count() == 0 and lines.deduplicated(empty).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    """op8 and the pipeline's stage take lines of any length; only blank ones take no part."""
+    import corpus_pipeline
+    from codeloom.llm import registry
+
+    rng = random.Random(12)
+    pool = ["Read more", "Read more!", "Subscribe now", "订阅我们的频道", "订阅我们的频道。", "a", "b", "ab", "ba", "", " \t", "\u3000", "x" * 19, "x" * 18 + "y", "abc", "abd", "dcb"]
+    pool += ["".join(rng.choice("abcé ") for _ in range(rng.randint(1, 24))) for _ in range(60)]
+    every = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 6))), "en", "s", 0) for i in range(50)]
+    at = [(i, k, x) for i, t, *_ in every for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\v\f\r")]
+    first = {}
+    for i, k, x in at:
+        first.setdefault(x, (i, k))
+    near = {x: [y for y in first if y != x and min(len(x), len(y)) > 2 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2] for x in first}
+    want = {i: [0, 0, 0, 0, []] for i, *_ in every}
+    for i, k, x in at:
+        w = want[i]
+        w[0] += 1
+        w[3] += len(near[x])
+        copy, later = first[x] != (i, k), any(first[y] < first[x] for y in near[x])
+        w[1] += copy
+        w[2] += later and not copy
+        if copy or later:
+            w[4].append(k)
+    assert sum(w[1] for w in want.values()) and sum(w[2] for w in want.values())
+    df = spark.createDataFrame(every, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in registry.op8_line_dedup(spark, str(tmp_path)).collect():
+        assert [r.n_lines, r.n_exact, r.n_near, r.n_links, r.repeats] == want[r.doc_id]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()}
+    for i, t, *_ in every:
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i][4])
+        assert kept.get(i) == (None if want[i][4] and not left.strip(" \t\n\v\f\r") else left)
+
+
 def test_suffix_array():
     rng = random.Random(5)
     for names in (0, 2048):
