@@ -5,7 +5,8 @@ documents: each window of LENGTH bytes has an anchor, the GRAM bytes in it with
 which depends on the window alone. Consecutive windows with one anchor are one context, LENGTH - 1 bytes and a byte for
 each window. Contexts whose anchor occurs once hold no repeat. Of the others, equal contexts become one, with its earliest
 place and the rule that all later places repeat it; the distinct ones are dealt into shards by their anchor, and one that
-is alone with its anchor there has no equal.
+is alone with its anchor there has no equal. An anchor whose distinct contexts hold more than SHARD bytes would not fit one
+task: its windows are hashed one by one to 128 bits and meet in an aggregate, of which all but the earliest are repeats.
 
 A shard is one text. Its suffixes are classified as larger or smaller than the next, the leftmost smaller ones sorted by
 induction, their substrings named and the shorter text of names sorted in turn; then the whole array is induced, linearly.
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import written
+from codeloom.llm.shared import small, written
 
 LENGTH, GRAM = 100, 20
 #: Bytes of text that are hashed, or sorted, at once.
@@ -292,15 +293,45 @@ def _spans(at: np.ndarray) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + LENGTH) for x in np.split(at, cut)]
 
 
+def large_anchors(firsts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key) of the anchors whose distinct contexts hold more than SHARD bytes."""
+    many = small(shared.where("many").select("key"))  # so many contexts that they may
+    sizes = firsts.join(many, "key").groupBy("key").agg(F.sum(F.col("n") + LENGTH - 1).alias("bytes"))
+    return written(sizes.where(F.col("bytes") > SHARD).select("key"), "large")
+
+
+def repeated_windows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(d, lo, hi): the windows of these contexts that start earlier, too. No anchor's windows have to meet in one task."""
+    wanted = firsts.groupBy("d").agg(F.collect_list(F.struct("at", "n")).alias("own"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for d, text, own in zip(b.d, b.text, b.own):
+                raw = text.encode("utf-8", "surrogatepass") if text else b""
+                at = [k for x in own for k in range(x["at"], x["at"] + x["n"]) if k + LENGTH <= len(raw)]
+                both = np.frombuffer(b"".join(hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in at), np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"h": both[:, 0], "g": both[:, 1], "d": np.full(len(at), d, np.int64), "at": np.array(at, np.int64)})
+
+    windows = written(docs.join(wanted, "d").mapInPandas(cut, "h long, g long, d long, at long"), "windows")
+    least = windows.groupBy("h", "g").agg(F.min(F.struct("d", "at")).alias("x"), F.count("*").alias("copies")).where("copies > 1")
+    least = small(written(least.select("h", "g", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")), "least"))
+    return windows.join(least, ["h", "g"]).where("d <> d0 or at <> at0").select("d", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs: (d, text). (d, lo, hi): ranges of bytes that go; they may overlap."""
-    shared = written(contexts(docs, False).groupBy("key").count().where("count > 1").select("key"), "anchors")
-    found = written(contexts(docs, True).join(shared, "key"), "contexts")
+    shared = written(contexts(docs, False).groupBy("key").count().where("count > 1").select("key", (F.col("count") > SHARD // (2 * LENGTH)).alias("many")), "anchors")
+    found = written(contexts(docs, True).join(shared.select("key"), "key"), "contexts")
     firsts = found.groupBy("key", "own").agg(F.min(F.struct("d", "at", "n")).alias("x"), F.count("*").alias("copies"))
     firsts = written(firsts.select("key", "own", "x.*", "copies"), "firsts")
     again = firsts.where("copies > 1").select("key", "own", F.col("d").alias("d0"), F.col("at").alias("at0"))
     later = found.join(again, ["key", "own"]).where("d <> d0 or at <> at0").select("d", F.col("at").alias("lo"), F.expr(f"at + n + {LENGTH - 1}").alias("hi"))
 
+    large = large_anchors(firsts, shared)
+    if large.count():
+        large = small(large)
+        later = later.unionByName(repeated_windows(docs, firsts.join(large, "key", "left_semi")))
+        firsts = firsts.join(large, "key", "left_anti")
     wanted = firsts.groupBy("d").agg(F.collect_list(F.struct("key", "at", "n")).alias("own"))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -335,6 +335,29 @@ def test_suffix_dedup(spark, rows, empty):
     assert suffixes.removed(empty).count() == 0
 
 
+def test_suffix_large_anchor(spark, monkeypatch):
+    """An anchor whose contexts exceed a shard is not gathered in one task, and loses no repeat."""
+    monkeypatch.setattr(suffixes, "SHARD", 3000)
+    large, found = suffixes.large_anchors, []
+    monkeypatch.setattr(suffixes, "large_anchors", lambda *a: found.append(large(*a)) or found[-1])
+    rng = random.Random(14)
+    passage = text_of(rng, 40)[:170]
+    rows = [(k, text_of(rng, 20) + passage[k % 4 :] + text_of(rng, 20), "en", "s", 0) for k in range(60)]
+    rows += [(100, passage * 2, "en", "s", 0), (101, rows[3][1], "en", "s", 0), (102, None, "en", "s", 0), rows[5]]
+    seen, want = set(), {}
+    for i, t, *_ in sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        want[i] = bytes(x for x, g in zip(b, gone) if not g)
+    got = suffixes.removed(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows) and all(bytes(r["_kept"]) == want[r.doc_id] for r in got)
+    assert found[0].count() > 0
+
+
 def test_suffix_long_document(spark, monkeypatch):
     """Documents longer than a buffer are cut without losing a window."""
     monkeypatch.setattr(suffixes, "BUFFER", 500)
