@@ -527,6 +527,22 @@ def test_lm(spark, docs, rows, empty):
     assert lm.scored(empty).count() == 0
 
 
+def test_lm_end_token(spark, monkeypatch):
+    """The end token has its count, and the network its words, however many words are as frequent."""
+    monkeypatch.setattr(lm, "KNOWN", 40)
+    many = " ".join(f"w{k:03d}" for k in range(90))
+    docs = spark.createDataFrame([(k, f"{many} {many} top top top"[: 900 - k]) for k in range(4)], "doc_id long, text string")
+    want = Counter(w for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in [*lm.words_of(r.text), lm.END])
+    words, numbers = lm.frequent(lm.counts(docs))
+    assert words[0] == lm.END and words[1:] == sorted((w for w in want if w != lm.END), key=lambda w: (-want[w], w))
+    assert numbers.tolist() == [want[w] for w in words]
+    n, v = sum(want.values()), len(want)
+    for r in lm.scored(docs).collect():
+        own = [*lm.words_of(f"{many} {many} top top top"[: 900 - r.doc_id]), lm.END]
+        assert (r.n_tokens, r.n_known) == (len(own), sum(want[w] > 0 for w in own))
+        assert r.base_score == pytest.approx(sum(math.log10((want[w] + 1) / (n + v + 1)) for w in own))
+
+
 def test_lm_network():
     """Gradients against differences, and scores by windows against one long window."""
     rng = np.random.default_rng(3)
