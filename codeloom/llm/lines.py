@@ -2,17 +2,25 @@
 
 Lines within EDITS edits of each other share one of EDITS + 1 segments: of a line cut into that many parts, one part at
 least is found unchanged in the other line, near its place. The distinct lines index their segments by length and number
-of the segment, and probe for those of lines that are up to EDITS shorter, at the places alone that EDITS edits allow. Where they meet, a sketch of the counts of
-characters (a bit for each of 32 groups: odd or even) must differ in no more bits than EDITS edits can change, two each.
-Pairs that are left are verified by a banded bit-parallel edit distance.
+of the segment, and probe for those of lines that are up to EDITS shorter, at the places alone that EDITS edits allow. What
+has one key meets in a bucket. A sketch of the counts of characters (a bit for each of 32 groups: odd or even) must differ in
+no more bits than EDITS edits can change, two each; lines without such a partner in the bucket leave it.
+
+A line is a repeat if an earlier line (by doc_id, text and number of the line) equals it or is within EDITS edits of it. So a
+bucket need not hand on its pairs. Its lines are taken in order, and each is compared by a banded bit-parallel edit distance
+with the earlier ones until it is known as a repeat, and with one line at most of each class of lines that it has been
+linked with. What leaves a bucket are the links of a spanning forest: fewer than it has lines, though every line that has an
+earlier neighbour has a link to one, and lines that links join, over any number of them, stay joined. Buckets of more than
+BLOCK lines are dealt into blocks by a hash; then the blocks meet, each task holding one of them while the lines of the
+others stream by, and only lines that are no repeats yet, or of different classes, are compared.
 
-A line is a repeat if an earlier line (by doc_id, then number of the line) equals it or is within EDITS edits of it.
 Lines are what splits at \\n. Those of fewer than `short` code points and blank ones take no part and are always kept; op8 and
 the pipeline leave out no line but the blank ones. Lines of up to EDITS code points are all within EDITS edits of each other, so
 they repeat by equality alone; longer ones are compared with those of more than EDITS code points.
 
-Defined results: a null or empty text has no line that takes part; rows that repeat an id are taken together, their equal
-lines no repeats of each other; a null id comes before all others.
+Defined results: a null or empty text has no line that takes part; rows with the same id and text share their places, so
+that their lines are no repeats of each other, and each has its row; rows with the same id and different texts are documents
+of their own, in the order of a hash of their texts; a null id comes before all others; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,9 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.components import components
 from codeloom.llm.shared import small, written
 
 EDITS, SHORT = 2, 20
+#: Rows up to which a bucket's lines are looked through at once for partners, and up to which they are compared at once.
+MEET, BLOCK = 1024, 2048
+_NULL = -(1 << 63)
 BLANK = " \t\n\v\f\r"
 
 
@@ -121,8 +133,13 @@ def sketches(texts: list[str]) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 32), axis=1, bitorder="little").view("<i4").ravel()
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc, text_id, text): what tells one row from another, and the order of the rows."""
+    return docs.select(F.coalesce("doc_id", F.lit(_NULL)).cast("long").alias("doc"), F.xxhash64("text").alias("text_id"), "text")
+
+
 def lines_of(docs: DataFrame, short: int = SHORT) -> DataFrame:
-    """(doc_id, line, id, sketch, keys, probes): each line that takes part, the hash of its text, of its segments and probes.
+    """(doc, text_id, line, id, sketch, keys, probes): each line that takes part, the hash of its text, of its segments and probes.
 
     In a task only the first of equal lines has keys and probes; but after many lines, one more may. Lines of up to EDITS
     code points have none."""
@@ -130,21 +147,26 @@ def lines_of(docs: DataFrame, short: int = SHORT) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans: dict[int, tuple] = {}
         seen: set[int] = set()
-        columns = ["doc_id", "line", "id", "sketch", "keys", "probes"]
         for b in (part.iloc[at : at + 500] for part in batches for at in range(0, len(part), 500)):  # so that few lines are held at once
-            rows, fresh = [], []
+            owner, line, ids, index_of, fresh = [], [], [], [], []
             if len(seen) > 500_000:
                 seen.clear()
-            for doc, text in zip(b.doc_id.astype(object), b.text):
+            all_keys, all_probes = [], []
+            for doc, text in enumerate(b.text):
                 for k, x in enumerate(text.split("\n") if text else ()):
                     n = len(x)
                     if n < short or not x.strip(BLANK):
                         continue
                     own = _hash(x)
+                    owner.append(doc)
+                    line.append(k)
+                    ids.append(own)
                     if n <= EDITS or own in seen:
-                        rows.append((doc, k, own, None, None))
+                        all_keys.append(None)
+                        all_probes.append(None)
                         continue
                     seen.add(own)
+                    index_of.append(len(ids) - 1)
                     fresh.append(x)
                     if n not in plans:
                         if len(plans) > 20_000:
@@ -155,90 +177,260 @@ def lines_of(docs: DataFrame, short: int = SHORT) -> DataFrame:
                     # A key: the text of the segment, its number and the length of the line that it indexes.
                     keys = [_hash(x[at : at + size]) + (n * 8 + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for i, at, size in index]
                     probes = [_hash(x[at : at + size]) + ((n - s) * 8 + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for s, i, at, size in probe]
-                    rows.append((doc, k, own, _signed(keys), _signed(probes)))
-            out = pd.DataFrame(rows, columns=["doc_id", "line", "id", "keys", "probes"])
-            sketch = np.zeros(len(out), np.int32)
+                    all_keys.append(_signed(keys))
+                    all_probes.append(_signed(probes))
+            sketch = np.zeros(len(ids), np.int32)
             if fresh:
-                sketch[out["keys"].notna().to_numpy()] = sketches(fresh)
-            yield out.assign(doc_id=out.doc_id.astype("Int64"), id=_signed(list(out.id)), sketch=sketch)[columns]
-
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, line int, id long, sketch int, keys array<long>, probes array<long>")
-
-
-def links(lines: DataFrame, docs: DataFrame, firsts: DataFrame, short: int = SHORT) -> DataFrame:
-    """(u, v), u < v: the ids of different lines within EDITS edits of each other.
+                sketch[index_of] = sketches(fresh)
+            yield pd.DataFrame({
+                "doc": b.doc.to_numpy()[owner] if owner else np.zeros(0, np.int64), "text_id": b.text_id.to_numpy()[owner] if owner else np.zeros(0, np.int64),
+                "line": np.array(line, np.int32), "id": _signed(ids), "sketch": sketch, "keys": pd.Series(all_keys, dtype=object), "probes": pd.Series(all_probes, dtype=object),
+            })
+
+    return rows_of(docs).mapInPandas(cut, "doc long, text_id long, line int, id long, sketch int, keys array<long>, probes array<long>")
+
+
+def _partners(key: np.ndarray, own: np.ndarray, sketch: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Rows sorted by key: which have a different line in their bucket that they may be near; all in buckets above MEET rows."""
+    hit, n = np.zeros(len(key), bool), len(key)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, n))
+    large = np.repeat(sizes > MEET, sizes)
+    hit[large] = True
+    here, d = np.flatnonzero(~large & np.repeat(sizes > 1, sizes)), 1
+    while len(here):
+        here = here[here + d < n]
+        here = here[key[here] == key[here + d]]
+        there = here + d
+        some = (index[here] | index[there]) & (own[here] != own[there])
+        some &= np.bitwise_count(sketch[here] ^ sketch[there]) <= 2 * EDITS
+        hit[here[some]] = True
+        hit[there[some]] = True
+        d += 1
+    return hit
+
+
+def buckets(firsts: DataFrame) -> DataFrame:
+    """firsts: (id, sketch, keys, probes). (key, id) of the lines that may have a partner in the bucket; written."""
+    every = firsts.where("keys is not null")
+    one = lambda name: every.select(F.explode(name).alias("key"), "id", "sketch", F.lit(name == "keys").alias("index"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, passing = None, None
+
+        def out(key: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"key": key, "id": own}).drop_duplicates()
 
-    firsts: (id, doc_id, ...), where a line's text is found."""
-    rows = lines.where("keys is not null").select("id", "sketch", "keys", "probes").dropDuplicates(["id"])
-    index = rows.select(F.explode("keys").alias("key"), "id", "sketch")
-    other = lambda name: rows.select(F.explode(name).alias("key"), F.col("id").alias("other"), F.col("sketch").alias("theirs"))
-    met = index.join(other("probes"), "key").unionByName(index.join(other("keys"), "key"))
-    differ = F.col("sketch").bitwiseXOR(F.col("theirs")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))  # bit_count widens the sign
-    met = met.where((F.col("id") != F.col("other")) & (F.bit_count(differ) <= 2 * EDITS))
-    pairs = written(met.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = written(firsts.join(ids, "id", "left_semi").select("doc_id", "id"), "wanted")
-    by_doc = small(written(wanted.groupBy("doc_id").agg(F.collect_set("id").alias("ids")), "by_doc"))
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [b.key.to_numpy(), b.id.to_numpy(), b.sketch.to_numpy().view(np.uint32), b["index"].to_numpy(bool)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            key = rows[0]
+            if passing is not None:  # a bucket that has grown beyond MEET goes on as it is
+                n = int(np.searchsorted(key, passing, "right"))
+                if n:
+                    yield out(key[:n], rows[1][:n])
+                    rows = [x[n:] for x in rows]
+                    key = rows[0]
+                passing = passing if not len(key) else None
+            held = None
+            if not len(key):
+                continue
+            whole = int(np.searchsorted(key, key[-1], "left"))  # the last bucket may go on
+            held = [x[whole:] for x in rows]
+            if len(held[0]) > MEET:
+                passing, held, whole = key[-1], None, len(key)
+            hit = _partners(*(x[:whole] for x in rows))
+            if hit.any():
+                yield out(key[:whole][hit], rows[1][:whole][hit])
+        if held is not None:
+            hit = _partners(*held)
+            yield out(held[0][hit], held[1][hit])
+
+    met = one("keys").unionByName(one("probes")).repartition("key").sortWithinPartitions("key")
+    return written(met.mapInPandas(meet, "key long, id long"), "buckets")
+
+
+def texts_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, doc, text_id, line, text) of the lines in ids, read from the documents where they are first; written."""
+    wanted = firsts.join(ids, "id", "left_semi").groupBy("doc", "text_id").agg(F.collect_list(F.struct("line", "id")).alias("own"))
+    wanted = small(written(wanted, "wanted"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, ids in zip(b.text, b.ids):
-                ids = set(map(int, ids))
-                for x in text.split("\n") if text else ():
-                    if len(x) >= short and (own := int(_signed([_hash(x)])[0])) in ids:
-                        out.append((own, x))
-            yield pd.DataFrame(out, columns=["id", "text"]).astype({"id": "int64"})
+            for doc, text_id, text, own in zip(b.doc, b.text_id, b.text, b.own):
+                cut = text.split("\n")
+                out += [(x["id"], doc, text_id, x["line"], cut[x["line"]]) for x in own]
+            yield pd.DataFrame(out, columns=["id", "doc", "text_id", "line", "text"])
+
+    schema = "id long, doc long, text_id long, line int, text string"
+    return written(rows_of(docs).join(wanted, ["doc", "text_id"]).mapInPandas(read, schema).dropDuplicates(["id"]), "texts")
+
+
+class _Block:
+    """The lines of a bucket, or of a block of it, in order, with their classes and whether they are known as repeats."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["doc", "text_id", "line"])
+        self.ids, self.texts = rows.id.tolist(), rows.text.tolist()
+        self.places = list(zip(rows.doc, rows.text_id, rows.line))
+        self.sketch = sketches(self.texts).view(np.uint32)
+        self.lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        self.group, self.known = rows.group.to_numpy().copy(), rows.known.to_numpy(bool).copy()
+        self.links: list[tuple[int, int]] = []
+
+    def near(self, sketch, length: int, upto: int | None = None) -> np.ndarray:
+        return (np.bitwise_count(self.sketch[:upto] ^ sketch) <= 2 * EDITS) & (np.abs(self.lengths[:upto] - length) <= EDITS)
+
+    def inside(self) -> None:
+        """Links each line with an earlier one, and with one of each class beside its own."""
+        for k in range(1, len(self.ids)):
+            for y in np.flatnonzero(self.near(self.sketch[k], self.lengths[k], k) & ((self.group[:k] != self.group[k]) | ~self.known[k])):
+                if (self.group[y] != self.group[k] or not self.known[k]) and within(self.texts[y], self.texts[k]):
+                    self.links.append((self.ids[y], self.ids[k]))
+                    self.known[k] = True
+                    self.group[self.group == self.group[y]] = self.group[k]
+
+    def across(self, own: int, place: tuple, text: str, group: int, same: dict[int, int]) -> None:
+        """Links a line of another block with these. same: classes that have been joined here since."""
+        while group in same:
+            group = same[group]
+        sketch = sketches([text]).view(np.uint32)[0]
+        for x in np.flatnonzero(self.near(sketch, len(text)) & ((self.group != group) | ~self.known)):
+            later = place < self.places[x]
+            if (self.group[x] != group or (later and not self.known[x])) and within(text, self.texts[x]):
+                self.links.append((own, self.ids[x]) if later else (self.ids[x], own))
+                self.known[x] |= later
+                if self.group[x] != group:
+                    gone = int(self.group[x])
+                    self.group[self.group == gone] = group
+                    same[gone] = group
+
+
+def forest(cand: DataFrame, own: DataFrame) -> DataFrame:
+    """cand: (key, id) of the lines of each bucket; own: their texts. (u, v), u before v: links within EDITS edits that give
+    every line an earlier neighbour if it has one, and join whatever links join."""
+    schema = "key long, block int, id long, doc long, text_id long, line int, text string, group long, known boolean"
+    columns = [x.split()[0] for x in schema.split(", ")]
+    large = cand.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = written(large, "large")
+    split = large.count() > 0
+    large = small(large)
+    dealt = cand.join(large, "key", "left") if split else cand.withColumn("blocks", F.lit(None).cast("int"))
+    dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
+    first = dealt.join(own, "id").withColumn("group", F.col("id")).withColumn("known", F.lit(False))
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            held.append(b)
+            rows = pd.concat(held, ignore_index=True)
+            last = (rows.key == rows.key.iloc[-1]) & (rows.block == rows.block.iloc[-1]) if len(rows) else None
+            held = [rows[last]] if len(rows) else []
+            yield found(rows[~last] if len(rows) else rows)
+        for rows in held:
+            yield found(rows)
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in rows.groupby(["key", "block"], sort=False):
+            block = _Block(g)
+            block.inside()
+            out += block.links
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    sorted_ = lambda df: df.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
+    links = written(sorted_(first).mapInPandas(inside, "u long, v long").distinct(), "links")
+    if not split:
+        return links
+
+    # Each block of a large bucket meets the lines of its other blocks, which stream by.
+    groups, repeats_ = written(components(links), "groups"), links.select(F.col("v").alias("id")).distinct().withColumn("known", F.lit(True))
+    rows = dealt.where("blocks is not null").join(own, "id").join(repeats_, "id", "left")
+    rows = rows.join(groups, rows["id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "id")).withColumn("known", F.coalesce("known", F.lit(False)))
+    here = rows.withColumn("mine", F.lit(True))
+    others = rows.withColumn("mine", F.lit(False)).withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block <> own")
+    met = here.select(*columns, "mine").unionByName(others.select(*columns, "mine"))
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, gathered, block, same = None, [], None, {}
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if (r.key, r.block) != at:
+                    at, gathered, block, same = (r.key, r.block), [], None, {}
+                if r.mine:
+                    gathered.append(r)
+                    continue
+                if block is None:
+                    if not gathered:  # a block that the hash left empty
+                        continue
+                    block = _Block(pd.DataFrame(gathered))
+                block.across(r.id, (r.doc, r.text_id, r.line), r.text, r.group, same)
+                if block.links:
+                    yield pd.DataFrame(block.links, columns=["u", "v"], dtype="int64")
+                    block.links = []
 
-    found = docs.select("doc_id", "text").join(by_doc.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")))
-    own = written(found.select("text", "ids").mapInPandas(texts, "id long, text string").dropDuplicates(["id"]), "texts")
+    met = met.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("mine"))
+    return written(links.unionByName(met.mapInPandas(across, "u long, v long")).distinct(), "links")
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within(x, y) for x, y in zip(a, b)], dtype="bool")
 
-    both = pairs.join(own.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    return both.where(near("a", "b")).select("u", "v")
+def links(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v), u before v: ids of different lines within EDITS edits of each other, as `forest` has them."""
+    cand = buckets(firsts)
+    return forest(cand, texts_of(cand.select("id").distinct(), firsts, docs))
 
 
-def repeats(docs: DataFrame, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line, id, near): the lines that repeat an earlier one, near if none that equals them is earlier; and
-    (doc_id, lines, links): of each document, the lines that take part and the links of their texts."""
+def repeats(docs: DataFrame, short: int = SHORT, classes: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc, text_id, line, near, of) of the lines that repeat an earlier one, near if none that equals them is earlier; `of`
+    is the doc_id where their class begins (null if classes aren't asked for). And all lines: (doc, text_id, line, id)."""
     lines = written(lines_of(docs, short), "lines")
-    firsts = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    firsts = written(firsts.select("id", "first.doc_id", "first.line", "n"), "firsts")
-    near = written(links(lines, docs, firsts, short), "links")
-    both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    at = lambda name: F.struct(F.col(f"{name}.doc_id"), F.col(f"{name}.line"))
-    met = both.join(firsts.alias("a"), F.col("u") == F.col("a.id")).join(firsts.alias("b"), F.col("v") == F.col("b.id"))
-    linked = written(met.groupBy("u").agg(F.count("*").alias("links"), F.max(at("b") < at("a")).alias("later")), "linked")
-    known = firsts.join(linked, firsts["id"] == linked["u"], "left").where("n > 1 or links > 0")
-    known = written(known.select("id", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(False)).alias("later")), "known")
-    met = written(lines.select("doc_id", "line", "id").join(known, "id", "left"), "met")
-    is_first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))
-    out = met.where(F.col("l").isNotNull() & (~is_first | F.col("later"))).select("doc_id", "line", "id", is_first.alias("near"))
-    counts = met.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
-    return out, counts
+    some = F.when(F.col("keys").isNotNull(), F.struct("sketch", "keys", "probes"))
+    firsts = lines.groupBy("id").agg(F.min(F.struct("doc", "text_id", "line")).alias("first"), F.count("*").alias("n"), F.first(some, ignorenulls=True).alias("x"))
+    firsts = written(firsts.select("id", "first.*", "n", "x.*"), "firsts")
+    near = links(firsts, docs)
+    later = near.select(F.col("v").alias("id")).distinct().withColumn("later", F.lit(True))
+    place = F.struct("doc", "text_id", "line")
+    known = firsts.select("id", "n", place.alias("first")).join(later, "id", "left").where("n > 1 or later")
+    if classes:
+        groups = written(components(near), "groups")
+        at = groups.join(firsts.select("id", "doc", place.alias("at")), groups["node"] == F.col("id"))
+        least = at.groupBy("component").agg(F.min_by("doc", "at").alias("begins"))
+        of = groups.join(least, "component").select(F.col("node").alias("id"), "begins")
+        known = known.join(of, "id", "left").withColumn("of", F.coalesce("begins", "first.doc"))
+        known = known.withColumn("of", F.nullif("of", F.lit(_NULL)))
+    else:
+        known = known.withColumn("of", F.lit(None).cast("long"))
+    known = small(written(known.select("id", "first", F.coalesce("later", F.lit(False)).alias("later"), "of"), "known"))
+    is_first = place == F.col("first")
+    met = lines.select("doc", "text_id", "line", "id").join(known, "id").where(~is_first | F.col("later"))
+    return met.select("doc", "text_id", "line", is_first.alias("near"), "of"), lines.select("doc", "text_id", "line", "id")
 
 
 def report(docs: DataFrame, short: int = SHORT) -> DataFrame:
-    """(doc_id, n_lines, n_exact, n_near, n_links, repeats), a row for each document: its lines that take part, those that
-    repeat an earlier one exactly or nearly, the links of its lines' texts, and the numbers of the repeats from 0."""
-    out, counts = repeats(docs, short)
+    """(doc_id, n_lines, n_exact, n_near, repeats, classes), a row for each of docs: its lines that take part, those that repeat
+    an earlier one exactly or nearly, the numbers of the repeats from 0, and for each the doc_id where its class begins: of
+    all the lines that links join, the earliest one's."""
+    out, lines = repeats(docs, short)
     exact = F.sum(F.when(~F.col("near"), 1).otherwise(0))
-    per = out.groupBy("doc_id").agg(exact.alias("n_exact"), F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("n_near"), F.array_sort(F.collect_list("line")).alias("repeats"))
-    counts, per = counts.withColumnRenamed("doc_id", "c"), per.withColumnRenamed("doc_id", "p")
-    ids = docs.select("doc_id").distinct()
-    all_ = ids.join(counts, F.col("doc_id").eqNullSafe(F.col("c")), "left").join(per, F.col("doc_id").eqNullSafe(F.col("p")), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c if c != "lines" and c != "links" else f"n_{c}")
-    return all_.select("doc_id", zero("lines"), zero("n_exact"), zero("n_near"), zero("links"), F.coalesce("repeats", F.array().cast("array<int>")).alias("repeats"))
+    per = out.groupBy("doc", "text_id").agg(
+        exact.alias("n_exact"), F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("n_near"), F.array_sort(F.collect_set(F.struct("line", "of"))).alias("all")
+    )
+    counts = lines.groupBy("doc", "text_id").agg(F.count("*").alias("n_lines"))
+    # Rows with the same id and text have counted each other's lines.
+    ids = rows_of(docs).groupBy("doc", "text_id").agg(F.count("*").alias("rows"))
+    every = ids.join(counts, ["doc", "text_id"], "left").join(per, ["doc", "text_id"], "left")
+    every = every.withColumn("row", F.explode(F.expr("sequence(1, rows)")))
+    share = lambda c: F.expr(f"coalesce({c} div rows, 0)").cast("long").alias(c)
+    list_ = lambda c, t: F.coalesce(F.col(f"all.{c}"), F.array().cast(f"array<{t}>"))
+    return every.select(F.nullif("doc", F.lit(_NULL)).alias("doc_id"), share("n_lines"), share("n_exact"), share("n_near"), list_("line", "int").alias("repeats"), list_("of", "long").alias("classes"))
 
 
 def deduplicated(docs: DataFrame, short: int = SHORT) -> DataFrame:
     """The documents without the lines that repeat earlier ones, with the columns of docs; a document none of whose words
     are left goes, if it had any."""
-    out, _ = repeats(docs, short)
-    per = out.groupBy("doc_id").agg(F.collect_set("line").alias("_drop")).withColumnRenamed("doc_id", "_d")
+    out, _ = repeats(docs, short, classes=False)
+    per = out.groupBy("doc", "text_id").agg(F.collect_set("line").alias("drop"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, drops: pd.Series) -> pd.Series:
@@ -250,7 +442,18 @@ def deduplicated(docs: DataFrame, short: int = SHORT) -> DataFrame:
             kept.append(text)
         return pd.Series(kept, dtype=object)
 
-    met = docs.join(per, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_kept", without("text", "_drop"))
-    met = met.where(F.col("_drop").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_kept").alias(c) if c == "text" else F.when(F.col("_drop").isNull(), F.col(c)).otherwise(F.length("_kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    # Whole rows are one column, so that no name of docs can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(_NULL)).cast("long").alias("doc"), F.xxhash64("text").alias("text_id"))
+    met = rows.join(per, ["doc", "text_id"], "left").withColumn("kept", F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(without("row.text", "drop")))
+    met = met.where(F.col("drop").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    field = lambda c: F.col("row").getField(c)
+    columns = []
+    for c in docs.columns:
+        if c == "text":
+            x = F.col("kept")
+        elif c == "n_chars":
+            x = F.when(F.col("drop").isNull(), field(c)).otherwise(F.length("kept")).cast(docs.schema[c].dataType)
+        else:
+            x = field(c)
+        columns.append(x.alias(c))
     return met.select(*columns)

@@ -6,15 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.tables import shared_dir, written
 
-__all__ = ["WORD", "BROADCAST_ROWS", "n_words", "new_path", "running_total", "shared_dir", "small", "table", "written"]
+__all__ = ["WORD", "BROADCAST_BYTES", "n_words", "new_path", "running_total", "shared_dir", "small", "table", "written"]
 
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a per-key table (one row per source, or per size) may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a table may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marks a written per-key table for broadcast if its counted rows allow it; otherwise Spark chooses the join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Marks a written table for broadcast if its counted bytes allow it; otherwise Spark chooses the join."""
+    size = F.lit(8)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            width = 8 * (1 + len(f.dataType.elementType.fields)) if isinstance(f.dataType.elementType, T.StructType) else 8
+            size = size + width * F.coalesce(F.size(f.name), F.lit(0))
+        else:
+            size = size + 8
+    total = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def n_words(text) -> F.Column:

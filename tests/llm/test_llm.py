@@ -219,53 +219,106 @@ def test_edit_distance_and_segments():
             assert index & {(i, long[p : p + z]) for i, p, z in lines.places(len(long), len(long) - len(s))}
 
 
-def test_lines(spark, docs, rows, empty):
-    rng = random.Random(4)
-    extra = []
-    for k in range(30):
-        x = "".join(rng.choice("abcdefgh ") for _ in range(40))
-        y = list(x)
-        y[rng.randrange(40)] = "Z"
-        extra.append((1000 + 2 * k, x + "\nshort", "en", "s", 0))
-        extra.append((1001 + 2 * k, "".join(y) + "\n" + (x if k % 3 == 0 else "another line that is long " + str(k * 12345)), "en", "s", 0))
-    every = list({r[0]: r for r in rows}.values()) + extra
-    at = [(i, k, x) for i, t, *_ in sorted(every, key=lambda r: r[0]) for k, x in enumerate((t or "").split("\n")) if len(x) >= 20]
+def brute_lines(every, short):
+    """Per row of `every`, whose rows differ: [lines, exact, near, numbers of repeats, docs where their classes begin]."""
+    at = [(i, k, x) for i, t, *_ in every for k, x in enumerate((t or "").split("\n")) if len(x) >= short and x.strip(" \t\n\v\f\r")]
     first = {}
     for i, k, x in at:
         first.setdefault(x, (i, k))
     own = sorted(first, key=first.get)
-    links, later = Counter(), set()
+    up, later = {x: x for x in own}, set()
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
     for p in range(len(own)):
         for q in range(p):
             a, b = own[p], own[q]
-            if abs(len(a) - len(b)) <= 2 and sum((Counter(a) - Counter(b)).values()) <= 2 and distance(a, b) <= 2:
-                links[a] += 1
-                links[b] += 1
+            if min(len(a), len(b)) > 2 and abs(len(a) - len(b)) <= 2 and sum((Counter(a) - Counter(b)).values()) <= 2 and distance(a, b) <= 2:
                 later.add(a)
-    want = defaultdict(lambda: [0, 0, 0, 0, []])
+                x, y = sorted((root(a), root(b)), key=first.get)
+                up[y] = x
+    want = defaultdict(lambda: [0, 0, 0, [], []])
     for i, k, x in at:
         w = want[i]
         w[0] += 1
-        w[3] += links[x]
-        if first[x] != (i, k):
-            w[1] += 1
-            w[4].append(k)
-        elif x in later:
-            w[2] += 1
-            w[4].append(k)
+        copy = first[x] != (i, k)
+        w[1] += copy
+        w[2] += x in later and not copy
+        if copy or x in later:
+            w[3].append(k)
+            w[4].append(first[root(x)][0])
     assert later
+    return want
+
+
+def test_lines(spark, docs, rows, empty):
+    rng = random.Random(4)
+    extra = []
+    for k in range(30):
+        x = "".join(rng.choice("abcdefgh ") for _ in range(40))
+        y = list(x)
+        y[rng.randrange(40)] = "Z"
+        extra.append((1000 + 2 * k, x + "\nshort", "en", "s", 0))
+        extra.append((1001 + 2 * k, "".join(y) + "\n" + (x if k % 3 == 0 else "another line that is long " + str(k * 12345)), "en", "s", 0))
+    every = sorted(list({r[0]: r for r in rows}.values()) + extra, key=lambda r: r[0])
+    want = brute_lines(every, 20)
     df = spark.createDataFrame(every, SCHEMA)
     got = lines.report(df).collect()
     assert len(got) == len(every)
     for r in got:
-        assert [r.n_lines, r.n_exact, r.n_near, r.n_links, r.repeats] == want[r.doc_id]
+        assert [r.n_lines, r.n_exact, r.n_near, r.repeats, r.classes] == want[r.doc_id]
     kept = {r.doc_id: r.text for r in lines.deduplicated(df).collect()}
     for i, t, *_ in every:
-        left = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in want[i][4])
-        assert kept.get(i, None) == (None if want[i][4] and not left.split() else t if not want[i][4] else left)
+        left = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in want[i][3])
+        assert kept.get(i, None) == (None if want[i][3] and not left.split() else t if not want[i][3] else left)
     assert lines.report(empty).count() == 0 and lines.deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("meet, block", [(1024, 2048), (8, 4)])
+def test_line_buckets(spark, monkeypatch, meet, block):
+    """Large groups of near lines, chains and templates: a link to an earlier line and the classes survive blocks of any size."""
+    monkeypatch.setattr(lines, "MEET", meet)
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(7)
+    base = "the quick brown fox jumps over the lazy dog"
+    pool = [base[:k] + rng.choice("xyz") + base[k + 1 :] for k in range(0, 40, 2)]  # all within two of each other
+    chain = list("a long line that changes slowly")
+    for k in range(0, 30, 2):  # each within two of the next only
+        chain[k : k + 2] = "#%"
+        pool.append("".join(chain))
+    pool += [f"item number {k:04d} of the list" for k in rng.sample(range(10000), 60)]
+    rng.shuffle(pool)
+    every = [(i, "\n".join(rng.choice(pool) for _ in range(3)), "en", "s", 0) for i in range(70)]
+    want = brute_lines(every, 1)
+    for r in lines.report(spark.createDataFrame(every, SCHEMA), short=1).collect():
+        assert [r.n_lines, r.n_exact, r.n_near, r.repeats, r.classes] == want[r.doc_id]
+
+
+def test_lines_of_equal_ids(spark):
+    """Rows with one id and different texts don't cut each other's lines; null ids and any names of columns are safe."""
+    every = [
+        (1, "only here in the first row\nshared by both of the rows", "a"), (1, "shared by both of the rows\nonly here in the second row", "b"),
+        (None, "a line of the row without an id", "c"), (2, "a line of the row without an id\nanother line which stays as it is", "d"), (3, None, "e"), (3, "", "f"),
+        (4, "the same text twice and the same id", "g"), (4, "the same text twice and the same id", "h"),
+    ]
+    names = ["row", "doc", "drop", "kept", "text_id", "_d", "_kept", "_drop", "n_chars"]
+    df = spark.createDataFrame([(i, t, *[f"{n}{k}" for k in range(8)], len(t or "")) for i, t, n in every], "doc_id long, text string, " + ", ".join(f"{x} string" for x in names[:8]) + ", n_chars int")
+    got = lines.deduplicated(df, 1).collect()
+    assert lines.deduplicated(df, 1).columns == df.columns
+    assert all(r[k + 2] == r[2][0] + str(k) for r in got for k in range(8)) and all(r.n_chars == len(r.text or "") for r in got)
+    kept = {r[2][0]: r.text for r in got}
+    both = [kept["a"], kept["b"]]
+    assert "only here in the first row" in both[0] and "only here in the second row" in both[1] and sum("shared" in x for x in both) == 1
+    assert kept["c"] == every[2][1] and kept["d"] == "another line which stays as it is" and kept["e"] is None and kept["f"] == ""
+    assert kept["g"] == kept["h"] == every[6][1]
+    got = lines.report(df, 1).collect()
+    assert len(got) == 8 and sorted(r.n_lines for r in got if r.doc_id == 4) == [1, 1] and not any(r.repeats for r in got if r.doc_id == 4)
+    assert [r.classes for r in got if r.doc_id == 2] == [[None]]
+
+
 def test_short_lines(spark, tmp_path):
     """op8 and the pipeline's stage take lines of any length; only blank ones take no part."""
     import corpus_pipeline
@@ -275,30 +328,16 @@ def test_short_lines(spark, tmp_path):
     pool = ["Read more", "Read more!", "Subscribe now", "订阅我们的频道", "订阅我们的频道。", "a", "b", "ab", "ba", "", " \t", "\u3000", "x" * 19, "x" * 18 + "y", "abc", "abd", "dcb"]
     pool += ["".join(rng.choice("abcé ") for _ in range(rng.randint(1, 24))) for _ in range(60)]
     every = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 6))), "en", "s", 0) for i in range(50)]
-    at = [(i, k, x) for i, t, *_ in every for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\v\f\r")]
-    first = {}
-    for i, k, x in at:
-        first.setdefault(x, (i, k))
-    near = {x: [y for y in first if y != x and min(len(x), len(y)) > 2 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2] for x in first}
-    want = {i: [0, 0, 0, 0, []] for i, *_ in every}
-    for i, k, x in at:
-        w = want[i]
-        w[0] += 1
-        w[3] += len(near[x])
-        copy, later = first[x] != (i, k), any(first[y] < first[x] for y in near[x])
-        w[1] += copy
-        w[2] += later and not copy
-        if copy or later:
-            w[4].append(k)
+    want = brute_lines(every, 1)
     assert sum(w[1] for w in want.values()) and sum(w[2] for w in want.values())
     df = spark.createDataFrame(every, SCHEMA)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     for r in registry.op8_line_dedup(spark, str(tmp_path)).collect():
-        assert [r.n_lines, r.n_exact, r.n_near, r.n_links, r.repeats] == want[r.doc_id]
+        assert [r.n_lines, r.n_exact, r.n_near, r.repeats, r.classes] == want[r.doc_id]
     kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()}
     for i, t, *_ in every:
-        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i][4])
-        assert kept.get(i) == (None if want[i][4] and not left.strip(" \t\n\v\f\r") else left)
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i][3])
+        assert kept.get(i) == (None if want[i][3] and not left.strip(" \t\n\v\f\r") else left)
 
 
 def test_suffix_array():
