@@ -1,111 +1,253 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences of a fixed length.
 
-Documents are tokenized where they lie, only those longer than a sequence are cut, and the pieces are sorted into runs of
-equal length: at most `capacity` runs, with their counts, whatever the number of documents. The packer sweeps the runs from
-long to short. In one superstep a whole run is matched: each of its pieces looks for its successor among the gaps, the
-smallest gap that holds it; where more pieces than gaps meet, ranks decide, and the others go on to the next larger gap or
-open new sequences; then the gaps are updated. A gap run is a range of sequence numbers, so a superstep yields ranges of
-ranks against ranges of sequences, and Spark gives each piece its rank in its run and joins it to its range. The result is
-that of best-fit decreasing over all pieces.
-
-Defined results: a null or empty text is one end token; repeated rows are packed each; a null id is an id like others.
+Documents are tokenized where they lie, and only those longer than a sequence are cut. The pieces are placed class by class,
+from long to short: those of more than half of `top` tokens and no more than it, then `top` is halved. A gap offers a class as many
+slots of `top` tokens as it holds, and what is left over as one more.
+
+A superstep range-sorts the pieces of the class and the slots by size, falling, and looks for each piece's successor, the
+smallest free slot that holds it, ties to the smallest gap. Each range is swept by itself: a slot goes on a stack, a piece takes the
+top. Pieces that found no slot in their range and slots that were left over are settled among the ranges by rank: the r-th
+such piece takes the r-th slot from the top of the ranges above, which a table of one row for each range tells. Then the gaps
+are updated, and the rest of the class goes round again. Once no more than half of what went round was placed, new sequences
+are opened, as many as the rest needs at least. The last LAST pieces at most are placed by one sweep over the counts of
+their lengths and of the gaps, best-fit decreasing.
+
+Defined results: a null or empty text is one end token; repeated rows are packed each; a null id is an id like others;
+other columns are not looked at, so they may have any names.
 """
 
 from __future__ import annotations
 
-import array
 import bisect
 import functools
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.llm.shared import running_total, small, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words that a worker remembers the ids of.
-REMEMBERED = 100_000
-#: Marks of which a run after letters is one pre-token.
-MARKS = ".,;:!?&#%$*|\"()"
+#: Units that a worker remembers the ids of; bytes of text that it reads at once; bytes up to which a unit is hashed.
+REMEMBERED, TOGETHER, LONG = 400_000, 1 << 20, 64
+#: Pieces below which one sweep places what is left; rows of a range of a superstep.
+LAST, RANGE = 10_000, 1 << 16
+
+
+_SPACE, _LETTER, _DIGIT, _MARK, _HARD = range(5)
+
 
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class and lower case of each byte, and of each code point of two bytes up to U+02FF: those whose lower case is a letter
+    of two bytes, too, are letters. The apostrophe begins contractions, and so is hard; as is all else."""
+    kind, low = np.full(256, _HARD, np.uint8), np.arange(256, dtype=np.uint8)
+    kind[[32, *range(9, 14)]] = _SPACE
+    for b in range(33, 127):
+        c = chr(b)
+        kind[b] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _HARD if c == "'" else _MARK
+        low[b] = ord(c.lower())
+    kind2, low2 = np.full(0x300, _HARD, np.uint8), np.arange(0x300, dtype=np.uint16)
+    for k in range(0x80, 0x300):
+        c = chr(k).lower()
+        if chr(k).isalpha() and len(c) == 1 and 0x80 <= ord(c) < 0x300:
+            kind2[k], low2[k] = _LETTER, ord(c)
+    return kind, low, kind2, low2
 
-class WordTokens(dict):
-    """Token ids of texts by a tokenizer file of byte-level pairs whose tokens never hold white space and whose normalizer
-    composes and lower-cases.
 
-    A word is encoded once and remembered, and so are its letters, which other words share; words met once are remembered
-    by their letters alone. What is letters of the Latin blocks is normalized by lower-casing and is one pre-token, a run
-    of marks after it another, so the model's pairs are merged at once; all else goes through the whole tokenizer."""
+class WordTokens:
+    """Token ids of texts by a tokenizer file of byte-level pairs whose tokens never hold white space, whose last token of a
+    pre-token ends in a mark of its own, and whose normalizer composes and lower-cases.
+
+    Texts are cut into units by numpy: runs of letters of the Latin blocks, of marks, and single digits are pre-tokens; a word
+    that holds anything else is one unit. The distinct units of many texts meet those that are remembered by 64-bit
+    hashes; the new ones go to the model as one text, cut at white space alone, or by the whole tokenizer if a word."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        mark = self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for x, i in vocabulary.items() if x.endswith(mark)]] = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255
         rest = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(rest)}
-        self.before, self.parts, self.parts_before = {}, {}, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.before.get(word)
-        if ids is None:
-            part, rest = word, b""
-            if (word.isascii() or max(word) < 0xCC) and b"<|" not in word:  # else it may become a special token
-                part = word.lower()
-                if len(part) > 1 and part[-1] in b".," and 97 <= part[-2] <= 122:
-                    part, rest = part[:-1], part[-1:]
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self._part(part)
-                return ids + self._part(rest) if rest else ids
-            if rest:
-                ids += self._part(rest)
-        if len(self) >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def _part(self, part: bytes) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.parts_before.get(part)
-            if ids is None:
-                ids = self._encode(part)
-            if len(self.parts) >= REMEMBERED:
-                self.parts_before = self.parts
-                self.parts = {}
-            self.parts[part] = ids
-        return ids
-
-    def _encode(self, part: bytes) -> bytes:
-        text = part.decode()
-        if (part.isascii() or max(part) < 0xCC) and b"<|" not in part:
-            low = text.lower()
-            if low.isalpha():
-                shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
-                return array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            stem = low.rstrip(MARKS)
-            if len(stem) < len(low) and stem.isalpha():
-                return self._part(stem.encode()) + self._part(low[len(stem) :].encode())
-        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def rest(self) -> None:
-        """Forgets the older half, between tasks."""
-        self.before, self.parts_before = {}, {}
+        self.alphabet = {b: 256 + k for k, b in enumerate(rest) if b != 32}
+        self.kind, self.low, self.kind2, self.low2 = _classes()
+        # Remembered units: their hashes, sorted; where their ids are in the pool, and how many; how often they came again.
+        self.keys, self.at, self.size, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    @functools.cached_property
+    def powers(self) -> tuple[np.ndarray, np.ndarray]:
+        return _powers(2 * TOGETHER)
+
+    def _units(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """raw ends in white space. Of each unit: start, end, whether it is hard; and the bytes, lower-cased unless hard."""
+        kind, low = self.kind[raw], self.low[raw]
+        two = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] < 0xCC))
+        if len(two):
+            points = ((raw[two].astype(np.int64) & 31) << 6) | (raw[two + 1] & 63)
+            letter = self.kind2[points] == _LETTER
+            at, lower = two[letter], self.low2[points[letter]]
+            kind[at], kind[at + 1] = _LETTER, _LETTER
+            low[at], low[at + 1] = 0xC0 | (lower >> 6), 0x80 | (lower & 63)
+        kind[:-1][(raw[:-1] == 60) & (raw[1:] == 124)] = _HARD  # it may become a special token
+        space = kind == _SPACE
+        begins = np.empty(len(raw), bool)
+        begins[0], begins[1:] = ~space[0], (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begins &= ~space
+        ends = np.append(False, ~space[:-1]) & space  # the white space after a word
+        word = np.empty(len(raw), bool)
+        word[0], word[1:] = ~space[0], space[:-1] & ~space[1:]
+        edges = np.flatnonzero(begins | ends)
+        starts = begins[edges]
+        wide = np.flatnonzero(starts[:-1] & (np.diff(edges) > LONG))
+        hard_at = np.concatenate([np.flatnonzero(kind == _HARD), edges[wide]])
+        if len(hard_at):
+            firsts = np.flatnonzero(word)
+            hard_words = np.unique(np.searchsorted(firsts, hard_at, "right") - 1)
+            cover = np.zeros(len(raw) + 1, np.int8)
+            cover[firsts[hard_words]] = 1
+            lasts = np.flatnonzero(ends)
+            cover[lasts[hard_words]] -= 1
+            inside = np.cumsum(cover[:-1], dtype=np.int8) > 0
+            begins &= ~inside | word
+            low[inside] = raw[inside]
+            edges = np.flatnonzero(begins | ends)
+            starts = begins[edges]
+            at = np.flatnonzero(starts)
+            return edges[at], edges[at + 1], inside[edges[at]], low
+        at = np.flatnonzero(starts)
+        return edges[at], edges[at + 1], np.zeros(len(at), bool), low
+
+    def _ids(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the units start, how many ids each has, and all ids."""
+        starts, ends, hard, low = self._units(raw)
+        if not len(starts):
+            return starts, starts, self.pool[:0]
+        powers, inverse = self.powers if len(raw) <= 2 * TOGETHER else _powers(len(raw))
+        total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)])
+        h = (total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0))) * inverse[starts]
+        h += (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + hard * np.uint64(0x165667B19E3779F9)
+        keys, first, own = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+            self.uses[at[known]] += 1
+        fresh = first[~known]
+        pool_at, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        pool_at[known], size[known] = self.at[at[known]], self.size[at[known]]
+        if len(fresh):
+            pool_at[~known], size[~known] = self._learn(low, starts[fresh], ends[fresh], hard[fresh])
+            every = np.concatenate([self.keys, keys[~known]])
+            order = np.argsort(every, kind="stable")
+            self.keys = every[order]
+            self.at, self.size = np.concatenate([self.at, pool_at[~known]])[order], np.concatenate([self.size, size[~known]])[order]
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])[order]
+        sizes = size[own]
+        before = np.cumsum(sizes) - sizes
+        ids = self.pool[np.repeat(pool_at[own] - before, sizes) + np.arange(int(sizes.sum()))]
+        if len(self.keys) > REMEMBERED:
+            self._forget(self.uses > 0)
+            if len(self.keys) > REMEMBERED // 2:
+                self._forget(np.zeros(len(self.keys), bool))
+        return starts, sizes, ids
+
+    def _forget(self, keep: np.ndarray) -> None:
+        self.keys, at, self.size, self.uses = self.keys[keep], self.at[keep], self.size[keep], np.zeros(int(keep.sum()), np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.pool = self.pool[np.repeat(at - self.at, self.size) + np.arange(int(self.size.sum()))]
+
+    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hard: np.ndarray, together: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the ids of units into the pool; where, and how many."""
+        size, parts, at = np.empty(len(starts), np.int64), [], np.empty(len(starts), np.int64)
+        end = len(self.pool)
+        plain = np.flatnonzero(~hard)
+        if len(plain):
+            s, n = starts[plain], ends[plain] - starts[plain] + 1  # and the white space, or another unit's first byte, after it
+            to = np.cumsum(n)
+            joined = low[np.repeat(s - (to - n), n) + np.arange(int(to[-1]))]
+            joined[to - 1] = 32
+            text = joined.tobytes().decode("latin-1")
+            text = text if text.isascii() else text.translate(self.alphabet)
+            cuts = [0, *to[together - 1 :: together].tolist(), len(text)]
+            ids = [np.array(x.ids, "<u4") for x in self.plain.encode_batch_fast([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)]
+            ids = np.concatenate(ids)
+            lasts = np.flatnonzero(self.last[ids]) + 1
+            if len(lasts) != len(plain):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            size[plain] = np.diff(lasts, prepend=0)
+            at[plain] = end + lasts - size[plain]
+            parts.append(ids)
+            end += len(ids)
+        for k in np.flatnonzero(hard).tolist():
+            ids = np.array(self.tokenizer.encode(low[starts[k] : ends[k]].tobytes().decode(), add_special_tokens=False).ids, "<u4")
+            size[k], at[k] = len(ids), end
+            parts.append(ids)
+            end += len(ids)
+        self.pool = np.concatenate([self.pool, *parts])
+        return at, size
+
+    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its unsigned 32-bit ids, little-endian as the machine is."""
+        held, total = [], 0
+        for x in texts:
+            raw = x.encode("utf-8", "replace") if isinstance(x, str) else b""
+            if total and total + len(raw) > TOGETHER:
+                yield from self._some(held)
+                held, total = [], 0
+            if len(raw) > TOGETHER:  # a long text goes part by part, cut at white space
+                yield b"".join(b"".join(self._some([part])) for part in _parts(raw))
+                continue
+            held.append(raw)
+            total += len(raw) + 1
+        yield from self._some(held)
+
+    def _some(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not texts:
+            return
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        starts, sizes, ids = self._ids(raw)
+        bounds = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        tokens = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, bounds)] * 4
+        whole = ids.tobytes()
+        for a, b in itertools.pairwise(tokens.tolist()):
+            yield whole[a:b]
 
     def ids(self, text: str | None) -> bytes:
-        """Unsigned 32-bit ids, little-endian as the machine is."""
-        words = text.encode("utf-8", "replace").split() if text else []
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(self.many([text]))
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """Parts of about TOGETHER bytes that end at white space."""
+    at = 0
+    while at < len(raw):
+        to = at + TOGETHER
+        if to < len(raw):
+            found = re.compile(rb"[\x20\x09-\x0D]").search(raw, to)
+            to = found.start() if found else len(raw)
+        yield raw[at:to]
+        at = to
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number, and of its inverse, modulo 2**64."""
+    p = 0x9E3779B97F4A7C15
+    one = lambda x: np.multiply.accumulate(np.full(n, x, np.uint64))
+    return one(p), one(pow(p, -1, 1 << 64))
 
 
 @functools.cache
@@ -122,20 +264,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
         tokens = _tokens(tokenizer)
         for b in batches:
             rows = []
-            for doc, text in zip(b.doc_id.astype(object), b.text):
-                ids = tokens.ids(text) + last
+            for doc, ids in zip(b.doc_id.astype(object), tokens.many(b.text.tolist())):
+                ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)) + ((own,) if keep_ids else ()))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids)
             yield out.astype({"doc_id": "Int64"})
-        tokens.rest()
 
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES + ", ids binary" * keep_ids)
 
 
-def sweep(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """runs: pieces by length. Returns (length, from rank, to rank, first sequence, offset): ranks of a run against sequences."""
+def sweep(runs: dict[int, int], capacity: int, free: dict[int, int] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """runs: pieces by length; free: gaps by size. Returns (length, from rank, to rank, first, offset): ranks of a run against
+    sequences, numbered through the gaps in the order of `free` and then through new ones. The result is best-fit decreasing's."""
     gaps: list[int] = []  # sorted
     ranges: dict[int, list[tuple[int, int]]] = {}  # by gap: ranges of sequences
     out, opened = [], 0
@@ -147,6 +289,10 @@ def sweep(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, int,
                 ranges[gap] = []
             ranges[gap].append((first, n))
 
+    for gap, n in (free or {}).items():
+        add(gap, opened, n)
+        opened += n
+
     for length in sorted(runs, reverse=True):
         rank, left, fresh = 0, runs[length], []
         while left:
@@ -187,15 +333,144 @@ def sweep(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
+def _slots(gaps: DataFrame, top: int, low: int) -> DataFrame:
+    """(size, kind 0, gap, id): what the gaps offer to pieces of more than `low` and at most `top` tokens."""
+    whole, rest = F.expr(f"cast(gap div {top} as int)"), F.col("gap") % top
+    sizes = F.concat(F.array_repeat(F.lit(top).cast("long"), whole), F.when(rest > low, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    return gaps.where(F.col("gap") > low).select(F.explode(sizes).alias("size"), F.lit(0).alias("kind"), "gap", F.col("seq").alias("id"))
+
+
+def _swept(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: int) -> DataFrame:
+    """Each range by itself: (part, what, rank, uid, length, seq, gap). what: 0 a piece in its slot, 1 a piece that found none,
+    2 a slot left over; ranks are in order from 0 of either kind."""
+    items = _slots(gaps, top, low).unionByName(pieces.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("gap"), F.col("uid").alias("id")))
+    order = [F.desc("size"), F.asc("kind"), F.desc("gap"), F.asc("id")]
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack: list[tuple[int, int]] = []
+        part, lost = TaskContext.get().partitionId(), 0
+        columns = ["part", "what", "rank", "uid", "length", "seq", "gap"]
+        for b in batches:
+            out = []
+            for size, kind, gap, own in zip(b["size"].tolist(), b.kind.tolist(), b.gap.tolist(), b.id.tolist()):
+                if not kind:
+                    stack.append((own, gap))
+                elif stack:
+                    out.append((part, 0, 0, own, size, *stack.pop()))
+                else:
+                    out.append((part, 1, lost, own, size, -1, -1))
+                    lost += 1
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([(part, 2, k, -1, -1, *x) for k, x in enumerate(stack)], columns=columns)
+
+    schema = "part int, what int, rank long, uid long, length long, seq long, gap long"
+    return written(items.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(match, schema), "swept")
+
+
+def _flows(summary: list) -> tuple[list[tuple], dict[int, int]]:
+    """summary: for each range, in order: (part, pieces lost, slots over). Ranks of pieces against ranks of slots of ranges
+    above: (piece part, from rank, to rank, slot part, slots' end, first number), and how many pieces each range could settle."""
+    stack: list[list[int]] = []
+    flows, settled, number = [], {}, 0
+    for part, lost, over in summary:
+        at = 0
+        while at < lost and stack:
+            n = min(lost - at, stack[-1][1])
+            flows.append((part, at, at + n, stack[-1][0], stack[-1][1], number))
+            stack[-1][1] -= n
+            at, number = at + n, number + n
+            if not stack[-1][1]:
+                stack.pop()
+        settled[part] = at
+        if over:
+            stack.append([part, over])
+    return flows, settled
+
+
+def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int, int]:
+    """pieces: (uid, length), all of more than `low` and at most `top`; gaps: (seq, gap). Returns what was placed (uid, seq,
+    offset), the gaps and the pieces left, how many were placed, how many are left, and their tokens."""
+    spark = pieces.sparkSession
+    swept = _swept(pieces, gaps, top, low, ranges)
+    some = lambda k: F.count_if(F.col("what") == k)
+    tokens = F.coalesce(F.sum(F.when(F.col("what") == 1, F.col("length"))), F.lit(0))
+    summary = swept.groupBy("part").agg(some(0), some(1), some(2), tokens).orderBy("part").collect()  # a row for each range
+    flows, settled = _flows([(r[0], r[2], r[3]) for r in summary])
+    met = swept.where("what = 0").select("uid", "length", "seq", "gap")
+    if flows:
+        flow = F.broadcast(spark.createDataFrame(flows, "p int, lo long, hi long, q int, top long, first long"))  # two rows a range at most
+        lost = swept.where("what = 1").join(flow, (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+        over = swept.where("what = 2").join(flow, (F.col("part") == F.col("q")) & (F.col("rank") < F.col("top")) & (F.col("rank") >= F.expr("top - (hi - lo)")))
+        lost = lost.select("uid", "length", F.expr("first + rank - lo").alias("number"))
+        over = over.select("seq", "gap", F.expr("first + top - 1 - rank").alias("number"))
+        met = met.unionByName(lost.join(over, "number").select("uid", "length", "seq", "gap"))
+    # A sequence takes some pieces at once, one a slot: they lie in the order of their numbers.
+    before = F.coalesce(F.sum("length").over(W.partitionBy("seq").orderBy("uid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = written(met.select("uid", "seq", (F.lit(capacity) - F.col("gap") + before).alias("offset"), "length"), "placed")
+    used = placed.groupBy("seq").agg(F.sum("length").alias("used"))
+    gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0")
+    took = F.broadcast(spark.createDataFrame([*settled.items()], "part int, took long"))
+    left = swept.where("what = 1").join(took, "part").where("rank >= took").select("uid", "length")
+    n_left = sum(r[2] for r in summary) - sum(settled.values())
+    n_placed = sum(r[1] for r in summary) + sum(settled.values())
+    total = sum(r[4] for r in summary)
+    if n_left and sum(settled.values()):
+        total = left.agg(F.sum("length")).first()[0]
+    return placed.select("uid", "seq", "offset"), written(gaps, "gaps"), left, n_placed, n_left, total
+
+
+def _last(pieces: DataFrame, gaps: DataFrame, opened: int, capacity: int) -> DataFrame:
+    """(uid, seq, offset) of the last pieces: by the counts of their lengths, and of the gaps by size, `capacity` rows each."""
+    runs = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    free = {r[0]: r[1] for r in gaps.groupBy("gap").count().collect()}
+    plan = sweep(runs, capacity, free)
+    spark, known = pieces.sparkSession, sum(free.values())
+    plan = spark.createDataFrame(pd.DataFrame(plan, columns=["run", "lo", "hi", "first", "offset"]).astype("int64"), "run long, lo long, hi long, first long, offset long")
+    rank = F.row_number().over(W.partitionBy("length").orderBy("uid")) - 1  # LAST rows at most
+    met = pieces.withColumn("rank", rank).join(F.broadcast(plan), (F.col("length") == F.col("run")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    met = written(met.select("uid", F.expr("first + rank - lo").alias("place"), "offset"), "last")
+    new = met.where(F.col("place") >= known).select("uid", (F.col("place") - known + opened).alias("seq"), "offset")
+    if not known:
+        return new
+    starts, at = [], 0
+    for gap, n in free.items():
+        starts.append((gap, at))
+        at += n
+    starts = F.broadcast(spark.createDataFrame(starts, "gap long, at long"))
+    numbered = running_total(gaps.withColumn("one", F.lit(1)), "gap", ["seq"], "one", "nth").join(starts, "gap").select("seq", (F.col("at") + F.col("nth")).alias("place"))
+    return met.join(numbered, "place").select("uid", "seq", "offset").unionByName(new)
+
+
 def packed(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """cut: the pieces. Adds sequence_id and offset."""
-    cut = written(cut, "pieces")
+    cut = written(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     runs = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    spark = cut.sparkSession
-    plan = spark.createDataFrame(pd.DataFrame(sweep(runs, capacity), columns=["run", "lo", "hi", "first", "offset"]).astype("int64"), "run long, lo long, hi long, first long, offset long")
-    ranked = running_total(cut.withColumn("_one", F.lit(1)), "length", ["doc_id", "piece", "ids_crc32"], "_one", "_rank")
-    met = ranked.join(small(plan), (F.col("length") == F.col("run")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    return met.select(*cut.columns, (F.col("first") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset")
+    spark, opened, placed = cut.sparkSession, 0, []
+    fresh = lambda n: spark.range(opened, opened + n).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+    gaps, top, rest, left = fresh(0), capacity, sum(runs.values()), None
+    while rest > LAST:
+        low = top // 2
+        own = {k: n for k, n in runs.items() if low < k <= top}
+        n, tokens = sum(own.values()), sum(k * n for k, n in own.items())
+        left = cut.where((F.col("length") > low) & (F.col("length") <= top)).select("uid", "length")
+        done = n if opened else 0
+        while n and rest > LAST:
+            if done < n:  # each of the first class needs a sequence; later ones as many as their tokens do
+                more = n if top == capacity else -(-tokens // capacity)
+                gaps = gaps.unionByName(fresh(more))
+                opened += more
+            ranges = -(-(n + opened) // RANGE)
+            out, gaps, left, done, n, tokens = superstep(left, gaps, top, low, ranges, capacity)
+            placed.append(out)
+            rest -= done
+        if not n:
+            left, top = None, low
+    small_ones = cut.where(F.col("length") <= (top if left is None else top // 2)).select("uid", "length")
+    if rest:
+        placed.append(_last(small_ones if left is None else small_ones.unionByName(left), gaps, opened, capacity))
+    every = functools.reduce(DataFrame.unionByName, placed) if placed else fresh(0).select(F.col("seq").alias("uid"), "seq", F.col("gap").alias("offset"))
+    met = cut.join(every, "uid")
+    return met.select(*[c for c in cut.columns if c != "uid"], F.col("seq").alias("sequence_id"), "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_ids: bool = False) -> DataFrame:

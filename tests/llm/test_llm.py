@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -441,13 +442,65 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_word_tokens():
+def test_word_tokens(monkeypatch):
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     from tokenizers import Tokenizer
 
     plain, own = Tokenizer.from_file(path), packing.WordTokens(path)
-    for x in ["áb é ́x", "İstanbul ΣΑΣ Σ", "don't I'LL 'S it's, 's. H̱ H̱,", "a\x1cb a\xa0b c", "<|endoftext|> x<|startoftext|>y <|EndOfText|>", "１２ ½ ǅ ﬁ", "日本語　x", "a.. a., .. ,a É. é,"]:
-        assert own.ids(x) == np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    want = lambda x: np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    odd = ["áb é ́x", "İstanbul ΣΑΣ Σ", "don't I'LL 'S it's, 's. H̱ H̱,", "a\x1cb a\xa0b c", "<|endoftext|> x<|startoftext|>y <|EndOfText|>", "１２ ½ ǅ ﬁ", "日本語　x", "a.. a., .. ,a É. é,"]
+    odd += [f"x{chr(k)}y {chr(k)} A{chr(k)}" for k in range(0x7F, 0x310)] + [" ", "\n\n a", "a" * 65, "É" * 40 + " b", "<", "a<", "|a <| b", "1a23b4", "a_b-c", "\x00a \x7f", "Ab1.C2;" * 20, "x" * 3000]
+    for x in odd:
+        assert own.ids(x) == want(x), x
+    rng = random.Random(9)
+    pieces = ["a", "B", "é", "É", "ß", "Ż", "1", "'", ".", "<", "|", ">", " ", "\n", "\t", "the", "İ", "́", "日", "<|endoftext|>", "²", "\xa0"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(600)] + [None, ""]
+    assert list(own.many(texts)) == [want(x or "") for x in texts]
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "TOGETHER", 200)
+    small = packing.WordTokens(path)
+    texts += [" ".join(texts[:50])]
+    assert list(small.many(texts)) == [want(x or "") for x in texts]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="without the given tables")
+def test_word_tokens_of_documents(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    plain = Tokenizer.from_file(path)
+    for x, ids in zip(texts, packing.WordTokens(path).many(texts), strict=True):
+        assert ids == np.array(plain.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("last, lengths", [(0, "mixed"), (40, "mixed"), (0, "ones"), (10**6, "mixed"), (0, "middle")])
+def test_supersteps(spark, monkeypatch, last, lengths):
+    """Every piece has its place, sequences have no holes, and there are hardly more than best-fit decreasing has."""
+    monkeypatch.setattr(packing, "LAST", last)
+    monkeypatch.setattr(packing, "RANGE", 64)
+    rng = random.Random(3)
+    sizes = {"mixed": [min(256, int(rng.lognormvariate(4, 1)) + 1) for _ in range(400)], "ones": [1] * 500, "middle": [rng.randint(70, 140) for _ in range(200)]}[lengths]
+    df = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECES)
+    out = packing.packed(df, 256).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(sizes))
+    at = defaultdict(list)
+    for r in out:
+        at[r.sequence_id].append((r.offset, r.length))
+    for x in at.values():
+        end = 0
+        for offset, length in sorted(x):
+            assert offset == end
+            end += length
+        assert end <= 256
+    gaps = []
+    for length in sorted(sizes, reverse=True):
+        fits = [k for k, g in enumerate(gaps) if g >= length]
+        if fits:
+            gaps[min(fits, key=lambda k: gaps[k])] -= length
+        else:
+            gaps.append(256 - length)
+    assert len(at) <= len(gaps) * 1.02 + 1
 
 
 def test_warc(spark):
