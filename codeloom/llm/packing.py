@@ -22,7 +22,6 @@ import bisect
 import functools
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.llm.hashing import LONG, TOGETHER, parts, powers
 from codeloom.llm.shared import running_total, small, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Units that a worker remembers the ids of; bytes of text that it reads at once; bytes up to which a unit is hashed.
-REMEMBERED, TOGETHER, LONG = 400_000, 1 << 20, 64
+#: Units that a worker remembers the ids of.
+REMEMBERED = 400_000
 #: Pieces below which one sweep places what is left; rows of a range of a superstep.
-LAST, RANGE = 10_000, 1 << 16
+LAST, RANGE = 40_000, 1 << 16
 
 
 _SPACE, _LETTER, _DIGIT, _MARK, _HARD = range(5)
@@ -91,7 +91,7 @@ class WordTokens:
 
     @functools.cached_property
     def powers(self) -> tuple[np.ndarray, np.ndarray]:
-        return _powers(2 * TOGETHER)
+        return powers(2 * TOGETHER)
 
     def _units(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """raw ends in white space. Of each unit: start, end, whether it is hard; and the bytes, lower-cased unless hard."""
@@ -137,8 +137,8 @@ class WordTokens:
         starts, ends, hard, low = self._units(raw)
         if not len(starts):
             return starts, starts, self.pool[:0]
-        powers, inverse = self.powers if len(raw) <= 2 * TOGETHER else _powers(len(raw))
-        total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)])
+        power, inverse = self.powers if len(raw) <= 2 * TOGETHER else powers(len(raw))
+        total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])
         h = (total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0))) * inverse[starts]
         h += (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + hard * np.uint64(0x165667B19E3779F9)
         keys, first, own = np.unique(h, return_index=True, return_inverse=True)
@@ -173,7 +173,7 @@ class WordTokens:
 
     def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hard: np.ndarray, together: int = 500) -> tuple[np.ndarray, np.ndarray]:
         """Puts the ids of units into the pool; where, and how many."""
-        size, parts, at = np.empty(len(starts), np.int64), [], np.empty(len(starts), np.int64)
+        size, new, at = np.empty(len(starts), np.int64), [], np.empty(len(starts), np.int64)
         end = len(self.pool)
         plain = np.flatnonzero(~hard)
         if len(plain):
@@ -191,14 +191,14 @@ class WordTokens:
                 raise ValueError("the tokenizer does not mark the ends of words")
             size[plain] = np.diff(lasts, prepend=0)
             at[plain] = end + lasts - size[plain]
-            parts.append(ids)
+            new.append(ids)
             end += len(ids)
         for k in np.flatnonzero(hard).tolist():
             ids = np.array(self.tokenizer.encode(low[starts[k] : ends[k]].tobytes().decode(), add_special_tokens=False).ids, "<u4")
             size[k], at[k] = len(ids), end
-            parts.append(ids)
+            new.append(ids)
             end += len(ids)
-        self.pool = np.concatenate([self.pool, *parts])
+        self.pool = np.concatenate([self.pool, *new])
         return at, size
 
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -210,7 +210,7 @@ class WordTokens:
                 yield from self._some(held)
                 held, total = [], 0
             if len(raw) > TOGETHER:  # a long text goes part by part, cut at white space
-                yield b"".join(b"".join(self._some([part])) for part in _parts(raw))
+                yield b"".join(b"".join(self._some([part])) for part in parts(raw))
                 continue
             held.append(raw)
             total += len(raw) + 1
@@ -231,25 +231,6 @@ class WordTokens:
         return b"".join(self.many([text]))
 
 
-def _parts(raw: bytes) -> Iterator[bytes]:
-    """Parts of about TOGETHER bytes that end at white space."""
-    at = 0
-    while at < len(raw):
-        to = at + TOGETHER
-        if to < len(raw):
-            found = re.compile(rb"[\x20\x09-\x0D]").search(raw, to)
-            to = found.start() if found else len(raw)
-        yield raw[at:to]
-        at = to
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd number, and of its inverse, modulo 2**64."""
-    p = 0x9E3779B97F4A7C15
-    one = lambda x: np.multiply.accumulate(np.full(n, x, np.uint64))
-    return one(p), one(pow(p, -1, 1 << 64))
-
-
 @functools.cache
 def _tokens(path: str) -> WordTokens:
     """A worker's, for all the tasks that it runs."""
