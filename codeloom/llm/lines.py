@@ -271,13 +271,11 @@ def texts_of(ids: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
 class _Block:
     """The lines of a bucket, or of a block of it, in order, with their classes and whether they are known as repeats."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values(["doc", "text_id", "line"])
-        self.ids, self.texts = rows.id.tolist(), rows.text.tolist()
-        self.places = list(zip(rows.doc, rows.text_id, rows.line))
-        self.sketch = sketches(self.texts).view(np.uint32)
-        self.lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
-        self.group, self.known = rows.group.to_numpy().copy(), rows.known.to_numpy(bool).copy()
+    def __init__(self, ids: list, places: list[tuple], texts: list[str], group: list, known: list):
+        self.ids, self.places, self.texts = ids, places, texts
+        self.sketch = sketches(texts).view(np.uint32)
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.group, self.known = np.array(group, np.int64), np.array(known, bool)
         self.links: list[tuple[int, int]] = []
 
     def near(self, sketch, length: int, upto: int | None = None) -> np.ndarray:
@@ -322,26 +320,31 @@ def forest(cand: DataFrame, own: DataFrame) -> DataFrame:
     first = dealt.join(own, "id").withColumn("group", F.col("id")).withColumn("known", F.lit(False))
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        at, held = None, []
         for b in batches:
-            held.append(b)
-            rows = pd.concat(held, ignore_index=True)
-            last = (rows.key == rows.key.iloc[-1]) & (rows.block == rows.block.iloc[-1]) if len(rows) else None
-            held = [rows[last]] if len(rows) else []
-            yield found(rows[~last] if len(rows) else rows)
-        for rows in held:
-            yield found(rows)
-
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in rows.groupby(["key", "block"], sort=False):
-            block = _Block(g)
-            block.inside()
-            out += block.links
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    sorted_ = lambda df: df.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block")
-    links = written(sorted_(first).mapInPandas(inside, "u long, v long").distinct(), "links")
+            out: list[tuple[int, int]] = []
+            for r in zip(*(b[c].tolist() for c in columns)):
+                if r[:2] != at:
+                    out += found(held)
+                    at, held = r[:2], []
+                held.append(r)
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        yield pd.DataFrame(found(held), columns=["u", "v"], dtype="int64")
+
+    def block_of(rows: list[tuple]) -> _Block:
+        return _Block([r[2] for r in rows], [r[3:6] for r in rows], [r[6] for r in rows], [r[7] for r in rows], [r[8] for r in rows])
+
+    def found(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) == 2:
+            return [(rows[0][2], rows[1][2])] if within(rows[0][6], rows[1][6]) else []
+        if len(rows) < 2:
+            return []
+        block = block_of(rows)
+        block.inside()
+        return block.links
+
+    sorted_ = lambda df, *c: df.select(*c).repartition("key", "block").sortWithinPartitions("key", "block", *c[9:], "doc", "text_id", "line")
+    links = written(sorted_(first, *columns).mapInPandas(inside, "u long, v long").distinct(), "links")
     if not split:
         return links
 
@@ -349,30 +352,29 @@ def forest(cand: DataFrame, own: DataFrame) -> DataFrame:
     groups, repeats_ = written(components(links), "groups"), links.select(F.col("v").alias("id")).distinct().withColumn("known", F.lit(True))
     rows = dealt.where("blocks is not null").join(own, "id").join(repeats_, "id", "left")
     rows = rows.join(groups, rows["id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "id")).withColumn("known", F.coalesce("known", F.lit(False)))
-    here = rows.withColumn("mine", F.lit(True))
-    others = rows.withColumn("mine", F.lit(False)).withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block <> own")
-    met = here.select(*columns, "mine").unionByName(others.select(*columns, "mine"))
+    here = rows.select(*columns)
+    others = rows.select(*columns, "blocks").withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block <> own").drop("blocks")
+    met = here.withColumn("other", F.lit(0)).unionByName(others.drop("own").withColumn("other", F.lit(1)))
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, gathered, block, same = None, [], None, {}
         for b in batches:
-            for r in b.itertuples(index=False):
-                if (r.key, r.block) != at:
-                    at, gathered, block, same = (r.key, r.block), [], None, {}
-                if r.mine:
+            for r in zip(*(b[c].tolist() for c in [*columns, "other"])):
+                if r[:2] != at:
+                    at, gathered, block, same = r[:2], [], None, {}
+                if not r[9]:
                     gathered.append(r)
                     continue
                 if block is None:
                     if not gathered:  # a block that the hash left empty
                         continue
-                    block = _Block(pd.DataFrame(gathered))
-                block.across(r.id, (r.doc, r.text_id, r.line), r.text, r.group, same)
+                    block = block_of(gathered)
+                block.across(r[2], r[3:6], r[6], r[7], same)
                 if block.links:
                     yield pd.DataFrame(block.links, columns=["u", "v"], dtype="int64")
                     block.links = []
 
-    met = met.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("mine"))
-    return written(links.unionByName(met.mapInPandas(across, "u long, v long")).distinct(), "links")
+    return written(links.unionByName(sorted_(met, *columns, "other").mapInPandas(across, "u long, v long")).distinct(), "links")
 
 
 def links(firsts: DataFrame, docs: DataFrame) -> DataFrame:
