@@ -624,31 +624,58 @@ def test_lm_end_token(spark, monkeypatch):
     monkeypatch.setattr(lm, "KNOWN", 40)
     many = " ".join(f"w{k:03d}" for k in range(90))
     docs = spark.createDataFrame([(k, f"{many} {many} top top top"[: 900 - k]) for k in range(4)], "doc_id long, text string")
-    want = Counter(w for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in [*lm.words_of(r.text), lm.END])
-    words, numbers = lm.frequent(lm.counts(docs))
-    assert words[0] == lm.END and words[1:] == sorted((w for w in want if w != lm.END), key=lambda w: (-want[w], w))
-    assert numbers.tolist() == [want[w] for w in words]
+    tokens_of = lambda t: [*t.encode().lower().split(), None]
+    want = Counter(w for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in tokens_of(r.text))
+    hashed = dict(zip(want, [*(int(lm.Words().of([w.decode()])[0][0]) if w else int(lm.END) for w in want)]))
+    ids, _, numbers = lm.frequent(lm.counts(docs))
+    assert ids[0] == lm.END and sorted(ids.tolist()) == sorted(hashed.values())
+    assert dict(zip(ids.tolist(), numbers.tolist())) == {hashed[w]: n for w, n in want.items()}
+    assert numbers[1:].tolist() == sorted((n for w, n in want.items() if w), reverse=True)
     n, v = sum(want.values()), len(want)
     for r in lm.scored(docs).collect():
-        own = [*lm.words_of(f"{many} {many} top top top"[: 900 - r.doc_id]), lm.END]
+        own = tokens_of(f"{many} {many} top top top"[: 900 - r.doc_id])
         assert (r.n_tokens, r.n_known) == (len(own), sum(want[w] > 0 for w in own))
         assert r.base_score == pytest.approx(sum(math.log10((want[w] + 1) / (n + v + 1)) for w in own))
 
 
+def test_lm_learns_from_all(spark, monkeypatch):
+    """Held-out texts are likelier than by counts alone, with one task or many, and whichever documents hold a pattern."""
+    monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "TASKS", 8)
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(40)]
+    texts = [" ".join(f"{(w := rng.choice(pool))} {w}b {w}c" for _ in range(40)) for _ in range(400)]
+    for tasks in (1, 5):
+        docs = spark.createDataFrame([(None if k == 7 else k, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(tasks)
+        got = lm.scored(docs).collect()
+        held = [r for r in got if r.held_out]
+        assert len(got) == 400 and 30 < len(held) < 90 and not [r for r in got if r.doc_id is None][0].held_out
+        gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+        assert gain > 0.1
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="without the given tables")
+def test_lm_on_documents(spark):
+    """Held-out documents of the given table are likelier than by counts alone."""
+    got = lm.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > sum(r.base_score for r in got) / sum(r.n_tokens for r in got) + 0.05
+
+
 def test_lm_network():
     """Gradients against differences, and scores by windows against one long window."""
     rng = np.random.default_rng(3)
     heads, tails = rng.integers(1, 50, lm.HEAD).astype(float), rng.integers(1, 50, lm.TAILS).astype(float)
     net = lm.Network(heads, tails)
     docs = [rng.integers(0, lm.HEAD + lm.TAILS, n) for n in (1, 5, 70, 33)]
-    got = net.score(docs)
+    laid = lambda x: (np.concatenate(x), np.cumsum([0, *map(len, x)]))
+    got = net.score(*laid(docs))
     for d, s in zip(docs, got):
         states, _ = net.run(net.project(), np.append(0, d[:-1])[:, None], np.zeros((1, lm.HIDDEN), np.float32))
         assert s == pytest.approx(net.log_p(states[:, 0], d).sum(), rel=1e-4)
-    for _ in range(30):
-        net.fit([np.tile([1, 2, 3, 4 + k % 2], 200) for k in range(40)], rate=0.01)
-        break
-    assert net.score([np.tile([1, 2, 3], 20)])[0] > got.min()
+    x = laid([np.tile([1, 2, 3], 20)])
+    before = net.score(*x)[0]
+    net.learn(np.concatenate([np.tile([1, 2, 3, 4 + k % 2], 200) for k in range(40)]), 0.01, 1)
+    assert net.score(*x)[0] > before + 20
     total = 0.0
     states = np.zeros((1, lm.HIDDEN), np.float32)
     for k in range(lm.HEAD // lm.CLASS):
