@@ -3,8 +3,9 @@
 Every rule is evaluated once per document: the ledger holds the measurements and one failure bit per rule. A policy is a
 named, versioned set of rules; applying it, or asking what each of its rules rejects alone, only reads the bits.
 
-Defined results: a null or empty text has no words and fails `few_words`; repeated rows are judged each; any other column
-is kept as it is by `filtered`; an empty table gives an empty ledger.
+Defined results: a null or empty text has no words and fails `few_words`; repeated rows are judged each, and ids, null or
+not, play no part; other columns may have any names and are kept as they are by `filtered`; an empty table gives an empty
+ledger.
 """
 
 from __future__ import annotations
@@ -67,21 +68,21 @@ def _measured(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(np.array(rows, np.int64).reshape(len(rows), len(MEASURES)), columns=MEASURES)
 
 
-def with_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `_ledger`: the measurements and `bits`, whose bit i is set if rule i fails."""
+def judged(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """(keep..., ledger): a struct of the measurements and `bits`, whose bit i is set if rule i fails."""
     measures = F.pandas_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))
-    out = docs.withColumn("_m", measures(F.col(text)))
+    out = docs.select(*keep, measures(F.col(text)).alias("ledger"))
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES.values()):
         for m in MEASURES:
-            rule = rule.replace(m, f"_m.{m}")
+            rule = rule.replace(m, f"ledger.{m}")
         bits = bits + F.when(F.expr(rule), F.lit(1 << i)).otherwise(0)
-    return out.withColumn("_ledger", F.struct("_m.*", bits.alias("bits"))).drop("_m")
+    return out.select(*keep, F.struct("ledger.*", bits.alias("bits")).alias("ledger"))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measurements..., bits), to be written once and then read by any policy."""
-    return with_ledger(docs.select("doc_id", "text")).select("doc_id", "_ledger.*")
+    return judged(docs.select("doc_id", "text"), "doc_id").select("doc_id", "ledger.*")
 
 
 def fails(policy: tuple[str, int], bits: str = "bits"):
@@ -103,4 +104,5 @@ def ablations(ledger: DataFrame, policy: tuple[str, int] = ("full", 1)) -> DataF
 
 def filtered(docs: DataFrame, policy: tuple[str, int] = ("full", 1)) -> DataFrame:
     """The documents that the policy keeps, with the columns of docs."""
-    return with_ledger(docs).where(~fails(policy, "_ledger.bits")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so that no name of docs can clash
+    return judged(rows, "row", text="row.text").where(~fails(policy, "ledger.bits")).select("row.*")

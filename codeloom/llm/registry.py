@@ -30,13 +30,13 @@ def op4_best_fit_packing(spark, sf_dir):
 
 def op5_suffix_dedup(spark, sf_dir):
     rows = suffixes.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    cut = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
+    cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
     return rows.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "row.doc_id",
+        F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"),
         cut.alias("n_removed"),
-        F.size("_spans").cast("long").alias("n_spans"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 

@@ -13,8 +13,10 @@ induction, their substrings named and the shorter text of names sorted in turn;
 The common prefix of each suffix with its predecessor is computed in the order of the text (permuted), up to LENGTH. Runs
 of windows with LENGTH bytes in common are equal strings, of which all but the earliest are repeats.
 
-Defined results: a null text is empty; matches do not cross documents; rows that repeat an id share their places, so that
-the same text at the same place is no repeat of itself; a null id comes before all others.
+Defined results: a null text is empty; matches do not cross documents; rows that repeat an id and a text share their places,
+so that the same text at the same place is no repeat of itself; rows that repeat an id with different texts are documents of
+their own, in an order by hashes of their texts: their places are FAR apart. A null id comes before all others. Other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import small, written
+from codeloom.llm.shared import running_total, small, written
 
 LENGTH, GRAM = 100, 20
 #: Bytes of text that are hashed, or sorted, at once.
@@ -35,6 +37,8 @@ BUFFER, SHARD = 1 << 18, 4 << 20
 #: Up to so many names the text of names is induced; beyond, its ranks are doubled.
 NAMES = 2048
 _NULL = -(1 << 63)
+#: Where the places of the next of the texts with one id begin; no text is as long.
+FAR = 1 << 31
 
 
 def _words(raw: np.ndarray, at: int, n: int) -> np.ndarray:
@@ -87,14 +91,14 @@ def contexts(docs: DataFrame, hashed: bool) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             held, total = [], 0
-            for d, text in zip(b.d, b.text):
+            for d, base, text in zip(b.d, b.base, b.text):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 # A long document is cut where no window is lost: parts overlap by LENGTH - 1 bytes.
                 for at in range(0, max(1, len(raw) - LENGTH + 1), BUFFER):
                     part = raw[at : at + BUFFER + LENGTH - 1]
                     if len(part) < LENGTH:
                         continue
-                    held.append((d, at, part))
+                    held.append((d, base + at, part))
                     total += len(part)
                     if total >= BUFFER:
                         yield emit(held)
@@ -300,26 +304,42 @@ def large_anchors(firsts: DataFrame, shared: DataFrame) -> DataFrame:
     return written(sizes.where(F.col("bytes") > SHARD).select("key"), "large")
 
 
+def _by_text(firsts: DataFrame, *columns: str) -> DataFrame:
+    return firsts.groupBy("d", F.expr(f"at - pmod(at, {FAR})").alias("base")).agg(F.collect_list(F.struct(*columns)).alias("own"))
+
+
+def placed(docs: DataFrame, *keep: str) -> DataFrame:
+    """(d, base, text, keep...): where the places of a row's text begin, other than 0 only where an id has different texts."""
+    d = docs.select(F.coalesce("doc_id", F.lit(_NULL)).cast("long").alias("d"), "text", *keep)
+    again = small(written(d.groupBy("d").count().where("count > 1").select("d"), "again"))
+    if again.isEmpty():
+        return d.select("d", F.lit(0).cast("long").alias("base"), "text", *keep)
+    texts = written(d.join(again, "d").select("d", F.xxhash64("text").alias("t")).distinct().withColumn("one", F.lit(FAR)), "texts")
+    bases = small(written(running_total(texts, "d", ["t"], "one", "base").select("d", "t", "base"), "bases"))
+    met = d.withColumn("t", F.xxhash64("text")).join(bases, ["d", "t"], "left")
+    return met.select("d", F.coalesce("base", F.lit(0)).cast("long").alias("base"), "text", *keep)
+
+
 def repeated_windows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(d, lo, hi): the windows of these contexts that start earlier, too. No anchor's windows have to meet in one task."""
-    wanted = firsts.groupBy("d").agg(F.collect_list(F.struct("at", "n")).alias("own"))
+    wanted = _by_text(firsts, "at", "n")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for d, text, own in zip(b.d, b.text, b.own):
+            for d, base, text, own in zip(b.d, b.base, b.text, b.own):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
-                at = [k for x in own for k in range(x["at"], x["at"] + x["n"]) if k + LENGTH <= len(raw)]
+                at = [k for x in own for k in range(x["at"] - base, x["at"] - base + x["n"])]
                 both = np.frombuffer(b"".join(hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in at), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"h": both[:, 0], "g": both[:, 1], "d": np.full(len(at), d, np.int64), "at": np.array(at, np.int64)})
+                yield pd.DataFrame({"h": both[:, 0], "g": both[:, 1], "d": np.full(len(at), d, np.int64), "at": np.array(at, np.int64) + base})
 
-    windows = written(docs.join(wanted, "d").mapInPandas(cut, "h long, g long, d long, at long"), "windows")
+    windows = written(docs.join(wanted, ["d", "base"]).mapInPandas(cut, "h long, g long, d long, at long"), "windows")
     least = windows.groupBy("h", "g").agg(F.min(F.struct("d", "at")).alias("x"), F.count("*").alias("copies")).where("copies > 1")
     least = small(written(least.select("h", "g", F.col("x.d").alias("d0"), F.col("x.at").alias("at0")), "least"))
     return windows.join(least, ["h", "g"]).where("d <> d0 or at <> at0").select("d", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs: (d, text). (d, lo, hi): ranges of bytes that go; they may overlap."""
+    """docs: (d, base, text). (d, lo, hi): ranges of bytes that go, from base on; they may overlap."""
     shared = written(contexts(docs, False).groupBy("key").count().where("count > 1").select("key", (F.col("count") > SHARD // (2 * LENGTH)).alias("many")), "anchors")
     found = written(contexts(docs, True).join(shared.select("key"), "key"), "contexts")
     firsts = found.groupBy("key", "own").agg(F.min(F.struct("d", "at", "n")).alias("x"), F.count("*").alias("copies"))
@@ -332,20 +352,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         large = small(large)
         later = later.unionByName(repeated_windows(docs, firsts.join(large, "key", "left_semi")))
         firsts = firsts.join(large, "key", "left_anti")
-    wanted = firsts.groupBy("d").agg(F.collect_list(F.struct("key", "at", "n")).alias("own"))
+    wanted = _by_text(firsts, "key", "at", "n")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for d, text, own in zip(b.d, b.text, b.own):
+            for d, base, text, own in zip(b.d, b.base, b.text, b.own):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
-                for x in own:
-                    if len(part := raw[x["at"] : x["at"] + x["n"] + LENGTH - 1]) == x["n"] + LENGTH - 1:
-                        out.append((x["key"], d, x["at"], x["n"], part))
+                out += [(x["key"], d, x["at"], x["n"], raw[x["at"] - base : x["at"] - base + x["n"] + LENGTH - 1]) for x in own]
             yield pd.DataFrame(out, columns=["key", "d", "at", "n", "part"])
 
     schema = "key long, d long, at long, n int, part binary"
-    parts = docs.join(wanted, "d").mapInPandas(texts, schema)
+    parts = docs.join(wanted, ["d", "base"]).mapInPandas(texts, schema)
     shards = max(1, parts.sparkSession.conf.get("spark.sql.shuffle.partitions") and int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = parts.repartition(shards, "key").sortWithinPartitions("key")
 
@@ -383,26 +401,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """docs with `_spans`, the maximal ranges of bytes that go, and `_kept`, the bytes that stay."""
-    d = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(_NULL)))
-    spans = written(repeated_spans(d.select(F.col("_doc").alias("d"), "text")), "spans")
-    per = spans.groupBy(F.col("d").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_all"))
+    """(row, spans, kept): of each row, a struct of all columns of docs, the maximal ranges of bytes that go, and the bytes that stay."""
+    spans = written(repeated_spans(placed(docs)), "spans")
+    per = spans.groupBy("d", F.expr(f"lo - pmod(lo, {FAR})").alias("base")).agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
 
     @F.pandas_udf("spans array<struct<lo: long, hi: long>>, kept binary")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, bases: pd.Series, found: pd.Series) -> pd.DataFrame:
         spans, kept = [], []
-        for text, own in zip(texts, found):
+        for text, base, own in zip(texts, bases, found):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
             joined: list[list[int]] = []
-            for x in sorted((x["lo"], x["hi"]) for x in (own if own is not None else ())):
+            for x in sorted((x["lo"] - base, x["hi"] - base) for x in (own if own is not None else ())):
                 if joined and x[0] <= joined[-1][1]:
                     joined[-1][1] = max(joined[-1][1], x[1])
                 else:
                     joined.append(list(x))
-            joined = [[lo, min(hi, len(raw))] for lo, hi in joined if lo < len(raw)]
             edges = [0, *(e for x in joined for e in x), len(raw)]
             kept.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
             spans.append([{"lo": lo, "hi": hi} for lo, hi in joined])
         return pd.DataFrame({"spans": spans, "kept": kept})
 
-    return d.join(per, "_doc", "left").withColumn("_x", cut("text", "_all")).select(*docs.columns, F.col("_x.spans").alias("_spans"), F.col("_x.kept").alias("_kept"))
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))  # so that no name of docs can clash
+    met = placed(rows, "row").join(per, ["d", "base"], "left").select("row", cut("text", "base", "own").alias("x"))
+    return met.select("row", "x.spans", "x.kept")

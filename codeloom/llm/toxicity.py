@@ -10,6 +10,7 @@ The labels come from a sample of at most POSITIVE toxic and NEGATIVE other rows,
 are not held out; whole texts are used. The scoring covers every text, and remembers the score of each word it has met.
 
 Defined results: a null, empty or blank text has the score of no evidence, the lowest; repeated rows are scored each; a
+null id is not held out, and labels without an id aren't learnt from; other columns than `score` are kept as they are; a
 label that is null isn't learnt from; of repeated labels the largest counts; without both labels every score is 0.
 """
 
@@ -30,7 +31,7 @@ GRAMS, LONG = (3, 4, 5), 64
 
 
 def held_out(doc_id="doc_id") -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

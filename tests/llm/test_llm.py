@@ -371,7 +371,7 @@ def test_suffix_dedup(spark, rows, empty):
         want[i] = (sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), bytes(x for x, g in zip(b, gone) if not g))
     df = spark.createDataFrame(every, SCHEMA).withColumnRenamed("source", "d").repartition(3)
     for r in suffixes.removed(df).collect():
-        assert (sum(x.hi - x.lo for x in r["_spans"]), len(r["_spans"]), bytes(r["_kept"])) == want[r.doc_id]
+        assert (sum(x.hi - x.lo for x in r.spans), len(r.spans), bytes(r.kept)) == want[r.row.doc_id]
     assert suffixes.removed(empty).count() == 0
 
 
@@ -394,7 +394,7 @@ def test_suffix_large_anchor(spark, monkeypatch):
             seen.add(b[p : p + 100])
         want[i] = bytes(x for x, g in zip(b, gone) if not g)
     got = suffixes.removed(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    assert len(got) == len(rows) and all(bytes(r["_kept"]) == want[r.doc_id] for r in got)
+    assert len(got) == len(rows) and all(bytes(r.kept) == want[r.row.doc_id] for r in got)
     assert found[0].count() > 0
 
 
@@ -404,8 +404,60 @@ def test_suffix_long_document(spark, monkeypatch):
     rng = random.Random(8)
     x = text_of(rng, 400)
     rows = [(1, x, "en", "s", 0), (2, text_of(rng, 50) + x[300:2000], "en", "s", 0)]
-    got = {r.doc_id: r for r in suffixes.removed(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert sum(s.hi - s.lo for s in got[2]["_spans"]) >= len(x[300:2000].encode())
+    got = {r.row.doc_id: r for r in suffixes.removed(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(s.hi - s.lo for s in got[2].spans) >= len(x[300:2000].encode())
+
+
+CLASHING = ["row", "spans", "kept", "ledger", "_m", "_ledger", "id", "from", "copies", "copy", "_source", "_copies", "_copy", "own", "d", "base", "key", "bits", "_doc", "_x", "_all"]
+
+
+def clashing(spark, texts):
+    """(doc_id, text, source) with columns of many names, whose values tell their row."""
+    rows = [(i, t, src, *[f"{k}.{c}" for c in CLASHING]) for k, (i, t, src) in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+def whole(r):
+    return all(r[c] == r.row.split(".")[0] + "." + c for c in CLASHING)
+
+
+def test_suffix_dedup_of_equal_ids(spark):
+    rng = random.Random(21)
+    own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(220)) for _ in range(4)]
+    texts = [(1, own[0], "s"), (1, own[0][:150] + own[1], "s"), (None, own[2], "s"), (2, own[2], "s"), (3, own[3], "s"), (3, own[3], "s"), (4, None, "s"), (4, "", "s")]
+    got = {r.row.row.split(".")[0]: r for r in suffixes.removed(clashing(spark, texts)).collect()}
+    assert len(got) == 8 and all(whole(r.row) for r in got.values())
+    kept = {k: bytes(r.kept).decode() for k, r in got.items()}
+    # Of the two texts with id 1 one is first, and the other loses what they share alone.
+    assert (kept["0"], kept["1"]) in [(own[0], own[1]), (own[0][150:], own[0][:150] + own[1])]
+    assert (kept["2"], kept["3"]) == (own[2], "") and kept["4"] == kept["5"] == own[3] and kept["6"] == kept["7"] == ""
+
+
+def test_names_and_nulls_of_other_stages(spark, empty):
+    rng = random.Random(22)
+    texts = [(None if k % 9 == 0 else k % 20, text_of(rng, 70) if k % 7 else None, None if k % 5 == 0 else f"s{k % 3}") for k in range(60)]
+    df = clashing(spark, texts)
+    kept = quality.filtered(df)
+    assert kept.columns == df.columns and kept.count() and all(whole(r) for r in kept.collect())
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and mixed.count() and all(whole(r) for r in mixed.collect())
+    assert mixing.mixed_documents(empty).count() == 0 and quality.filtered(empty).count() == 0
+    held = [r.held for r in df.select(toxicity.held_out().alias("held")).collect()]
+    assert None not in held and held == [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in texts]
+
+
+def test_permutation(spark):
+    """Each source's indexes are permuted, whatever their number; far beyond 2**31 blocks nothing overflows."""
+    sizes = [1, 2, 3, 4, 5, 7, 16, 17, 99, 100, 101, 1000]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long").selectExpr("n", "explode(sequence(0L, n - 1)) as i")
+    got = defaultdict(list)
+    for r in df.select("n", "i", mixing.permuted("i", "n", "n", "7").alias("p")).orderBy("n", "i").collect():
+        got[r.n].append(r.p)
+    assert all(sorted(x) == list(range(n)) for n, x in got.items()) and sorted(got) == sizes
+    assert got[1000][:20] != list(range(20)) and len({got[1000][k + 1] - got[1000][k] for k in range(999)}) > 300
+    n = 10**13
+    far = spark.range(2000).select(mixing.permuted(f"({n} - 1 - id)", f"cast({n} as bigint)", "'s'", "7").alias("p")).collect()
+    assert len({r.p for r in far}) == 2000 and all(0 <= r.p < n for r in far)
 
 
 def test_packing(docs, rows, empty):
