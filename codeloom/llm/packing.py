@@ -9,8 +9,8 @@ smallest free slot that holds it, ties to the smallest gap. Each range is swept
 top. Pieces that found no slot in their range and slots that were left over are settled among the ranges by rank: the r-th
 such piece takes the r-th slot from the top of the ranges above, which a table of one row for each range tells. Then the gaps
 are updated, and the rest of the class goes round again. Once no more than half of what went round was placed, new sequences
-are opened, as many as the rest needs at least. The last LAST pieces at most are placed by one sweep over the counts of
-their lengths and of the gaps, best-fit decreasing.
+are opened for the rest. Once no more than REST of all pieces, the shortest ones, are left, they are
+placed by one sweep over the counts of their lengths and of the gaps, best-fit decreasing: so many supersteps do at any size.
 
 Defined results: a null or empty text is one end token; repeated rows are packed each; a null id is an id like others;
 other columns are not looked at, so they may have any names.
@@ -38,8 +38,8 @@ from codeloom.llm.shared import running_total, small, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Units that a worker remembers the ids of.
 REMEMBERED = 400_000
-#: Pieces below which one sweep places what is left; rows of a range of a superstep.
-LAST, RANGE = 40_000, 1 << 16
+#: The share of the pieces that one sweep over their lengths places at the end; rows of a range of a superstep.
+REST, RANGE = 1 / 3, 1 << 16
 
 
 _SPACE, _LETTER, _DIGIT, _MARK, _HARD = range(5)
@@ -407,8 +407,8 @@ def _last(pieces: DataFrame, gaps: DataFrame, opened: int, capacity: int) -> Dat
     plan = sweep(runs, capacity, free)
     spark, known = pieces.sparkSession, sum(free.values())
     plan = spark.createDataFrame(pd.DataFrame(plan, columns=["run", "lo", "hi", "first", "offset"]).astype("int64"), "run long, lo long, hi long, first long, offset long")
-    rank = F.row_number().over(W.partitionBy("length").orderBy("uid")) - 1  # LAST rows at most
-    met = pieces.withColumn("rank", rank).join(F.broadcast(plan), (F.col("length") == F.col("run")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    ranked = running_total(written(pieces.withColumn("one", F.lit(1)), "rest"), "length", ["uid"], "one", "rank")
+    met = ranked.join(F.broadcast(plan), (F.col("length") == F.col("run")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     met = written(met.select("uid", F.expr("first + rank - lo").alias("place"), "offset"), "last")
     new = met.where(F.col("place") >= known).select("uid", (F.col("place") - known + opened).alias("seq"), "offset")
     if not known:
@@ -429,15 +429,18 @@ def packed(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     spark, opened, placed = cut.sparkSession, 0, []
     fresh = lambda n: spark.range(opened, opened + n).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
     gaps, top, rest, left = fresh(0), capacity, sum(runs.values()), None
-    while rest > LAST:
+    last, least = int(REST * rest), -(-sum(k * n for k, n in runs.items()) // capacity)
+    while rest > last:
         low = top // 2
         own = {k: n for k, n in runs.items() if low < k <= top}
         n, tokens = sum(own.values()), sum(k * n for k, n in own.items())
         left = cut.where((F.col("length") > low) & (F.col("length") <= top)).select("uid", "length")
         done = n if opened else 0
-        while n and rest > LAST:
-            if done < n:  # each of the first class needs a sequence; later ones as many as their tokens do
-                more = n if top == capacity else -(-tokens // capacity)
+        while n and rest > last:
+            if done < n:  # as many as their tokens need at least; the last few of a class at once, if all have so many
+                more = -(-n // (capacity // top))
+                if top < capacity and (n > last // 16 or opened + more > least):
+                    more = -(-tokens // capacity)
                 gaps = gaps.unionByName(fresh(more))
                 opened += more
             ranges = -(-(n + opened) // RANGE)
