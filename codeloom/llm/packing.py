@@ -38,8 +38,9 @@ from codeloom.llm.shared import running_total, small, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Units that a worker remembers the ids of.
 REMEMBERED = 400_000
-#: The share of the pieces that one sweep over their lengths places at the end; rows of a range of a superstep.
-REST, RANGE = 1 / 3, 1 << 16
+#: The share of the pieces that one sweep over their lengths places at the end; rows of a range of a superstep, and rows of three
+#: numbers that may be broadcast.
+REST, RANGE, NARROW = 1 / 2, 1 << 16, 200_000
 
 
 _SPACE, _LETTER, _DIGIT, _MARK, _HARD = range(5)
@@ -368,40 +369,36 @@ def _flows(summary: list) -> tuple[list[tuple], dict[int, int]]:
     return flows, settled
 
 
-def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int, int]:
-    """pieces: (uid, length), all of more than `low` and at most `top`; gaps: (seq, gap). Returns what was placed (uid, seq,
-    offset), the gaps and the pieces left, how many were placed, how many are left, and their tokens."""
+def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int, int]:
+    """pieces: (uid, length), all of more than `low` and at most `top`; gaps: (seq, gap). Returns what was placed (uid, length,
+    seq), the gaps and the pieces left, how many were placed, how many are left, and their tokens."""
     spark = pieces.sparkSession
     swept = _swept(pieces, gaps, top, low, ranges)
     some = lambda k: F.count_if(F.col("what") == k)
     tokens = F.coalesce(F.sum(F.when(F.col("what") == 1, F.col("length"))), F.lit(0))
-    summary = swept.groupBy("part").agg(some(0), some(1), some(2), tokens).orderBy("part").collect()  # a row for each range
+    summary = sorted(swept.groupBy("part").agg(some(0), some(1), some(2), tokens).collect())  # a row for each range
     flows, settled = _flows([(r[0], r[2], r[3]) for r in summary])
-    met = swept.where("what = 0").select("uid", "length", "seq", "gap")
+    across = sum(settled.values())
+    met = swept.where("what = 0").select("uid", "length", "seq")
     if flows:
         flow = F.broadcast(spark.createDataFrame(flows, "p int, lo long, hi long, q int, top long, first long"))  # two rows a range at most
         lost = swept.where("what = 1").join(flow, (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
         over = swept.where("what = 2").join(flow, (F.col("part") == F.col("q")) & (F.col("rank") < F.col("top")) & (F.col("rank") >= F.expr("top - (hi - lo)")))
         lost = lost.select("uid", "length", F.expr("first + rank - lo").alias("number"))
-        over = over.select("seq", "gap", F.expr("first + top - 1 - rank").alias("number"))
-        met = met.unionByName(lost.join(over, "number").select("uid", "length", "seq", "gap"))
-    # A sequence takes some pieces at once, one a slot: they lie in the order of their numbers.
-    before = F.coalesce(F.sum("length").over(W.partitionBy("seq").orderBy("uid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = written(met.select("uid", "seq", (F.lit(capacity) - F.col("gap") + before).alias("offset"), "length"), "placed")
-    used = placed.groupBy("seq").agg(F.sum("length").alias("used"))
-    gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0")
+        over = over.select("seq", F.expr("first + top - 1 - rank").alias("number"))
+        met = met.unionByName(lost.join(F.broadcast(over) if across <= NARROW else over, "number").select("uid", "length", "seq"))
+    placed = written(met, "placed")
+    left_over = gaps.unionByName(placed.select("seq", (-F.col("length")).alias("gap"))).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
     took = F.broadcast(spark.createDataFrame([*settled.items()], "part int, took long"))
     left = swept.where("what = 1").join(took, "part").where("rank >= took").select("uid", "length")
-    n_left = sum(r[2] for r in summary) - sum(settled.values())
-    n_placed = sum(r[1] for r in summary) + sum(settled.values())
-    total = sum(r[4] for r in summary)
-    if n_left and sum(settled.values()):
+    n_left, total = sum(r[2] for r in summary) - across, sum(r[4] for r in summary)
+    if n_left and across:
         total = left.agg(F.sum("length")).first()[0]
-    return placed.select("uid", "seq", "offset"), written(gaps, "gaps"), left, n_placed, n_left, total
+    return placed, written(left_over, "gaps"), left, sum(r[1] for r in summary) + across, n_left, total
 
 
 def _last(pieces: DataFrame, gaps: DataFrame, opened: int, capacity: int) -> DataFrame:
-    """(uid, seq, offset) of the last pieces: by the counts of their lengths, and of the gaps by size, `capacity` rows each."""
+    """(uid, length, seq, at) of the last pieces, `at` their order in a sequence: by the counts of their lengths, and of the gaps by size, `capacity` rows each."""
     runs = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     free = {r[0]: r[1] for r in gaps.groupBy("gap").count().collect()}
     plan = sweep(runs, capacity, free)
@@ -409,8 +406,8 @@ def _last(pieces: DataFrame, gaps: DataFrame, opened: int, capacity: int) -> Dat
     plan = spark.createDataFrame(pd.DataFrame(plan, columns=["run", "lo", "hi", "first", "offset"]).astype("int64"), "run long, lo long, hi long, first long, offset long")
     ranked = running_total(written(pieces.withColumn("one", F.lit(1)), "rest"), "length", ["uid"], "one", "rank")
     met = ranked.join(F.broadcast(plan), (F.col("length") == F.col("run")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    met = written(met.select("uid", F.expr("first + rank - lo").alias("place"), "offset"), "last")
-    new = met.where(F.col("place") >= known).select("uid", (F.col("place") - known + opened).alias("seq"), "offset")
+    met = written(met.select("uid", "length", F.expr("first + rank - lo").alias("place"), F.col("offset").alias("at")), "last")
+    new = met.where(F.col("place") >= known).select("uid", "length", (F.col("place") - known + opened).alias("seq"), "at")
     if not known:
         return new
     starts, at = [], 0
@@ -419,7 +416,7 @@ def _last(pieces: DataFrame, gaps: DataFrame, opened: int, capacity: int) -> Dat
         at += n
     starts = F.broadcast(spark.createDataFrame(starts, "gap long, at long"))
     numbered = running_total(gaps.withColumn("one", F.lit(1)), "gap", ["seq"], "one", "nth").join(starts, "gap").select("seq", (F.col("at") + F.col("nth")).alias("place"))
-    return met.join(numbered, "place").select("uid", "seq", "offset").unionByName(new)
+    return met.join(numbered, "place").select("uid", "length", "seq", "at").unionByName(new)
 
 
 def packed(cut: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -444,15 +441,20 @@ def packed(cut: DataFrame, capacity: int = 2048) -> DataFrame:
                 gaps = gaps.unionByName(fresh(more))
                 opened += more
             ranges = -(-(n + opened) // RANGE)
-            out, gaps, left, done, n, tokens = superstep(left, gaps, top, low, ranges, capacity)
-            placed.append(out)
+            out, gaps, left, done, n, tokens = superstep(left, gaps, top, low, ranges)
+            placed.append(out.select(F.lit(len(placed)).alias("step"), "uid", "length", "seq", F.col("uid").alias("at")))
             rest -= done
         if not n:
             left, top = None, low
     small_ones = cut.where(F.col("length") <= (top if left is None else top // 2)).select("uid", "length")
     if rest:
-        placed.append(_last(small_ones if left is None else small_ones.unionByName(left), gaps, opened, capacity))
-    every = functools.reduce(DataFrame.unionByName, placed) if placed else fresh(0).select(F.col("seq").alias("uid"), "seq", F.col("gap").alias("offset"))
+        last = _last(small_ones if left is None else small_ones.unionByName(left), gaps, opened, capacity)
+        placed.append(last.select(F.lit(len(placed)).alias("step"), "uid", "length", "seq", "at"))
+    if not placed:
+        return cut.drop("uid").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    # A sequence's pieces, `capacity` at most, lie in the order in which they were placed.
+    before = W.partitionBy("seq").orderBy("step", "at").rowsBetween(W.unboundedPreceding, -1)
+    every = functools.reduce(DataFrame.unionByName, placed).select("uid", "seq", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
     met = cut.join(every, "uid")
     return met.select(*[c for c in cut.columns if c != "uid"], F.col("seq").alias("sequence_id"), "offset")
 
