@@ -694,9 +694,10 @@ def test_lm_learns_from_all(spark, monkeypatch):
     """Held-out texts are likelier than by counts alone, with one task or many, and whichever documents hold a pattern."""
     monkeypatch.setattr(lm, "FAN", 2)
     monkeypatch.setattr(lm, "TASKS", 8)
+    monkeypatch.setattr(lm, "PER_TASK", 20_000)
     rng = random.Random(8)
     pool = [f"w{k}" for k in range(40)]
-    texts = [" ".join(f"{(w := rng.choice(pool))} {w}b {w}c" for _ in range(40)) for _ in range(400)]
+    texts = [" ".join(f"{(w := rng.choice(pool))} {w}b {w}c" for _ in range(120)) for _ in range(400)]
     for tasks in (1, 5):
         docs = spark.createDataFrame([(None if k == 7 else k, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(tasks)
         got = lm.scored(docs).collect()
