@@ -95,17 +95,26 @@ def contains_edges(types: DataFrame, methods: DataFrame) -> DataFrame:
     return as_edges(t.join(m, ["file", "class_fqn"]).select("src", "dst", F.lit("CONTAINS").alias("type")).distinct())
 
 
-def calls_edges(calls: DataFrame, methods: DataFrame) -> DataFrame:
-    """Method to method: the callee's type, without its type arguments, and the name are looked up among all methods."""
-    known = methods.select(F.col("class_fqn").alias("callee_class"), F.col("name").alias("callee_name")).distinct()
-    c = calls.select(
+def call_targets(calls: DataFrame) -> DataFrame:
+    """(src, callee_class, callee_name) of calls: the caller's node, and the callee's type without its type arguments."""
+    return calls.select(
         s.method_id(F.substring_index("method_full_name", ".", -1), s.simple_name(F.regexp_extract("method_full_name", r"(?s)^(.*)\.[^.]*$", 1))).alias("src"),
         s.strip_type_arguments("callee").alias("callee_class"), F.col("method_name").alias("callee_name"),
-    )
-    met = c.join(known, ["callee_class", "callee_name"]).select("src", s.method_id("callee_name", s.simple_name("callee_class")).alias("dst"), F.lit("CALLS").alias("type"))
+    ).distinct()
+
+
+def met_calls(targets: DataFrame, methods: DataFrame) -> DataFrame:
+    """targets joined with the methods (class_fqn, name) that they name."""
+    known = methods.select(F.col("class_fqn").alias("callee_class"), F.col("name").alias("callee_name")).distinct()
+    met = targets.join(known, ["callee_class", "callee_name"]).select("src", s.method_id("callee_name", s.simple_name("callee_class")).alias("dst"), F.lit("CALLS").alias("type"))
     return as_edges(met.where("src <> dst").distinct())
 
 
+def calls_edges(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """Method to method: the callee's type, without its type arguments, and the name are looked up among all methods."""
+    return met_calls(call_targets(calls), methods)
+
+
 def annotation_edges(uses: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     u = used_annotations(uses, list(DEFAULT_EXCLUDED) if excluded is None else excluded)
     owner = F.regexp_extract("target_fqn", r"(?s)^(.*)\.[^.]*$", 1)

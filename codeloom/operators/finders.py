@@ -33,6 +33,13 @@ def hop(nodes: DataFrame, edges: DataFrame, kind: str | None, start: str, label:
     return n.join(e.select(F.col(there).alias("id")), "id").select(*n.columns)
 
 
+def hops(nodes: DataFrame, edges: DataFrame, kind: str, backwards: bool = False) -> DataFrame:
+    """`hop` for every start at once: (start, and the columns of nodes)."""
+    here, there = ("dst", "src") if backwards else ("src", "dst")
+    e = edges.where(F.col("type") == kind).select(F.col(here).alias("start"), F.col(there).alias("id"))
+    return nodes.join(e, "id").select("start", *nodes.columns)
+
+
 def relationships(nodes: DataFrame, edges: DataFrame, start: str) -> DataFrame:
     e = edges.where(F.col("src") == start).select("src", "type", F.col("dst").alias("id"))
     return e.join(nodes, "id").select("src", "type", F.col("id").alias("dst"), "label", "name")
@@ -44,10 +51,15 @@ def existing_ids(nodes: DataFrame, label: str, ids: DataFrame) -> DataFrame:
 
 def button_workflow(nodes: DataFrame, edges: DataFrame, button: str) -> DataFrame:
     """The button, what it triggers, what it interacts with, and the functions that interact with it: three optional matches."""
-    b = nodes.where(F.col("id") == button).select(F.col("id").alias("button"))
+    return workflows(nodes, edges, nodes.where(F.col("id") == button).select(F.col("id").alias("button")))
+
+
+def workflows(nodes: DataFrame, edges: DataFrame, buttons: DataFrame, by_functions: DataFrame | None = None) -> DataFrame:
+    """`button_workflow` of all buttons (button); by_functions: the edges in which to look for functions, if not all."""
     side = lambda kind, here, there, name: edges.where(F.col("type") == kind).select(F.col(here).alias("button"), F.col(there).alias(name))
-    functions = side("INTERACTS_WITH", "dst", "src", "function").join(nodes.where("node_type = 'JSFunction'").select(F.col("id").alias("function")), "function", "left_semi")
-    return b.join(side("TRIGGERS", "src", "dst", "method"), "button", "left").join(side("INTERACTS_WITH", "src", "dst", "element"), "button", "left").join(functions, "button", "left").select("button", "method", "element", "function")
+    callers = (edges if by_functions is None else by_functions).where("type = 'INTERACTS_WITH'").select(F.col("dst").alias("button"), F.col("src").alias("function"))
+    functions = callers.join(nodes.where("node_type = 'JSFunction'").select(F.col("id").alias("function")), "function", "left_semi")
+    return buttons.join(side("TRIGGERS", "src", "dst", "method"), "button", "left").join(side("INTERACTS_WITH", "src", "dst", "element"), "button", "left").join(functions, "button", "left").select("button", "method", "element", "function")
 
 
 def functions_by_complexity(nodes: DataFrame, least: int) -> DataFrame:
@@ -74,6 +86,16 @@ def annotation_usages(nodes: DataFrame, edges: DataFrame, name: str) -> DataFram
     return edges.where("type = 'HAS_ANNOTATION'").join(a, "dst").agg(F.count("*").alias("usages"))
 
 
+def usages_by_annotation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`annotation_usages` of all annotations: (name, usages)."""
+    a = nodes.where("label = 'Annotation'").select(F.col("id").alias("dst"), "name")
+    return edges.where("type = 'HAS_ANNOTATION'").join(a, "dst").groupBy("name").agg(F.count("*").alias("usages"))
+
+
+def methods_per_class(edges: DataFrame) -> DataFrame:
+    return edges.where("type = 'CONTAINS'").groupBy(F.col("src").alias("class_id")).agg(F.count("*").alias("methods"))
+
+
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Totals and counts by label and by edge type, in one table (kind, name, count)."""
     per = nodes.groupBy(F.lit("label").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("count"))
@@ -82,6 +104,10 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per.unionByName(types).unionByName(totals)
 
 
+#: The kinds of nodes of the page layer, whatever label they carry.
+PAGE_TYPES = ("Page", "JSFComponent", "JSFunction", "BackendMethod", "ExternalJS", "DOMElement")
+
+
 def _finders() -> dict[str, Callable[..., DataFrame]]:
     out: dict[str, Callable[..., DataFrame]] = {}
 
@@ -145,15 +171,21 @@ def _finders() -> dict[str, Callable[..., DataFrame]]:
         fixed("Annotation", f"all_{label.lower()}", "Annotation", target_type=label)
         step("Annotation", f"annotated_{label.lower()}", "HAS_ANNOTATION", label, True)
         step("Annotation", f"by_{label.lower()}", "HAS_ANNOTATION", "Annotation")
-    page = ("Page", "JSFComponent", "JSFunction", "BackendMethod", "ExternalJS", "DOMElement")
-    for label in ("JspNode", "JSPFile", "JSPBackendMethod", "JSPComponent"):
+    page = PAGE_TYPES
+    layer = lambda n: n.where(F.col("node_type").isin(*page))
+    out["JspNode.by_file"] = lambda n, e, file: layer(n).where(F.col("source_file") == file)
+    out["JspNode.by_id"] = lambda n, e, ident: layer(n).where(F.col("id") == ident)
+    out["JspNode.by_type"] = lambda n, e, kind: layer(n).where(F.col("node_type") == kind)
+    out["JspNode.by_file_and_type"] = lambda n, e, file, kind: layer(n).where((F.col("source_file") == file) & (F.col("node_type") == kind))
+    out["JspNode.all"] = lambda n, e: layer(n)
+    number("JspNode", "count", "all")
+    step("JspNode", "interacting", "INTERACTS_WITH", None)
+    for label in ("JSPFile", "JSPBackendMethod", "JSPComponent"):
         by(label, "by_file", label, "source_file")
         by(label, "by_id", label, "id")
         fixed(label, "all", label)
         number(label, "count", "all")
         step(label, "interacting", "INTERACTS_WITH", None)
-    by("JspNode", "by_type", "JspNode", "node_type")
-    by("JspNode", "by_file_and_type", "JspNode", "source_file", "node_type")
     for kind in page:
         out[f"JspNode.all_{kind}"] = lambda n, e, kind=kind: n.where(F.col("node_type") == kind)
     out["JspNode.page_of_file"] = lambda n, e, file: n.where((F.col("node_type") == "Page") & (F.col("source_file") == file))
@@ -186,10 +218,49 @@ CATALOG = _finders()
 PRESET_TAGS = {"navigation": "Navigation", "validation": "Data_Validation", "form-submission": "Form_Submission", "ui-manipulation": "UI_Manipulation"}
 
 
-def answer(nodes: DataFrame, edges: DataFrame, name: str, *values) -> dict:
-    """A query's rows as dictionaries, or what went wrong, without raising."""
+def answer(nodes: DataFrame, edges: DataFrame, name: str, *values, most: int = 1000) -> dict:
+    """A query's count, and its first `most` rows as dictionaries; or what went wrong, without raising."""
     try:
-        rows = [r.asDict(recursive=True) for r in CATALOG[name](nodes, edges, *values).collect()]
-        return {"success": True, "records": rows, "count": len(rows)}
+        found = CATALOG[name](nodes, edges, *values)
+        rows = [r.asDict(recursive=True) for r in found.limit(most).collect()]
+        return {"success": True, "records": rows, "count": len(rows) if len(rows) < most else found.count()}
     except Exception as e:  # the answer carries the error
         return {"success": False, "error": str(e)}
+
+
+def preset(nodes: DataFrame, name: str) -> DataFrame:
+    """The functions with the tag that a preset stands for."""
+    return functions_by_tag(nodes, PRESET_TAGS[name])
+
+
+def node_details(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids: (id). Each node with its edges out and in, each sorted: (id, label, name, out, incoming), structs of type and node."""
+    side = lambda here, there, name: edges.join(ids.select(F.col("id").alias(here)).distinct(), here, "left_semi").groupBy(F.col(here).alias("id")).agg(F.array_sort(F.collect_list(F.struct("type", F.col(there).alias("node")))).alias(name))
+    own = nodes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "label", "name")
+    none = F.array().cast("array<struct<type:string,node:string>>")
+    met = own.join(side("src", "dst", "out"), "id", "left").join(side("dst", "src", "incoming"), "id", "left")
+    return met.select("id", "label", "name", F.coalesce("out", none).alias("out"), F.coalesce("incoming", none).alias("incoming"))
+
+
+def page_report(nodes: DataFrame, edges: DataFrame, least: int = 5) -> DataFrame:
+    """(section, name, value): node types, edge types, functions with calls to the server, and functions of at least that complexity."""
+    types, kinds = CATALOG["JspNode.type_statistics"](nodes, edges), CATALOG["JspNode.relationship_statistics"](nodes, edges)
+    ajax = CATALOG["JspNode.with_ajax"](nodes, edges).select(F.lit("ajax").alias("section"), "name", F.lit(1).cast("long").alias("value"))
+    hard = nodes.where((F.col("node_type") == "JSFunction") & (F.col("props")["complexity_score"].cast("int") >= least))
+    hard = hard.select(F.lit("complexity").alias("section"), "name", F.col("props")["complexity_score"].cast("long").alias("value"))
+    part = lambda df, section, column: df.select(F.lit(section).alias("section"), F.col(column).alias("name"), F.col("count").alias("value"))
+    return part(types, "nodes", "node_type").unionByName(part(kinds, "relationships", "type")).unionByName(ajax).unionByName(hard)
+
+
+def methods_by_class(methods: DataFrame) -> DataFrame:
+    """methods: (class_fqn, name). (class_fqn, names): the distinct names of each class."""
+    return methods.select("class_fqn", "name").distinct().groupBy("class_fqn").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def folder_totals(nodes: DataFrame) -> DataFrame:
+    """(folder, files, components, functions, methods, scripts): the page layer's totals for each folder of a page."""
+    folder = F.regexp_extract("source_file", r"^(.*)/[^/]*$", 1)
+    some = lambda kind: F.count_if(F.col("node_type") == kind)
+    return nodes.where(F.col("node_type").isin(*PAGE_TYPES)).groupBy(folder.alias("folder")).agg(
+        some("Page").alias("files"), some("JSFComponent").alias("components"), some("JSFunction").alias("functions"), some("BackendMethod").alias("methods"), some("ExternalJS").alias("scripts"),
+    )

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.operators.pages import matches
 from codeloom.tables import written
 
 # Words that look like calls or types and are none.
@@ -32,12 +33,21 @@ def _blanked(x) -> F.Column:
     return F.regexp_replace(x, r"[^\n]", " ")
 
 
-def masked(content) -> F.Column:
-    """The text with comments blanked, and the insides of string and character literals too; lengths and lines stay."""
+def masked(content, literals: bool = True) -> F.Column:
+    """The text with comments blanked, and, if `literals`, the insides of string and character literals and the semicolons of loop
+    headers too; lengths and lines stay."""
     token = r"""(?s)/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
     parts, found = F.split(content, token, -1), F.regexp_extract_all(content, F.lit(token), F.lit(0))
-    clean = F.transform(found, lambda x: F.when(x.startswith("/"), _blanked(x)).otherwise(F.concat(F.substring(x, 1, 1), F.repeat(F.lit(" "), F.length(x) - 2), F.substring(x, 1, 1))))
-    return F.array_join(F.zip_with(parts, clean, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    inside = lambda x: F.concat(F.substring(x, 1, 1), F.repeat(F.lit(" "), F.length(x) - 2), F.substring(x, 1, 1)) if literals else x
+    clean = F.transform(found, lambda x: F.when(x.startswith("/"), _blanked(x)).otherwise(inside(x)))
+    text = F.array_join(F.zip_with(parts, clean, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    if not literals:
+        return text
+    # Braces and semicolons in the arguments of annotations and in loop headers open and end nothing.
+    uses = r"@[A-Za-z_][\w.]*\s*\((?:[^()]|\([^()]*\))*\)"
+    parts, found = F.split(text, uses, -1), F.transform(F.regexp_extract_all(text, F.lit(uses), F.lit(0)), lambda x: F.translate(x, "{};", "[],"))
+    text = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.regexp_replace(text, r"(\bfor\s*\([^;{}]*);([^;{}]*);", "$1,$2,")
 
 
 def segments(files: DataFrame) -> DataFrame:
@@ -96,12 +106,14 @@ def _ends(rows: DataFrame) -> DataFrame:
 class Parsed:
     """The tables of a set of files: types, methods, calls, fragments, annotation_uses."""
 
-    def __init__(self, files: DataFrame):
+    def __init__(self, files: DataFrame, earlier: DataFrame | None = None):
+        """earlier: (package, class_fqn) of types that other files are known to hold."""
         rows = written(classified(segments(files)), "segments")
         head = files.select(F.col("path").alias("file"), F.col("content"))
         text = F.coalesce(F.col("content"), F.lit(""))
         self.units = written(head.select("file", F.regexp_extract(text, r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;"), F.lit(1)).alias("imports")), "units")
-        self.rows, self.ends = rows, _ends(rows)
+        self.rows, self.ends, self.files = rows, _ends(rows), files
+        self.earlier = earlier
         owner = _enclosing(rows, ["type"], "owner")
         self.types = written(self._types(owner), "types")
         self.known = self.types.groupBy(F.substring_index("class_fqn", ".", -1).alias("_simple")).agg(F.min("class_fqn").alias("_fqn"))
@@ -112,7 +124,9 @@ class Parsed:
         """df, which has `file`: the column's type name completed by imports, the package, or the known classes."""
         bare = F.regexp_replace(F.regexp_replace(F.trim(F.col(column)), r"(?s)<.*>", ""), r"\[\]|\.\.\.", "")
         imports = self.units.select("file", F.explode("imports").alias("_i")).groupBy("file", F.substring_index("_i", ".", -1).alias("_n")).agg(F.min("_i").alias("_import"))
-        same = self.types.select("package", F.substring_index("class_fqn", ".", -1).alias("_n2"), F.col("class_fqn").alias("_same")).distinct()
+        types = self.types.select("package", "class_fqn")
+        types = types.unionByName(self.earlier.select("package", "class_fqn")) if self.earlier is not None else types
+        same = types.groupBy("package", F.substring_index("class_fqn", ".", -1).alias("_n2")).agg(F.min("class_fqn").alias("_same"))
         met = df.withColumn("_bare", bare).join(imports.withColumnRenamed("file", "_f"), (F.col("file") == F.col("_f")) & (F.col("_bare") == F.col("_n")), "left").drop("_f", "_n")
         met = met.join(self.units.select(F.col("file").alias("_f"), F.col("package").alias("_package")), F.col("file") == F.col("_f"), "left").drop("_f")
         met = met.join(same, (F.col("_package") == F.col("package")) & (F.col("_bare") == F.col("_n2")), "left").drop("package", "_n2") if "package" not in df.columns else met.withColumn("_same", F.lit(None).cast("string"))
@@ -178,7 +192,7 @@ class Parsed:
         frags = frags.select(
             "file", key("ord").alias("fragment_id"), inside_method.alias("parent_fragment_id"), F.col("full_name").alias("method_full_name"),
             F.when(loop, "LOOP").otherwise("ALTERNATIVE").alias("type"), condition.alias("condition"), F.col("line").alias("start_line"), "end_line",
-            (F.row_number().over(W.partitionBy("file", "_ladder").orderBy("ord")) - 1).alias("ordinal"),
+            (F.row_number().over(W.partitionBy("file", "_ladder").orderBy("ord")) - 1).alias("ordinal"), key("_ladder").alias("ladder_id"),
         )
         return written(frags, "fragments"), written(self._calls(own, inside_method, key), "calls")
 
@@ -207,14 +221,32 @@ class Parsed:
         seq = F.row_number().over(W.partitionBy("file").orderBy("ord", "nth"))
         met = met.withColumn("seq", seq).withColumn("call_id", F.concat_ws("#", "file", F.lit("c"), seq.cast("string")))
         w = W.partitionBy("file", "ord").orderBy("nth")
+        met = met.withColumn("receiver_call_id", F.when(F.col("chained"), F.lag("call_id").over(w)))
+        met = self._linked(written(met, "found"))
         running = F.row_number().over(W.partitionBy("file", "var").orderBy("seq"))
         return met.select(
             "file", "call_id", F.col("full_name").alias("method_full_name"), "seq", F.col("class_fqn").alias("caller"), "callee", F.col("var").alias("callee_variable"),
             F.when(F.col("var") == "this", "this1").otherwise(F.concat("var", running.cast("string"))).alias("callee_instance"), F.col("method_name"), "arguments",
-            F.when(F.col("is_new"), F.col("callee")).otherwise("void").alias("return_type"), "assigned_to", (F.col("line") + F.col("lines_before")).cast("int").alias("line"),
-            F.when(F.col("chained"), F.lag("call_id").over(w)).alias("receiver_call_id"), "parent_fragment_id", "region",
+            F.when(F.col("is_new"), F.col("callee")).otherwise(F.coalesce("returns", F.lit("void"))).alias("return_type"), "assigned_to", (F.col("line") + F.col("lines_before")).cast("int").alias("line"),
+            "receiver_call_id", "parent_fragment_id", "region",
         )
 
+    def _linked(self, calls: DataFrame) -> DataFrame:
+        """Adds `returns`, what the first method of that class and name returns; a chained call's callee is what its receiver
+        returns. Each round goes one link further along all chains."""
+        own = self._resolve(self.methods_.select("file", F.col("class_fqn").alias("_c"), F.col("name").alias("_m"), "ordinal", F.col("return_type").alias("_r")), "_r")
+        returns = written(own.groupBy("_c", "_m").agg(F.min_by("_r", F.struct("file", "ordinal")).alias("returns")), "returns")
+        known = lambda df: df.join(returns, (F.col("callee") == F.col("_c")) & (F.col("method_name") == F.col("_m")), "left").drop("_c", "_m")
+        done = known(calls.where("receiver_call_id is null"))
+        rest, last = calls.where("receiver_call_id is not null"), done
+        while True:
+            up = last.select(F.col("call_id").alias("receiver_call_id"), F.coalesce(F.when(F.col("is_new"), F.col("callee")), "returns").alias("_type"))
+            met = rest.join(up, "receiver_call_id").withColumn("callee", F.when(F.coalesce("_type", F.lit("void")).isin("void", ""), F.lit("unknown")).otherwise(F.col("_type"))).drop("_type")
+            last = written(known(met.select(*calls.columns)), "links")
+            if last.isEmpty():
+                return done
+            done = done.unionByName(last)
+
     @property
     def methods(self) -> DataFrame:
         return self.methods_.drop("arguments", "head", "ord")
@@ -229,18 +261,63 @@ class Parsed:
 
     @property
     def annotation_uses(self) -> DataFrame:
-        """Uses on types and methods; what the masking blanked in their arguments is blank here too."""
-        t = self.types.select("file", F.when(F.col("class_type") == "Interface", "Interface").otherwise("Class").alias("target_type"), F.col("class_fqn").alias("target_fqn"), "start_line", "head")
-        m = self.methods_.select("file", F.lit("Method").alias("target_type"), F.col("full_name").alias("target_fqn"), "start_line", "head")
-        every = t.unionByName(m).select("file", "target_type", "target_fqn", "start_line", F.explode(F.regexp_extract_all("head", F.lit(_ANNOTATION), F.lit(0))).alias("use")).where("use not like '@interface%'")
-        inner = F.trim(F.regexp_extract("use", r"(?s)\((.*)\)$", 1))
-        params = F.transform(F.filter(F.split(inner, r",(?![^{(]*[)}])"), lambda x: F.trim(x) != ""), lambda x: F.struct(
-            F.when(x.contains("="), F.trim(F.substring_index(x, "=", 1))).otherwise(F.lit("value")).alias("name"), F.trim(F.regexp_replace(x, r"^[^=]*=", "")).alias("value"), F.lit("expression").alias("kind")))
+        """Uses on types and methods. They are found where literals are blanked, and read, with their arguments, from the same place
+        of the text that has only its comments blanked."""
+        t = self.types.select("file", "ord", F.when(F.col("class_type") == "Interface", "Interface").otherwise("Class").alias("target_type"), F.col("class_fqn").alias("target_fqn"))
+        m = self.methods_.select("file", "ord", F.lit("Method").alias("target_type"), F.col("full_name").alias("target_fqn"))
+        rows = self.rows.where("raw like '%@%'").select("file", "ord", "line", "at", "raw").join(t.unionByName(m), ["file", "ord"])
+        text = self.files.select(F.col("path").alias("file"), masked(F.col("content"), False).alias("_text"))
+        rows = rows.join(text, "file").withColumn("own", F.expr("substring(_text, cast(at as int) + 1, length(raw))")).drop("_text").withColumnRenamed("at", "_from")
+        keep = ("file", "target_type", "target_fqn", "line", "raw", "own")
+        uses = matches(rows, "raw", _ANNOTATION, 0, *keep).where("whole not like '@interface%'")
+        breaks = lambda x: F.regexp_count(x, F.lit("\n"))
+        lead = F.regexp_extract("raw", r"^\s*", 0)
+        start = (F.col("line") + breaks(F.col("before")) - F.when(F.length(lead) <= F.length("before"), breaks(lead)).otherwise(breaks(F.col("before")))).cast("int")
+        uses = uses.withColumn("use", F.substring(F.col("own"), F.col("at") + 1, F.length("whole"))).withColumn("start_line", start)
+        # Arguments are cut at the commas of the blanked text, which stand at the same places.
+        inside = F.regexp_extract("whole", r"(?s)^@[\w.]+\s*\((.*)\)$", 1)
+        uses = uses.withColumn("_in", inside).withColumn("_at", F.locate("(", F.col("whole")))
+        pieces = F.split("_in", r",(?![^\[(]*[)\]])", -1)
+        cut = F.aggregate(pieces, F.struct((F.col("_at") + 1).alias("p"), F.array().cast("array<string>").alias("out")), lambda a, x: F.struct((a["p"] + F.length(x) + 1).alias("p"), F.concat(a["out"], F.array(F.trim(F.substring(F.col("use"), a["p"], F.length(x))))).alias("out")))["out"]
+        named = r"(?s)^([A-Za-z_$][\w$]*)\s*=(?!=)\s*(.*)$"
+        value = lambda x: F.when(x.rlike(named), F.regexp_extract(x, named, 2)).otherwise(x)
+        kind = lambda v: F.when(v.rlike(r'^"'), "string").when(v.rlike(r"\.class$"), "type").when(v.rlike(r"^-?[0-9][\w.]*$"), "number").when(v.isin("true", "false"), "boolean").otherwise("expression")
+        plain = lambda v: F.when(v.rlike(r'(?s)^"(?:\\.|[^"\\])*"$'), F.regexp_extract(v, r'(?s)^"(.*)"$', 1)).when(v.rlike(r"\.class$"), F.regexp_replace(v, r"\.class$", "")).otherwise(v)
+        params = F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.struct(F.when(x.rlike(named), F.regexp_extract(x, named, 1)).otherwise(F.lit("value")).alias("name"), plain(value(x)).alias("value"), kind(value(x)).alias("kind")))
         name = F.regexp_extract("use", _ANNOTATION, 1)
-        return every.select("file", "target_type", "target_fqn", name.alias("name"), F.substring_index(name, ".", -1).alias("simple_name"), params.alias("params"), "start_line", F.col("start_line").alias("end_line"))
+        return uses.select("file", "target_type", "target_fqn", name.alias("name"), F.substring_index(name, ".", -1).alias("simple_name"), params.alias("params"), "start_line", (F.col("start_line") + breaks(F.col("whole"))).cast("int").alias("end_line"))
+
+    def method_at(self, places: DataFrame) -> DataFrame:
+        """places: (file, line). The innermost method around each, if any: (file, line, full_name)."""
+        m = self.methods.select("file", "full_name", "start_line", "end_line")
+        met = places.select("file", "line").distinct().join(m, "file").where("line between start_line and end_line")
+        return met.groupBy("file", "line").agg(F.max_by("full_name", F.struct("start_line", "full_name")).alias("full_name"))
+
+    def first_methods(self) -> DataFrame:
+        """(class_fqn, name, full_name, signature, start_line): the first overload of each name."""
+        m = self.methods
+        return m.groupBy("class_fqn", "name").agg(F.min_by(F.struct("full_name", "signature", "start_line"), "ordinal").alias("x")).select("class_fqn", "name", "x.*")
+
+
+def label(var: str, instance: str, kind: str) -> F.Column:
+    """`var:instance:type`; what is null is left out."""
+    return F.concat_ws(":", F.col(var), F.col(instance), F.col(kind))
+
+
+def fragment_label() -> F.Column:
+    """`method: type (condition)`; without a condition no parentheses."""
+    cond = F.when(F.coalesce("condition", F.lit("")) != "", F.concat(F.lit(" ("), F.col("condition"), F.lit(")"))).otherwise(F.lit(""))
+    return F.concat(F.substring_index("method_full_name", ".", -1), F.lit(": "), F.lower("type"), cond)
+
+
+def composed_name(package, name) -> F.Column:
+    """A dotted name is a full one; any other belongs to the package, if there is one."""
+    package, name = (F.col(x) if isinstance(x, str) else x for x in (package, name))
+    return F.when(name.contains("."), name).otherwise(F.concat_ws(".", F.nullif(package, F.lit("")), name))
 
 
 def trace_calls(parsed: Parsed) -> DataFrame:
-    """(caller, callee, ordinal, arguments, assigned_to, line) for a trace."""
+    """(caller, callee, ordinal, arguments, assigned_to, line, parent_fragment_id, region, receiver_call_id) for a trace."""
     c = parsed.calls
-    return c.select(F.col("method_full_name").alias("caller"), F.concat_ws(".", "callee", "method_name").alias("callee"), F.col("seq").alias("ordinal"), "arguments", "assigned_to", "line")
+    others = ("arguments", "assigned_to", "line", "parent_fragment_id", "region", "receiver_call_id")
+    return c.select(F.col("method_full_name").alias("caller"), F.concat_ws(".", "callee", "method_name").alias("callee"), F.col("seq").alias("ordinal"), *others)

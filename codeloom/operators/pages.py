@@ -79,6 +79,7 @@ def element_ids(content) -> F.Column:
     return F.array_distinct(F.regexp_extract_all(content, F.lit(ELEMENT), F.lit(1)))
 
 
+# The words in an element's id that tell its type, and those in a function's body that tell its purpose.
 def element_type(x) -> F.Column:
     has = lambda *words: F.col(x).rlike("|".join(words)) if isinstance(x, str) else x.rlike("|".join(words))
     return F.when(has("btn"), "Button").when(has("txt", "input"), "Input").when(has("combo"), "ComboBox").when(has("rdo"), "RadioButton").when(has("chk"), "CheckBox").when(has("date"), "DatePicker").when(has("form"), "Form").otherwise("Unknown")
@@ -99,7 +100,10 @@ def complexity(content) -> F.Column:
 
 def parsed_analysis(text) -> F.Column:
     """What stands between the first { and the last } of a model's answer, as a struct; null where it isn't JSON."""
-    schema = "summary string, purposeTags array<string>, interactsWithIds array<string>, complexityScore int, dataFlow string, businessLogic string"
+    schema = (
+        "summary string, purpose_tags array<string>, interacts_with_ids array<string>, ui_manipulation string, data_flow string, business_logic string, "
+        "complexity_score int, maintainability_notes string, potential_backend_calls array<string>"
+    )  # fixed values: the keys of an answer
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema)
 
 
@@ -126,7 +130,7 @@ def page_graph(pages: DataFrame, file: str = "file", text: str = "content") -> t
     fun_id = F.concat(F.lit("js_"), F.col("name"))
     nodes = [
         node(page, page_id, "JSPFile", "Page", F.col(file), line=F.lit(1), props=F.create_map(F.lit("pagecode_class"), F.coalesce("pagecode", F.lit("")))),
-        node(comp, F.col("id"), "JSPComponent", "JSFComponent", F.col("id"), line=F.col("line"), props=F.create_map(F.lit("component_type"), F.col("type"), F.lit("action"), F.col("action"), F.lit("event_type"), F.coalesce("event_type", F.lit("action")))),
+        node(comp, F.col("id"), "JSPComponent", "JSFComponent", F.col("id"), line=F.col("line"), props=F.create_map(F.lit("component_type"), F.col("type"), F.lit("tag_name"), F.col("type"), F.lit("action"), F.col("action"), F.lit("event_type"), F.coalesce("event_type", F.lit("action")))),
         node(funs, fun_id, "JspNode", "JSFunction", F.col("name"), line=F.col("line"), flags=F.create_map(F.lit("contains_ajax_call"), F.col("has_ajax"), F.lit("contains_navigation"), F.col("has_navigation")), props=F.create_map(F.lit("purpose_tags"), F.array_join(purpose_tags("content"), ","), F.lit("complexity_score"), complexity(F.col("content")).cast("string"))),
         node(called, method_id(F.col("method")), "JSPBackendMethod", "BackendMethod", F.col("method"), F.coalesce("pagecode", F.lit("unknown"))),
         node(touched.select(file, "element").distinct(), dom_id, "JspNode", "DOMElement", F.col("element"), props=F.create_map(F.lit("element_type"), element_type("element"))),

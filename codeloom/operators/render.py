@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as s
+from codeloom.operators.trace import TraceConfig
 
 ITEMS = ["entry", "place", "kind", "src", "dst", "text"]
 _LAST = 2**31 - 1
@@ -44,16 +45,26 @@ def entry_items(entries: DataFrame) -> DataFrame:
 
 
 def fragment_items(fragments: DataFrame) -> DataFrame:
-    """fragments: (entry, place, type, condition, ordinal): alt, else, loop and opt, and their ends.
-
-    The first alternative of a block opens it, the later ones are its else branches."""
-    kind = F.when(F.col("type") == "LOOP", "loop").when(F.col("type") == "OPTIONAL", "opt").when(F.coalesce("ordinal", F.lit(0)) == 0, "alt").otherwise("else")
-    at = lambda x: F.concat("place", F.array(F.lit(x)))
-    open_ = fragments.select("entry", at(-3).alias("place"), kind.alias("kind"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.coalesce("condition", F.lit("")).alias("text"))
-    end = fragments.where(kind != "else").select("entry", at(_LAST).alias("place"), F.lit("end").alias("kind"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit("").alias("text"))
+    """fragments: as trace.traced_fragments has them. alt, else, loop and opt before their first call, an end after the last.
+
+    The first branch of a ladder that holds calls opens it, the later ones are its else branches, and it ends once."""
+    w = W.partitionBy("entry", "frame", "ladder")
+    f = fragments.withColumn("nth", F.row_number().over(w.orderBy("ordinal"))).withColumn("end", F.max("last").over(w))
+    kind = F.when(F.col("type") == "LOOP", "loop").when(F.col("type") == "OPTIONAL", "opt").when(F.col("nth") == 1, "alt").otherwise("else")
+    none = F.lit(None).cast("string")
+    open_ = f.select("entry", F.concat("first", F.array(F.lit(-3), F.col("level"))).alias("place"), kind.alias("kind"), none.alias("src"), none.alias("dst"), F.coalesce("condition", F.lit("")).alias("text"))
+    end = f.where("nth = 1").select("entry", F.concat("end", F.array(F.lit(_LAST), -F.col("level"))).alias("place"), F.lit("end").alias("kind"), none.alias("src"), none.alias("dst"), F.lit("").alias("text"))
     return open_.unionByName(end)
 
 
+def annotation_notes(traced: DataFrame, uses: DataFrame) -> DataFrame:
+    """(entry, place, dst, text): beside each call of a trace, what annotates its method: `@A(p=v), @B`."""
+    one = F.concat(F.lit("@"), "simple_name", F.when(F.size("params") > 0, F.concat(F.lit("("), F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit("="), p["value"])), ", "), F.lit(")"))).otherwise(F.lit("")))
+    text = uses.where("target_type = 'Method'").groupBy(F.col("target_fqn").alias("callee")).agg(F.array_join(F.array_sort(F.collect_set(one)), ", ").alias("text"))
+    met = traced.join(text, "callee")
+    return met.select("entry", F.concat("place", F.array(F.lit(-1), F.lit(2))).alias("place"), s.safe_id(F.regexp_extract("callee", r"(?s)^(.*)\.[^.]*$", 1)).alias("dst"), "text")
+
+
 def numbered(items: DataFrame) -> DataFrame:
     return items.withColumn("ord", F.row_number().over(W.partitionBy("entry").orderBy("place", "kind", "dst")))
 
@@ -89,9 +100,15 @@ def item_text(dashed: str = "dashed") -> F.Column:
     )
 
 
-def diagrams(traced: DataFrame, entries: DataFrame, fragments: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
-    """(entry, diagram). notes: (entry, place, dst, text), as of annotations."""
-    items = call_items(traced).unionByName(entry_items(entries))
+def diagrams(traced: DataFrame, entries: DataFrame, fragments: DataFrame | None = None, notes: DataFrame | None = None, config: TraceConfig = TraceConfig()) -> DataFrame:
+    """(entry, diagram). fragments: of trace.traced_fragments; notes: (entry, place, dst, text), as of annotations. The config may
+    hide the calls within fragments, whose frames stay, and the later links of chained calls."""
+    shown = traced
+    if config.hide_conditional_details and "parent_fragment_id" in traced.columns:
+        shown = shown.where("parent_fragment_id is null")
+    if config.hide_chain_details and "receiver_call_id" in traced.columns:
+        shown = shown.where("receiver_call_id is null")
+    items = call_items(shown).unionByName(entry_items(entries))
     if fragments is not None:
         items = items.unionByName(fragment_items(fragments))
     if notes is not None:

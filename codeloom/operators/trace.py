@@ -55,24 +55,51 @@ def trace(calls: DataFrame, entries: DataFrame, config: TraceConfig = TraceConfi
     return out
 
 
+def traced_fragments(traced: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(entry, first, last, level, type, condition, ladder, ordinal): each fragment that holds calls of the trace, in each frame of
+    the stack; from the place of its first call to that of its last one. Fragments around fragments are followed one level a round."""
+    at = traced.where("parent_fragment_id is not null").select("entry", F.expr("slice(place, 1, size(place) - 1)").alias("frame"), F.col("parent_fragment_id").alias("fragment_id"), "place")
+    at = at.groupBy("entry", "frame", "fragment_id").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    up = fragments.select("fragment_id", "parent_fragment_id")
+    every = at = written(at, "fragments")
+    while True:
+        at = written(at.join(up, "fragment_id").where("parent_fragment_id is not null").select("entry", "frame", F.col("parent_fragment_id").alias("fragment_id"), "first", "last"), "fragments")
+        if at.isEmpty():
+            break
+        every = every.unionByName(at)
+    every = every.groupBy("entry", "frame", "fragment_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    # The level is how many fragments of the frame lie around a fragment: those that reach as far and are its ancestors.
+    depth, level, k = fragments.where("parent_fragment_id is null").select("fragment_id", F.lit(0).alias("level")), None, 0
+    while not depth.isEmpty():
+        level = depth if level is None else level.unionByName(depth)
+        k += 1
+        depth = written(up.join(depth.select(F.col("fragment_id").alias("parent_fragment_id")), "parent_fragment_id").select("fragment_id", F.lit(k).alias("level")), "levels")
+    own = fragments.select("fragment_id", "type", "condition", F.coalesce("ladder_id", "fragment_id").alias("ladder"), "ordinal")
+    met = every.join(own, "fragment_id")
+    met = met.join(level, "fragment_id") if level is not None else met.withColumn("level", F.lit(0))
+    return met.select("entry", "frame", "first", "last", "level", "type", "condition", "ladder", "ordinal")
+
+
 def involved_methods(traced: DataFrame) -> DataFrame:
     """(entry, method): the entry and every callee shown."""
     return traced.select("entry", F.col("callee").alias("method")).unionByName(traced.select("entry", F.col("entry").alias("method"))).distinct()
 
 
-def reach(edges: DataFrame, starts: DataFrame, backwards: bool = False, most: int = 100) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, backwards: bool = False) -> DataFrame:
     """(start, node, distance) of all nodes that edges (src, dst) lead to, by breadth; backwards: that lead to a start.
 
-    Each round joins the new nodes only, and drops those known by an anti join; so cycles end by themselves."""
+    Each round joins the new nodes only, and drops those known by an anti join; so cycles end by themselves, and the rounds
+    are as many as the longest way has steps. What is known is written every few rounds, so that plans stay short."""
     here, there = ("dst", "src") if backwards else ("src", "dst")
     step = edges.select(F.col(here).alias("at"), F.col(there).alias("node")).where("at <> node").distinct()
     known = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("distance"))
-    frontier, rounds = known, []
-    for k in range(1, most + 1):
+    frontier, k = known, 0
+    while True:
+        k += 1
         found = frontier.select("start", F.col("node").alias("at")).join(step, "at").select("start", "node").distinct()
         fresh = written(found.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(k)), "reach")
         if fresh.isEmpty():
-            break
-        rounds.append(fresh)
+            return known.where("distance > 0")
         known, frontier = known.unionByName(fresh), fresh
-    return known.where("distance > 0")
+        if k % 16 == 0:
+            known = written(known, "reached")

@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as s
+from codeloom.operators import java, trace
+from codeloom.operators.trace import TraceConfig
+from codeloom.tables import written
 
 
 def lines_of(sources: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
@@ -68,9 +71,53 @@ def joined(lines: DataFrame, key: str = "path", closing: str | None = None) -> D
     return out.where(~s.blank("source"))
 
 
-def merged(sources: DataFrame, entry: str, timestamp: str) -> DataFrame:
-    """sources: (class_fqn, relative_path, source). One row: classes, lines, and the Markdown text, classes in order."""
+def sections(sources: DataFrame, *keep: str) -> DataFrame:
+    """sources: (class_fqn, relative_path, source). (ord, class_fqn, section, lines): the Markdown section of each, in order."""
     section = F.concat(F.lit("## "), "relative_path", F.lit("\n\n**Class**: `"), "class_fqn", F.lit("`\n\n```java\n"), "source", F.lit("\n```\n\n"))
-    one = sources.agg(F.count("*").alias("total_classes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class_fqn", section.alias("t")))), lambda x: x["t"]), "").alias("body"))
+    return sources.select(*keep, "class_fqn", section.alias("section"), s.pieces("source").alias("lines"))
+
+
+def merged(sources: DataFrame, entry: str, timestamp: str) -> DataFrame:
+    """sources: (class_fqn, relative_path, source) of one entry's trace. One row: classes, lines, and the Markdown text, classes in order."""
+    one = sections(sources).agg(F.count("*").alias("total_classes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class_fqn", F.col("section").alias("t")))), lambda x: x["t"]), "").alias("body"))
     head = F.concat(F.lit(f"# Extracted code\n\n- **Entry**: `{entry}`\n- **Time**: {timestamp}\n- **Classes**: "), F.col("total_classes").cast("string"), F.lit("\n\n"))
     return one.select("total_classes", F.concat(head, "body").alias("markdown")).withColumn("total_lines", s.pieces("markdown"))
+
+
+def woven_classes(parsed, sources: DataFrame, entries: DataFrame, config: TraceConfig = TraceConfig(), all_methods: bool = False) -> DataFrame:
+    """parsed: java.Parsed; sources: (path, content); entries: (entry). (entry, class_fqn, relative_path, source, status): of each class
+    that an entry's trace involves and that lies in a base package, the source with the methods that the trace uses, or with all its methods;
+    the whole source where weaving leaves nothing. status: ok, whole, or missing, if no file holds the class (its source is null).
+
+    An entry outside the base packages involves nothing."""
+    inside = s.starts_with_any("entry", config.base_packages)
+    traced = trace.trace(java.trace_calls(parsed), entries.where(inside), config)
+    used = trace.involved_methods(traced).unionByName(entries.where(inside).select("entry", F.col("entry").alias("method"))).distinct()
+    owner = s.strip_type_arguments(F.regexp_extract("method", r"(?s)^(.*)\.[^.]*$", 1))
+    used = used.select("entry", owner.alias("class_fqn"), F.substring_index("method", ".", -1).alias("name")).where(s.starts_with_any("class_fqn", config.base_packages) & (F.col("class_fqn") != "unknown"))
+    classes = written(used.select("entry", "class_fqn").distinct(), "classes")
+    files = parsed.types.select("class_fqn", F.col("file").alias("path")).groupBy("class_fqn").agg(F.min("path").alias("path"))
+    at = classes.join(files, "class_fqn", "left")
+    key = F.concat_ws("\u0001", "entry", "class_fqn")  # one weaving for each entry and class
+    known = at.where("path is not null").withColumn("key", key)
+    lines = lines_of(known.join(sources.select("path", "content"), "path").select("key", "content"), key="key")
+    methods = known.join(parsed.methods, "class_fqn").select("key", "name", "class_fqn", "start_line", "end_line")
+    names = methods if all_methods else used.withColumn("key", key)
+    woven = joined(used_methods(lines, methods, names.select("key", "name"), key="key"), "key", closing="}").withColumnRenamed("source", "woven")
+    whole = known.join(sources.select("path", "content"), "path").select("key", "entry", "class_fqn", F.col("path").alias("relative_path"), F.col("content").alias("whole"))
+    met = whole.join(woven, "key", "left").select("entry", "class_fqn", "relative_path", F.coalesce("woven", "whole").alias("source"), F.when(F.col("woven").isNull(), "whole").otherwise("ok").alias("status"))
+    lost = at.where("path is null").select("entry", "class_fqn", F.lit(None).cast("string").alias("relative_path"), F.lit(None).cast("string").alias("source"), F.lit("missing").alias("status"))
+    return met.unionByName(lost)
+
+
+def extract_code(parsed, sources: DataFrame, entry: str, config: TraceConfig = TraceConfig(), timestamp: str = "", all_methods: bool = False) -> DataFrame:
+    """One row: involved_classes, merged_source, total_classes, total_lines, error. An entry outside the base packages, or one that no
+    class holds, has no classes and no text; error says so."""
+    spark = sources.sparkSession
+    found = written(woven_classes(parsed, sources, spark.createDataFrame([(entry,)], "entry string"), config, all_methods), "woven")
+    text = merged(found.where("source is not null"), entry, timestamp)
+    names = found.where("source is not null").agg(F.array_sort(F.collect_list("class_fqn")).alias("involved_classes"), F.count_if(F.col("class_fqn") == F.lit(entry.rpartition(".")[0])).alias("_own"))
+    error = F.when(F.size("involved_classes") == 0, F.lit(f"no source holds {entry}")).when(F.col("_own") == 0, F.lit(f"the class of {entry} is unknown"))
+    one = names.withColumn("_k", F.lit(1)).join(text.withColumn("_k", F.lit(1)), "_k")
+    some = F.col("total_classes") > 0
+    return one.select("involved_classes", F.when(some, F.col("markdown")).otherwise("").alias("merged_source"), "total_classes", F.when(some, F.col("total_lines")).otherwise(0).alias("total_lines"), error.alias("error"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.model import as_edges, as_nodes
 from codeloom.operators import convert
 
 
@@ -90,14 +89,37 @@ def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step.select("caller", "callee", F.row_number().over(W.partitionBy("caller").orderBy("callee")).alias("ordinal"))
 
 
-def page_nodes_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages, what they link to and the functions that their scripts call."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), "html")
-    page_id = F.concat(F.lit("page_"), "file")
-    links = p.select("file", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1)))).alias("path"))
-    called = p.select("file", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"([a-zA-Z_]+)\("), F.lit(1)))).alias("name"))
-    n = p.select(page_id.alias("id"), F.lit("JSPFile").alias("label"), F.lit("Page").alias("node_type"), F.col("file").alias("name"), F.col("file").alias("source_file"))
-    n = n.unionByName(called.groupBy("name").agg(F.min("file").alias("source_file")).select(F.concat(F.lit("js_"), "name").alias("id"), F.lit("JspNode").alias("label"), F.lit("JSFunction").alias("node_type"), "name", "source_file"))
-    e = links.select(page_id.alias("src"), F.concat(F.lit("external_"), F.regexp_replace("path", "[^a-zA-Z0-9]", "_")).alias("dst"), F.lit("DEPENDS_ON").alias("type"))
-    e = e.unionByName(called.select(page_id.alias("src"), F.concat(F.lit("js_"), "name").alias("dst"), F.lit("CONTAINS").alias("type")))
-    return as_nodes(n, 0), as_edges(e.distinct())
+def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): the pages with a component in front, an outside script at each link, and each call made a function of its own."""
+    p = table(spark, sf_dir, "pages").where("html is not null")
+    text = F.regexp_replace(F.regexp_replace("html", r"([a-zA-Z_]+)\((\d+)\);", "function $1($2){ if ($2) { winopen(a, b, c); } ajaxActionCall(this, \"bean.$1\"); }"), r'href="([^"]+)"', "href=\"$1\"><jc:script src=\"$1\"")
+    k = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<jc:download id="c'), k, F.lit('" action="#{bean.m'), (F.col("page_id") % 7).cast("string"), F.lit('}">\n'))
+    return p.select(F.concat(F.lit("site/d"), (F.col("page_id") % 5).cast("string"), F.lit("/p"), k, F.lit(".jsp")).alias("file"), F.concat(head, text).alias("content"))
+
+
+#: Methods of a made source file, and the lines that stand before them and that each takes.
+PER_FILE, HEAD_LINES, METHOD_LINES = 50, 9, 14
+
+
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): Java sources written from `part`, a class for each PER_FILE parts and a method for each part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", F.expr(f"p_partkey div {PER_FILE}").alias("g"))
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    method = F.concat(
+        F.lit("    @Size("), n, F.lit(")\n    public int m"), k, F.lit("(int a, String b) {\n        helper.compute(a, \"x;{"), n, F.lit("\");\n        if (a > "), n,
+        F.lit(") {\n            this.n"), k, F.lit("(b); // not() a call\n        } else {\n            helper.rest();\n        }\n        for (int i = 0; i < 3; i++) {\n            helper.door().shut(i);\n        }\n        return a;\n    }\n\n"),
+    )
+    rows = p.withColumn("method", method).groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "method"))), lambda x: x["method"]), "").alias("body"))
+    g = F.col("g").cast("string")
+    head = F.concat(
+        F.lit("package parts.b"), (F.col("g") % 7).cast("string"), F.lit(";\n\nimport java.util.List;\nimport util.Helper;\n\n@Service(name = \"c,"), g, F.lit("\", level = "), (F.col("g") % 4).cast("string"),
+        F.lit(")\npublic class C"), g, F.lit(" extends Base"), (F.col("g") % 5).cast("string"), F.lit(" implements Shape {\n    private Helper helper;\n\n"),
+    )
+    return rows.select(F.concat(F.lit("src/C"), g, F.lit(".java")).alias("path"), F.concat(head, "body", F.lit("}\n")).alias("content"))
+
+
+def java_helper(spark: SparkSession) -> DataFrame:
+    """The class that the made files call."""
+    text = "package util;\n\npublic class Helper {\n    public void compute(int a, String b) {\n        rest();\n    }\n    public Door door() {\n        return null;\n    }\n    public void rest() {\n    }\n}\n"
+    return spark.range(1).select(F.lit("src/Helper.java").alias("path"), F.lit(text).alias("content"))

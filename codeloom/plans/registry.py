@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as s
-from codeloom.operators import convert, finders, pages, render, store, trace, weave
+from codeloom.operators import convert, finders, java, pages, render, store, trace, weave
 from codeloom.plans import lens
+from codeloom.tables import written
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -153,7 +154,7 @@ def write_counters(spark, d):
 
 @query(_LENS + "select label, count(*) n from nodes group by label")
 def label_counts(spark, d):
-    return lens.nodes(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    return finders.count_by(lens.nodes(spark, d), "label").withColumnRenamed("count", "n")
 
 
 @query(_LENS + "select node_type, count(*) \"count\" from nodes where label = 'Class' group by node_type")
@@ -168,18 +169,17 @@ def edge_type_counts_desc(spark, d):
 
 @query(_LENS + "select name, count(*) usages from edges join nodes on dst = id where type = 'HAS_ANNOTATION' group by name")
 def annotation_usage_counts(spark, d):
-    a = lens.nodes(spark, d).where("label = 'Annotation'").select("id", "name")
-    return lens.edges(spark, d).where("type = 'HAS_ANNOTATION'").join(a, F.col("dst") == a["id"]).groupBy("name").agg(F.count("*").alias("usages"))
+    return finders.usages_by_annotation(lens.nodes(spark, d), lens.edges(spark, d))
 
 
 @query(_LENS + "select src as class_id, count(*) methods from edges where type = 'CONTAINS' group by src")
 def methods_per_class(spark, d):
-    return lens.edges(spark, d).where("type = 'CONTAINS'").groupBy(F.col("src").alias("class_id")).agg(F.count("*").alias("methods"))
+    return finders.methods_per_class(lens.edges(spark, d))
 
 
 @query(_LENS + "select package, count(*) n from nodes where label in ('Class', 'Interface') group by package")
 def counts_by_package(spark, d):
-    return lens.nodes(spark, d).where("label in ('Class', 'Interface')").groupBy("package").agg(F.count("*").alias("n"))
+    return finders.count_by(lens.nodes(spark, d).where("label in ('Class', 'Interface')"), "package").withColumnRenamed("count", "n")
 
 
 @query(_LENS + "select (count(*) > 0) found from nodes where name = 'NATION_3'")
@@ -228,7 +228,7 @@ def flags_filter(spark, d):
 
 
 def _pairs(kind: str, here: str, there: str):
-    return lambda spark, d: lens.edges(spark, d).where(F.col("type") == kind).join(lens.nodes(spark, d).select(F.col("id").alias(there), "name", "label"), there).select(F.col(here).alias("start"), "name", "label")
+    return lambda spark, d: finders.hops(lens.nodes(spark, d), lens.edges(spark, d), kind, backwards=here == "dst").select("start", "name", "label")
 
 
 for _name, _kind, _here, _there in (
@@ -250,19 +250,24 @@ def node_relationships(spark, d):
     return finders.relationships(lens.nodes(spark, d), lens.edges(spark, d), "class_ASIA_NATION_7")
 
 
-@query(_LENS + """select c.src button, a.dst as method, i.dst as element from (select distinct src from edges where type = 'CONTAINS') c
- left join edges a on a.src = c.src and a.type = 'EXTENDS' left join edges i on i.src = c.src and i.type = 'IMPLEMENTS'""")
+@query(_LENS + """, b as (select distinct src from edges where type = 'CONTAINS' and src like 'class%')
+ select b.src button, a.dst as method, i.dst as element, f.src as "function" from b left join edges a on a.src = b.src and a.type = 'EXTENDS' left join edges i on i.src = b.src and i.type = 'IMPLEMENTS'
+ left join (select e.src, e.dst from edges e where e.type = 'EXTENDS') f on f.dst = b.src""")
 def button_workflow_left_joins(spark, d):
-    e = lens.edges(spark, d)
-    b = e.where("type = 'CONTAINS'").select(F.col("src").alias("button")).distinct()
-    side = lambda kind, name: e.where(F.col("type") == kind).select(F.col("src").alias("button"), F.col("dst").alias(name))
-    return b.join(side("EXTENDS", "method"), "button", "left").join(side("IMPLEMENTS", "element"), "button", "left")
+    n, e = lens.nodes(spark, d), lens.edges(spark, d)
+    # Classes stand for buttons: what they extend is triggered, what they implement is interacted with, who extends them are functions.
+    kind = F.when(F.col("type") == "EXTENDS", "TRIGGERS").when(F.col("type") == "IMPLEMENTS", "INTERACTS_WITH").otherwise(F.col("type"))
+    mapped = e.where("type in ('EXTENDS', 'IMPLEMENTS')").withColumn("type", kind).unionByName(e.where("type = 'EXTENDS'").withColumn("type", F.lit("INTERACTS_WITH")).withColumn("attr", F.lit("function")))
+    # As functions interact with buttons, those edges must not be read as what a button interacts with.
+    buttons = e.where("type = 'CONTAINS' and src like 'class%'").select(F.col("src").alias("button")).distinct()
+    return finders.workflows(n.withColumn("node_type", F.lit("JSFunction")), mapped.where("attr is null or attr <> 'function'"), buttons, mapped.where("attr = 'function'"))
 
 
 @query("select p_partkey, p_size score, p_type tag from part where p_size >= 40")
 def complexity_ge_desc(spark, d):
     p = lens.table(spark, d, "part")
-    return p.where("p_size >= 40").orderBy(F.desc("p_size"), "p_partkey").select("p_partkey", F.col("p_size").alias("score"), F.col("p_type").alias("tag"))
+    n = p.select("p_partkey", F.col("p_partkey").alias("id"), F.col("p_type").alias("tag"), F.lit("JSFunction").alias("node_type"), F.create_map(F.lit("complexity_score"), F.col("p_size").cast("string")).alias("props"))
+    return finders.functions_by_complexity(n, 40).select("p_partkey", F.col("props")["complexity_score"].cast("int").alias("score"), "tag")
 
 
 @query("select p_partkey from part where list_contains(string_split(p_name, ' '), 'red')")
@@ -388,8 +393,9 @@ def source_lines(spark, d):
 
 @query(_LINES + ", m as (select *, max(case when contains(text, 'Licen') then 1 else 0 end) over (partition by doc_id order by line rows between unbounded preceding and current row) begun from l) select doc_id, count(*) lines from m where begun = 1 group by doc_id")
 def weave_header_prefix(spark, d):
-    w = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    return _doc_lines(spark, d).withColumn("begun", F.max(F.col("text").contains("Licen")).over(w)).where("begun").groupBy("doc_id").agg(F.count("*").alias("lines"))
+    # The text's `Licen` stands for the class line.
+    lines = _doc_lines(spark, d).withColumn("text", F.when(F.col("text").contains("Licen"), F.concat(F.lit("class "), "text")).otherwise(F.concat(F.lit("x"), "text")))
+    return weave.marked(lines, "doc_id").where("in_class").groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
 @query(_LINES + ", r as (select doc_id, 2 + quality as a, 4 + quality b from labels) select l.doc_id, cast(line as integer) line, length(text) as length from l where exists (select 1 from r where r.doc_id = l.doc_id and line between a and b)")
@@ -398,16 +404,18 @@ def weave_kept_ranges(spark, d):
     return weave.in_ranges(_doc_lines(spark, d), r, "doc_id").select("doc_id", "line", F.length("text").cast("bigint").alias("length"))
 
 
-@query("""select user_id, count(*) classes, md5(string_agg('## ' || event_type, chr(10) order by event_type)) digest from (select distinct user_id, event_type from events) group by user_id""")
+@query("""select distinct user_id, event_type as class_fqn, md5('## u' || user_id || '/' || event_type || chr(10) || chr(10) || '**Class**: `' || event_type || '`' || chr(10) || chr(10) || '```java' || chr(10) || 'class ' || event_type || chr(10) || '```' || chr(10) || chr(10)) digest, cast(1 as integer) as lines from events""")
 def merge_markdown(spark, d):
-    sections = lens.table(spark, d, "events").select("user_id", "event_type").distinct()  # a handful of types for each user
-    rows = sections.groupBy("user_id").agg(F.count("*").alias("classes"), F.array_sort(F.collect_list("event_type")).alias("names"))
-    return rows.select("user_id", "classes", F.md5(F.array_join(F.transform("names", lambda x: F.concat(F.lit("## "), x)), "\n").cast("binary")).alias("digest"))
+    e = lens.table(spark, d, "events").select("user_id", "event_type").distinct()
+    rows = e.select("user_id", F.col("event_type").alias("class_fqn"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("relative_path"), F.concat(F.lit("class "), "event_type").alias("source"))
+    return weave.sections(rows, "user_id").select("user_id", "class_fqn", F.md5(F.col("section").cast("binary")).alias("digest"), F.col("lines").cast("int").alias("lines"))
 
 
-@query("""select doc_id, cast(case when p = '' then 1 when regexp_replace(p, '\\n+$', '') = '' then 0 else len(string_split(regexp_replace(p, '\\n+$', ''), chr(10))) end as integer) line from (select doc_id, substr(coalesce(text, ''), 1, 200) p from documents)""")
+@query("""select doc_id, cast(place as bigint) place, cast(case when p = '' then 1 when regexp_replace(p, '\n+$', '') = '' then 0 else len(string_split(regexp_replace(p, '\n+$', ''), chr(10))) end as integer) line from
+ (select doc_id, length(text) - length(text) // 3 as place, substr(text, 1, length(text) - length(text) // 3) p from documents where text is not null)""")
 def line_number_of_offset(spark, d):
-    return lens.table(spark, d, "documents").select("doc_id", s.line_of_offset(F.coalesce("text", F.lit("")), F.lit(200)).alias("line"))
+    at = F.expr("length(text) - length(text) div 3")
+    return lens.table(spark, d, "documents").where("text is not null").select("doc_id", at.cast("bigint").alias("place"), s.line_of_offset(F.col("text"), at).alias("line"))
 
 
 @query("select event_type, cast(json_extract_string(props, '$.k') as integer) k, count(*) n from events group by all")
@@ -426,10 +434,11 @@ def script_blocks(spark, d):
     return p.select("page_id", F.size(all_).cast("bigint").alias("blocks"), F.md5(F.coalesce(F.get(all_, F.lit(0)), F.lit("")).cast("binary")).alias("digest"))
 
 
-@query("""select page_id, cast(line as integer) line, x as path from (select page_id, html, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) x, 0 line from pages)""")
+@query("""with p as (select page_id, string_split(html, 'href="') s from pages), x as (select page_id, unnest(s[2:]) t, unnest(range(1, len(s))) i, s from p)
+ select page_id, cast(i as integer) as ordinal, split_part(t, '"', 1) as path, cast(length(array_to_string(s[1:i], 'href="')) as integer) as at from x where contains(t, '"') and substr(t, 1, 1) <> '"'""")
 def external_refs(spark, d):
     rows = pages.matches(lens.table(spark, d, "pages"), "html", r'href="([^"]+)"', 1, "page_id")
-    return rows.select("page_id", F.lit(0).alias("line"), F.col("found").alias("path"))
+    return rows.select("page_id", F.col("ordinal").cast("int").alias("ordinal"), F.col("found").alias("path"), F.col("at").cast("int").alias("at"))
 
 
 @query("""select page_id, length(split_part(html, '<script', 1)) as at, len(string_split(split_part(html, '<script', 1), chr(10))) as line from pages where contains(html, '<script')""")
@@ -443,9 +452,17 @@ def ajax_like_calls(spark, d):
     return pages.matches(lens.table(spark, d, "pages"), "html", r"([a-zA-Z_]+)\(", 1, "page_id").groupBy("page_id", F.col("found").alias("call")).agg(F.count("*").alias("n"))
 
 
-@query("select page_id, case when regexp_extract(html, '(?i)id=\"([^\"]+)\"', 1) = '' then 'unknown' else regexp_extract(html, '(?i)id=\"([^\"]+)\"', 1) end id from pages")
+_PAGES = """
+with p as (select page_id, 'site/d' || (page_id % 5) || '/p' || page_id || '.jsp' file, html from pages where html is not null),
+ sc as (select page_id, file, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) b from p),
+ fn as (select page_id, file, regexp_extract(x, '([a-zA-Z_]+)\\(', 1) as name from (select page_id, file, unnest(regexp_extract_all(b, '([a-zA-Z_]+)\\((\\d+)\\);')) x from sc)),
+ ex as (select distinct file, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) path from p)
+"""
+
+
+@query(_PAGES + "select file, 'c' || page_id id, 'jc:download' type, 'bean.m' || (page_id % 7) as action, cast(1 as integer) line from p")
 def tag_ids(spark, d):
-    return lens.table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract("html", pages.IDENTITY, 1), F.lit("")), F.lit("unknown")).alias("id"))
+    return pages.components(lens.made_pages(spark, d)).select("file", "id", "type", "action", "line")
 
 
 @query("select page_id, regexp_matches(html, '(?i)check|validate') validates, contains(html, 'style.display') or contains(html, '.value') as manipulates from pages")
@@ -454,16 +471,102 @@ def js_tags(spark, d):
     return lens.table(spark, d, "pages").select("page_id", F.array_contains(tags, "Data_Validation").alias("validates"), F.array_contains(tags, "UI_Manipulation").alias("manipulates"))
 
 
-@query("""with l as (select distinct cast(page_id as varchar) file, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) x, 'DEPENDS_ON' "type" from pages
- union select cast(page_id as varchar), unnest(regexp_extract_all(html, '([a-zA-Z_]+)\\(', 1)), 'CONTAINS' from pages)
- select 'page_' || file src, case type when 'CONTAINS' then 'js_' || x else 'external_' || regexp_replace(x, '[^a-zA-Z0-9]', '_', 'g') end dst, type from l group by all""")
+@query(_PAGES + """select 'page_' || file src, 'c' || page_id dst, 'CONTAINS' "type" from p union select 'c' || page_id, 'method_bean_m' || (page_id % 7), 'TRIGGERS' from p
+ union select 'page_' || file, 'js_' || name, 'CONTAINS' from fn union select 'js_' || name, 'method_bean_' || name, 'TRIGGERS' from fn
+ union select 'page_' || file, 'external_' || regexp_replace(path, '[^a-zA-Z0-9]', '_', 'g'), 'DEPENDS_ON' from ex""")
 def page_graph_edges(spark, d):
-    return lens.page_nodes_and_edges(spark, d)[1].select("src", "dst", "type")
+    return pages.page_graph(lens.made_pages(spark, d))[1].select("src", "dst", "type")
 
 
-@query("""select 'js_' || x id, min(file) source_file from (select cast(page_id as varchar) file, unnest(regexp_extract_all(html, '([a-zA-Z_]+)\\(', 1)) x from pages) group by x""")
+@query(_PAGES + "select 'js_' || name id, min(file) source_file, true as ajax, true as navigates, cast(2 as integer) as complexity from fn group by name")
 def page_functions(spark, d):
-    return lens.page_nodes_and_edges(spark, d)[0].where("node_type = 'JSFunction'").select("id", "source_file")
+    n = pages.page_graph(lens.made_pages(spark, d))[0].where("node_type = 'JSFunction'")
+    return n.select("id", "source_file", F.col("flags")["contains_ajax_call"].alias("ajax"), F.col("flags")["contains_navigation"].alias("navigates"), F.col("props")["complexity_score"].cast("int").alias("complexity"))
+
+
+@query(_PAGES + """, n as (select file, 'Page' kind, 'page_' || file id from p union select file, 'JSFComponent', 'c' || page_id from p union select min(file), 'JSFunction', 'js_' || name from fn group by name
+ union select min(file), 'BackendMethod', id from (select file, 'method_bean_m' || (page_id % 7) id from p union all select file, 'method_bean_' || name from fn) group by id
+ union select min(file), 'ExternalJS', x from (select file, 'external_' || regexp_replace(path, '[^a-zA-Z0-9]', '_', 'g') x from ex) group by x)
+ select regexp_extract(file, '^(.*)/[^/]*$', 1) folder, count(*) filter (kind = 'Page') files, count(*) filter (kind = 'JSFComponent') components, count(*) filter (kind = 'JSFunction') functions,
+  count(*) filter (kind = 'BackendMethod') methods, count(*) filter (kind = 'ExternalJS') scripts from n group by 1""")
+def page_folder_totals(spark, d):
+    return finders.folder_totals(pages.page_graph(lens.made_pages(spark, d))[0])
+
+
+@query(_PAGES + """, n as (select 'Page' kind, 'page_' || file id from p union select 'JSFComponent', 'c' || page_id from p union select 'JSFunction', 'js_' || name from fn
+ union select 'BackendMethod', 'method_bean_m' || (page_id % 7) from p union select 'BackendMethod', 'method_bean_' || name from fn union select 'ExternalJS', 'external_' || regexp_replace(path, '[^a-zA-Z0-9]', '_', 'g') from ex),
+ q as (select 'by_type' query, kind arg, id from n union all select 'by_tag_name', 'jc:download', id from n where kind = 'JSFComponent' union all select 'with_ajax', '', id from n where kind = 'JSFunction'
+  union all select 'with_navigation', '', id from n where kind = 'JSFunction' union all select 'all', '', id from n union all select 'preset', 'navigation', id from n where kind = 'JSFunction'
+  union all select 'by_complexity', '2', id from n where kind = 'JSFunction')
+ select query, arg, count(*) n, md5(string_agg(id, ',' order by id)) digest from q group by query, arg""")
+def page_finders(spark, d):
+    n, e = pages.page_graph(lens.made_pages(spark, d))
+    n, e = written(n, "nodes"), written(e, "edges")
+    c = finders.CATALOG
+    found = [("by_type", k, c["JspNode.by_type"](n, e, k)) for k in ("Page", "JSFComponent", "JSFunction", "BackendMethod", "ExternalJS")]
+    found += [("by_tag_name", "jc:download", c["JSPComponent.by_tag_name"](n, e, "jc:download")), ("with_ajax", "", c["JspNode.with_ajax"](n, e)), ("with_navigation", "", c["JspNode.with_navigation"](n, e))]
+    found += [("all", "", c["JspNode.all"](n, e)), ("preset", "navigation", finders.preset(n, "navigation")), ("by_complexity", "2", c["JspNode.by_complexity"](n, e, 2))]
+    every = None
+    for query_, arg, rows in found:
+        one = rows.select(F.lit(query_).alias("query"), F.lit(arg).alias("arg"), "id")
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("query", "arg").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("id")), ",").cast("binary")).alias("digest"))
+
+
+#: Queries of the catalog with their arguments, and the condition under which a node is found in SQL.
+_C, _I, _M, _A = "class_ASIA_NATION_7", "interface_ASIA", "method_NATION_2_Customer#000000000", "annotation_Method_BUILDING"
+_FOUND: list[tuple[str, tuple, str]] = [
+    *((f"{x}.all", (), f"label = '{x}'") for x in ("Class", "Interface", "Method", "Annotation")),
+    ("Class.by_name", ("NATION_7",), "label = 'Class' and name = 'NATION_7'"), ("Interface.by_name", ("ASIA",), "label = 'Interface' and name = 'ASIA'"),
+    ("Class.by_package", ("ASIA",), "label = 'Class' and package = 'ASIA'"), ("Class.by_source_file", ("nation/NATION_7",), "label = 'Class' and source_file = 'nation/NATION_7'"),
+    ("Method.by_source_file", ("nation/NATION_7",), "label = 'Method' and source_file = 'nation/NATION_7'"), ("Method.by_class", ("NATION_7",), "label = 'Method' and class_name = 'NATION_7'"),
+    ("Method.by_name_and_class", ("Customer#000000000", "NATION_2"), "label = 'Method' and name = 'Customer#000000000' and class_name = 'NATION_2'"),
+    ("Class.by_node_type", ("AbstractClass",), "label = 'Class' and node_type = 'AbstractClass'"), ("Class.all_abstract_by_type", (), "label = 'Class' and node_type = 'AbstractClass'"), ("Class.all_interfaces_by_type", (), "false"),
+    ("Annotation.by_target", ("Method",), "label = 'Annotation' and target_type = 'Method'"), ("Annotation.by_name_and_target", ("BUILDING", "Method"), "label = 'Annotation' and name = 'BUILDING'"), ("Annotation.all_method", (), "label = 'Annotation'"),
+    ("Annotation.all_class", (), "false"), ("Method.all_getters", (), "false"), ("Method.all_constructors", (), "false"), ("Interface.all_public", (), "label = 'Interface'"),
+    *((name, (start,), f"id in (select {there} from edges where {here} = '{start}' and type = '{kind}') and label = '{label}'") for name, start, kind, label, here, there in (
+        ("Class.contained_methods", _C, "CONTAINS", "Method", "src", "dst"), ("Class.super_classes", _C, "EXTENDS", "Class", "src", "dst"), ("Class.sub_classes", "class_ASIA_NATION_2", "EXTENDS", "Class", "dst", "src"),
+        ("Class.implemented_interfaces", _C, "IMPLEMENTS", "Interface", "src", "dst"), ("Interface.implementing_classes", _I, "IMPLEMENTS", "Class", "dst", "src"), ("Interface.extending", _I, "EXTENDS", "Interface", "dst", "src"),
+        ("Method.called", _M, "CALLS", "Method", "src", "dst"), ("Method.calling", "method_NATION_1_Supplier#000000001", "CALLS", "Method", "dst", "src"), ("Method.called_by_caller", _M, "CALLS", "Method", "src", "dst"),
+        ("Method.annotations", _M, "HAS_ANNOTATION", "Annotation", "src", "dst"), ("Method.of_class", _C, "CONTAINS", "Method", "src", "dst"), ("Annotation.annotated_method", _A, "HAS_ANNOTATION", "Method", "dst", "src"),
+        ("Annotation.by_method", _M, "HAS_ANNOTATION", "Annotation", "src", "dst"), ("Class.annotations", _C, "HAS_ANNOTATION", "Annotation", "src", "dst"),
+    )),
+]
+
+
+@query(_LENS + "select query, count(id) n, md5(coalesce(string_agg(id, ',' order by id), '')) digest from (" + " union all ".join(f"select '{name} {' '.join(args)}' query, id from (select 1) left join nodes on {where}" for name, args, where in _FOUND) + ") group by query")
+def catalog_finders(spark, d):
+    """What the queries of the catalog find, as a count and a digest of the sorted ids."""
+    n, e = written(lens.nodes(spark, d), "nodes"), written(lens.edges(spark, d), "edges")
+    every = None
+    for name, args, _ in _FOUND:
+        one = finders.CATALOG[name](n, e, *args).select(F.lit(f"{name} {' '.join(args)}").alias("query"), "id")
+        every = one if every is None else every.unionByName(one)
+    queries_ = spark.createDataFrame([(f"{name} {' '.join(args)}",) for name, args, _ in _FOUND], "query string")
+    found = every.groupBy("query").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return queries_.join(found, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"), F.md5(F.coalesce("ids", F.lit("")).cast("binary")).alias("digest"))
+
+
+@query(_LENS + """select n.id, n.label, n.name, cast((select count(*) from edges where src = n.id) as integer) as out, cast((select count(*) from edges where dst = n.id) as integer) incoming from nodes n where n.label in ('Class', 'Interface', 'Annotation')""")
+def node_details(spark, d):
+    n, e = lens.nodes(spark, d), lens.edges(spark, d)
+    out = finders.node_details(n, e, n.where("label <> 'Method'").select("id"))
+    return out.select("id", "label", "name", F.size("out").alias("out"), F.size("incoming").alias("incoming"))
+
+
+@query(_LENS + "select class_fqn, count(distinct name) n, md5(string_agg(name, ',' order by name)) digest from methods group by class_fqn")
+def methods_by_class(spark, d):
+    out = finders.methods_by_class(lens.methods(spark, d))
+    return out.select("class_fqn", F.size("names").cast("bigint").alias("n"), F.md5(F.array_join("names", ",").cast("binary")).alias("digest"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then p_brand || '.X' else case when p_partkey % 3 = 0 then p_brand else p_type || '.' || p_brand end end fqn, p_brand || case when p_partkey % 2 = 0 then ':' || p_partkey else '' end || ':' || p_type as label from part")
+def composed_names_and_labels(spark, d):
+    k = F.col("p_partkey")
+    name = F.when(k % 2 == 0, F.concat("p_brand", F.lit(".X"))).otherwise(F.col("p_brand"))
+    package = F.when(k % 3 == 0, "").otherwise(F.col("p_type"))
+    p = lens.table(spark, d, "part").withColumn("instance", F.when(k % 2 == 0, k.cast("string")))
+    return p.select("p_partkey", java.composed_name(package, name).alias("fqn"), java.label("p_brand", "instance", "p_type").alias("label"))
 
 
 @query(_LENS + "select id, name from nodes where label = 'Class' and package = 'ASIA'")
@@ -471,6 +574,94 @@ def variable_param_query(spark, d):
     return spark.sql("select id, name from {n} where label = :label and package = :package", args={"label": "Class", "package": "ASIA"}, n=lens.nodes(spark, d))
 
 
+# Java sources, written from `part` ------------------------------------------------------------------------------------
+
+_JAVA = """
+with m as (select p_partkey k, p_partkey // 50 g, p_size n, row_number() over (partition by p_partkey // 50 order by p_partkey) - 1 i from part),
+ f as (select g, count(*) n from m group by g),
+ c as (select *, 'parts.b' || (g % 7) package, 'parts.b' || (g % 7) || '.C' || g fqn, 'src/C' || g || '.java' file from f),
+ b as (select m.*, package, fqn, file, 10 + 14 * i as line from m join c using (g))
+"""
+
+
+def _parsed(spark, d) -> java.Parsed:
+    return java.Parsed(lens.java_files(spark, d).unionByName(lens.java_helper(spark)))
+
+
+@query(_JAVA + "select file, package, fqn class_fqn, 'Class' class_type, 'Base' || (g % 5) extends_fqn, 'Shape' implements, cast(6 as integer) start_line, cast(10 + 14 * n as integer) end_line, 'public' modifiers from c")
+def java_types(spark, d):
+    t = _parsed(spark, d).types.where("file <> 'src/Helper.java'")
+    return t.select("file", "package", "class_fqn", "class_type", "extends_fqn", F.array_join("implements_fqns", ",").alias("implements"), "start_line", "end_line", F.array_join("modifiers", ",").alias("modifiers"))
+
+
+@query(_JAVA + "select file, fqn class_fqn, 'm' || k as name, 'int, String' as signature, 'int' return_type, cast(line as integer) start_line, cast(line + 12 as integer) end_line, cast(i + 1 as integer) as ordinal from b")
+def java_methods(spark, d):
+    return _parsed(spark, d).methods.where("file <> 'src/Helper.java'").select("file", "class_fqn", "name", "signature", "return_type", "start_line", "end_line", "ordinal")
+
+
+@query(_JAVA + """select fqn || '.m' || k method_full_name, callee, method_name, arguments, return_type, cast(line + o as integer) line, region, chained from b,
+ lateral (values ('util.Helper', 'compute', 'a|"      "', 'void', 2, 'content', false), (fqn, 'n' || k, 'b', 'void', 4, 'content', false), ('util.Helper', 'rest', '', 'void', 6, 'content', false),
+  ('util.Helper', 'door', '', 'Door', 9, 'content', false), ('Door', 'shut', 'i', 'void', 9, 'content', true)) x(callee, method_name, arguments, return_type, o, region, chained)""")
+def java_calls(spark, d):
+    c = _parsed(spark, d).calls.where("file <> 'src/Helper.java'")
+    # A literal keeps its quotes and length where calls are found; every literal is made as long as the longest for the comparison.
+    arguments = F.regexp_replace(F.array_join("arguments", "|"), '" +"', '"      "')
+    callee = F.regexp_replace("callee", r"^util\.Door$", "Door")
+    kind = F.regexp_replace("return_type", r"^util\.Door$", "Door")
+    return c.select("method_full_name", callee.alias("callee"), "method_name", arguments.alias("arguments"), kind.alias("return_type"), "line", "region", F.col("receiver_call_id").isNotNull().alias("chained"))
+
+
+@query(_JAVA + "select file, cast(line + 5 as integer) as line, fqn || '.m' || k full_name from b where k % 3 = 0")
+def java_method_at_line(spark, d):
+    p = _parsed(spark, d)
+    places = p.methods.where("class_fqn like 'parts.%' and cast(substring(name, 2) as bigint) % 3 = 0").select("file", (F.col("start_line") + 5).alias("line"))
+    return p.method_at(places)
+
+
+@query(_JAVA + """select fqn || '.m' || k method_full_name, type, condition, cast(line + a as integer) start_line, cast(line + z as integer) end_line, cast(o as integer) as ordinal from b,
+ lateral (values ('ALTERNATIVE', 'a > ' || n, 3, 5, 0), ('ALTERNATIVE', '', 5, 7, 1), ('LOOP', 'for loop', 8, 10, 0)) x(type, condition, a, z, o)""")
+def java_fragments(spark, d):
+    return _parsed(spark, d).fragments.select("method_full_name", "type", "condition", "start_line", "end_line", "ordinal")
+
+
+@query(_JAVA + """select file, 'Method' target_type, fqn || '.m' || k target_fqn, 'Size' as name, 'value=' || n || ':number' params, cast(line as integer) line from b
+ union all select file, 'Class', fqn, 'Service', 'name=c,' || g || ':string level=' || (g % 4) || ':number', 6 from c""")
+def java_annotations(spark, d):
+    u = _parsed(spark, d).annotation_uses
+    params = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit("="), p["value"], F.lit(":"), p["kind"])), " ")
+    return u.select("file", "target_type", "target_fqn", "name", params.alias("params"), F.col("start_line").alias("line"))
+
+
+@query(_JAVA + """select 'class_' || replace(fqn, '.', '_') src, 'method_C' || g || '_m' || k dst, 'CONTAINS' "type" from b union all select 'method_C' || g || '_m' || k, 'annotation_Method_Size', 'HAS_ANNOTATION' from b
+ union all select 'class_' || replace(fqn, '.', '_'), 'annotation_Class_Service', 'HAS_ANNOTATION' from c union all select 'method_C' || g || '_m' || k, 'method_Helper_' || x, 'CALLS' from b, (values ('compute'), ('rest'), ('door')) v(x)""")
+def java_graph_edges(spark, d):
+    p = _parsed(spark, d)
+    n, e = convert.graph(p.types, p.methods, p.calls, p.annotation_uses, created_at=0)
+    return store.valid_edges(e, n).where("src not like '%Helper%'").select("src", "dst", "type")
+
+
+@query(_JAVA + """select fqn || '.m' || k entry, fqn class_fqn, 'ok' status, cast(20 + (select n from f where f.g = b.g) as integer) as lines from b where k % 10 = 0
+ union all select fqn || '.m' || k, 'util.Helper', 'ok', 11 from b where k % 10 = 0""")
+def java_extraction(spark, d):
+    """What each tenth method needs: its class with that method alone, and the class of its helper."""
+    p, files = _parsed(spark, d), lens.java_files(spark, d).unionByName(lens.java_helper(spark))
+    entries = p.methods.where("class_fqn like 'parts.%' and cast(substring(name, 2) as bigint) % 10 = 0").select(F.col("full_name").alias("entry"))
+    out = weave.woven_classes(p, files, entries, trace.TraceConfig(depth=2, base_packages=["parts", "util"]))
+    return out.select("entry", "class_fqn", "status", F.size(F.split("source", "\n", -1)).alias("lines"))
+
+
+@query(_JAVA + "select fqn || '.m' || k entry, cast(6 as bigint) calls, cast(1 as bigint) alts, cast(1 as bigint) elses, cast(1 as bigint) loops, cast(2 as bigint) ends, cast(1 as bigint) notes from b where k % 25 = 0")
+def java_diagrams(spark, d):
+    """Diagrams with the control flow around the calls, and annotations beside them."""
+    p = _parsed(spark, d)
+    entries = p.methods.where("class_fqn like 'parts.%' and cast(substring(name, 2) as bigint) % 25 = 0").select(F.col("full_name").alias("entry"))
+    t = trace.trace(java.trace_calls(p), entries, trace.TraceConfig(depth=1))
+    own = entries.select("entry", F.array(F.lit(-1), F.lit(-1)).alias("place"), F.col("entry").alias("callee"))
+    out = render.diagrams(t, entries, trace.traced_fragments(t, p.fragments), render.annotation_notes(own, p.annotation_uses))
+    n = lambda x: F.regexp_count("diagram", F.lit(x)).cast("bigint")
+    return out.select("entry", n("->>").alias("calls"), n(r"(?m)^\s*alt ").alias("alts"), n(r"(?m)^\s*else").alias("elses"), n(r"(?m)^\s*loop ").alias("loops"), n(r"(?m)^\s*end$").alias("ends"), n(r"Note right of \w+: @Size").alias("notes"))
+
+
 # Text without an oracle: held against brute force in the tests -----------------------------------------------------------
 
 

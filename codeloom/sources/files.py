@@ -124,3 +124,25 @@ def scanned_or_error(spark: SparkSession, roots: str, schema: str) -> tuple[Data
         return source_files(spark, roots), None
     except MissingRoot as e:
         return empty(spark, schema), str(e)
+
+
+def save_documents(parsed, folder: str) -> None:
+    """Writes the parsed documents as JSON lines, compact and not one file per source: a folder for each table, in one place."""
+    for name in ("types", "methods", "calls", "fragments", "annotation_uses"):
+        getattr(parsed, name).write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def load_documents(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the documents saved there, with its schema."""
+    from codeloom import model
+
+    return spark.read.schema(getattr(model, name.upper())).json(f"{folder}/{name}")
+
+
+def read_pages(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(file, content, error): the pages below a folder as text. A file that isn't valid UTF-8 has its error, and no content."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    text = F.col("content").cast("string")
+    bad = text.cast("binary") != F.col("content")
+    broken = F.expr("not is_valid_utf8(cast(content as string))")
+    return raw.select(F.col("path").alias("file"), F.when(~(broken | bad), text).alias("content"), F.when(broken | bad, F.lit("not valid UTF-8")).alias("error"))

@@ -11,13 +11,28 @@ from pyspark.sql import functions as F
 from codeloom.operators import convert
 from codeloom.operators.java import Parsed
 from codeloom.operators.store import GraphStore
+from codeloom.tables import written
 
 
 def upsert_sources(store: GraphStore, files: DataFrame, created_at: int | None = None):
-    """files: (path, content). Replaces what the store has of these files by what they hold now."""
-    p = Parsed(files)
+    """files: (path, content). Replaces what the store has of these files by what they hold now, in one version.
+
+    Calls are matched with the methods of these files and with those that the store has of others. All calls are kept beside the
+    store, by file, and matched again whenever files arrive: so a class may come after its callers, or go and come back."""
+    sources = files.select(F.col("path").alias("source_file")).distinct()
+    others = store.nodes().join(sources, "source_file", "left_anti")
+    full = F.concat_ws(".", F.nullif("package", F.lit("")), "class_name")
+    types = others.where("label in ('Class', 'Interface')").select("package", F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("class_fqn"))
+    p = Parsed(files, types)
     nodes, edges = convert.graph(p.types, p.methods, p.calls, p.annotation_uses, created_at=created_at)
-    return store.upsert(nodes, edges)
+    methods = convert.kept_methods(p.methods).select("class_fqn", "name").unionByName(others.where("label = 'Method'").select(full.alias("class_fqn"), "name"))
+    caller = F.regexp_extract("method_full_name", r"(?s)^(.*)\.[^.]*$", 1)
+    fresh = p.calls.where("callee <> 'unknown'").select("file", "method_full_name", "callee", "method_name").unionByName(
+        # A bare name that no file explained may be a class of the caller's package that is still to come.
+        p.calls.where("callee <> 'unknown' and not contains(callee, '.')").select("file", "method_full_name", F.concat_ws(".", F.nullif(F.regexp_extract(caller, r"(?s)^(.*)\.[^.]*$", 1), F.lit("")), "callee").alias("callee"), "method_name")
+    )
+    calls = written(store.calls().join(sources.withColumnRenamed("source_file", "file"), "file", "left_anti").unionByName(fresh.distinct()), "calls")
+    return store.replace_sources(sources, nodes, edges.unionByName(convert.calls_edges(calls, methods)), calls)
 
 
 def watch(spark: SparkSession, folder: str, store: GraphStore, checkpoint: str, extension: str = ".java", **trigger):

@@ -260,6 +260,83 @@ def test_stream(spark, source_dir, tmp_path):
     assert g.version == 1 and g.nodes().where("label = 'Class'").count() == 2
 
 
+def test_stream_replaces_and_resolves(spark, tmp_path):
+    """A file that comes again replaces what it held; calls meet classes that came before, or come after."""
+    from codeloom.streaming.watch import upsert_sources
+
+    g = store.GraphStore(spark, str(tmp_path / "g"))
+    load = lambda *files: upsert_sources(g, spark.createDataFrame(files, "path string, content string"), created_at=1)
+    a = "package p;\n@Table(name = \"users, all\")\npublic class A {\n    private B b;\n    public void work1() {\n        b.work2();\n    }\n    public void more() {\n    }\n}\n"
+    b = "package p;\npublic class B {\n    public void work2() {\n        new A().more();\n    }\n}\n"
+    load(("A.java", a))
+    calls = lambda: {(r.src, r.dst) for r in g.edges().where("type = 'CALLS'").collect()}
+    assert calls() == set() and g.nodes().where("label = 'Annotation'").count() == 1
+    load(("B.java", b))  # the class arrives after its caller, and calls a class of an earlier batch
+    assert calls() == {("method_A_work1", "method_B_work2"), ("method_B_work2", "method_A_more")}
+    load(("A.java", a.replace("@Table(name = \"users, all\")\n", "").replace("    public void more() {\n    }\n", "")))
+    ids = {r.id for r in g.nodes().collect()}
+    assert "method_A_more" not in ids and not any(i.startswith("annotation") for i in ids)
+    assert calls() == {("method_A_work1", "method_B_work2")}
+    assert ("class_p_A", "method_A_more") not in {(r.src, r.dst) for r in g.edges().collect()}
+    load(("A.java", a))
+    assert calls() == {("method_A_work1", "method_B_work2"), ("method_B_work2", "method_A_more")}
+
+
+def test_annotation_arguments(spark):
+    text = """package p;
+/** Not @This one. */
+@Table(name = "users, (all)", indexes = {@Index(columnList = "a, b"), @Index("c")})
+@Marker
+public class A {
+    @Query("select ')' from x") // no @Comment
+    @Limit(max = 5, strict = true, type = String.class)
+    public void find() { call("@No"); }
+}
+"""
+    uses = {r["name"]: r for r in java.Parsed(spark.createDataFrame([("A.java", text)], "path string, content string")).annotation_uses.collect()}
+    got = {k: [(p["name"], p["value"], p["kind"]) for p in r.params] for k, r in uses.items()}
+    assert got["Table"][0] == ("name", "users, (all)", "string") and got["Marker"] == [] and "This" not in got and "Comment" not in got and "No" not in got
+    assert got["Query"] == [("value", "select ')' from x", "string")] and got["Limit"] == [("max", "5", "number"), ("strict", "true", "boolean"), ("type", "String", "type")]
+    assert (uses["Table"].start_line, uses["Marker"].start_line, uses["Query"].start_line, uses["Limit"].start_line) == (3, 4, 6, 7)
+
+
+def test_answers_of_models(spark):
+    text = 'Sure: {"summary": "s", "purpose_tags": ["Navigation"], "interacts_with_ids": ["x"], "ui_manipulation": "u", "data_flow": "d", "business_logic": "b", "complexity_score": 4, "maintainability_notes": "m", "potential_backend_calls": ["c"]} done'
+    r = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select(pages.parsed_analysis(F.col("t")).alias("x")).collect()
+    assert r[0].x.asDict() == {"summary": "s", "purpose_tags": ["Navigation"], "interacts_with_ids": ["x"], "ui_manipulation": "u", "data_flow": "d", "business_logic": "b", "complexity_score": 4, "maintainability_notes": "m", "potential_backend_calls": ["c"]}
+    assert r[1].x is None or r[1].x.summary is None
+
+
+def test_extraction(spark, source_dir):
+    from codeloom.operators.trace import TraceConfig
+
+    f = files.source_files(spark, source_dir)
+    p = java.Parsed(f)
+    out = weave.extract_code(p, f, "shop.Cart.total", TraceConfig(depth=2, base_packages=["shop"]), "now").first()
+    assert "shop.Cart" in out.involved_classes and out.total_classes == len(out.involved_classes) and "total" in out.merged_source and out.error is None
+    none = weave.extract_code(p, f, "other.X.y", TraceConfig(depth=2, base_packages=["shop"])).first()
+    assert (none.involved_classes, none.merged_source, none.total_classes, none.total_lines) == ([], "", 0, 0) and "other.X.y" in none.error
+
+
+def test_documents_and_pages_on_disk(spark, source_dir, tmp_path):
+    p = java.Parsed(files.source_files(spark, source_dir))
+    files.save_documents(p, str(tmp_path / "docs"))
+    for name in ("types", "methods", "calls", "fragments"):
+        assert files.load_documents(spark, str(tmp_path / "docs"), name).count() == getattr(p, name).count()
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages/a.jsp").write_text("<p>é</p>")
+    (tmp_path / "pages/b.jsp").write_bytes(b"\xff\xfe<p>")
+    got = {r.file.rsplit("/", 1)[1]: (r.content, r.error) for r in files.read_pages(spark, str(tmp_path / "pages")).collect()}
+    assert got["a.jsp"] == ("<p>é</p>", None) and got["b.jsp"][0] is None and got["b.jsp"][1]
+
+
+def test_long_ways(spark):
+    n = 130
+    e = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(n)], "src string, dst string")
+    got = trace.reach(e, spark.createDataFrame([("n000",)], "start string"))
+    assert got.count() == n and got.agg(F.max("distance")).first()[0] == n
+
+
 def test_nulls_in_nodes(spark):
     n = as_nodes(spark.createDataFrame([("a", None)], "id string, name string"), 0).first()
     assert n.name == "" and n.line_number == 0 and n.flags == {} and n.created_at == 0
