@@ -34,8 +34,8 @@ from codeloom.llm.shared import running_total, small, written
 LENGTH, GRAM = 100, 20
 #: Bytes of text that are hashed, or sorted, at once.
 BUFFER, SHARD = 1 << 18, 4 << 20
-#: Up to so many names the text of names is induced; beyond, its ranks are doubled.
-NAMES = 2048
+#: Alphabets up to so many characters are induced a bucket at a time, larger ones, of names, a suffix at a time.
+LETTERS = 1024
 _NULL = -(1 << 63)
 #: Where the places of the next of the texts with one id begin; no text is as long.
 FAR = 1 << 31
@@ -185,6 +185,30 @@ def _induce(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int) ->
     return sa
 
 
+def _induce_each(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
+    """As _induce, for large alphabets, whose buckets hold a suffix or two: one after the other."""
+    ends = np.cumsum(np.bincount(t, minlength=size))
+    heads, tails = np.append(0, ends[:-1]).tolist(), ends.tolist()
+    text, small, sa = t.tolist(), smaller.tolist(), [-1] * len(t)
+    for i in reversed(seeds.tolist()):
+        c = text[i]
+        tails[c] -= 1
+        sa[tails[c]] = i
+    for i in sa:  # grows to the right of where it is read
+        if i > 0 and not small[i - 1]:
+            c = text[i - 1]
+            sa[heads[c]] = i - 1
+            heads[c] += 1
+    tails = ends.tolist()
+    for k in range(len(sa) - 1, -1, -1):
+        i = sa[k]
+        if i > 0 and small[i - 1]:
+            c = text[i - 1]
+            tails[c] -= 1
+            sa[tails[c]] = i - 1
+    return np.array(sa, np.int64)
+
+
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     """t: numbers below `size`, the last one 0 and the only 0."""
     n = len(t)
@@ -198,7 +222,8 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     smaller[n - 1] = True
     leftmost = np.flatnonzero(smaller & np.append(False, ~smaller[:-1]))
     seeds = leftmost[np.argsort(t[leftmost], kind="stable")]
-    sa = _induce(t, smaller, seeds, size)
+    induce = _induce if size <= LETTERS else _induce_each
+    sa = induce(t, smaller, seeds, size)
     is_left = np.zeros(n, bool)
     is_left[leftmost] = True
     ordered = sa[is_left[sa]]
@@ -218,25 +243,8 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     names = int(name[ordered[-1]]) + 1
     if names < len(leftmost):
         short = name[leftmost]
-        order = suffix_array(short, names) if names <= NAMES else _doubled(short)
-        ordered = leftmost[order]
-    return _induce(t, smaller, ordered, size)
-
-
-def _doubled(rank: np.ndarray) -> np.ndarray:
-    """The suffix array of ranks, each round sorting by twice as many of them."""
-    n, k = len(rank), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.append(0, np.cumsum(key[1:] != key[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        k *= 2
-        if fresh[-1] == n - 1 or k >= n:
-            return order
+        ordered = leftmost[suffix_array(short, names)]
+    return induce(t, smaller, ordered, size)
 
 
 def permuted_prefixes(raw: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

@@ -341,16 +341,32 @@ def test_short_lines(spark, tmp_path):
         assert kept.get(i) == (None if want[i][3] and not left.strip(" \t\n\v\f\r") else left)
 
 
-def test_suffix_array():
+@pytest.mark.parametrize("letters", [0, 1024])
+def test_suffix_array(monkeypatch, letters):
+    monkeypatch.setattr(suffixes, "LETTERS", letters)
     rng = random.Random(5)
-    for names in (0, 2048):
-        suffixes.NAMES, before = names, suffixes.NAMES
-        try:
-            for _ in range(150):
-                x = [rng.randint(1, rng.choice([2, 3, 200])) for _ in range(rng.randint(1, 70))] + [0]
-                assert suffixes.suffix_array(np.array(x, np.int64), 256).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
-        finally:
-            suffixes.NAMES = before
+    for _ in range(150):
+        x = [rng.randint(1, rng.choice([2, 3, 200])) for _ in range(rng.randint(1, 70))] + [0]
+        assert suffixes.suffix_array(np.array(x, np.int64), 256).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def test_suffix_array_recurses(monkeypatch):
+    """Names are sorted recursively on a text as long as a shard's, too, whose names are far more than its letters."""
+    rng, depth, sizes, own = random.Random(6), [0], [], suffixes.suffix_array
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(30_000)]
+    raw = " ".join(rng.choice(words) for _ in range(60_000)).encode()
+
+    def spied(t, size):
+        sizes.append(size)
+        return own(t, size)
+
+    monkeypatch.setattr(suffixes, "suffix_array", spied)
+    codes = np.append(np.frombuffer(raw, np.uint8).astype(np.int64) + 2, 0)
+    sa = spied(codes, 258)
+    assert len(sizes) >= 3 and sizes[1] > 20_000
+    assert sorted(sa.tolist()) == list(range(len(codes)))
+    for k in rng.sample(range(len(sa) - 1), 3000):
+        assert raw[sa[k] :] < raw[sa[k + 1] :]
 
 
 def test_suffix_dedup(spark, rows, empty):
