@@ -6,7 +6,8 @@ block of dimensions by block; what the remaining dimensions can still add is at
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; vectors are compared
 with those of the same length only; ties go to the smaller id; a row with the query's id is its own and no candidate;
-repeated rows are candidates each.
+repeated rows are candidates each. Scores are 64-bit whole numbers: vectors whose products would sum up to more than 2**62, such as of
+components beyond 10**7, have no defined score; ids and vectors are all that is read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -203,6 +203,7 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes the pages as archives and reads the records back, without payloads."""
+    """Writes the pages as archives and reads the records back, without payloads; a record that fails a check ends the job."""
     folder = new_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(deduplicated(pages, min_bytes), folder), payloads=False)
+    read = read_archives(write_archives(deduplicated(pages, min_bytes), folder), payloads=False)
+    return read.where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("error")).cast("boolean")))
