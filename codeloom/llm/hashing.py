@@ -34,16 +34,17 @@ def parts(raw: bytes) -> list[bytes]:
 
 
 class Words:
-    """Hashes of the words of texts, A-Z lower-cased."""
+    """Hashes of the words of texts, A-Z lower-cased unless told otherwise."""
 
-    def __init__(self):
+    def __init__(self, lower: bool = True):
         self.space = np.zeros(256, bool)
         self.space[_SPACES] = True
         self.low = np.arange(256, dtype=np.uint8)
-        self.low[65:91] += 32
+        if lower:
+            self.low[65:91] += 32
         self.powers = powers(2 * TOGETHER)
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, first three bytes as one number) of each word in order, and the number of words of each text."""
         hashes, heads, counts, held, total = [], [], [], [], 0
 
@@ -57,7 +58,7 @@ class Words:
             held, total = [], 0
 
         for x in texts:
-            raw = x.encode("utf-8", "surrogatepass") if isinstance(x, str) else b""
+            raw = x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x if isinstance(x, bytes) else b""
             if total + len(raw) > TOGETHER:
                 flush()
             if len(raw) > TOGETHER:  # a long text goes part by part

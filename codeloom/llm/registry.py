@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import lines, lm, minhash, mixing, packing, quality, suffixes, topk, toxicity, warc
-from codeloom.llm.shared import table
+from codeloom.llm import alignment, langid, lines, lm, minhash, mixing, packing, periodic, quality, suffixes, topk, toxicity, warc
+from codeloom.llm.shared import WORD, table
 
 
 def op1_top_k(spark, sf_dir):
@@ -64,6 +64,40 @@ def op10_mix_sources(spark, sf_dir):
     return docs.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark, sf_dir):
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def repeated(docs):
+    """docs with a periodic tail in each tenth text or so: doc_id, text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, g = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.floor(F.col("h") / 10)
+    n, a = F.size("words"), F.col("a")
+    some = docs.select("doc_id", "text", F.coalesce(h, F.lit(1)).alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    some = some.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", 1 + F.floor((n - a) / (3 + g % 8)).cast("int"))
+    tail = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i >= a, a + (i - a) % F.col("p")).otherwise(i)))
+    return some.select("doc_id", F.when(n > 0, F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    rows = periodic.with_runs(repeated(table(spark, sf_dir, "documents")), "doc_id")
+    # The longest run; of equally long ones the first, then the one of smallest period.
+    longest = F.reduce("runs", F.get("runs", F.lit(0)), lambda x, r: F.when(r["length"] > x["length"], r).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", "x.start", "x.length", "x.period", F.floor(1000 * F.col("x.length") / F.col("x.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language_id(spark, sf_dir):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    rows = langid.labelled(docs, langid.fitted(docs.where("not held_out")), "doc_id", "held_out")
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
 _TEXT = r"coalesce(text, '')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
