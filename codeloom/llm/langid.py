@@ -19,7 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import small, written
+from codeloom.llm.shared import Numbers, small, written
 
 LEARNED, LANGUAGES = 4000, 256
 BUCKETS, GRAMS, LONG = 1 << 16, (1, 2, 3, 4), 32
@@ -69,6 +69,9 @@ OTHER = len(SCRIPTS)
 _ALL = "".join(SCRIPTS.values())
 #: A word: letters (and other word characters that aren't digits) of one script.
 _WORD = re.compile("|".join([*(f"(?:(?![\\d_])[{x}])+" if k != "latin" else f"[{x}]+" for k, x in SCRIPTS.items()), rf"(?:(?![{_ALL}])[^\W\d_])+"]))
+#: In lower-cased texts without any of these, every letter is latin and every word character but digits and _ is a letter.
+_OTHERS = re.compile("[µ²³¹¼½¾\u0250-\u1fff\u2070-\U0010ffff]")
+_LATIN_WORD = re.compile(r"[^\W\d_]+")
 _EACH = [re.compile(f"[{x}]") for x in SCRIPTS.values()]
 
 
@@ -79,7 +82,8 @@ def script_of(word: str) -> int:
 
 def words_of(text: str | None) -> list[str]:
     """The lower-cased words that hold a letter; those beyond LONG characters in pieces."""
-    words = _WORD.findall(text.lower()) if text else []
+    low = text.lower() if text else ""
+    words = (_WORD if _OTHERS.search(low) else _LATIN_WORD).findall(low)
     if any(len(w) > LONG or not w.isalpha() for w in words):
         words = [p for w in words for p in (w[at : at + LONG] for at in range(0, len(w), LONG)) if any(map(str.isalpha, p))]
     return words
@@ -196,18 +200,19 @@ class _Scorer:
     """Remembers words that it has scored."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known = model, Numbers()
         self.scores = np.zeros((0, len(model.languages)), np.float32)
 
     def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(scores, labels) of the words of all texts, one after the other."""
         if len(self.known) > REMEMBERED:
-            self.known, self.scores = {}, self.scores[:0]
-        fresh = list(dict.fromkeys(w for t in texts for w in t if w not in self.known))
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        self.scores = np.concatenate([self.scores, self.model.of_words(fresh)])
+            self.known, self.scores = Numbers(), self.scores[:0]
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        own = self.scores[np.fromiter((self.known[w] for t in texts for w in t), np.int64, int(counts.sum()))]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+        if self.known.fresh:
+            self.scores = np.concatenate([self.scores, self.model.of_words(self.known.fresh)])
+            self.known.fresh = []
+        own = self.scores[at]
         return own, viterbi(own, counts)
 
     def results(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[dict]]]:

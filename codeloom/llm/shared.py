@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from codeloom.tables import shared_dir, written
 
-__all__ = ["WORD", "BROADCAST_BYTES", "n_words", "new_path", "running_total", "shared_dir", "small", "table", "written"]
+__all__ = ["WORD", "BROADCAST_BYTES", "Numbers", "n_words", "new_path", "running_total", "shared_dir", "small", "table", "written"]
 
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are met first; `fresh` holds the new ones."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
