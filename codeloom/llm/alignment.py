@@ -26,6 +26,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import written
+from codeloom.llm.shared import Numbers, written
 
 #: Bytes of text, and texts, of a block; units that a task remembers.
-BLOCK, TEXTS, REMEMBERED = 1 << 23, 1 << 16, 300_000
+BLOCK, TEXTS, REMEMBERED = 1 << 23, 1 << 16, 800_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Tokens of a stretch that are compared one by one before stretches of doubling length are.
+FIRST = 8
 #: A pair of ids is one number: A's id, and B's in the lowest bits.
 _SHIFT = 1 << 24
 _DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -51,13 +54,17 @@ def groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     n, m = len(a), len(b)
     while i < n and j < m:
         if a[i] == b[j]:  # one to one, and perhaps more at this shift
-            width, most, k = 1, min(n - i, m - j), 1
-            while k < most:
+            most, k = min(n - i, m - j), 1
+            first = min(most, FIRST)
+            while k < first and a[i + k] == b[j + k]:
+                k += 1
+            width = k if k == FIRST else 0
+            while width and k < most:
                 width = min(2 * width, most - k)
                 if a[i + k : i + k + width] != b[j + k : j + k + width]:
                     break
                 k += width
-            if k < most:
+            if width and k < most:
                 while width > 1:  # the first difference lies in this stretch
                     half = width // 2
                     if a[i + k : i + k + half] == b[j + k : j + k + half]:
@@ -100,18 +107,6 @@ def _byte_values() -> dict[str, int]:
     return {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(rest)}
 
 
-class _Numbers(dict):
-    """Numbers keys in the order in which they are met first; `fresh` holds the new ones."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.fresh.append(key)
-        return n
-
-
 class Tokens:
     """Both tokenizers, with the bytes of each id."""
 
@@ -129,11 +124,15 @@ class Tokens:
         self.fast = self._by_ranks(path_a)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
+        if size >= 1 << 23 or len(pieces) >= _SHIFT:
+            raise ValueError("too many ids for pairs to be numbers")
         if any(re.search("[^▁]▁", x) for x in pieces):
             raise ValueError("a piece has its space mark after another character, so texts can't be cut at spaces")
         self.size_a, self.size_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
+        self.n_a, self.n_b = self.size_a.tolist(), self.size_b.tolist()
         # Digits with what follows: between tokens of one side, after A's last of a group, after B's last of a group.
-        self.text = [b"%d%c" % (k, end) for n, ends in ((size, b",|"), (len(pieces), b",;")) for end in ends for k in range(n)]
+        text = [b"%d%c" % (k, end) for n, ends in ((size, b",|"), (len(pieces), b",;")) for end in ends for k in range(n)]
+        self.text = np.array(text).view(np.uint8).reshape(len(text), -1)
         self.places = (0, size, 2 * size, 2 * size + len(pieces))
         self.forget()
 
@@ -155,13 +154,31 @@ class Tokens:
 
     def encoded_a(self, texts: list[str]) -> list[list[int]]:
         if self.fast:
-            return list(map(self.fast.encode_ordinary, texts))
+            return self._split(texts)
         return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _split(self, texts: list[str], together: int = 512) -> list[list[int]]:
+        """The texts encoded many at once, one after the other: each begins with a space, where a token begins unless white space is
+        beside it. Where a token doesn't end with its text, the texts of that part are encoded one by one."""
+        out: list[list[int]] = []
+        for at in range(0, len(texts), together):
+            some = texts[at : at + together]
+            ids = self.fast.encode_ordinary("".join(some))
+            ends = np.cumsum(np.fromiter(map(self.n_a.__getitem__, ids), np.int64, len(ids)))
+            wanted = np.cumsum([len(x.encode()) for x in some])
+            cuts = np.searchsorted(ends, wanted)
+            plain = not any(x[1:2].isspace() or x[-1].isspace() for x in some)
+            if plain and len(ends) and cuts[-1] < len(ends) and (ends[cuts] == wanted).all():
+                bounds = [0, *(cuts + 1).tolist()]
+                out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+            else:
+                out += map(self.fast.encode_ordinary, some)
+        return out
+
     def forget(self) -> None:
-        self.known = _Numbers()
+        self.known = Numbers()
         self.ok = np.zeros(0, bool)
-        self.ids, self.counts = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.ids, self.counts = [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int32)] * 2
 
     def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all units of the texts, and how many each text has."""
@@ -174,11 +191,17 @@ class Tokens:
             a = self.encoded_a([" " + u for u in fresh])
             b = self.b.encode(fresh, num_threads=1)
             text = [b" " + u.encode() for u in fresh]
-            ok = [b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, t in zip(a, b, text)]
+            ok = [True] * len(fresh)
+            bounds = [np.cumsum([0, *map(len, x)]) for x in (text, a, b)]
+            flat = [np.fromiter(chain.from_iterable(x), np.int64, bounds[k][-1]) for k, x in ((1, a), (2, b))]
+            sizes = [np.diff(bounds[0]), *(np.add.reduceat(np.append(n[x], 0), at[:-1]) * (np.diff(at) > 0) for n, x, at in ((self.size_a, flat[0], bounds[1]), (self.size_b, flat[1], bounds[2])))]
+            whole = [b"".join(text), *(b"".join(map(own.__getitem__, x.tolist())) for own, x in ((self.bytes_a, flat[0]), (self.bytes_b, flat[1])))]
+            if not (whole[0] == whole[1] == whole[2] and (sizes[0] == sizes[1]).all() and (sizes[0] == sizes[2]).all()):  # then they are looked at one by one
+                ok = [b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, t in zip(a, b, text)]
             self.ok = np.concatenate([self.ok, ok])
-            for k, new in enumerate((a, b)):
-                self.ids[k] = np.concatenate([self.ids[k], np.fromiter(chain.from_iterable(new), np.int64, sum(map(len, new)))])
-                self.counts[k] = np.concatenate([self.counts[k], np.fromiter(map(len, new), np.int64, len(new))])
+            for k in range(2):
+                self.ids[k] = np.concatenate([self.ids[k], flat[k].astype(np.int32)])
+                self.counts[k] = np.concatenate([self.counts[k], np.diff(bounds[k + 1]).astype(np.int32)])
             self.known.fresh = []
         return units, counts
 
@@ -190,9 +213,9 @@ class Tokens:
         bad[own[~self.ok[units]]] = True
         both = []
         for ids, n in zip(self.ids, self.counts):
-            starts, k = np.cumsum(n) - n, n[units]
+            starts, k = np.cumsum(n, dtype=np.int64) - n, n[units].astype(np.int64)
             at = np.repeat(starts[units] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            both.append(np.split(ids[at], np.cumsum(np.bincount(own, k, len(texts)).astype(np.int64))[:-1]))
+            both.append(np.split(ids[at].astype(np.int64), np.cumsum(np.bincount(own, k, len(texts)).astype(np.int64))[:-1]))
         return [None if x else (a, b) for x, a, b in zip(bad, *both)]
 
     def written(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
@@ -203,7 +226,14 @@ class Tokens:
         out = np.zeros(len(a) + len(b), np.int64)
         out[np.arange(len(a)) + np.concatenate([[0], last_b])[group_a]] = a + np.where(closes_a == 1, self.places[1], self.places[0])
         out[np.arange(len(b)) + last_a[group_b]] = b + np.where(closes_b == 1, self.places[3], self.places[2])
-        return b"".join(map(self.text.__getitem__, out.tolist()))[:-1]
+        text = self.text[out]
+        return text[text != 0].tobytes()[:-1]
+
+
+@lru_cache(maxsize=1)
+def _tokens(path_a: str, path_b: str) -> Tokens:
+    """One for all tasks of a worker, with the units it remembers."""
+    return Tokens(path_a, path_b)
 
 
 @dataclass
@@ -223,8 +253,8 @@ class _Block:
 
     def row(self, number: int) -> pa.RecordBatch:
         pairs, owners = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (self.pairs, self.owners))
-        order = np.lexsort((owners, pairs))
-        pairs, owners = pairs[order], owners[order]
+        both = np.sort(pairs * TEXTS + owners)  # below 2**63, as ids are below 2**23 and 2**24
+        pairs, owners = both // TEXTS, both % TEXTS
         new = np.flatnonzero(np.diff(pairs, prepend=-1) | np.diff(owners, prepend=-1))  # a pair in a document
         times, owners, pairs = np.diff(np.append(new, len(pairs))), owners[new], pairs[new]
         first = np.flatnonzero(np.diff(pairs, prepend=-1))  # a pair in the block
@@ -250,7 +280,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """docs: doc_id, text. A row for each block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, block = Tokens(path_a, path_b), _Block()
+        tokens, block = _tokens(path_a, path_b), _Block()
         number = TaskContext.get().partitionId() << 32
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
