@@ -115,6 +115,15 @@ def calls_edges(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return met_calls(call_targets(calls), methods)
 
 
+def overload_edges(calls: DataFrame) -> DataFrame:
+    """Method to overload: calls to the signature ids that a method node has in props.signature_id; of overloads that fit equally well,
+    all."""
+    each = calls.select("method_full_name", "callee", F.explode("targets").alias("t"))
+    caller = s.method_id(F.substring_index("method_full_name", ".", -1), s.simple_name(F.regexp_extract("method_full_name", r"(?s)^(.*)\.[^.]*$", 1)))
+    target = F.concat(s.method_id(F.col("t.name"), s.simple_name(s.strip_type_arguments("callee"))), F.lit("("), F.col("t.signature"), F.lit(")"))
+    return as_edges(each.select(caller.alias("src"), target.alias("dst"), F.lit("CALLS").alias("type")).distinct())
+
+
 def annotation_edges(uses: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     u = used_annotations(uses, list(DEFAULT_EXCLUDED) if excluded is None else excluded)
     owner = F.regexp_extract("target_fqn", r"(?s)^(.*)\.[^.]*$", 1)

@@ -1,106 +1,59 @@
 """Java sources to tables of types, methods, calls, fragments and annotation uses, by column functions and windows.
 
-A file is masked (comments and the insides of literals become blanks of the same length) and cut into segments that end in
-`{`, `}` or `;`. A running sum gives each segment its depth; the segment that opened the scope it lies in is the last opener
-one level up, a window over (file, level). Chains of scopes are followed by self joins, as many as scopes are nested.
-
-Types are found by name: a call's receiver is a variable of the method, a field, or a type; names are completed by the
-imports, the package, or the classes known. Nothing here resolves inherited members or overloads.
-
-Defined results: a null or empty file has no rows; unbalanced braces leave what follows at the depth they lead to.
+`marks` cuts a file into segments and call sites. Here segments become types, methods, fragments and annotation uses, and call
+sites become calls whose receivers are resolved: a variable of the method, a field, a type, the superclass, or what the call
+before it in a chain returns. Names are completed by the imports, the package, or the classes known. A call belongs to the nearest
+class, from its receiver's type upwards along EXTENDS and IMPLEMENTS, that has a method of that name; its overloads are ranked by
+their number of parameters and by how many argument types fit, and all of the best rank are its targets.
+
+Defined results: a null or empty file has no rows; unbalanced braces leave what follows at the depth they lead to; a call
+without a known target keeps its receiver's type and has no targets; ties between overloads stay several targets.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.operators import marks
+from codeloom.operators.marks import KEYWORDS
 from codeloom.operators.pages import matches
+from codeloom.operators.trace import reach
 from codeloom.tables import written
 
-# Words that look like calls or types and are none.
-KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "synchronized", "try", "super", "this", "throw", "assert", "else", "do", "instanceof", "case", "default", "finally"]
+# Fixed values.
 MODIFIERS = ["public", "protected", "private", "static", "final", "abstract", "synchronized", "native", "default", "strictfp", "sealed"]
+BOXES = {"int": "Integer", "long": "Long", "short": "Short", "byte": "Byte", "char": "Character", "float": "Float", "double": "Double", "boolean": "Boolean"}
+WIDER = {"byte": ["short", "int", "long", "float", "double"], "short": ["int", "long", "float", "double"], "char": ["int", "long", "float", "double"], "int": ["long", "float", "double"], "long": ["float", "double"], "float": ["double"]}
 _TYPE = r"\b(class|interface|enum|record|@interface)\s+([A-Za-z_$][\w$]*)"
 _METHOD = r"(?s)([A-Za-z_$][\w$]*)\s*\(((?:[^()]|\([^()]*\))*)\)\s*(?:throws\s+([\w.,\s]+?))?\s*$"
 _BEFORE = r"(?s)^(?:\s*@[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?)*\s*((?:(?:" + "|".join(MODIFIERS) + r")\s+)*)(?:<[^(]*?>\s+)?((?:[\w$.]+(?:<[^(]*?>)?(?:\[\])*\s+)?)[A-Za-z_$][\w$]*\s*\("
 _ANNOTATION = r"@([A-Za-z_][\w.]*)(\((?:[^()]|\([^()]*\))*\))?"
-_CALL = r"(?:((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\.\s*)?([A-Za-z_$][\w$]*)\s*\("
-
-
-def _blanked(x) -> F.Column:
-    return F.regexp_replace(x, r"[^\n]", " ")
-
-
-def masked(content, literals: bool = True) -> F.Column:
-    """The text with comments blanked, and, if `literals`, the insides of string and character literals and the semicolons of loop
-    headers too; lengths and lines stay."""
-    token = r"""(?s)/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
-    parts, found = F.split(content, token, -1), F.regexp_extract_all(content, F.lit(token), F.lit(0))
-    inside = lambda x: F.concat(F.substring(x, 1, 1), F.repeat(F.lit(" "), F.length(x) - 2), F.substring(x, 1, 1)) if literals else x
-    clean = F.transform(found, lambda x: F.when(x.startswith("/"), _blanked(x)).otherwise(inside(x)))
-    text = F.array_join(F.zip_with(parts, clean, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    if not literals:
-        return text
-    # Braces and semicolons in the arguments of annotations and in loop headers open and end nothing.
-    uses = r"@[A-Za-z_][\w.]*\s*\((?:[^()]|\([^()]*\))*\)"
-    parts, found = F.split(text, uses, -1), F.transform(F.regexp_extract_all(text, F.lit(uses), F.lit(0)), lambda x: F.translate(x, "{};", "[],"))
-    text = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.regexp_replace(text, r"(\bfor\s*\([^;{}]*);([^;{}]*);", "$1,$2,")
-
-
-def segments(files: DataFrame) -> DataFrame:
-    """files: (path, content). (file, ord, head, end, depth, line, at, parent): depth and line where the segment begins,
-    `at` its 0-based offset, parent the ord of the segment that opened its scope."""
-    rows = files.where(F.coalesce("content", F.lit("")) != "").select(F.col("path").alias("file"), masked(F.col("content")).alias("_t"))
-    rows = rows.select("file", F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?s)[^{};]*[{};]"), F.lit(0))).alias("ord", "_s"))
-    w = W.partitionBy("file").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    end = F.substring("_s", -1, 1)
-    step = F.when(end == "{", 1).when(end == "}", -1).otherwise(0)
-    lead = F.regexp_extract("_s", r"^\s*", 0)
-    total = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0))
-    out = rows.select(
-        "file", "ord", F.regexp_replace(F.expr("substring(_s, 1, length(_s) - 1)"), r"^\s+|\s+$", "").alias("head"), F.expr("substring(_s, 1, length(_s) - 1)").alias("raw"), end.alias("end"), total(step).cast("int").alias("depth"),
-        (total(F.regexp_count("_s", F.lit("\n"))) + F.regexp_count(lead, F.lit("\n")) + 1).cast("int").alias("line"), total(F.length("_s")).cast("long").alias("at"),
+_CONTROL = r"^(?:[\w$]+\s*:(?!:)\s*|case\b[^:]*:\s*|default\s*:\s*)*"
+
+
+def segments(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files: (path, content). Its marks and its segments."""
+    m = written(marks.marks(files), "marks")
+    head, end = F.col("head"), F.col("end")
+    is_type = (end == "{") & F.regexp_like("head", F.lit(_TYPE)) & ~head.rlike(r"=\s*new\b")
+    member = F.regexp_replace("head", r"(?s)\)\s*default\b.*$", ")")
+    name = F.regexp_extract(member, _METHOD, 1)
+    method = end.isin("{", ";") & (name != "") & ~name.isin(KEYWORDS) & ~member.rlike(r"^[^(]*=(?![^(]*\()") & ~is_type
+    typed = F.trim(F.regexp_extract(member, _BEFORE, 2)) != ""
+    is_if = head.rlike(_CONTROL + r"(?:else\s+)?if\s*\(")
+    control = is_if | head.rlike(_CONTROL + r"(?:for|while)\s*\(") | (head == "else")
+    bit = lambda c, k: F.when(c, k).otherwise(0)
+    bits = (
+        bit(end == "{", marks.OPENS) + bit(end == "}", marks.CLOSES) + bit(end == "h", marks.BARE) + bit(is_if, marks.IS_IF) + bit(head.rlike(r"^else\b"), marks.IS_ELSE)
+        + bit(head.rlike(r"^(?:catch|finally)\b|^[,).]") | ((head == "") & (end == ";")), marks.GOES_ON) + bit(is_type, marks.IS_TYPE) + bit(method & typed, marks.IS_METHOD) + bit(method & ~typed, marks.IS_CONSTRUCTOR) + bit(control, marks.IS_CONTROL)
     )
-    opener = F.when((F.col("end") == "{") & F.col("_o"), F.col("ord"))
-    level = out.withColumn("_o", F.lit(False)).withColumn("_level", F.col("depth"))
-    level = level.unionByName(out.where("end = '{'").withColumn("_o", F.lit(True)).withColumn("_level", F.col("depth") + 1))
-    scope = W.partitionBy("file", "_level").orderBy("ord", F.desc("_o")).rowsBetween(W.unboundedPreceding, -1)
-    return level.withColumn("parent", F.when(F.col("_level") > 0, F.last(opener, ignorenulls=True).over(scope))).where("not _o").drop("_o", "_level")
-
-
-def classified(segs: DataFrame) -> DataFrame:
-    """Adds kind (type, method, fragment, block, closing or statement), name, and the class that a type names."""
-    p = segs.select(F.col("file"), F.col("ord").alias("parent"), F.regexp_like("head", F.lit(_TYPE)).alias("in_type"), F.col("head").alias("_up"))
-    head = F.col("head")
-    is_type = (F.col("end") == "{") & F.regexp_like("head", F.lit(_TYPE)) & ~head.rlike(r"=\s*new\b")
-    control = head.rlike(r"^(?:[\w$]+\s*:\s*)?(?:else\s+)?(if|for|while)\s*\(") | head.rlike(r"^else$")
-    name = F.regexp_extract("head", _METHOD, 1)
-    is_method = F.coalesce(F.col("in_type"), F.lit(False)) & F.col("end").isin("{", ";") & (name != "") & ~name.isin(KEYWORDS) & ~head.rlike(r"^[^(]*=")
-    kind = F.when(is_type, "type").when(is_method, "method").when((F.col("end") == "{") & control, "fragment").when(F.col("end") == "{", "block").when(F.col("end") == "}", "closing").otherwise("statement")
-    return segs.join(p, ["file", "parent"], "left").withColumn("kind", kind).withColumn("name", F.when(is_type, F.regexp_extract("head", _TYPE, 2)).when(is_method, name)).drop("_up")
-
-
-def _enclosing(rows: DataFrame, kinds: list[str], out: str) -> DataFrame:
-    """(file, ord, out): for each segment the nearest segment around it of the kinds; null if there is none."""
-    up = rows.select("file", F.col("ord").alias("_p"), F.col("kind").alias("_k"), F.col("parent").alias("_up"))
-    at = rows.select("file", "ord", F.col("parent").alias("_at"))
-    done = at.where("_at is null").select("file", "ord", F.lit(None).cast("int").alias(out))
-    while True:
-        met = written(at.where("_at is not null").join(up, (at["file"] == up["file"]) & (F.col("_at") == F.col("_p"))).select(at["file"], "ord", "_p", "_k", "_up"), "scopes")
-        done = done.unionByName(met.where(F.col("_k").isin(kinds)).select("file", "ord", F.col("_p").alias(out))).unionByName(met.where(~F.col("_k").isin(kinds) & F.col("_up").isNull()).select("file", "ord", F.lit(None).cast("int").alias(out)))
-        at = met.where(~F.col("_k").isin(kinds) & F.col("_up").isNotNull()).select("file", "ord", F.col("_up").alias("_at"))
-        if at.isEmpty():
-            return done
-
-
-def _ends(rows: DataFrame) -> DataFrame:
-    """(file, ord, end_line): the line of the brace that closes what a segment opens; its own line if nothing is opened."""
-    closing = rows.where("kind = 'closing'").groupBy("file", "parent").agg(F.min("ord").alias("c"), F.min_by(F.col("line") + F.regexp_count("raw", F.lit("\n")) - F.regexp_count(F.regexp_extract("raw", r"^\s*", 0), F.lit("\n")), "ord").alias("end_line"))
-    c = closing.select("file", F.col("parent").alias("ord"), "end_line")
-    return rows.select("file", "ord", "line").join(c, ["file", "ord"], "left").select("file", "ord", F.coalesce("end_line", "line").cast("int").alias("end_line"))
+    rows = marks.segments(m, bits.cast("int"), F.when(is_type, F.regexp_extract("head", _TYPE, 2)).when(method, name))
+    kept = F.when(F.col("kind").isin("type", "method"), F.col("name"))
+    return m, rows.withColumns({"name": kept, "head": F.when(F.col("kind") == "method", member).otherwise(head)})
 
 
 class Parsed:
@@ -108,17 +61,14 @@ class Parsed:
 
     def __init__(self, files: DataFrame, earlier: DataFrame | None = None):
         """earlier: (package, class_fqn) of types that other files are known to hold."""
-        rows = written(classified(segments(files)), "segments")
+        m, rows = segments(files)
+        self.marks_, self.rows, self.files, self.earlier = m, written(rows, "segments"), files, earlier
         head = files.select(F.col("path").alias("file"), F.col("content"))
         text = F.coalesce(F.col("content"), F.lit(""))
         self.units = written(head.select("file", F.regexp_extract(text, r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;"), F.lit(1)).alias("imports")), "units")
-        self.rows, self.ends, self.files = rows, _ends(rows), files
-        self.earlier = earlier
-        owner = _enclosing(rows, ["type"], "owner")
-        self.types = written(self._types(owner), "types")
-        self.known = self.types.groupBy(F.substring_index("class_fqn", ".", -1).alias("_simple")).agg(F.min("class_fqn").alias("_fqn"))
-        self.methods_ = written(self._methods(owner), "methods")
-        self.fragments_, self.calls_ = self._bodies()
+        self.types = written(self._types(), "types")
+        self.methods_ = written(self._methods(), "methods")
+        self.fragments_ = written(self._fragments(), "fragments")
 
     def _resolve(self, df: DataFrame, column: str) -> DataFrame:
         """df, which has `file`: the column's type name completed by imports, the package, or the known classes."""
@@ -132,8 +82,8 @@ class Parsed:
         met = met.join(same, (F.col("_package") == F.col("package")) & (F.col("_bare") == F.col("_n2")), "left").drop("package", "_n2") if "package" not in df.columns else met.withColumn("_same", F.lit(None).cast("string"))
         return met.withColumn(column, F.coalesce("_import", "_same", "_bare")).drop("_bare", "_import", "_same", "_package")
 
-    def _types(self, owner: DataFrame) -> DataFrame:
-        t = self.rows.where("kind = 'type'").join(owner, ["file", "ord"]).join(self.ends, ["file", "ord"]).join(self.units, "file")
+    def _types(self) -> DataFrame:
+        t = self.rows.where("kind = 'type'").join(self.units, "file")
         outer = t.select("file", F.col("ord").alias("owner"), F.col("name").alias("_outer"), F.col("owner").alias("_owner2"))
         t = t.join(outer, ["file", "owner"], "left")
         name = F.concat_ws(".", F.nullif("package", F.lit("")), "_outer", "name")
@@ -154,9 +104,9 @@ class Parsed:
         fill = lambda x: F.coalesce(F.col("_imports")[x], F.col("_own")[x], x)
         return full.withColumn("extends_fqn", fill(F.col("extends_fqn"))).withColumn("implements_fqns", F.transform("implements_fqns", fill)).drop("_imports", "_own")
 
-    def _methods(self, owner: DataFrame) -> DataFrame:
+    def _methods(self) -> DataFrame:
         t = self.types.select("file", F.col("ord").alias("owner"), "class_fqn")
-        m = self.rows.where("kind = 'method'").join(owner, ["file", "ord"]).join(t, ["file", "owner"]).join(self.ends, ["file", "ord"])
+        m = self.rows.where("kind = 'method'").join(t, ["file", "owner"])
         head = F.concat("head", F.lit(""))
         args = F.regexp_extract("head", _METHOD, 2)
         each = F.filter(F.split(F.regexp_replace(args, r"<[^<>]*(<[^<>]*>)?[^<>]*>", ""), ","), lambda x: F.trim(x) != "")
@@ -173,78 +123,153 @@ class Parsed:
             F.row_number().over(W.partitionBy("file").orderBy("ord")).alias("ordinal"), F.arrays_zip(names.alias("var"), kinds.alias("kind")).alias("arguments"), F.col("head"),
         )
 
-    def _bodies(self) -> tuple[DataFrame, DataFrame]:
-        inside = written(self.rows.join(_enclosing(self.rows, ["method"], "method"), ["file", "ord"]).join(_enclosing(self.rows, ["fragment"], "fragment"), ["file", "ord"]), "inside")
-        m = self.methods_.select("file", F.col("ord").alias("method"), "full_name", "class_fqn", "start_line")
-        own = inside.where("method is not null").join(m, ["file", "method"])
-        key = lambda c: F.concat_ws("#", "file", F.col(c).cast("string"))
-        head = F.col("head")
-        loop = head.rlike(r"^(?:[\w$]+\s*:\s*)?(for|while)\s*\(")
-        inner = F.trim(F.regexp_extract("head", r"(?s)^(?:[\w$]+\s*:\s*)?(?:else\s+)?(?:if|for|while)\s*\((.*)\)\s*$", 1))
-        condition = F.when(head == "else", "").when(head.startswith("while"), F.concat(F.lit("while ("), inner, F.lit(")"))).when(head.startswith("for") & ~inner.contains(":"), "for loop").otherwise(
+    @staticmethod
+    def _key(c: str) -> F.Column:
+        return F.concat_ws("#", "file", F.col(c).cast("string"))
+
+    @staticmethod
+    def _around() -> F.Column:
+        """The id of the fragment that a segment of a method lies in, if it is one of the method's own."""
+        return F.when(F.col("fragment") > F.col("method"), Parsed._key("fragment"))
+
+    def _fragments(self) -> DataFrame:
+        m = self.methods_.select("file", F.col("ord").alias("method"), "full_name")
+        own = self.rows.where("method is not null and kind = 'fragment'").join(m, ["file", "method"])
+        head = F.regexp_replace("head", _CONTROL, "")
+        loop = head.rlike(r"^(for|while)\s*\(")
+        inner = F.trim(F.regexp_extract(F.regexp_replace("own", r"^\s+|\s+$", ""), r"(?s)" + _CONTROL + r"(?:else\s+)?(?:if|for|while)\s*\((.*)\)\s*$", 1))
+        condition = F.when(head == "else", "").when(head.startswith("while"), F.concat(F.lit("while ("), inner, F.lit(")"))).when(head.startswith("for") & ~inner.rlike(r"^[^;]*:[^;]*$"), "for loop").otherwise(
             F.when(head.startswith("for"), F.regexp_replace(inner, r"^(?:final\s+)?[\w$<>\[\], .]+\s+([\w$]+)\s*:\s*", "$1 : ")).otherwise(inner))
-        inside_method = F.when(F.col("fragment") > F.col("method"), key("fragment"))
-        frags = own.where("kind = 'fragment'").join(self.ends, ["file", "ord"])
-        # An else belongs to the if before it in the same scope: its place in the ladder is its ordinal.
+        # An else belongs to the if whose statement it goes on with: the place in its ladder is its ordinal.
         start = F.when(~head.startswith("else"), F.col("ord"))
         ladder = F.last(start, ignorenulls=True).over(W.partitionBy("file", "parent").orderBy("ord"))
-        frags = frags.withColumn("_ladder", ladder)
-        frags = frags.select(
-            "file", key("ord").alias("fragment_id"), inside_method.alias("parent_fragment_id"), F.col("full_name").alias("method_full_name"),
-            F.when(loop, "LOOP").otherwise("ALTERNATIVE").alias("type"), condition.alias("condition"), F.col("line").alias("start_line"), "end_line",
-            (F.row_number().over(W.partitionBy("file", "_ladder").orderBy("ord")) - 1).alias("ordinal"), key("_ladder").alias("ladder_id"),
+        frags = own.withColumns({"_head": head, "_loop": loop, "_condition": condition}).withColumn("_ladder", ladder)
+        return frags.select(
+            "file", self._key("ord").alias("fragment_id"), self._around().alias("parent_fragment_id"), F.col("full_name").alias("method_full_name"),
+            F.when(F.col("_loop"), "LOOP").otherwise("ALTERNATIVE").alias("type"), F.col("_condition").alias("condition"), F.col("line").alias("start_line"), "end_line",
+            (F.row_number().over(W.partitionBy("file", "_ladder").orderBy("ord")) - 1).alias("ordinal"), self._key("_ladder").alias("ladder_id"),
         )
-        return written(frags, "fragments"), written(self._calls(own, inside_method, key), "calls")
-
-    def _calls(self, own: DataFrame, inside_method, key) -> DataFrame:
-        found = own.where("kind <> 'type' and kind <> 'method'").select("file", "ord", "full_name", "class_fqn", "line", "raw", "head", "kind", "method", F.when(F.col("kind") == "fragment", key("ord")).otherwise(inside_method).alias("parent_fragment_id"), F.when(F.col("kind") == "fragment", "condition").otherwise("content").alias("region"), F.posexplode(F.regexp_extract_all("head", F.lit(_CALL), F.lit(0))).alias("nth", "whole"))
-        found = found.withColumn("receiver", F.nullif(F.regexp_extract("whole", _CALL, 1), F.lit(""))).withColumn("method_name", F.regexp_extract("whole", _CALL, 2))
-        found = found.where(~F.col("method_name").isin(KEYWORDS))
-        before = F.expr("substring(head, 1, greatest(locate(whole, head) - 1, 0))")
-        is_new = before.rlike(r"\bnew\s+$") | F.coalesce(F.col("receiver").rlike(r"^new\b"), F.lit(False))
-        chained = before.rlike(r"\)\s*\.?\s*$") & F.col("receiver").isNull()
+
+    @cached_property
+    def ancestors(self) -> DataFrame:
+        """(class_fqn, up, distance): each type's supertypes, those of supertypes, and so on, with the least number of steps."""
+        up = self.types.select(F.col("class_fqn").alias("src"), F.explode(F.array_compact(F.concat(F.array("extends_fqn"), "implements_fqns"))).alias("dst"))
+        starts = self.types.select(F.col("class_fqn").alias("start")).distinct()
+        return written(reach(written(up, "supertypes"), starts).select(F.col("start").alias("class_fqn"), F.col("node").alias("up"), "distance"), "ancestors")
+
+    @cached_property
+    def outer(self) -> DataFrame:
+        """(class_fqn, up, distance): the types that a type is declared in, further away than any supertype."""
+        names = self.types.select("class_fqn").distinct()
+        parts = F.split("class_fqn", r"\.")
+        each = names.withColumn("_p", parts).select("class_fqn", F.posexplode(F.transform("_p", lambda x, i: F.array_join(F.slice("_p", F.lit(1), i + 1), "."))).alias("_k", "up")).where("up <> class_fqn")
+        return written(each.join(names.withColumnRenamed("class_fqn", "up"), "up").select("class_fqn", "up", (F.lit(1 << 20) - F.col("_k")).alias("distance")), "outer")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """(class_fqn, name, signature, arity, varargs, kinds, returns, at): what the types declare; a type without constructors has none."""
+        m = self._resolve(self.methods_.select("file", "class_fqn", "name", "signature", "ordinal", F.col("return_type").alias("returns"), F.col("arguments.kind").alias("kinds")), "returns")
+        last = F.element_at("kinds", -1)
+        return written(m.select("class_fqn", "name", "signature", F.size("kinds").alias("arity"), F.when(F.size("kinds") > 0, last.endswith("...")).otherwise(False).alias("varargs"), "kinds", "returns", F.struct("file", "ordinal").alias("at")), "members")
+
+    @cached_property
+    def calls_(self) -> DataFrame:
+        m = self.methods_.select("file", F.col("ord").alias("method"), "full_name", "class_fqn")
+        segs = self.rows.where("method is not null and kind not in ('type', 'method')")
+        own = segs.join(m, ["file", "method"])
+        found = marks.call_sites(self.marks_, segs.select("file", "ord", "at", "own")).where(~F.col("name").isin(KEYWORDS))
+        at = own.select("file", F.col("ord").alias("seg"), "method", "full_name", "class_fqn", "line", "raw", "head", F.when(F.col("kind") == "fragment", self._key("ord")).otherwise(self._around()).alias("parent_fragment_id"), F.when(F.col("kind") == "fragment", "condition").otherwise("content").alias("region"))
+        found = found.join(at, ["file", "seg"])
+        breaks = lambda x: F.regexp_count(x, F.lit("\n"))
+        number = lambda c: F.concat_ws("#", "file", F.lit("c"), F.col(c).cast("string"))
+        before = F.expr("substring(raw, 1, in_seg)")
+        bare = F.regexp_replace("receiver", r"^this\.", "")
         found = found.withColumns({
-            "is_new": is_new, "chained": chained, "lines_before": F.regexp_count(before, F.lit("\n")),
-            "arguments": F.filter(F.transform(F.split(F.expr("regexp_extract(substring(head, locate(whole, head) + length(whole), length(head)), '^((?:[^()]|\\\\([^()]*\\\\))*)\\\\)', 1)"), r",(?![^(]*\))"), lambda x: F.trim(x)), lambda x: x != ""),
+            "call_id": number("key"), "receiver_call_id": F.when(F.col("receiver_key").isNotNull(), number("receiver_key")), "line": (F.col("line") + breaks(before) - breaks(F.regexp_extract("raw", r"^\s*", 0))).cast("int"),
             "assigned_to": F.nullif(F.regexp_extract("head", r"(?s)([A-Za-z_$][\w$]*)\s*=[^=]", 1), F.lit("")),
+            "var": F.when(F.col("foreign") | F.col("receiver_key").isNotNull(), None).when(F.col("receiver").isNull() | (F.col("receiver") == "this"), F.lit("this")).otherwise(F.regexp_replace(F.substring_index(bare, ".", 1), r"\[.*$", "")), "_path": F.size(F.split(bare, r"\.")),
         })
-        found = found.withColumn("var", F.when(F.col("receiver").isNull(), F.lit("this")).otherwise(F.substring_index(F.regexp_replace("receiver", r"^this\.", ""), ".", 1)))
         args = self.methods_.select("file", F.col("ord").alias("method"), F.explode("arguments").alias("a")).select("file", "method", F.col("a.var").alias("var"), F.col("a.kind").alias("vtype"))
-        declared = r"(?s)(?:^|[(;\s])(?:final\s+)?([A-Z][\w$.]*(?:<[^;=()]*>)?(?:\[\])*)\s+([A-Za-z_$][\w$]*)\s*(?:=|:|$)"
-        local = own.where("kind <> 'method'").select("file", "method", F.regexp_extract("head", declared, 2).alias("var"), F.regexp_extract("head", declared, 1).alias("vtype")).where("var <> ''")
-        by_method = args.unionByName(local).groupBy("file", "method", "var").agg(F.min("vtype").alias("_t1"))
-        fields = self.rows.where("kind = 'statement' and in_type").select("file", F.regexp_extract("head", declared, 2).alias("var"), F.regexp_extract("head", declared, 1).alias("vtype")).where("var <> ''").groupBy("file", "var").agg(F.min("vtype").alias("_t2"))
-        met = found.join(by_method, ["file", "method", "var"], "left").join(fields, ["file", "var"], "left")
+        declared = r"(?s)(?:^|[(;\s])(?:final\s+)?([A-Z][\w$.]*(?:<[^;=()]*>)?(?:\[\])*|int|long|short|byte|char|float|double|boolean)\s+([A-Za-z_$][\w$]*)\s*(?:=|:|$)"
+        local = own.select("file", "method", F.regexp_extract("head", declared, 2).alias("var"), F.regexp_extract("head", declared, 1).alias("vtype")).where("var <> ''")
+        by_method = args.unionByName(local).groupBy("file", "method", "var").agg(F.min("vtype").alias("t"))
+        t = self.types.select("file", F.col("ord").alias("owner"), "class_fqn", "extends_fqn")
+        inside = self.rows.select("file", "ord", "kind", "owner", "method", "head").where("kind = 'statement' and method is null and owner is not null")
+        fields = inside.select("file", F.regexp_extract("head", declared, 2).alias("var"), F.regexp_extract("head", declared, 1).alias("vtype")).where("var <> ''").groupBy("file", "var").agg(F.min("vtype").alias("t"))
+        by_method, fields = written(by_method, "variables"), written(fields, "fields")
+        known = lambda df, var, out: df.join(by_method.select("file", "method", F.col("var").alias(var), F.col("t").alias("_t1")), ["file", "method", var], "left").join(fields.select("file", F.col("var").alias(var), F.col("t").alias("_t2")), ["file", var], "left").withColumn(out, F.coalesce("_t1", "_t2")).drop("_t1", "_t2")
+        up = t.groupBy("file", "class_fqn").agg(F.min("extends_fqn").alias("_super"))
+        met = known(found, "var", "_vtype").join(up, ["file", "class_fqn"], "left")
         static = F.when(F.col("receiver").rlike(r"^(?:[\w$]+\.)*[A-Z][\w$]*$"), F.col("receiver"))
-        callee = F.when(F.col("is_new"), F.col("method_name")).when(F.col("chained"), F.lit("unknown")).when(F.col("var") == "this", F.col("class_fqn")).otherwise(F.coalesce("_t1", "_t2", static, F.lit("unknown")))
+        unknown = F.lit("unknown")
+        callee = F.when(F.col("is_new"), F.col("name")).when(F.col("literal"), F.lit("String")).when(F.col("foreign") | F.col("receiver_key").isNotNull(), unknown).when(F.col("var") == "this", F.col("class_fqn")).when(
+            F.col("var") == "super", F.coalesce("_super", unknown)).otherwise(F.coalesce(F.when(F.col("_path") <= 1, F.col("_vtype")), static, unknown))
         met = self._resolve(met.withColumn("callee", callee), "callee")
-        seq = F.row_number().over(W.partitionBy("file").orderBy("ord", "nth"))
-        met = met.withColumn("seq", seq).withColumn("call_id", F.concat_ws("#", "file", F.lit("c"), seq.cast("string")))
-        w = W.partitionBy("file", "ord").orderBy("nth")
-        met = met.withColumn("receiver_call_id", F.when(F.col("chained"), F.lag("call_id").over(w)))
-        met = self._linked(written(met, "found"))
+        met = written(met.withColumn("seq", F.row_number().over(W.partitionBy("file").orderBy("name_at"))).withColumn("static_type", F.col("callee")), "found")
+        met = self._linked(met, written(self._argument_types(met, known), "argument_types"))
         running = F.row_number().over(W.partitionBy("file", "var").orderBy("seq"))
-        return met.select(
+        return written(met.select(
             "file", "call_id", F.col("full_name").alias("method_full_name"), "seq", F.col("class_fqn").alias("caller"), "callee", F.col("var").alias("callee_variable"),
-            F.when(F.col("var") == "this", "this1").otherwise(F.concat("var", running.cast("string"))).alias("callee_instance"), F.col("method_name"), "arguments",
-            F.when(F.col("is_new"), F.col("callee")).otherwise(F.coalesce("returns", F.lit("void"))).alias("return_type"), "assigned_to", (F.col("line") + F.col("lines_before")).cast("int").alias("line"),
-            "receiver_call_id", "parent_fragment_id", "region",
+            F.when(F.col("var") == "this", "this1").otherwise(F.concat("var", running.cast("string"))).alias("callee_instance"), F.col("name").alias("method_name"), "arguments",
+            F.when(F.col("is_new"), F.col("callee")).otherwise(F.coalesce("returns", F.lit("void"))).alias("return_type"), "assigned_to", "line",
+            "receiver_call_id", "parent_fragment_id", "region", "static_type", "targets",
+        ), "calls")
+
+    def _argument_types(self, calls: DataFrame, known) -> DataFrame:
+        """(call_id, types): of each call's arguments, null where the text doesn't tell: literals, variables, new objects, this."""
+        a = calls.select("file", "call_id", "method", "class_fqn", F.posexplode("arguments").alias("nth", "x"))
+        x = F.col("x")
+        text = F.when(x.startswith('"'), "String").when(x.startswith("'"), "char").when(x == "null", "null").when(x.isin("true", "false"), "boolean").when(x.rlike(r"^-?\d[\d_]*$"), "int").when(x.rlike(r"^-?\d[\d_]*[lL]$"), "long")
+        text = text.when(x.rlike(r"^-?[\d_]*\.?\d+[fF]$"), "float").when(x.rlike(r"^-?[\d_]*\.[\d_]+[dD]?$"), "double").when(x == "this", F.col("class_fqn")).when(x.rlike(r"(?s)^new\s+[\w$.]+[^.]*\)$"), F.regexp_extract("x", r"^new\s+([\w$.]+)", 1))
+        text = text.when(x.rlike(r"(?s)^\(\s*[A-Z][\w$.]*\s*\)"), F.regexp_extract("x", r"^\(\s*([\w$.]+)", 1))
+        a = a.withColumns({"_text": text, "_var": F.when(x.rlike(r"^(?:this\.)?[A-Za-z_$][\w$]*$"), F.regexp_replace("x", r"^this\.", "")).otherwise("")})
+        a = known(a, "_var", "_vtype").withColumn("t", F.coalesce("_text", "_vtype"))
+        return a.groupBy("call_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "t"))), lambda y: y["t"]).alias("types"))
+
+    def _targets(self, calls: DataFrame) -> DataFrame:
+        """calls with `targets`, the overloads of the best rank in the nearest class that has the name, `returns`, what the first of them
+        returns, and callee made that class. calls: with static_type, name, types."""
+        members = self.members.withColumnRenamed("class_fqn", "_owner").withColumnRenamed("name", "_name")
+        wanted = calls.select("static_type", "name", "is_new").distinct()
+        near = wanted.select("static_type", "name", F.col("static_type").alias("owner"), F.lit(0).alias("_far")).unionByName(
+            wanted.where("not is_new").join(self.ancestors.unionByName(self.outer), wanted["static_type"] == F.col("class_fqn")).select("static_type", "name", F.col("up").alias("owner"), F.col("distance").alias("_far"))
         )
-
-    def _linked(self, calls: DataFrame) -> DataFrame:
-        """Adds `returns`, what the first method of that class and name returns; a chained call's callee is what its receiver
-        returns. Each round goes one link further along all chains."""
-        own = self._resolve(self.methods_.select("file", F.col("class_fqn").alias("_c"), F.col("name").alias("_m"), "ordinal", F.col("return_type").alias("_r")), "_r")
-        returns = written(own.groupBy("_c", "_m").agg(F.min_by("_r", F.struct("file", "ordinal")).alias("returns")), "returns")
-        known = lambda df: df.join(returns, (F.col("callee") == F.col("_c")) & (F.col("method_name") == F.col("_m")), "left").drop("_c", "_m")
-        done = known(calls.where("receiver_call_id is null"))
-        rest, last = calls.where("receiver_call_id is not null"), done
+        is_constructor = F.col("_name") == F.substring_index("_owner", ".", -1)
+        known = near.join(members, (F.col("owner") == F.col("_owner")) & ((F.col("name") == F.col("_name")) | (is_constructor & (F.col("name") == F.substring_index("static_type", ".", -1)))))
+        each = known.groupBy("static_type", "name", "owner", "_far").agg(F.sort_array(F.collect_list(F.struct("at", "_name", "signature", "arity", "varargs", "kinds", "returns"))).alias("all"))
+        best = each.groupBy("static_type", "name").agg(F.min_by(F.struct("owner", "all"), F.struct("_far", "owner")).alias("near"))
+        c = calls.join(best, ["static_type", "name"], "left")
+        n, simple = F.size("types"), lambda t: F.regexp_replace(F.regexp_replace(F.substring_index(t, ".", -1), r"(?s)<.*>", ""), r"\.\.\.$", "")
+        boxed = F.create_map(*(F.lit(x) for k, v in BOXES.items() for x in (k, v)))
+        wide = F.create_map(*(y for k, v in WIDER.items() for y in (F.lit(k), F.array(*map(F.lit, v)))))
+        plain = lambda t: F.coalesce(boxed[simple(t)], simple(t))
+        # 3: the same type, 2: it fits by widening or boxing, 1: one of the two isn't known to differ, -8: it can't fit.
+        fits = lambda t, p: F.when(t.isNull(), 1).when(t == "null", F.when(boxed[simple(p)].isNotNull(), -8).otherwise(2)).when(simple(t) == simple(p), 3).when((plain(t) == plain(p)) | F.coalesce(F.array_contains(wide[simple(t)], simple(p)), F.lit(False)), 2).when(boxed[simple(t)].isNotNull() & boxed[simple(p)].isNotNull(), -8).when(
+            boxed[simple(t)].isNotNull() | boxed[simple(p)].isNotNull(), F.when(plain(p) == "Object", 1).otherwise(-8)).when((simple(t) == "String") & ~simple(p).isin("Object", "CharSequence", "Comparable"), F.when(F.length(simple(p)) == 1, 1).otherwise(-8)).otherwise(1)
+        kind_at = lambda m, i: F.get(m["kinds"], F.least(i, m["arity"] - 1))
+        fit = lambda m: F.aggregate(F.transform("types", lambda t, i: fits(t, kind_at(m, i))), F.lit(0), lambda a, x: a + x)
+        score = lambda m: F.when(m["arity"] == n, F.when(n == 0, 1000).otherwise(1000 + fit(m))).when(m["varargs"] & (n >= m["arity"] - 1), 500 + fit(m)).otherwise(-1000 - F.abs(m["arity"] - n))
+        scored = c.withColumn("_scores", F.transform("near.all", score)).withColumn("_top", F.array_max("_scores"))
+        kept = F.filter(F.arrays_zip(F.col("near.all").alias("m"), F.col("_scores").alias("score")), lambda x: x["score"] == F.col("_top"))
+        targets = F.transform(kept, lambda x: F.struct(x["m"]["_name"].alias("name"), x["m"]["signature"].alias("signature")))
+        scored = scored.withColumns({"targets": F.coalesce(targets, F.array().cast("array<struct<name:string,signature:string>>")), "returns": F.get(F.transform(kept, lambda x: x["m"]["returns"]), F.lit(0)), "callee": F.coalesce("near.owner", "static_type")})
+        return scored.drop("_scores", "_top", "near")
+
+    def _linked(self, calls: DataFrame, types: DataFrame) -> DataFrame:
+        """calls with their targets. A chained call is made on what its receiver returns: each round goes one link further along
+        all chains."""
+        none = F.array().cast("array<string>")
+        calls = calls.join(types, "call_id", "left").withColumn("types", F.coalesce("types", none))
+        rest = calls.where("receiver_call_id is not null")
+        last = written(self._targets(calls.where("receiver_call_id is null")), "links")
+        done = last
         while True:
-            up = last.select(F.col("call_id").alias("receiver_call_id"), F.coalesce(F.when(F.col("is_new"), F.col("callee")), "returns").alias("_type"))
-            met = rest.join(up, "receiver_call_id").withColumn("callee", F.when(F.coalesce("_type", F.lit("void")).isin("void", ""), F.lit("unknown")).otherwise(F.col("_type"))).drop("_type")
-            last = written(known(met.select(*calls.columns)), "links")
+            up = last.select(F.col("call_id").alias("receiver_call_id"), F.coalesce(F.when(F.col("is_new"), F.col("static_type")), "returns").alias("_type"))
+            kind = F.regexp_replace(F.coalesce("_type", F.lit("void")), r"(?s)<.*>", "")
+            met = rest.join(up, "receiver_call_id").withColumn("static_type", F.when(kind.isin("void", ""), F.lit("unknown")).otherwise(kind)).drop("_type")
+            last = written(self._targets(met.select(*calls.columns)), "links")
             if last.isEmpty():
-                return done
+                return done.select(*last.columns)
             done = done.unionByName(last)
 
     @property
@@ -262,12 +287,10 @@ class Parsed:
     @property
     def annotation_uses(self) -> DataFrame:
         """Uses on types and methods. They are found where literals are blanked, and read, with their arguments, from the same place
-        of the text that has only its comments blanked."""
+        of the segment's own text."""
         t = self.types.select("file", "ord", F.when(F.col("class_type") == "Interface", "Interface").otherwise("Class").alias("target_type"), F.col("class_fqn").alias("target_fqn"))
         m = self.methods_.select("file", "ord", F.lit("Method").alias("target_type"), F.col("full_name").alias("target_fqn"))
-        rows = self.rows.where("raw like '%@%'").select("file", "ord", "line", "at", "raw").join(t.unionByName(m), ["file", "ord"])
-        text = self.files.select(F.col("path").alias("file"), masked(F.col("content"), False).alias("_text"))
-        rows = rows.join(text, "file").withColumn("own", F.expr("substring(_text, cast(at as int) + 1, length(raw))")).drop("_text").withColumnRenamed("at", "_from")
+        rows = self.rows.where("raw like '%@%'").select("file", "ord", "line", "raw", "own").join(t.unionByName(m), ["file", "ord"])
         keep = ("file", "target_type", "target_fqn", "line", "raw", "own")
         uses = matches(rows, "raw", _ANNOTATION, 0, *keep).where("whole not like '@interface%'")
         breaks = lambda x: F.regexp_count(x, F.lit("\n"))

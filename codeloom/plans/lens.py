@@ -123,3 +123,20 @@ def java_helper(spark: SparkSession) -> DataFrame:
     """The class that the made files call."""
     text = "package util;\n\npublic class Helper {\n    public void compute(int a, String b) {\n        rest();\n    }\n    public Door door() {\n        return null;\n    }\n    public void rest() {\n    }\n}\n"
     return spark.range(1).select(F.lit("src/Helper.java").alias("path"), F.lit(text).alias("content"))
+
+
+def java_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a class for each supplier k, in a tree where k extends k div 2, with overloads of one of three methods, and
+    calls whose receivers are chains, supertypes and arguments of other calls, below control heads without braces."""
+    k = F.col("k")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).withColumn("o", F.greatest(F.floor(k / 2), F.lit(1)))
+    text = lambda c: F.col(c).cast("string")
+    extends = F.when(k > 1, F.concat(F.lit(" extends T"), text("o"))).otherwise("")
+    m = F.concat(F.lit("m"), (k % 3).cast("string"))
+    content = F.concat(
+        F.lit("package tree.p"), (k % 4).cast("string"), F.lit(";\n\nimport tree.p"), (F.col("o") % 4).cast("string"), F.lit(".T"), text("o"), F.lit(";\n\npublic class T"), text("k"), extends, F.lit(" {\n    public int "),
+        m, F.lit("(int a) { return a; }\n    public int "), m, F.lit("(String s) { return 1; }\n    public int "), m, F.lit("(int a, String s) { return 2; }\n    public void run(int n, T"), text("o"),
+        F.lit(" other) {\n        StringBuilder sb = new StringBuilder();\n        sb.append(n).append(\"k"), text("k"), F.lit(", (x\").toString();\n        if (n > "), text("k"),
+        F.lit(") this.m0(n); else if (n < 0) other.m1(\"a;b\");\n        else\n            m2(m2(1), \"c\");\n        for (int i = 0; i < n; i++) while (ready(i))\n            other.m0(other.m1(i) + other.m1(\"z\"));\n    }\n}\n"),
+    )
+    return rows.select(F.concat(F.lit("tree/T"), text("k"), F.lit(".java")).alias("path"), content.alias("content"))

@@ -600,15 +600,11 @@ def java_methods(spark, d):
 
 
 @query(_JAVA + """select fqn || '.m' || k method_full_name, callee, method_name, arguments, return_type, cast(line + o as integer) line, region, chained from b,
- lateral (values ('util.Helper', 'compute', 'a|"      "', 'void', 2, 'content', false), (fqn, 'n' || k, 'b', 'void', 4, 'content', false), ('util.Helper', 'rest', '', 'void', 6, 'content', false),
+ lateral (values ('util.Helper', 'compute', 'a|"x;{' || n || '"', 'void', 2, 'content', false), (fqn, 'n' || k, 'b', 'void', 4, 'content', false), ('util.Helper', 'rest', '', 'void', 6, 'content', false),
   ('util.Helper', 'door', '', 'Door', 9, 'content', false), ('Door', 'shut', 'i', 'void', 9, 'content', true)) x(callee, method_name, arguments, return_type, o, region, chained)""")
 def java_calls(spark, d):
     c = _parsed(spark, d).calls.where("file <> 'src/Helper.java'")
-    # A literal keeps its quotes and length where calls are found; every literal is made as long as the longest for the comparison.
-    arguments = F.regexp_replace(F.array_join("arguments", "|"), '" +"', '"      "')
-    callee = F.regexp_replace("callee", r"^util\.Door$", "Door")
-    kind = F.regexp_replace("return_type", r"^util\.Door$", "Door")
-    return c.select("method_full_name", callee.alias("callee"), "method_name", arguments.alias("arguments"), kind.alias("return_type"), "line", "region", F.col("receiver_call_id").isNotNull().alias("chained"))
+    return c.select("method_full_name", "callee", "method_name", F.array_join("arguments", "|").alias("arguments"), "return_type", "line", "region", F.col("receiver_call_id").isNotNull().alias("chained"))
 
 
 @query(_JAVA + "select file, cast(line + 5 as integer) as line, fqn || '.m' || k full_name from b where k % 3 = 0")
@@ -662,6 +658,60 @@ def java_diagrams(spark, d):
     return out.select("entry", n("->>").alias("calls"), n(r"(?m)^\s*alt ").alias("alts"), n(r"(?m)^\s*else").alias("elses"), n(r"(?m)^\s*loop ").alias("loops"), n(r"(?m)^\s*end$").alias("ends"), n(r"Note right of \w+: @Size").alias("notes"))
 
 
+#: The class tree: what each class calls, and the nearest class upwards that declares it (a null if none does).
+_TREE = """
+with recursive c as (select s_suppkey k, greatest(s_suppkey // 2, 1) o, 'tree.p' || (s_suppkey % 4) || '.T' || s_suppkey fqn from supplier),
+ a as (select k, k u, 0 d from c union all select k, u // 2, d + 1 from a where u > 1),
+ near as (select k, j, arg_min(u, d) u from a, (values (0), (1), (2)) j(j) where u % 3 = j group by k, j),
+ x as (select k, o, fqn, x.* from c, lateral (values
+  (1, 'StringBuilder', null, 'StringBuilder', '', 10, 'content', '', false), (2, 'StringBuilder', null, 'append', 'n', 11, 'content', '', false), (3, 'unknown', null, 'append', '"k' || k || ', (x"', 11, 'content', '', true),
+  (4, 'unknown', null, 'toString', '', 11, 'content', '', true), (5, null, 0, 'm0', 'n', 12, 'content', 'int', false), (6, 'o', 1, 'm1', '"a;b"', 12, 'content', 'String', false),
+  (7, null, 2, 'm2', 'm2(1)|"c"', 14, 'content', 'int, String', false), (8, null, 2, 'm2', '1', 14, 'content', 'int', false), (9, null, null, 'ready', 'i', 15, 'condition', '', false),
+  (10, 'o', 0, 'm0', 'other.m1(i) + other.m1("z")', 16, 'content', 'String;int', false), (11, 'o', 1, 'm1', 'i', 16, 'content', 'int', false), (12, 'o', 1, 'm1', '"z"', 16, 'content', 'String', false)
+ ) x(seq, kind, j, method_name, arguments, line, region, targets, chained)),
+ r as (select x.*, near.u, case when kind = 'o' then o else x.k end as recv from x left join near on near.k = case when kind = 'o' then o else x.k end and near.j = x.j),
+ calls as (select *, case when u is not null then 'tree.p' || (u % 4) || '.T' || u when kind in ('StringBuilder', 'unknown') then kind else 'tree.p' || (recv % 4) || '.T' || recv end callee from r)
+"""
+
+
+def _tree(spark, d) -> java.Parsed:
+    return java.Parsed(lens.java_tree(spark, d))
+
+
+@query(_TREE + "select fqn caller, cast(seq as integer) seq, callee, method_name, arguments, cast(line as integer) line, region, case when u is null then '' else targets end targets, chained from calls")
+def java_call_sites(spark, d):
+    """Calls by position: chains, calls in arguments of calls, inherited members, overloads by their arguments."""
+    c = _tree(spark, d).calls
+    targets = F.array_join(F.array_sort(F.transform("targets", lambda t: t["signature"])), ";")
+    return c.select("caller", "seq", "callee", "method_name", F.array_join("arguments", "|").alias("arguments"), "line", "region", targets.alias("targets"), F.col("receiver_call_id").isNotNull().alias("chained"))
+
+
+@query(_TREE + """select fqn || '.run' method_full_name, type, condition, cast(a as integer) start_line, cast(z as integer) end_line, cast(n as integer) as ordinal, inner_of from c,
+ lateral (values ('ALTERNATIVE', 'n > ' || k, 12, 12, 0, ''), ('ALTERNATIVE', 'n < 0', 12, 12, 1, ''), ('ALTERNATIVE', '', 13, 14, 2, ''), ('LOOP', 'for loop', 15, 16, 0, ''), ('LOOP', 'while (ready(i))', 15, 16, 0, 'for loop')) x(type, condition, a, z, n, inner_of)""")
+def java_bare_statements(spark, d):
+    """Control flow without braces: a ladder, and a loop in a loop."""
+    f = _tree(spark, d).fragments
+    up = f.select(F.col("fragment_id").alias("parent_fragment_id"), F.col("condition").alias("inner_of"))
+    return f.join(up, "parent_fragment_id", "left").select("method_full_name", "type", "condition", "start_line", "end_line", "ordinal", F.coalesce("inner_of", F.lit("")).alias("inner_of"))
+
+
+@query(_TREE + """select distinct 'method_T' || k || '_run' src, 'method_T' || u || '_' || method_name || '(' || t || ')' dst, 'CALLS' "type" from (select *, unnest(string_split(targets, ';')) t from calls where u is not null)""")
+def java_overload_edges(spark, d):
+    return convert.overload_edges(_tree(spark, d).calls).select("src", "dst", "type")
+
+
+@query(_TREE + "select distinct 'method_T' || k || '_run' src, 'method_T' || u || '_' || method_name dst from calls where u is not null")
+def java_inherited_calls(spark, d):
+    """CALLS edges that end at the class that declares the method, however far up it stands."""
+    p = _tree(spark, d)
+    return convert.calls_edges(p.calls, p.methods).select("src", "dst")
+
+
+@query(_TREE + "select c.fqn class_fqn, 'tree.p' || (u % 4) || '.T' || u up, cast(d as integer) distance from a join c using (k) where d > 0")
+def java_supertypes(spark, d):
+    return _tree(spark, d).ancestors.select("class_fqn", "up", "distance")
+
+
 # Text without an oracle: held against brute force in the tests -----------------------------------------------------------
 
 

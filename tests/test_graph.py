@@ -107,7 +107,7 @@ def test_java_types_and_methods(parsed):
 def test_java_bodies(parsed):
     f = parsed.fragments.orderBy("start_line").collect()
     assert [(r.type, r.condition, r.ordinal, r.parent_fragment_id is None) for r in f] == [
-        ("LOOP", "item : items", 0, True), ("ALTERNATIVE", 'item.isFree("        ")', 0, False), ("ALTERNATIVE", "check(item)", 1, False), ("ALTERNATIVE", "", 2, False), ("LOOP", "while (more())", 0, True),
+        ("LOOP", "item : items", 0, True), ("ALTERNATIVE", 'item.isFree("if (x) {")', 0, False), ("ALTERNATIVE", "check(item)", 1, False), ("ALTERNATIVE", "", 2, False), ("LOOP", "while (more())", 0, True),
     ]
     c = {r.seq: r for r in parsed.calls.collect()}
     assert [(c[k].callee, c[k].method_name, c[k].line, c[k].region) for k in (1, 3, 4, 5)] == [
@@ -118,6 +118,96 @@ def test_java_bodies(parsed):
     assert rows(parsed.annotation_uses, "target_fqn", "name") == [("shop.Cart", "Service"), ("shop.Cart.total", "Audited")]
 
 
+SITES = '''package a;
+public class X extends Base implements Shape {
+    private Store store;
+    int put(int a) { return a; }
+    int put(String a) { return 1; }
+    int put(Object a, int b) { return 1; }
+    public void run(int n, Object... rest) {
+        StringBuilder sb = new StringBuilder();
+        sb.append(n).append("x, y").toString();
+        f(f(1, "a;b{"), m.get("a"));
+        int z = store.get(1) + store.get(2);
+        if (n > 1) store.put("k");
+        else if (n < 0) { go(); } else this.inherited();
+        for (int i = 0; i < n; i++) for (String s : names) if (s.isEmpty()) a1(); else b1(s);
+        while (more("x")) step(x -> { if (x) deep(x); }, 3);
+        put(1); put("s"); put(store, 2); put(null); put(mystery());
+        super.base();
+        store.area();
+        if (n > 2) if (n > 3) c1(); else d1();
+        do { e1(); } while (ok());
+        try { t1(); } catch (E e) { t2(e); } finally { t3(); }
+        for (;;) { break; }
+        Map<String, List<Item>> all = new HashMap<String, List<Item>>(3, 4);
+        items[0].use(); ((Store) other).get(7);
+        if (n > 4) try { u1(); } finally { u2(); }
+        after();
+    }
+    int f(int a, String b) { return a; }
+    enum E { A(1), B(2) { void q() { } }; E(int k) { } void z() { put(1); } }
+}
+@interface An { String value() default "x"; int size(); }
+'''
+ABOVE = '''package a;
+class Base extends Root { void base() { } void inherited() { } }
+class Root { void deepest(int a) { inherited(); } }
+class Store extends Root implements Shape { Store get(int k) { return this; } void put(String k) { get(1).deepest(2); } }
+interface Shape extends Sized { double width(); }
+interface Sized { int area(); }
+'''
+
+
+@pytest.fixture(scope="module")
+def sites(spark):
+    return java.Parsed(spark.createDataFrame([("X.java", SITES), ("B.java", ABOVE), ("none.java", None), ("empty.java", ""), ("broken.java", "class Q { void m( { } } ) ; } }")], "path string, content string"))
+
+
+def test_call_sites(sites):
+    calls = [r for r in sites.calls.where("file = 'X.java' and caller = 'a.X'").orderBy("seq").collect()]
+    by_id = {r.call_id: r for r in sites.calls.collect()}
+    got = [(r.callee, r.method_name, r.arguments) for r in calls]
+    assert got[:9] == [
+        ("StringBuilder", "StringBuilder", []), ("StringBuilder", "append", ["n"]), ("unknown", "append", ['"x, y"']), ("unknown", "toString", []), ("a.X", "f", ['f(1, "a;b{")', 'm.get("a")']), ("a.X", "f", ["1", '"a;b{"']),
+        ("unknown", "get", ['"a"']), ("a.Store", "get", ["1"]), ("a.Store", "get", ["2"]),
+    ]
+    assert [by_id[r.receiver_call_id].method_name if r.receiver_call_id else None for r in calls[:5]] == [None, None, "append", "append", None]
+    named = {(r.method_name, tuple(r.arguments)): r for r in calls}
+    # Members of superclasses and superinterfaces, each at the class that declares it.
+    assert [named[m, ()].callee for m in ("inherited", "base", "area")] == ["a.Base", "a.Base", "a.Sized"]
+    assert {(r.callee, r.method_name) for r in by_id.values() if r.caller == "a.Store"} == {("a.Store", "get"), ("a.Root", "deepest")}
+    targets = lambda *a: sorted(t.signature for t in named["put", a].targets)
+    assert [targets("1"), targets('"s"'), targets("store", "2"), targets("null"), targets("mystery()")] == [["int"], ["String"], ["Object, int"], ["String"], ["String", "int"]]
+    assert named["HashMap", ("3", "4")].callee == "HashMap" and named["use", ()].callee_variable == "items" and named["get", ("7",)].callee == "unknown"
+    assert not any(r.method_name in ("A", "B", "put", "m") and r.caller == "a.X.E" and r.callee != "a.X" for r in by_id.values())
+    assert [r.callee for r in by_id.values() if r.caller == "a.X.E"] == ["a.X"]  # an inner class calls what its outer one declares
+
+
+def test_bare_statements(sites):
+    f = {r.fragment_id: r for r in sites.fragments.where("file = 'X.java'").collect()}
+    shown = lambda r: (r.type, r.condition, r.ordinal, f[r.parent_fragment_id].condition if r.parent_fragment_id else None)
+    assert [shown(r) for r in sorted(f.values(), key=lambda r: int(r.fragment_id.split("#")[1]))] == [
+        ("ALTERNATIVE", "n > 1", 0, None), ("ALTERNATIVE", "n < 0", 1, None), ("ALTERNATIVE", "", 2, None), ("LOOP", "for loop", 0, None), ("LOOP", "s : names", 0, "for loop"), ("ALTERNATIVE", "s.isEmpty()", 0, "s : names"),
+        ("ALTERNATIVE", "", 1, "s : names"), ("LOOP", 'while (more("x"))', 0, None), ("ALTERNATIVE", "x", 0, 'while (more("x"))'), ("ALTERNATIVE", "n > 2", 0, None), ("ALTERNATIVE", "n > 3", 0, "n > 2"), ("ALTERNATIVE", "", 1, "n > 2"),
+        ("LOOP", "for loop", 0, None), ("ALTERNATIVE", "n > 4", 0, None),
+    ]
+    inside = {r.method_name: (f[r.parent_fragment_id].condition if r.parent_fragment_id else None, r.region) for r in sites.calls.where("file = 'X.java'").collect()}
+    assert [inside[m] for m in ("go", "a1", "b1", "deep", "c1", "d1", "isEmpty", "t2", "u1", "u2", "after")] == [
+        ("n < 0", "content"), ("s.isEmpty()", "content"), ("", "content"), ("x", "content"), ("n > 3", "content"), ("", "content"), ("s.isEmpty()", "condition"), (None, "content"), ("n > 4", "content"), ("n > 4", "content"), (None, "content"),
+    ]
+
+
+def test_members(spark, sites):
+    m = rows(sites.methods.where("file = 'X.java'"), "class_fqn", "name", "signature", "return_type")
+    assert [x[:3] for x in m if x[0] != "a.X"] == [("a.An", "size", ""), ("a.An", "value", ""), ("a.X.E", "E", "int"), ("a.X.E", "z", "")]
+    assert rows(sites.ancestors, "class_fqn", "up", "distance") == [
+        ("a.Base", "a.Root", 1), ("a.Shape", "a.Sized", 1), ("a.Store", "a.Root", 1), ("a.Store", "a.Shape", 1), ("a.Store", "a.Sized", 2), ("a.X", "a.Base", 1), ("a.X", "a.Root", 2), ("a.X", "a.Shape", 1), ("a.X", "a.Sized", 2),
+    ]
+    edges = {(r.src, r.dst) for r in convert.overload_edges(sites.calls).collect()}
+    assert {("method_X_run", "method_X_put(int)"), ("method_X_run", "method_X_put(Object, int)"), ("method_X_run", "method_Base_inherited()")} <= edges
+
+
 def test_graph_of_sources(spark, parsed, tmp_path):
     nodes, edges = convert.graph(parsed.types, parsed.methods, parsed.calls, parsed.annotation_uses, created_at=1)
     ids = {r.id for r in nodes.collect()}
