@@ -12,7 +12,10 @@ takes to join its components, each confirmed on the full sets; so no link betwee
 a block is linear in its classes.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text of fewer than five words
-has one shingle, the whole; rows that repeat an id and text are one document's; of rows with a null id only the links count.
+has one shingle, the whole. Rows are told apart by id and text: rows that repeat both are one document's, and an id with several
+texts stands for as many documents, whose components are joined only if their texts are linked. Rows with a null id take part as
+all others; a component without any other id has a null component_id. Where one document of a group stays, it is the one with
+the smallest id, null last, and then the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ def set_id(own: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, bands, sig), a row for each of docs; cls and the rest null for empty sets."""
+    """(doc_id, h, n_shingles, cls, bands, sig), a row for each of docs; h: a hash of the text; cls and the rest null for empty sets."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -93,9 +96,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sig = signature(own) if len(own) else None
                 rows.append((len(own), None, None, None) if sig is None else (len(own), set_id(own), bands(sig), sig.astype(np.uint16).tobytes()))
             out = pd.DataFrame(rows, columns=["n_shingles", "cls", "bands", "sig"])
-            yield pd.DataFrame({"doc_id": b.doc_id.array, "n_shingles": out.n_shingles, "cls": pd.array([r[1] for r in rows], "Int64"), "bands": out.bands, "sig": out.sig})
+            yield pd.DataFrame({"id": b.id.array, "none": b.none.array, "h": b.h.array, "n_shingles": out.n_shingles, "cls": pd.array([r[1] for r in rows], "Int64"), "bands": out.bands, "sig": out.sig})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, cls long, bands array<long>, sig binary")
+    # An id and whether it is null are two columns, as pandas has no null among whole numbers.
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("h"), "text")
+    out = rows.mapInPandas(sign, "id long, none boolean, h long, n_shingles long, cls long, bands array<long>, sig binary")
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "h", "n_shingles", "cls", "bands", "sig")
 
 
 def least_agree(percent: int) -> int:
@@ -118,7 +124,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
     """(cls, own) of the classes in ids: their sets, as array<long>, or as binary of sorted unsigned 32-bit hashes."""
-    reps = small(written(classes.join(ids, "cls", "left_semi").select(F.col("rep").alias("doc_id"), "cls"), "reps"))
+    reps = small(written(classes.join(ids, "cls", "left_semi").select("rep", F.col("h").alias("_h"), "cls"), "reps"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -127,9 +133,12 @@ def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, kind: str) -> D
                 own = [shingles(x) for x in part.text]
                 keep = [i for i, (x, c) in enumerate(zip(own, part.cls)) if set_id(x) == c]
                 shape = (lambda x: x.view(np.int64)) if kind == "array<long>" else (lambda x: np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes())
-                yield pd.DataFrame({"cls": part.cls.iloc[keep].array, "own": [shape(own[i]) for i in keep]})
+                if keep:
+                    yield pd.DataFrame({"cls": part.cls.iloc[keep].array, "own": pd.Series([shape(own[i]) for i in keep], dtype=object)})
 
-    return docs.select("doc_id", "text").join(reps, "doc_id").mapInPandas(sets, f"cls long, own {kind}").dropDuplicates(["cls"])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    met = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("_h"))).select("text", "cls")
+    return met.mapInPandas(sets, f"cls long, own {kind}").dropDuplicates(["cls"])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -177,11 +186,17 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return m.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").distinct()
 
 
-def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each of docs: 100 * intersection >= percent * union links two documents."""
+#: The order of a component's documents: the first is the one that stays.
+_ORDER = ("none", "doc_id", "h")
+
+
+def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id, stays), a row for each of docs: 100 * intersection >= percent * union links two documents."""
     signed = written(signatures(docs), "signed")
-    full = signed.where("n_shingles > 0")
-    classes = written(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x")).select("cls", "rep", "docs", "x.bands", "x.sig"), "classes")
+    full = signed.where("n_shingles > 0").withColumn("none", F.col("doc_id").isNull())
+    first = F.min_by(F.struct("doc_id", "h", "bands", "sig"), F.struct(*_ORDER)).alias("x")
+    classes = full.groupBy("cls").agg(first, (F.min(F.struct(*_ORDER)) != F.max(F.struct(*_ORDER))).alias("several"))
+    classes = written(classes.select("cls", F.col("x.doc_id").alias("rep"), "x.h", "several", "x.bands", "x.sig"), "classes")
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     buckets = written(keyed.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = written(keyed.join(buckets, "key"), "members")
@@ -201,16 +216,25 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = written(links.unionByName(confirmed(more, classes, docs, percent)), "links")
     linked = written(components(links), "linked")
 
-    named = classes.select("cls", "rep", "docs").join(linked, classes["cls"] == linked["node"], "left")
-    alone = named.where("node is null and docs > 1").select("cls", F.col("rep").alias("component_id"))
-    joined = written(named.where("node is not null").select("cls", "rep", "component"), "named")
-    least = written(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    known = written(joined.join(least, "component").select("cls", "component_id").unionByName(alone), "known")
-    out = signed.select("doc_id", "n_shingles", "cls").join(known, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.select("cls", "rep", "h", "several").join(linked, classes["cls"] == linked["node"], "left")
+    alone = named.where("node is null and several").select("cls", F.col("rep").alias("component_id"), F.col("h").alias("least_h"))
+    joined = written(named.where("node is not null").select("cls", F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "h", "component"), "named")
+    least = written(joined.groupBy("component").agg(F.min(F.struct(*_ORDER)).alias("x")).select("component", F.col("x.doc_id").alias("component_id"), F.col("x.h").alias("least_h")), "least")
+    known = joined.join(least, "component").select("cls", "component_id", "least_h").unionByName(alone)
+    known = written(known.withColumn("grouped", F.lit(True)), "known")
+    out = signed.select("doc_id", "h", "n_shingles", "cls").join(known, "cls", "left")
+    stays = F.col("grouped").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("least_h")))
+    return out.select("doc_id", "h", "n_shingles", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+
+
+def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each of docs."""
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each group, the one with the smallest id, with the columns of docs."""
-    keep = groups(docs, percent).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    """One document of each group, with the columns of docs."""
+    keep = grouped(docs, percent).where("stays").select(F.col("doc_id").alias("id"), "h").distinct()
+    # Whole rows are one column, so that no name of docs can clash.
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(keep, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("h")), "left_semi").select("row.*")

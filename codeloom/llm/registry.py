@@ -48,7 +48,7 @@ def op6_quality_rules(spark, sf_dir):
 
 def op7_minhash_groups(spark, sf_dir):
     rows = minhash.groups(table(spark, sf_dir, "documents"), 85)
-    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_line_dedup(spark, sf_dir):

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import components, lines, lm, minhash, mixing, packing, quality, suffixes, topk, toxicity, warc
 
@@ -172,6 +173,38 @@ def test_minhash_blocks(spark, monkeypatch):
     assert got == want
 
 
+def near_texts(n=100):
+    """Texts of which each is near the next one at 0.85, but not near the one after that."""
+    base = [f"w{k}" for k in range(n)]
+    out = []
+    for i in range(4):
+        out.append(" ".join(base))
+        base[10 + 20 * i] = f"v{i}"
+    return out
+
+
+def test_minhash_of_equal_and_null_ids(spark):
+    """An id with two texts, in parts of their own, and null ids that alone link two documents."""
+    a, b, c, d = near_texts()
+    other = " ".join(f"x{k}" for k in range(60))
+    rows = [(1, a), (1, other), (5, b), (0, other + " y"), (None, c), (7, d), (None, "lone words stand here for once"), (None, None), (2**60 + 1, "a b c d e f g h"), (None, "a b c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+    got = {(r.doc_id, r.text): (r.component_id, r.stays) for r in minhash.grouped(docs, 85).join(docs.select(F.xxhash64("text").alias("h"), "text").distinct(), "h").collect()}
+    assert got == {
+        (1, a): (1, True), (5, b): (1, False), (None, c): (1, False), (7, d): (1, False), (0, other + " y"): (0, True), (1, other): (0, False), (None, rows[6][1]): (None, True), (None, None): (None, True),
+        (2**60 + 1, rows[8][1]): (2**60 + 1, True), (None, rows[8][1]): (2**60 + 1, False),
+    }
+    kept = minhash.deduplicated(docs, 85).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for (i, t), (_, stays) in got.items() if stays)
+
+
+def test_minhash_of_null_ids_alone(spark):
+    a, b, *_ = near_texts()
+    docs = spark.createDataFrame([(None, a), (None, b), (None, a)], "doc_id long, text string").repartition(3)
+    assert [r.component_id for r in minhash.groups(docs, 85).collect()] == [None] * 3
+    assert len({r.text for r in minhash.deduplicated(docs, 85).collect()}) == 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, x) for x in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
