@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens, with their sequence, their place in it and their ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+    """Pieces of at most 2048 tokens, with their sequence, their place in it, their ids and a number that tells copies of a document apart."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0, keep_ids=True)
 
 
 STAGES = [
