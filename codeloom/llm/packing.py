@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.hashing import LONG, TOGETHER, parts, powers
 from codeloom.llm.shared import running_total, small, written
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, document long"
 #: Units that a worker remembers the ids of.
 REMEMBERED = 400_000
 #: The share of the pieces that one sweep over their lengths places at the end; rows of a range of a superstep, and rows of three
@@ -239,18 +239,20 @@ def _tokens(path: str) -> WordTokens:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_ids: bool = False) -> DataFrame:
-    """PIECES, and `ids` (little-endian unsigned 32-bit) if they are to be kept: each document's tokens and one `end`."""
+    """PIECES, and `ids` (little-endian unsigned 32-bit) if they are to be kept: each document's tokens and one `end`. document: a number
+    for each row of docs, which tells rows with the same id apart."""
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = _tokens(tokenizer)
+        tokens, number = _tokens(tokenizer), TaskContext.get().partitionId() << 40
         for b in batches:
             rows = []
             for doc, ids in zip(b.doc_id.astype(object), tokens.many(b.text.tolist())):
                 ids += last
+                number += 1
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)) + ((own,) if keep_ids else ()))
+                    rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), number) + ((own,) if keep_ids else ()))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids)
             yield out.astype({"doc_id": "Int64"})
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import math
 import os
 import random
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import components, lines, lm, minhash, mixing, packing, quality, suffixes, topk, toxicity, warc
+from codeloom.llm import alignment, components, langid, lines, lm, minhash, mixing, packing, periodic, quality, suffixes, topk, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta,", "Eta", "theta.", "iota", "kappa", "été", "ñu"]
@@ -787,19 +788,221 @@ def test_lm_network():
     assert total + np.exp(net.log_p(np.repeat(states, lm.TAILS, 0), own)).sum() == pytest.approx(1, rel=1e-3)
 
 
-def test_pipeline(spark, docs, rows, tmp_path, monkeypatch):
+def test_pipeline(spark, docs, rows, tmp_path):
+    """Each stage against brute force on its own input, and sequences decoded to the texts of the mix."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     path = str(tmp_path)
-    plain = spark.createDataFrame([r for r in rows], SCHEMA)
+    rng = random.Random(3)
+    long_texts = [text_of(rng, 90) for _ in range(8)]
+    extra = [(500 + i, t + ("" if i % 2 else " tail of its own"), "en", f"s{i % 3}", 0) for i, t in enumerate(long_texts * 2)] + [(None, text_of(rng, 70), "en", "s1", 0)]
+    plain = spark.createDataFrame([*rows, *extra], SCHEMA)
     plain.write.parquet(f"{path}/documents.parquet")
-    at = plain
+    kept, at = {}, plain
     for name, stage in corpus_pipeline.STAGES:
-        before, at = at, stage(spark, at, path)
+        before, at = at, stage(spark, at, path).cache()
+        kept[name] = [tuple(r) for r in at.collect()]
         if name != corpus_pipeline.STAGES[-1][0]:
-            assert at.columns == before.columns and at.count() > 0
-    assert {"doc_id", "sequence_id", "offset"} <= set(at.columns) and at.count() > 0
+            assert at.columns == before.columns and kept[name]
+    first = lambda name: Counter(r[:2] for r in kept[name])
+    ledger = quality.ledger(plain)
+    good = Counter((r.doc_id, r.text) for r in plain.join(ledger.where(~quality.fails(("full", 1))).select(F.col("doc_id").alias("i")).distinct(), F.col("doc_id").eqNullSafe(F.col("i"))).collect())
+    assert first("quality_rules") == good
+    want, _ = brute_groups([(i, t) for i, t, *_ in kept["line_dedup"] if i is not None], 80)
+    groups_of = {want[i] for i, *_ in kept["line_dedup"] if i is not None}
+    assert {i for i, *_ in kept["near_dedup"] if i is not None} == groups_of
+    # The mix takes whole rows of what near_dedup kept; the sequences hold exactly those, each document by itself.
+    assert set(first("mix_sources")) <= set(first("near_dedup"))
+    out = corpus_pipeline.best_fit_packing(spark, spark.createDataFrame(kept["mix_sources"], plain.schema), path).collect()
+    ids = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.document, r.piece)):
+        own = np.frombuffer(r.ids, "<u4").tolist()
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(own) == r.length and r.start == len(ids[r.doc_id, r.document])
+        ids[r.doc_id, r.document] += own
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = Counter((i, tuple(t.encode(text or "", add_special_tokens=False).ids + [0])) for i, text, *_ in kept["mix_sources"])
+    assert Counter((i, tuple(x)) for (i, _), x in ids.items()) == wanted
+    for seq in {r.sequence_id for r in out}:
+        own = sorted((r.offset, r.length) for r in out if r.sequence_id == seq)
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    whole = corpus_pipeline.run(spark, path)
+    assert {"doc_id", "document", "ids", "sequence_id", "offset"} <= set(whole.columns)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in whole.collect()) == Counter((r.doc_id, bytes(r.ids)) for r in out)
     none = plain.where("false")
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, path)
     assert none.count() == 0
+
+
+# Alignment, runs and languages ------------------------------------------------------------------------------------------
+
+
+def bounds(rng, n, more=()):
+    return sorted(set(rng.sample(range(1, n + 1), rng.randrange(0, n))) | {n, *more})
+
+
+def test_groups_and_links():
+    rng = random.Random(3)
+    for k in range(1500):
+        n = rng.randrange(1, 80)
+        a = bounds(rng, n)
+        b = bounds(rng, n) if k % 3 else sorted((set(a) ^ set(rng.sample(range(1, n + 1), min(n, 3)))) | {n})
+        both = sorted(set(a) & set(b))
+        last_a, last_b = alignment.groups(a, b)
+        assert [a[i - 1] for i in last_a] == both and [b[i - 1] for i in last_b] == both
+        i, j = alignment.links(np.array(a), np.array(b))
+        start_a, start_b = [0, *a], [0, *b]
+        assert sorted(zip(i.tolist(), j.tolist())) == [(x, y) for x in range(len(a)) for y in range(len(b)) if max(start_a[x], start_b[y]) < min(a[x], b[y])]
+    same = list(range(1, 3000))
+    assert alignment.groups(same, same) == (same, same)
+
+
+def brute_alignment(texts):
+    import public_tokenizers
+
+    t = alignment.Tokens(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    per, count = [], Counter()
+    for x in texts:
+        a, b = (t.a.encode(" " + x, add_special_tokens=False).ids, t.b.encode(x)) if x else ([], [])
+        bytes_a, bytes_b = ([own[k] for k in ids] for own, ids in ((t.bytes_a, a), (t.bytes_b, b)))
+        if not x or not b"".join(bytes_a) == (" " + x).encode() == b"".join(bytes_b):
+            per.append(None)
+            continue
+        ends = [np.cumsum([len(y) for y in ys]).tolist() for ys in (bytes_a, bytes_b)]
+        both = sorted(set(ends[0]) & set(ends[1]))
+        cut = lambda ids, own: [",".join(str(i) for i, e in zip(ids, own) if lo < e <= hi) for lo, hi in zip([0, *both], both)]
+        starts = [[0, *e[:-1]] for e in ends]
+        pairs = [(a[i], b[j]) for i in range(len(a)) for j in range(len(b)) if max(starts[0][i], starts[1][j]) < min(ends[0][i], ends[1][j])]
+        count.update(pairs)
+        per.append((len(a), len(b), len(both), pairs, ";".join(f"{x}|{y}" for x, y in zip(cut(a, ends[0]), cut(b, ends[1])))))
+    most = defaultdict(int)
+    for (_, y), n in count.items():
+        most[y] = max(most[y], n)
+    return [(0,) * 6 + ("",) if p is None else (*p[:3], len(p[3]), sum(count[x] == most[x[1]] for x in p[3]), sum(count[x] for x in p[3]), hashlib.sha256(p[4].encode()).hexdigest()) for p in per]
+
+
+@pytest.mark.parametrize("block, texts", [(1 << 23, 1 << 16), (300, 3)])
+def test_alignment(spark, monkeypatch, block, texts):
+    import public_tokenizers
+
+    monkeypatch.setattr(alignment, "BLOCK", block)
+    own = ["", None, " ", "  a  b ", "\n\n x\ty\n", "a<|endoftext|>b <s> </s> <unk> <0x41>", "é̀ ﬁ ½ ® 你好 世界 🎉🎉  🎉", "▁x a▁b ▁", "a b\u3000c\u2003d", "'s don't I'll 's", "x" * 300, "1234 567 8.9", "a \u200b b", "\r\n \r\n", " <s>a", "same words here", "same words here"]
+    own += [text_of(random.Random(k), 40) for k in range(12)]
+    df = spark.createDataFrame([(None if k == 3 else k * 2**40, x, "z") for k, x in enumerate(own)], "doc_id long, text string, n_a string").repartition(3)
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    got = {r.doc_id: tuple(r)[1:] for r in alignment.aligned(df, *paths).collect()}
+    assert len(got) == len(own)
+    for k, row in enumerate(brute_alignment(own)):
+        assert got[None if k == 3 else k * 2**40] == row, own[k]
+    assert alignment.aligned(df.where("false"), *paths).count() == 0
+
+
+def brute_runs(s, least=6, power=4):
+    out, n = [], len(s)
+    for q in range(1, n // power + 1):
+        i = 0
+        while i + q < n:
+            if s[i] != s[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and s[j] == s[j + q]:
+                j += 1
+            if j + q - i >= max(least, power * q) and not any(all(s[k] == s[k + r] for k in range(i, j + q - r)) for r in range(1, q)):
+                out.append((i, j + q - i, q))
+            i = j + 1
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def test_lyndon_arrays():
+    rng = random.Random(1)
+    for _ in range(1000):
+        s = [rng.randrange(rng.choice([1, 2, 3, 5])) for _ in range(rng.randrange(1, 20))]
+        longest = [max(j - i for j in range(i + 1, len(s) + 1) if all(s[i:j] < s[k:j] for k in range(i + 1, j))) for i in range(len(s))]
+        assert periodic.lyndon(s) == longest
+
+
+def test_periodic_runs(spark, empty):
+    rng, texts = random.Random(2), []
+    for _ in range(150):
+        s: list[str] = []
+        while len(s) < rng.randrange(1, 90):
+            w = [f"w{rng.randrange(4)}" for _ in range(rng.randrange(1, 9))]
+            s += (w * rng.randrange(1, 8))[: rng.randrange(1, 60)]
+        texts.append(rng.choice([" ", "\n", "  "]).join(s))
+    texts += [None, "", " \t", "W w W w W w W w", "a " * 5000, "a a a a a"]
+    df = spark.createDataFrame([(k if k % 7 else None, x, str(k)) for k, x in enumerate(texts)], "doc_id long, text string, runs string").repartition(4)
+    got = {r._text_no: r for r in periodic.with_runs(df.withColumnRenamed("runs", "_text_no"), "doc_id", "_text_no").collect()}
+    for k, x in enumerate(texts):
+        r, own = got[str(k)], (x or "").split()
+        want = brute_runs(own) if len(own) < 1000 else [(0, 5000, 1)]
+        assert [tuple(y) for y in r.runs] == want and r.doc_id == (k if k % 7 else None)
+        dropped = {i for s, n, q in want for i in range(s + q, s + n)}
+        assert r.collapsed == " ".join(w for i, w in enumerate(own) if i not in dropped)
+    assert periodic.with_runs(empty, "doc_id").count() == 0
+
+
+def test_repeated_tails(spark):
+    """The words that the query makes periodic, by the formula."""
+    from codeloom.llm import registry
+
+    rows = [(k, " ".join(f"v{i}" for i in range(n))) for k, n in zip(range(300), itertools.cycle([0, 1, 2, 7, 40, 90]))] + [(None, "a b")]
+    got = {r.doc_id: r.text for r in registry.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, x in rows:
+        w, h = x.split(), zlib.crc32(str(k).encode())
+        if k is not None and h % 10 == 0 and w:
+            g, n = h // 10, len(w)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            x = " ".join(w[i] if i < a else w[a + (i - a) % p] for i in range(n))
+        assert got[k] == x
+
+
+def test_viterbi():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        counts, n = rng.integers(0, 8, 6), int(rng.integers(1, 4))
+        scores = rng.normal(0, 10, (counts.sum(), n)).astype(np.float32)
+        labels, at = langid.viterbi(scores, counts), 0
+        for c in counts.tolist():
+            own, path = scores[at : at + c], labels[at : at + c].tolist()
+            value = lambda p: sum(own[i, x] for i, x in enumerate(p)) - langid.PENALTY * sum(x != y for x, y in itertools.pairwise(p))  # noqa: B023, E731
+            assert value(path) == pytest.approx(max(value(p) for p in itertools.product(range(n), repeat=c)), abs=1e-3)
+            at += c
+
+
+def test_languages(spark, empty):
+    rng = random.Random(5)
+    made = {"en": ["the", "thing", "with", "other", "shall"], "de": ["der", "schön", "nicht", "über", "straße"], "ru": ["это", "слово", "который", "время"], "el": ["είναι", "λόγος", "και"]}
+    say = lambda lang, n: " ".join("".join(rng.choices(made[lang], k=rng.choice([1, 1, 2]))) for _ in range(n))
+    rows = [(k, say(lang, rng.randrange(5, 40)), lang) for k, lang in enumerate(rng.choices([*made], k=400))]
+    model = langid.fitted(spark.createDataFrame([*rows, (None, "no language here", None), (1000, None, "de")], "doc_id long, text string, lang string"))
+    assert model.languages == sorted(made)
+    mixed = say("en", 30) + ". " + say("ru", 20) + " 123, " + say("de", 30)
+    asked = [(k, say(lang, 20), lang) for k, lang in enumerate(rng.choices([*made], k=80))] + [(100, mixed, "en"), (101, None, "und"), (102, "12 _ ½ 3!", "und"), (103, "", "und"), (104, "你好世界", None), (105, "ÜBER " * 3000 + "x" * 500, "de"), (None, say("el", 9), "el"), (None, say("el", 9), "el")]
+    df = spark.createDataFrame(asked, "doc_id long, text string, score string").repartition(3)
+    got = langid.labelled(df.withColumnRenamed("score", "want"), model, "doc_id", "want").collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert 0 <= r.score <= 1 and (r.lang_pred in model.languages or r.lang_pred == "und")
+        if r.want is not None:
+            assert r.lang_pred == r.want
+        if r.lang_pred == "und":
+            assert r.spans == [] and r.score == 0
+        if r.doc_id == 100:
+            assert [(s.lang) for s in r.spans] == ["en", "ru", "de"]
+            assert [mixed[s.start : s.end].split()[0] for s in r.spans] == [mixed.split()[0], mixed.split()[30], mixed.split()[51]] and r.spans[-1].end == len(mixed)
+    nothing = langid.fitted(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert [(r.lang_pred, r.score) for r in langid.labelled(df.limit(1), nothing, "doc_id").collect()] == [("und", 0.0)]
+    assert langid.labelled(empty, model, "doc_id").count() == 0
+
+
+def test_languages_of_documents(spark):
+    from codeloom.llm import registry
+
+    d = "/root/testdata/sf0.001"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = [r for r in registry.op13_language_id(spark, d).collect() if r.held_out]
+    assert len(got) > 20 and sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.95 * len(got)
