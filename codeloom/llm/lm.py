@@ -7,8 +7,8 @@ words + 1) of its open class, so that one unknown word per open class has a shar
 window, so that a document is scored whole; the gradients are cut at the windows.
 
 The network learns from every training document, in rounds over growing SHARES of them, dealt by a hash of the id. In a round each
-task starts from the same weights, lays its documents end to end over streams, and carries the state through all of
-them; of every EVERY windows one is backpropagated. The tasks' weights are averaged by their tokens, in a tree of jobs, so
+task starts from the same weights and lays its documents end to end over streams, LAID tokens at once; each stream begins with a
+state of zeros, hands it on from window to window, and begins anew where a document ends. Every window is backpropagated. The tasks' weights are averaged by their tokens, in a tree of jobs, so
 that no task holds more than FAN models. Biases start from the counts of all. The counts of the most frequent words, KNOWN at
 most, are shipped to the tasks; all other words of all documents meet their counts in a join.
 
@@ -31,12 +31,12 @@ from codeloom.llm.hashing import Words
 from codeloom.llm.shared import written
 
 HEAD, CLASS, TAILS, KNOWN = 4096, 64, 16, 200_000
-HIDDEN, WINDOW, STREAMS, EVERY = 24, 32, 128, 8
+HIDDEN, WINDOW, STREAMS = 24, 32, 384
 #: Eighths of the training documents that a round learns from; models that are averaged at once; tasks of a round at most, and
 #: training tokens for each, so that a small table's models have enough to learn from.
 SHARES, FAN, TASKS, PER_TASK = (1, 2, 5), 64, 4096, 250_000
 #: Bytes of text that are read at once, and tokens that are laid over the streams at once.
-READ, LAID = 4 << 20, 1 << 18
+READ, LAID = 4 << 20, 1 << 20
 #: Documents that are scored together; tokens whose classes are scored at once.
 GROUP, BLOCK = 512, 1024
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text; no word's hash but by chance
@@ -217,25 +217,22 @@ class Network:
             x -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)
         return float(logs.mean()), last
 
-    def learn(self, flat: np.ndarray, rate: float, seed: int) -> None:
-        """flat: the symbols of documents, end to end, an end token after each; laid over streams. All windows carry the state,
-        one of EVERY is backpropagated."""
+    def learn(self, flat: np.ndarray, rate: float) -> None:
+        """flat: the symbols of documents, end to end, an end token after each; laid over streams, each a stretch of the text that begins
+        with a state of zeros. Every window is backpropagated, and hands its state on; after an end token it is zeros again."""
         streams = int(np.clip(len(flat) // (64 * WINDOW), 1, STREAMS))
         steps = len(flat) // streams
         if steps < 2:
             return
         lanes = np.ascontiguousarray(flat[: steps * streams].reshape(streams, steps).T)
         inputs = np.vstack([np.zeros((1, streams), lanes.dtype), lanes[:-1]])
-        state, fast = np.zeros((streams, HIDDEN), np.float32), None
-        chosen = np.random.default_rng(seed).integers(0, EVERY, -(-steps // (WINDOW * EVERY)))
-        for k, at in enumerate(range(0, steps, WINDOW)):
+        state = np.zeros((streams, HIDDEN), np.float32)
+        for at in range(0, steps, WINDOW):
             state = state * (inputs[at] != 0)[:, None]  # after an end token a document begins
-            if k % EVERY == chosen[k // EVERY]:
-                _, state = self.train(inputs[at : at + WINDOW], lanes[at : at + WINDOW], state, rate)
-                fast = None
-            else:
-                fast = _Scorer(self.w) if fast is None else fast
-                state = fast.run(inputs[at : at + WINDOW], state)[-1]
+            _, state = self.train(inputs[at : at + WINDOW], lanes[at : at + WINDOW], state, rate)
+        if steps * streams < len(flat):  # fewer tokens than streams are left; they are one more stretch
+            rest = flat[steps * streams - 1 :]
+            self.train(rest[:-1, None], rest[1:, None], np.zeros((1, HIDDEN), np.float32), rate * len(rest) / (WINDOW * streams))
 
     def score(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """symbols: of documents, end to end, which begin at `bounds`. The natural log of each one's probability (open classes
@@ -382,10 +379,10 @@ def trained(docs: DataFrame, lexicon: Lexicon, net: Network, total: int) -> Netw
     for k, share in enumerate(SHARES):
         own = source.where((part >= begin) & (part < begin + share)).select("text")
         begin += share
-        rate = 0.015 * 0.6**k
+        rate = 0.02 * 0.6**k
         shared = context.broadcast((net.w, lexicon))
 
-        def learn(batches: Iterator[pd.DataFrame], shared=shared, rate=rate, seed=k) -> Iterator[pd.DataFrame]:
+        def learn(batches: Iterator[pd.DataFrame], shared=shared, rate=rate) -> Iterator[pd.DataFrame]:
             weights, lexicon = shared.value
             net, words, held, size, total = _network(weights), Words(), [], 0, 0
             for b in batches:
@@ -396,11 +393,11 @@ def trained(docs: DataFrame, lexicon: Lexicon, net: Network, total: int) -> Netw
                     size += len(own)
                     while size >= LAID:  # a long text is laid over the streams part by part
                         flat = np.concatenate(held)
-                        net.learn(flat[:LAID], rate, seed + total)
+                        net.learn(flat[:LAID], rate)
                         total += LAID
                         held, size = [flat[LAID:]], size - LAID
             if size:
-                net.learn(np.concatenate(held), rate, seed + total)
+                net.learn(np.concatenate(held), rate)
                 total += size
             if total:
                 yield pd.DataFrame({"task": [TaskContext.get().partitionId() % TASKS], "tokens": [float(total)], "model": [pickle.dumps(net.w)]})

@@ -761,7 +761,7 @@ def test_lm_learns_from_all(spark, monkeypatch):
 def test_lm_on_documents(spark):
     """Held-out documents of the given table are likelier than by counts alone."""
     got = lm.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
-    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > sum(r.base_score for r in got) / sum(r.n_tokens for r in got) + 0.05
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > sum(r.base_score for r in got) / sum(r.n_tokens for r in got) + 0.2
 
 
 def test_lm_network():
