@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SOURCE_FILES = "path string, root string, content string"
 TYPES = "file string, package string, class_fqn string, class_type string, extends_fqn string, implements_fqns array<string>, start_line int, end_line int, modifiers array<string>"
 METHODS = "file string, class_fqn string, name string, signature string, return_type string, full_name string, start_line int, end_line int, thrown array<string>, modifiers array<string>, ordinal int"
-CALLS = "file string, call_id string, method_full_name string, seq int, caller string, callee string, callee_variable string, callee_instance string, method_name string, arguments array<string>, return_type string, assigned_to string, line int, receiver_call_id string, parent_fragment_id string, region string"
+CALLS = "file string, call_id string, method_full_name string, seq int, caller string, callee string, callee_variable string, callee_instance string, method_name string, arguments array<string>, return_type string, assigned_to string, line int, receiver_call_id string, parent_fragment_id string, region string, static_type string, targets array<struct<name: string, signature: string>>"
 FRAGMENTS = "file string, fragment_id string, parent_fragment_id string, method_full_name string, type string, condition string, start_line int, end_line int, ordinal int, ladder_id string"
 ANNOTATION_USES = "file string, target_type string, target_fqn string, name string, simple_name string, params array<struct<name: string, value: string, kind: string>>, start_line int, end_line int"
 NODES = "id string, label string, name string, package string, class_name string, node_type string, target_type string, source_file string, line_number int, column_number int, body_length int, return_type string, parameters array<string>, flags map<string, boolean>, props map<string, string>, created_at bigint"

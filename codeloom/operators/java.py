@@ -68,7 +68,6 @@ class Parsed:
         self.units = written(head.select("file", F.regexp_extract(text, r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;"), F.lit(1)).alias("imports")), "units")
         self.types = written(self._types(), "types")
         self.methods_ = written(self._methods(), "methods")
-        self.fragments_ = written(self._fragments(), "fragments")
 
     def _resolve(self, df: DataFrame, column: str) -> DataFrame:
         """df, which has `file`: the column's type name completed by imports, the package, or the known classes."""
@@ -132,7 +131,8 @@ class Parsed:
         """The id of the fragment that a segment of a method lies in, if it is one of the method's own."""
         return F.when(F.col("fragment") > F.col("method"), Parsed._key("fragment"))
 
-    def _fragments(self) -> DataFrame:
+    @cached_property
+    def fragments_(self) -> DataFrame:
         m = self.methods_.select("file", F.col("ord").alias("method"), "full_name")
         own = self.rows.where("method is not null and kind = 'fragment'").join(m, ["file", "method"])
         head = F.regexp_replace("head", _CONTROL, "")
@@ -144,17 +144,19 @@ class Parsed:
         start = F.when(~head.startswith("else"), F.col("ord"))
         ladder = F.last(start, ignorenulls=True).over(W.partitionBy("file", "parent").orderBy("ord"))
         frags = own.withColumns({"_head": head, "_loop": loop, "_condition": condition}).withColumn("_ladder", ladder)
-        return frags.select(
+        return written(frags.select(
             "file", self._key("ord").alias("fragment_id"), self._around().alias("parent_fragment_id"), F.col("full_name").alias("method_full_name"),
             F.when(F.col("_loop"), "LOOP").otherwise("ALTERNATIVE").alias("type"), F.col("_condition").alias("condition"), F.col("line").alias("start_line"), "end_line",
             (F.row_number().over(W.partitionBy("file", "_ladder").orderBy("ord")) - 1).alias("ordinal"), self._key("_ladder").alias("ladder_id"),
-        )
+        ), "fragments")
 
     @cached_property
     def ancestors(self) -> DataFrame:
-        """(class_fqn, up, distance): each type's supertypes, those of supertypes, and so on, with the least number of steps."""
+        """(class_fqn, up, distance): each type's supertypes among the known types, those of supertypes, and so on, with the least number
+        of steps."""
         up = self.types.select(F.col("class_fqn").alias("src"), F.explode(F.array_compact(F.concat(F.array("extends_fqn"), "implements_fqns"))).alias("dst"))
-        starts = self.types.select(F.col("class_fqn").alias("start")).distinct()
+        up = up.join(self.types.select(F.col("class_fqn").alias("dst")), "dst", "left_semi")
+        starts = up.select(F.col("src").alias("start")).distinct()
         return written(reach(written(up, "supertypes"), starts).select(F.col("start").alias("class_fqn"), F.col("node").alias("up"), "distance"), "ancestors")
 
     @cached_property
@@ -261,16 +263,16 @@ class Parsed:
         none = F.array().cast("array<string>")
         calls = calls.join(types, "call_id", "left").withColumn("types", F.coalesce("types", none))
         rest = calls.where("receiver_call_id is not null")
-        last = written(self._targets(calls.where("receiver_call_id is null")), "links")
-        done = last
-        while True:
+        last = done = written(self._targets(calls.where("receiver_call_id is null")), "links")
+        left, linked = rest.count(), 1
+        while left and linked:
             up = last.select(F.col("call_id").alias("receiver_call_id"), F.coalesce(F.when(F.col("is_new"), F.col("static_type")), "returns").alias("_type"))
             kind = F.regexp_replace(F.coalesce("_type", F.lit("void")), r"(?s)<.*>", "")
             met = rest.join(up, "receiver_call_id").withColumn("static_type", F.when(kind.isin("void", ""), F.lit("unknown")).otherwise(kind)).drop("_type")
             last = written(self._targets(met.select(*calls.columns)), "links")
-            if last.isEmpty():
-                return done.select(*last.columns)
-            done = done.unionByName(last)
+            linked = last.count()
+            left, done = left - linked, done.unionByName(last)
+        return done
 
     @property
     def methods(self) -> DataFrame:
@@ -340,7 +342,7 @@ def composed_name(package, name) -> F.Column:
 
 
 def trace_calls(parsed: Parsed) -> DataFrame:
-    """(caller, callee, ordinal, arguments, assigned_to, line, parent_fragment_id, region, receiver_call_id) for a trace."""
+    """(caller, callee, ordinal, arguments, assigned_to, line, parent_fragment_id, region, call_id, receiver_call_id) for a trace."""
     c = parsed.calls
-    others = ("arguments", "assigned_to", "line", "parent_fragment_id", "region", "receiver_call_id")
+    others = ("arguments", "assigned_to", "line", "parent_fragment_id", "region", "call_id", "receiver_call_id")
     return c.select(F.col("method_full_name").alias("caller"), F.concat_ws(".", "callee", "method_name").alias("callee"), F.col("seq").alias("ordinal"), *others)

@@ -1,13 +1,14 @@
 """Page extraction: components, script functions, outside scripts and their graph, by pattern functions of Spark.
 
-Offsets come without Python: what stands before the n-th match is what a split at the pattern leaves, and a line number is
-the number of lines in that prefix. Only the body of a function, which ends where its braces do, takes an aggregate over the
-pieces between braces.
+Offsets come without Python: matches are searched for one after the other, and line breaks are counted between them. The body of
+a function ends where its braces do: braces are exploded with their offsets alone, matched by windows, and the text meets its
+bodies once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as s
@@ -38,6 +39,53 @@ def matches(df: DataFrame, text: str, pattern: str, group: int, *keep: str) -> D
     return zipped.select(*keep, (F.col("ordinal") + 1).alias("ordinal"), F.col("_x._own").alias("found"), F.col("_x._all").alias("whole"), F.col("_x._at").alias("at"), F.substring(F.col("_t"), F.lit(1), F.col("_x._at")).alias("before"), F.substring(F.col("_t"), F.col("_x._at") + 1, F.length("_t")).alias("after"))
 
 
+def places(df: DataFrame, text: str, pattern: str, group: int, *keep: str, until: str | None = None) -> DataFrame:
+    """(keep..., ordinal, found, whole, at, line, tail): each match with its 0-based offset and the line it stands on, as `pieces` of what is
+    before it would tell; tail: from the match on, up to the first `until`. The text is gone through once, from match to match, and
+    isn't copied beside them."""
+    t = F.col(text)
+    rows = df.select(*keep, t.alias("_t"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("_all"), F.regexp_extract_all(t, F.lit(pattern), F.lit(group)).alias("_own"))
+    empty = F.array().cast("array<struct<at:int,line:int>>")
+    find = lambda x, a: F.call_function("locate", x, F.col("_t"), a)
+
+    def step(a, x):
+        at = find(x, a["next"]) - 1
+        # The text since the last match began: its line breaks, and those right before this one, which don't count.
+        gap = F.substring(F.col("_t"), a["from"] + 1, at - a["from"])
+        breaks, last = a["breaks"] + F.regexp_count(gap, F.lit("\n")), F.length(F.regexp_extract(gap, r"\n*$", 0))
+        line = F.when(at == 0, 1).when(last == at, 0).otherwise(breaks - last + 1)
+        return F.struct((at + F.length(x) + 1).alias("next"), at.alias("from"), breaks.alias("breaks"), F.concat(a["out"], F.array(F.struct(at.alias("at"), line.cast("int").alias("line")))).alias("out"))
+
+    start = F.struct(F.lit(1).alias("next"), F.lit(0).alias("from"), F.lit(0).alias("breaks"), empty.alias("out"))
+    rows = rows.withColumn("_p", F.aggregate("_all", start, step)["out"])
+    tail = F.transform("_p", lambda p: F.substring(F.col("_t"), p["at"] + 1, F.greatest(find(F.lit(until), p["at"] + 1) - p["at"], F.lit(0)))) if until else F.transform("_p", lambda p: F.lit(""))
+    zipped = rows.withColumn("_tail", tail).select(*keep, F.posexplode(F.arrays_zip("_all", "_own", "_p", "_tail")).alias("ordinal", "_x"))
+    return zipped.select(*keep, (F.col("ordinal") + 1).alias("ordinal"), F.col("_x._own").alias("found"), F.col("_x._all").alias("whole"), F.col("_x._p.at").alias("at"), F.col("_x._p.line").alias("line"), F.col("_x._tail").alias("tail"))
+
+
+def regions(blocks: DataFrame, text: str, starts: DataFrame, *key: str) -> DataFrame:
+    """blocks: (key..., text); starts: (key..., ordinal, at). (key..., ordinal, content): from each start to the brace that closes the first one
+    after it; 500 characters if none does.
+
+    Braces are exploded without the text around them; a running sum gives each its depth, a brace closes the last opener of its
+    depth, and each start finds the first opener after it in a window. The text meets its regions once a block."""
+    found = blocks.select(*key, F.posexplode(F.arrays_zip(F.transform(F.split(text, r"[{}]", -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(r"[{}]"), F.lit(0)).alias("mark"))).alias("ord", "_x"))
+    found = found.select(*key, "ord", F.col("_x.gap").alias("gap"), F.col("_x.mark").alias("mark")).where("mark is not null")
+    w = W.partitionBy(*key).orderBy("ord")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    total = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    opens = F.col("mark") == "{"
+    found = found.withColumns({"at": total(F.col("gap") + 1) + F.col("gap"), "level": total(F.when(opens, 1).otherwise(-1)) + F.when(opens, 1).otherwise(0)})
+    close = F.first(F.when(~opens, F.col("at")), ignorenulls=True).over(W.partitionBy(*key, "level").orderBy("ord").rowsBetween(1, W.unboundedFollowing))
+    openers = found.withColumn("close", close).where(opens).select(*key, "at", F.lit(0).alias("ordinal"), F.struct("close").alias("opener"))
+    both = starts.select(*key, "at", "ordinal", F.lit(None).cast("struct<close:bigint>").alias("opener")).unionByName(openers)
+    after = W.partitionBy(*key).orderBy("at", "ordinal").rowsBetween(1, W.unboundedFollowing)
+    ends = both.withColumn("end", F.first("opener", ignorenulls=True).over(after)["close"]).where("ordinal > 0")
+    each = ends.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ordinal", "at", "end"))).alias("_r"))
+    cut = F.transform("_r", lambda r: F.struct(r["ordinal"].alias("ordinal"), F.substring(F.col(text), (r["at"] + 1).cast("int"), F.coalesce(r["end"] - r["at"] + 1, F.lit(500)).cast("int")).alias("content")))
+    return blocks.select(*key, text).join(each, list(key)).select(*key, F.inline(cut))
+
+
 def pagecode_class(text) -> F.Column:
     place = F.regexp_extract(text, PAGECODE, 1)
     cut = F.replace(F.replace(F.replace(place, F.lit("/src/"), F.lit("")), F.lit(".java"), F.lit("")), F.lit("/"), F.lit("."))
@@ -46,31 +94,21 @@ def pagecode_class(text) -> F.Column:
 
 def components(pages: DataFrame, file: str = "file", text: str = "content") -> DataFrame:
     """(file, id, type, action, event_type, line): tags with an action, and script collectors."""
-    tag = F.regexp_extract("after", r"(?s)^[^>]*>", 0)
-    identity = F.coalesce(F.nullif(F.regexp_extract(tag, IDENTITY, 1), F.lit("")), F.lit("unknown"))
-    line = s.pieces("before")
-    a = matches(pages, text, ACTION, 2, file).select(file, identity.alias("id"), F.regexp_extract("whole", ACTION, 1).alias("type"), F.col("found").alias("action"), F.lit(None).cast("string").alias("event_type"), line.alias("line"))
-    b = matches(pages, text, DECODE, 1, file).select(file, identity.alias("id"), F.lit("scriptCollector").alias("type"), F.col("found").alias("action"), F.lit("onPagePost").alias("event_type"), line.alias("line"))
+    identity = F.coalesce(F.nullif(F.regexp_extract("tail", IDENTITY, 1), F.lit("")), F.lit("unknown"))
+    a = places(pages, text, ACTION, 2, file, until=">").select(file, identity.alias("id"), F.regexp_extract("whole", ACTION, 1).alias("type"), F.col("found").alias("action"), F.lit(None).cast("string").alias("event_type"), "line")
+    b = places(pages, text, DECODE, 1, file, until=">").select(file, identity.alias("id"), F.lit("scriptCollector").alias("type"), F.col("found").alias("action"), F.lit("onPagePost").alias("event_type"), "line")
     return a.unionByName(b)
 
 
-def balanced(text) -> F.Column:
-    """text up to the brace that closes its first one; its first 500 characters if none does."""
-    parts = F.split(text, r"(?<=[{}])", -1)
-    end = F.aggregate(
-        parts, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done")),
-        lambda a, x: F.when(a["done"], a).otherwise(F.struct(
-            (a["depth"] + F.when(x.endswith("{"), 1).when(x.endswith("}"), -1).otherwise(0)).alias("depth"), (a["length"] + F.length(x)).alias("length"),
-            (x.endswith("}") & (a["depth"] == 1)).alias("done"))),
-    )
-    return F.when(end["done"], F.substring(text, F.lit(1), end["length"])).otherwise(F.substring(text, 1, 500))
-
-
 def functions(pages: DataFrame, file: str = "file", text: str = "content") -> DataFrame:
-    """(file, name, line, content, has_ajax, ajax_calls, has_navigation) of each named function in a script block."""
-    blocks = matches(pages, text, SCRIPT, 1, file).select(file, F.col("ordinal").alias("block"), F.col("found").alias("script"), s.pieces("before").alias("block_line"))
-    found = matches(blocks, "script", FUNCTION, 1, file, "block", "block_line")
-    out = found.select(file, F.col("found").alias("name"), (F.col("block_line") + s.pieces("before")).alias("line"), balanced(F.col("after")).alias("content"))
+    """(file, name, line, content, has_ajax, ajax_calls, has_navigation) of each named function in a script block. Pages are told apart by file and
+    text; rows that repeat both are one page."""
+    doc = pages.select(file, text, F.xxhash64(text).alias("doc"))
+    blocks = places(doc, text, SCRIPT, 1, file, "doc").select(file, "doc", F.col("ordinal").alias("block"), F.col("found").alias("script"), F.col("line").alias("block_line"))
+    found = places(blocks, "script", FUNCTION, 1, file, "doc", "block", "block_line").select(file, "doc", "block", "ordinal", "at", F.col("found").alias("name"), (F.col("block_line") + F.col("line")).alias("line"))
+    key = (file, "doc", "block")
+    found = found.dropDuplicates([*key, "ordinal"])
+    out = found.drop("at").join(regions(blocks.dropDuplicates(list(key)), "script", found, *key), [*key, "ordinal"]).select(file, "name", "line", "content")
     ajax = F.regexp_extract_all("content", F.lit(AJAX), F.lit(1))
     return out.withColumn("ajax_calls", ajax).withColumn("has_ajax", F.size("ajax_calls") > 0).withColumn("has_navigation", F.col("content").rlike(NAVIGATION))
 

@@ -20,7 +20,8 @@ _LAST = 2**31 - 1
 def call_items(traced: DataFrame) -> DataFrame:
     """Items of the calls: the call, and activation around what it calls in turn."""
     owner = lambda c: F.regexp_extract(c, r"(?s)^(.*)\.[^.]*$", 1)
-    src, dst = s.safe_id(owner("caller")), s.safe_id(owner("callee"))
+    # A link of a chain is called by what the link before it was called on.
+    src, dst = s.safe_id(owner(F.coalesce("via", "caller"))), s.safe_id(owner("callee"))
     name = F.substring_index("callee", ".", -1)
     arguments = F.array_join(F.transform("arguments", s.simplified_argument), ", ") if "arguments" in traced.columns else F.lit("")
     text = F.concat(name, F.lit("("), arguments, F.lit(")"))
@@ -28,7 +29,9 @@ def call_items(traced: DataFrame) -> DataFrame:
         text = F.concat(F.when(F.coalesce("assigned_to", F.lit("")) != "", F.concat("assigned_to", F.lit(" : "))).otherwise(F.lit("")), text)
     at = lambda *x: F.concat("place", F.array(*(F.lit(k) for k in x)))
     calls = traced.select("entry", at(-1, 0).alias("place"), F.lit("call").alias("kind"), src.alias("src"), dst.alias("dst"), text.alias("text"))
-    inner = traced.where("depth > 1").select("entry", F.slice("place", 1, F.size("place") - 1).alias("up"), src.alias("dst")).distinct()
+    frames = traced.where("depth > 1").select("entry", F.col("frame").alias("up"), s.safe_id(owner("caller")).alias("dst"))
+    links = traced.where("via is not null").select("entry", F.slice("place", 1, F.size("place") - 2).alias("up"), src.alias("dst"))
+    inner = frames.unionByName(links).distinct()
     on = inner.select("entry", F.concat("up", F.array(F.lit(-1), F.lit(1))).alias("place"), F.lit("activate").alias("kind"), F.col("dst").alias("src"), "dst", F.lit("").alias("text"))
     off = inner.select("entry", F.concat("up", F.array(F.lit(_LAST))).alias("place"), F.lit("deactivate").alias("kind"), F.col("dst").alias("src"), "dst", F.lit("").alias("text"))
     return calls.unionByName(on).unionByName(off)
@@ -102,12 +105,12 @@ def item_text(dashed: str = "dashed") -> F.Column:
 
 def diagrams(traced: DataFrame, entries: DataFrame, fragments: DataFrame | None = None, notes: DataFrame | None = None, config: TraceConfig = TraceConfig()) -> DataFrame:
     """(entry, diagram). fragments: of trace.traced_fragments; notes: (entry, place, dst, text), as of annotations. The config may
-    hide the calls within fragments, whose frames stay, and the later links of chained calls."""
+    hide the calls within fragments, whose frames stay, and what the links of chained calls call in turn."""
     shown = traced
     if config.hide_conditional_details and "parent_fragment_id" in traced.columns:
         shown = shown.where("parent_fragment_id is null")
-    if config.hide_chain_details and "receiver_call_id" in traced.columns:
-        shown = shown.where("receiver_call_id is null")
+    if config.hide_chain_details:
+        shown = shown.where("not below_chain")
     items = call_items(shown).unionByName(entry_items(entries))
     if fragments is not None:
         items = items.unionByName(fragment_items(fragments))

@@ -25,28 +25,55 @@ class TraceConfig:
     hide_chain_details: bool = False
 
 
+#: Stands between the links of a chain in a place, after all that the calls inside of the first one are numbered with.
+LINK = 1 << 30
+
+
+def _excluded(config: TraceConfig) -> F.Column:
+    return s.excluded(F.regexp_extract("callee", r"(?s)^(.*)\.[^.]*$", 1), F.substring_index("callee", ".", -1), config.excluded_prefixes, config.excluded_names)
+
+
+def chained(calls: DataFrame) -> DataFrame:
+    """calls with `chain`, the ordinals of the links up to a call, LINK between them; `via`, the callee of the link before; in_chain.
+    A call whose receiver isn't among calls goes with it. Each round goes one link further along all chains."""
+    first = F.array(F.col("ordinal").cast("int"))
+    none = F.lit(None).cast("string").alias("via")
+    if not {"call_id", "receiver_call_id"} <= set(calls.columns):
+        return calls.select("*", first.alias("chain"), none, F.lit(False).alias("in_chain"))
+    receivers = calls.where("receiver_call_id is not null").select(F.col("receiver_call_id").alias("_r")).distinct()
+    calls = written(calls.join(receivers, F.col("call_id") == F.col("_r"), "left").withColumn("in_chain", F.col("_r").isNotNull() | F.col("receiver_call_id").isNotNull()).drop("_r"), "calls")
+    last = done = calls.where("receiver_call_id is null").select("*", first.alias("chain"), none)
+    rest = calls.where("receiver_call_id is not null")
+    while True:
+        up = last.select(F.col("call_id").alias("receiver_call_id"), F.col("chain").alias("_chain"), F.col("callee").alias("via"))
+        last = written(rest.join(up, "receiver_call_id").withColumn("chain", F.concat("_chain", F.array(F.lit(LINK)), first)).select(*done.columns), "links")
+        if last.isEmpty():
+            return done
+        done = done.unionByName(last)
+
+
 def trace(calls: DataFrame, entries: DataFrame, config: TraceConfig = TraceConfig()) -> DataFrame:
     """calls: (caller, callee, ordinal, ...), callers and callees as `class.method`; entries: (entry).
 
-    Returns a row for each call reached: entry, depth, caller, callee, path (the methods that are on the stack), place (the
-    ordinals down to the call: its order is the order of a depth-first walk), and the other columns of calls. A call is
+    Returns a row for each call reached: entry, depth, caller, callee, path (the methods that are on the stack), frame (the place of
+    the call that leads here), place (the ordinals down to the call: its order is the order of a depth-first walk, and a link of a
+    chain stands inside the link before it), below_chain (whether a chained call leads here), via (the callee of the link
+    before), and the other columns of calls. A call is
     shown if it isn't excluded; it is expanded if its callee isn't on the stack and lies in a base package. Null callees
     are left out; ties in ordinal follow the callee's name.
     """
-    others = [c for c in calls.columns if c not in ("caller", "callee", "ordinal")]
-    owner = F.regexp_extract("callee", r"(?s)^(.*)\.[^.]*$", 1)
-    name = F.substring_index("callee", ".", -1)
-    shown = calls.where(F.col("callee").isNotNull() & ~s.excluded(owner, name, config.excluded_prefixes, config.excluded_names))
-    frontier = entries.select("entry", F.col("entry").alias("caller"), F.array("entry").alias("path"), F.array().cast("array<int>").alias("place"))
+    calls = chained(calls.where(F.col("callee").isNotNull() & ~_excluded(config)))
+    others = [c for c in calls.columns if c not in ("caller", "callee", "ordinal", "chain", "in_chain")]
+    frontier = entries.select("entry", F.col("entry").alias("caller"), F.array("entry").alias("path"), F.array().cast("array<int>").alias("frame"), F.lit(False).alias("below_chain"))
     levels = []
     for depth in range(1, config.depth + 1):
-        met = frontier.join(shown, "caller").select("entry", F.lit(depth).alias("depth"), "caller", "callee", "path", F.concat("place", F.array(F.col("ordinal").cast("int"))).alias("place"), *others)
+        met = frontier.join(calls, "caller").select("entry", F.lit(depth).alias("depth"), "caller", "callee", "path", F.concat("frame", "chain").alias("place"), "frame", "below_chain", "in_chain", *others)
         level = written(met, "level")
-        levels.append(level)
+        levels.append(level.drop("in_chain"))
         if depth == config.depth:
             break
         open_ = level.where(~F.array_contains("path", F.col("callee")) & s.starts_with_any("callee", config.base_packages))
-        frontier = open_.select("entry", F.col("callee").alias("caller"), F.concat("path", F.array("callee")).alias("path"), "place").distinct()
+        frontier = open_.select("entry", F.col("callee").alias("caller"), F.concat("path", F.array("callee")).alias("path"), F.col("place").alias("frame"), (F.col("below_chain") | F.col("in_chain")).alias("below_chain")).distinct()
         if frontier.isEmpty():
             break
     out = levels[0]
@@ -57,8 +84,8 @@ def trace(calls: DataFrame, entries: DataFrame, config: TraceConfig = TraceConfi
 
 def traced_fragments(traced: DataFrame, fragments: DataFrame) -> DataFrame:
     """(entry, first, last, level, type, condition, ladder, ordinal): each fragment that holds calls of the trace, in each frame of
-    the stack; from the place of its first call to that of its last one. Fragments around fragments are followed one level a round."""
-    at = traced.where("parent_fragment_id is not null").select("entry", F.expr("slice(place, 1, size(place) - 1)").alias("frame"), F.col("parent_fragment_id").alias("fragment_id"), "place")
+    the stack; from the place of its first call, or chain, to that of its last one. Fragments around fragments are followed one level a round."""
+    at = traced.where("parent_fragment_id is not null").select("entry", "frame", F.col("parent_fragment_id").alias("fragment_id"), F.slice("place", F.lit(1), F.size("frame") + 1).alias("place"))
     at = at.groupBy("entry", "frame", "fragment_id").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     up = fragments.select("fragment_id", "parent_fragment_id")
     every = at = written(at, "fragments")
@@ -85,8 +112,9 @@ def involved_methods(traced: DataFrame) -> DataFrame:
     return traced.select("entry", F.col("callee").alias("method")).unionByName(traced.select("entry", F.col("entry").alias("method"))).distinct()
 
 
-def reach(edges: DataFrame, starts: DataFrame, backwards: bool = False) -> DataFrame:
-    """(start, node, distance) of all nodes that edges (src, dst) lead to, by breadth; backwards: that lead to a start.
+def reach(edges: DataFrame, starts: DataFrame, backwards: bool = False, most: int | None = None) -> DataFrame:
+    """(start, node, distance) of all nodes that edges (src, dst) lead to, by breadth; backwards: that lead to a start; most: in so many
+    steps at most.
 
     Each round joins the new nodes only, and drops those known by an anti join; so cycles end by themselves, and the rounds
     are as many as the longest way has steps. What is known is written every few rounds, so that plans stay short."""
@@ -101,5 +129,7 @@ def reach(edges: DataFrame, starts: DataFrame, backwards: bool = False) -> DataF
         if fresh.isEmpty():
             return known.where("distance > 0")
         known, frontier = known.unionByName(fresh), fresh
+        if k == most:
+            return known.where("distance > 0")
         if k % 16 == 0:
             known = written(known, "reached")

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars as s
-from codeloom.operators import convert, finders, java, pages, render, store, trace, weave
+from codeloom.operators import changelog, convert, finders, java, pages, patterns, render, runs, store, trace, weave
 from codeloom.plans import lens
-from codeloom.tables import written
+from codeloom.sources import files
+from codeloom.tables import shared_dir, written
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -712,6 +713,89 @@ def java_supertypes(spark, d):
     return _tree(spark, d).ancestors.select("class_fqn", "up", "distance")
 
 
+@query(_TREE + """select 'class_tree_p' || (c.k % 4) || '_T' || c.k class, 'class_tree_p' || (u % 4) || '_T' || u up, cast(d as integer) distance, 'method_T' || c.k || '_m' || (c.k % 3) entry,
+ case when u % 3 = 0 then 'method_T' || u || '_m0' end as optional_method from a join c using (k) where d > 0""")
+def pattern_inheritance(spark, d):
+    """(class)-[EXTENDS, any number]->(up), (class)-[CONTAINS]->(a method), and, if there is one, (up)-[CONTAINS]->(a method m0)."""
+    p = _tree(spark, d)
+    n, e = convert.graph(p.types, p.methods, p.calls, p.annotation_uses, created_at=0)
+    chain = patterns.Pattern(
+        [patterns.Vertex("class", "Class"), patterns.Vertex("up", "Class"), patterns.Vertex("entry", "Method"), patterns.Vertex("optional_method", "Method", F.col("name") == "m0")],
+        [patterns.Step("class", "up", ("EXTENDS",), most=None, hops="distance"), patterns.Step("class", "entry", ("CONTAINS",)), patterns.Step("up", "optional_method", ("CONTAINS",), optional=True)],
+    )
+    return chain.match(written(n, "nodes"), written(e, "edges")).select("class", "up", "distance", "entry", "optional_method")
+
+
+@query(_EVENTS + """, r as (select callee as start, caller as node, 1 distance from step union select r.start, s.caller, r.distance + 1 from r join step s on s.callee = r.node where r.distance < 3)
+ select node as source, start as target, cast(min(distance) as integer) hops from r where start <> node and start like '%.purchase' group by start, node""")
+def pattern_upstream_impact(spark, d):
+    """(source)-[CALLS, up to three]->(target, a purchase): walked from the end that says more."""
+    e = lens.event_calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("CALLS").alias("type"))
+    n = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct().withColumn("label", F.lit("Method"))
+    impact = patterns.Pattern([patterns.Vertex("target", "Method", F.col("id").like("%.purchase"))], [patterns.Step("source", "target", ("CALLS",), most=3, hops="hops")])
+    return impact.match(written(n, "nodes"), written(e, "edges")).select("source", "target", "hops")
+
+
+@query(_PAGES + """, f as (select distinct page_id, file, name from fn)
+ select 'page_' || p.file page, 'c' || p.page_id as component, 'method_bean_m' || (p.page_id % 7) as method, 'js_' || f.name as "function", 'method_bean_' || f.name as called from p left join f using (page_id)""")
+def pattern_button_workflow(spark, d):
+    """(page)-[CONTAINS]->(component)-[TRIGGERS]->(method), and, if there are any, (page)-[CONTAINS]->(function)-[TRIGGERS]->(called)."""
+    n, e = pages.page_graph(lens.made_pages(spark, d))
+    kind = lambda name, k: patterns.Vertex(name, where=F.col("node_type") == k)
+    flow = patterns.Pattern(
+        [kind("page", "Page"), kind("component", "JSFComponent"), kind("method", "BackendMethod"), kind("function", "JSFunction"), kind("called", "BackendMethod")],
+        [
+            patterns.Step("page", "component", ("CONTAINS",)), patterns.Step("component", "method", ("TRIGGERS",)), patterns.Step("page", "function", ("CONTAINS",), optional=True),
+            patterns.Step("function", "called", ("TRIGGERS",), optional=True),
+        ],
+    )
+    return flow.match(written(n, "nodes"), written(e, "edges")).select("page", "component", "method", "function", "called")
+
+
+@query(_LENS + """, gone as (select id from nodes where source_file = 'nation/NATION_7'), late as (select * from nodes where source_file = 'nation/NATION_3'),
+ e2 as (select * from edges where src not in (select id from gone) and dst not in (select id from gone))
+ select 1 as version, (select count(*) from nodes) - (select count(*) from late) nodes_created, (select count(*) from edges where src not in (select id from late) and dst not in (select id from late)) relationships_created, cast(0 as bigint) nodes_deleted, cast(0 as bigint) relationships_deleted
+ union all select 2, (select count(*) from late), (select count(*) from edges) - (select count(*) from edges where src not in (select id from late) and dst not in (select id from late)), 0, 0
+ union all select 3, 0, 0, (select count(*) from gone), (select count(*) from edges) - (select count(*) from e2)
+ union all select -1, (select count(*) from nodes) - (select count(*) from gone), (select count(*) from e2), 0, 0""")
+def incremental_store(spark, d):
+    """Three batches (all files but one, that one with all edges, the deletion of a file): the counters of each, and in row -1 what the logs
+    hold at the end."""
+    import uuid
+
+    n, e = written(lens.nodes(spark, d), "nodes"), written(lens.edges(spark, d), "edges")
+    g = changelog.IncrementalStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=32)
+    late = F.col("source_file") == "nation/NATION_3"
+    g.apply(n.where(~late), e)
+    g.apply(n.where(late), e)
+    g.delete_source("nation/NATION_7")
+    totals = g.nodes().agg(F.count("*").alias("nodes_created")).withColumn("_k", F.lit(1)).join(g.edges().agg(F.count("*").alias("relationships_created")).withColumn("_k", F.lit(1)), "_k")
+    zero = F.lit(0).cast("long")
+    end = totals.select(F.lit(-1).cast("long").alias("version"), "nodes_created", "relationships_created", zero.alias("nodes_deleted"), zero.alias("relationships_deleted"))
+    return g.history().unionByName(end).withColumn("version", F.col("version").cast("int"))
+
+
+@query("""with o as (select 'C' || o_custkey class_fqn, 'src/' || (o_orderkey % 97) || '/' || o_orderkey || '.java' file, cast(o_orderkey % 13 as integer) load_ord from orders)
+ select class_fqn, arg_max(file, lpad(cast(load_ord as varchar), 4, '0') || file) file from o group by class_fqn""")
+def class_index_by_load(spark, d):
+    """Of a class that several files declare the one that was loaded last counts, whatever its path."""
+    o = lens.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("src/"), (k % 97).cast("string"), F.lit("/"), k.cast("string"), F.lit(".java"))
+    return files.class_index(o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("class_fqn"), path.alias("file"), (k % 13).cast("int").alias("load_ord")))
+
+
+@query(_TREE + """select 'tree/T' || k || '.java' file, case when k % 5 = 0 then 'unbalanced' when k % 7 = 0 then 'empty' when k % 11 = 0 then 'unreadable' else 'ok' end status,
+ case when k % 5 = 0 then case when k % 2 = 0 then '1 brackets stay open' else 'a bracket closes nothing at ' || (length('package tree.p' || (k % 4) || ';') + 1) end when k % 7 <> 0 and k % 11 = 0 then 'no content' end error from c""")
+def file_statuses(spark, d):
+    """A status for each file of a run, some of which are broken."""
+    k = F.regexp_extract("path", r"T(\d+)\.java", 1).cast("long")
+    broken = F.when(k % 2 == 0, F.concat("content", F.lit("class Open {"))).otherwise(F.regexp_replace("content", r"(?s)^([^;]*;).*$", "$1 }"))
+    content = F.when(k % 5 == 0, broken).when(k % 7 == 0, " // nothing { here\n").when(k % 11 == 0, None).otherwise(F.col("content"))
+    tree = lens.java_tree(spark, d).select("path", content.alias("content"))
+    return runs.file_status(tree, written(runs.marks.marks(tree), "marks"))
+
+
 # Text without an oracle: held against brute force in the tests -----------------------------------------------------------
 
 

@@ -65,9 +65,11 @@ def scan_statistics(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("total"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("error"))
 
 
-def class_index(types: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """(class_fqn, file): of a class that several files declare the last file counts."""
-    return types.where(F.coalesce("class_fqn", F.lit("")) != "").groupBy("class_fqn").agg(F.max("file").alias("file"))
+def class_index(types: DataFrame) -> DataFrame:
+    """(class_fqn, file): of a class that several files declare the one loaded last counts, by `load_ord` if types has it; of one load the
+    largest path."""
+    order = F.struct("load_ord", "file") if "load_ord" in types.columns else F.col("file")
+    return types.where(F.coalesce("class_fqn", F.lit("")) != "").groupBy("class_fqn").agg(F.max_by("file", order).alias("file"))
 
 
 def source_of(index: DataFrame, sources: DataFrame, classes: DataFrame, how: str = "left") -> DataFrame:
@@ -126,17 +128,25 @@ def scanned_or_error(spark: SparkSession, roots: str, schema: str) -> tuple[Data
         return empty(spark, schema), str(e)
 
 
-def save_documents(parsed, folder: str) -> None:
-    """Writes the parsed documents as JSON lines, compact and not one file per source: a folder for each table, in one place."""
-    for name in ("types", "methods", "calls", "fragments", "annotation_uses"):
-        getattr(parsed, name).write.mode("overwrite").json(f"{folder}/{name}")
+TABLES = ("types", "methods", "calls", "fragments", "annotation_uses")
+
+
+def save_documents(parsed, folder: str, append: bool = False) -> int:
+    """Writes the parsed documents as JSON lines, compact and not one file per source: a folder for each table and load, in one place. The
+    load's ordinal, one more than the largest there is, or 1 if the folder is written anew."""
+    spark = parsed.types.sparkSession
+    n = 1 + (load_documents(spark, folder, "types").agg(F.coalesce(F.max("load_ord"), F.lit(0))).first()[0] if append else 0)
+    for name in TABLES:
+        df = getattr(parsed, name).withColumn("load_ord", F.lit(n))
+        df.write.mode("append" if append else "overwrite").partitionBy("load_ord").json(f"{folder}/{name}")
+    return n
 
 
 def load_documents(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the documents saved there, with its schema."""
+    """A table of the documents saved there, with its schema and `load_ord`."""
     from codeloom import model
 
-    return spark.read.schema(getattr(model, name.upper())).json(f"{folder}/{name}")
+    return spark.read.schema(f"{getattr(model, name.upper())}, load_ord int").json(f"{folder}/{name}")
 
 
 def read_pages(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

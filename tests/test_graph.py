@@ -271,6 +271,56 @@ def test_trace_against_walk(spark):
     assert rows(r, "node", "distance") == [("p.A.a", 2), ("p.B.b", 2), ("p.C.c", 1)]
 
 
+CHAIN = '''package p;
+public class A {
+    private B b;
+    public void run() {
+        b.first().second(1).third();
+        if (b.ready()) b.first().last();
+    }
+}
+'''
+LINKS = '''package p;
+class B { C first() { deep(); return null; } boolean ready() { return true; } void deep() { } }
+class C { D second(int k) { return null; } void last() { } }
+class D { void third() { inner(); } void inner() { } }
+'''
+
+
+@pytest.mark.parametrize("hide", [False, True])
+def test_chains_in_diagrams(spark, hide):
+    """Each link is called by the one before it, inside its activation; what links call in turn can be hidden."""
+    p = java.Parsed(spark.createDataFrame([("A.java", CHAIN), ("B.java", LINKS)], "path string, content string"))
+    entries, config = spark.createDataFrame([("p.A.run",)], "entry string"), trace.TraceConfig(depth=3, base_packages=["p"], hide_chain_details=hide)
+    t = trace.trace(java.trace_calls(p), entries, config)
+    body = render.diagrams(t, entries, trace.traced_fragments(t, p.fragments), config=config).first().diagram.split("\n")
+    deep = lambda k: [] if hide else ["  " * k + "p_B->>p_B: deep()"]
+    assert [x for x in body if not x.startswith("participant")] == [
+        "sequenceDiagram", "actor User", "User->>p_A: run()", "activate p_A", "  p_A->>p_B: first()", "  activate p_B", *deep(2), "    p_B->>p_C: second(1)", "    activate p_C", "      p_C->>p_D: third()",
+        *([] if hide else ["      activate p_D", "        p_D->>p_D: inner()", "      deactivate p_D"]), "    deactivate p_C", "  deactivate p_B", "  alt b.ready()", "    p_A->>p_B: ready()", "    p_A->>p_B: first()", "    activate p_B", *deep(3),
+        "      p_B->>p_C: last()", "    deactivate p_B", "  end", "deactivate p_A",
+    ]
+
+
+def test_patterns(spark):
+    from codeloom.operators.patterns import Pattern, Step, Vertex
+
+    nodes = spark.createDataFrame([(x, x[0]) for x in ("a1", "a2", "b1", "b2", "c1", "c2")] + [(None, "a")], "id string, label string")
+    edges = [("a1", "b1", "X"), ("a1", "b1", "Y"), ("a1", "b2", "X"), ("a2", "b2", "Z"), ("b1", "c1", "X"), ("b2", "c1", "X"), ("c1", "c2", "X"), ("c2", "c1", "X"), ("a1", None, "X")]
+    e = spark.createDataFrame(edges, "src string, dst string, type string")
+    got = lambda vertices, steps, *c: rows(Pattern(vertices, steps).match(nodes, e), *c)
+    two = [Vertex("p", "a"), Vertex("q", "b"), Vertex("r", "c")]
+    assert got(two, [Step("p", "q", ("X", "Y")), Step("q", "r", ("X",))], "p", "q", "r") == [("a1", "b1", "c1"), ("a1", "b2", "c1")]
+    assert got([Vertex("p", "a")], [Step("p", "r", ("X",), most=None, hops="n")], "p", "r", "n") == [("a1", "b1", 1), ("a1", "b2", 1), ("a1", "c1", 2), ("a1", "c2", 3)]
+    assert got([Vertex("r", where=F.col("id") == "c2")], [Step("p", "r", ("X",), most=2)], "p", "r") == [("b1", "c2"), ("b2", "c2"), ("c1", "c2")]
+    assert got([Vertex("p", "a"), Vertex("s", where=F.col("id") == "b1")], [Step("p", "q", ("X", "Z")), Step("p", "s", ("Y",), optional=True)], "p", "q", "s") == [("a1", "b1", "b1"), ("a1", "b2", "b1"), ("a2", "b2", None)][:3]
+    # A cycle filters, and a pattern in two pieces is an error.
+    assert got([], [Step("x", "y", ("X",)), Step("y", "x", ("X",))], "x", "y") == [("c1", "c2"), ("c2", "c1")]
+    for wrong in ([Step("x", "y", ("X",)), Step("z", "w", ("X",))], [Step("x", "y", ("X",), optional=True)]):
+        with pytest.raises(ValueError):
+            Pattern([], wrong).match(nodes, e)
+
+
 def test_peephole(spark):
     items = [("e", 1, "call", "x", ""), ("e", 2, "opt", None, "c"), ("e", 3, "end", None, ""), ("e", 4, "alt", None, "cond"), ("e", 5, "end", None, ""), ("e", 6, "alt", None, "y"), ("e", 7, "call", "z", ""), ("e", 8, "end", None, "")]
     df = spark.createDataFrame(items, "entry string, ord int, kind string, dst string, text string")
@@ -347,9 +397,9 @@ def test_incremental_store(spark, tmp_path):
 
     from codeloom.operators.changelog import IncrementalStore
 
-    g = IncrementalStore(spark, str(tmp_path / "g"), buckets=4, files=2)
+    g = IncrementalStore(spark, str(tmp_path / "g"), buckets=4, files=1)
     rng, nodes, edges = random.Random(4), {}, set()
-    for k in range(6):
+    for k in range(4):
         new = {f"n{rng.randrange(12)}": (f"f{rng.randrange(3)}", k) for _ in range(4)}
         made = [(i, f, k) for i, (f, _) in new.items()]
         wanted = {(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}", "T") for _ in range(6)}
@@ -366,8 +416,8 @@ def test_incremental_store(spark, tmp_path):
         assert (got.nodes_created, got.relationships_created, got.nodes_deleted, got.relationships_deleted) == (len(created), len(fresh), len(left), len(off))
         assert {r.id: (r.source_file, r.line_number) for r in g.nodes().collect()} == nodes
         assert {(r.src, r.dst, r.type) for r in g.edges().collect()} == edges
-    assert os.path.isdir(tmp_path / "g/base/nodes") and g.version == 6 == g.history().count()
-    assert max(len(after) for _, after in g._nodes.live().values()) <= 3
+    assert os.path.isdir(tmp_path / "g/base/nodes") and g.version == 4 == g.history().count()
+    assert max(len(after) for _, after in g._nodes.live().values()) <= 2
     start = next(iter(edges))[0]
     assert rows(g.hop(spark.createDataFrame([(start,)], "id string"), "T"), "id") == sorted((d,) for s_, d, _ in edges if s_ == start)
     assert rows(g.hop(spark.createDataFrame([(start,)], "id string"), backwards=True), "id") == sorted((s_,) for s_, d, _ in edges if d == start)
@@ -473,6 +523,28 @@ def test_documents_and_pages_on_disk(spark, source_dir, tmp_path):
     assert got["a.jsp"] == ("<p>é</p>", None) and got["b.jsp"][0] is None and got["b.jsp"][1]
 
 
+def test_run_statistics(spark, tmp_path):
+    from codeloom.operators import runs
+
+    files_ = [("A.java", "package p; class A { void a() { b(); } void b() { } }"), ("B.java", "class B { void c( }"), ("C.java", "/* { */ "), ("D.java", None), ("E.java", "class E { } }")]
+    got = runs.graph_run(spark.createDataFrame(files_, "path string, content string"), str(tmp_path / "run"), created_at=1)
+    status = {r.file: (r.status, r.error) for r in spark.read.parquet(str(tmp_path / "run/status")).collect()}
+    assert status["A.java"] == ("ok", None) and status["C.java"][0] == "empty" and status["D.java"] == ("unreadable", "no content") and status["E.java"] == ("unbalanced", "a bracket closes nothing at 12") and status["B.java"][0] == "unbalanced"
+    nodes, edges = (spark.read.parquet(str(tmp_path / f"run/{x}")).count() for x in ("nodes", "edges"))
+    assert (got.total, got.success, got.error, got.nodes, got.edges) == (5, 2, 3, nodes, edges) and edges >= 3
+    none = runs.graph_run(spark.createDataFrame([], "path string, content string"), str(tmp_path / "none"))
+    assert (none.total, none.success, none.error, none.nodes, none.edges) == (0, 0, 0, 0, 0)
+
+
+def test_load_order(spark, tmp_path):
+    """The later load wins, though its path is smaller."""
+    one = lambda path: java.Parsed(spark.createDataFrame([(path, "package p; class A { }")], "path string, content string"))
+    assert files.save_documents(one("z/A.java"), str(tmp_path)) == 1 and files.save_documents(one("b/A.java"), str(tmp_path), append=True) == 2
+    types = files.load_documents(spark, str(tmp_path), "types")
+    assert rows(files.class_index(types), "class_fqn", "file") == [("p.A", "b/A.java")]
+    assert rows(files.class_index(types.drop("load_ord")), "class_fqn", "file") == [("p.A", "z/A.java")]
+
+
 def test_long_ways(spark):
     n = 130
     e = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(n)], "src string, dst string")
