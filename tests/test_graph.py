@@ -246,6 +246,64 @@ def test_every_finder_runs(spark, parsed):
             raise AssertionError(name)
 
 
+def test_finders_against_brute_force(spark):
+    """The catalog's queries on a small graph of both layers, each against a comprehension over its rows."""
+    flags = lambda *x: dict.fromkeys(x, True)
+    raw = [
+        # id, label, name, package, class_name, node_type, target_type, source_file, flags, props
+        ("c1", "Class", "A", "p", "", "Class", "", "A.java", flags("is_public", "is_final"), {}), ("c2", "Class", "B", "p", "", "AbstractClass", "", "B.java", flags("is_abstract", "is_public"), {}), ("c3", "Class", "A", "q", "", "Interface", "", "A2.java", {}, {}),
+        ("i1", "Interface", "I", "p", "", "", "", "I.java", flags("is_public"), {}), ("i2", "Interface", "J", "q", "", "", "", "I.java", {}, {}),
+        ("m1", "Method", "run", "p", "A", "", "", "A.java", flags("is_static", "is_public"), {}), ("m2", "Method", "getX", "p", "A", "", "", "A.java", flags("is_getter"), {}), ("m3", "Method", "setX", "p", "B", "", "", "B.java", flags("is_setter", "is_abstract"), {}), ("m4", "Method", "B", "p", "B", "", "", "B.java", flags("is_constructor"), {}),
+        ("a1", "Annotation", "X", "", "", "", "Class", "A.java", {}, {}), ("a2", "Annotation", "X", "", "", "", "Method", "A.java", {}, {}), ("a3", "Annotation", "Y", "", "", "", "Interface", "I.java", {}, {}),
+        ("page", "JSPFile", "x.jsp", "", "", "Page", "", "x.jsp", {}, {"pagecode_class": "pc.X"}), ("page2", "JSPFile", "y.jsp", "", "", "Page", "", "y.jsp", {}, {"pagecode_class": ""}),
+        ("b1", "JSPComponent", "b1", "", "", "JSFComponent", "", "x.jsp", {}, {"component_type": "jc:download", "tag_name": "jc:download"}), ("b2", "JSPComponent", "b2", "", "", "JSFComponent", "", "y.jsp", {}, {"component_type": "scriptCollector", "tag_name": "scriptCollector"}),
+        ("f1", "JspNode", "f", "", "", "JSFunction", "", "x.jsp", {"contains_ajax_call": True, "contains_navigation": False}, {"complexity_score": "7", "purpose_tags": "Navigation,Form_Submission"}), ("f2", "JspNode", "g", "", "", "JSFunction", "", "y.jsp", {"contains_ajax_call": False, "contains_navigation": True}, {"complexity_score": "2", "purpose_tags": ""}),
+        ("bm", "JSPBackendMethod", "bean.save", "", "pc.X", "BackendMethod", "", "x.jsp", {}, {}), ("d1", "JspNode", "txt", "", "", "DOMElement", "", "x.jsp", {}, {}), ("e1", "JspNode", "a.js", "", "", "ExternalJS", "", "x.jsp", {}, {}),
+    ]
+    columns = "id string, label string, name string, package string, class_name string, node_type string, target_type string, source_file string, flags map<string,boolean>, props map<string,string>"
+    triples = [
+        ("c1", "m1", "CONTAINS"), ("c1", "m2", "CONTAINS"), ("c2", "m3", "CONTAINS"), ("i1", "m3", "CONTAINS"), ("c1", "c2", "EXTENDS"), ("i1", "i2", "EXTENDS"), ("c1", "i1", "IMPLEMENTS"), ("c2", "i1", "IMPLEMENTS"), ("m1", "m2", "CALLS"), ("m1", "m3", "CALLS"), ("m3", "m2", "CALLS"),
+        ("c1", "a1", "HAS_ANNOTATION"), ("m1", "a2", "HAS_ANNOTATION"), ("m2", "a2", "HAS_ANNOTATION"), ("i1", "a3", "HAS_ANNOTATION"), ("page", "b1", "CONTAINS"), ("page", "f1", "CONTAINS"), ("b1", "bm", "TRIGGERS"), ("f1", "bm", "TRIGGERS"), ("f1", "d1", "INTERACTS_WITH"), ("b1", "d1", "INTERACTS_WITH"), ("f2", "b1", "INTERACTS_WITH"),
+    ]
+    nodes = as_nodes(spark.createDataFrame(raw, columns).coalesce(1), 0).cache()
+    edges = as_edges(spark.createDataFrame(triples, "src string, dst string, type string").coalesce(1)).cache()
+    n = {r[0]: dict(zip(("id", "label", "name", "package", "class_name", "node_type", "target_type", "source_file", "flags", "props"), r)) for r in raw}
+    where = lambda **k: {i for i, r in n.items() if all(r[c] == v for c, v in k.items())}
+    flag = lambda label, x: {i for i, r in n.items() if r["label"] == label and r["flags"].get(x)}
+    out = lambda start, kind, label=None: {d for s_, d, t in triples if s_ == start and t == kind and (not label or n[d]["label"] == label)}
+    into = lambda start, kind, label=None: {s_ for s_, d, t in triples if d == start and t == kind and (not label or n[s_]["label"] == label)}
+    layer = {i for i, r in n.items() if r["node_type"] in finders.PAGE_TYPES}
+    want = {
+        ("Class.by_name_and_package", "A", "q"): where(label="Class", name="A", package="q"), ("Interface.by_name_and_package", "I", "p"): {"i1"}, ("Interface.by_package", "q"): {"i2"}, ("Interface.by_source_file", "I.java"): {"i1", "i2"},
+        ("Annotation.by_source_file", "A.java"): {"a1", "a2"}, ("Annotation.by_name", "X"): {"a1", "a2"}, ("Method.by_name", "run"): {"m1"}, ("Class.all_final",): {"c1"}, ("Class.all_abstract",): {"c2"}, ("Class.all_public",): {"c1", "c2"}, ("Interface.all_public",): {"i1"},
+        ("Class.all_interfaces_by_type",): {"c3"}, ("Class.all_abstract_by_type",): {"c2"}, ("Interface.extended", "i1"): {"i2"}, ("Interface.extending", "i2"): {"i1"}, ("Interface.contained_methods", "i1"): {"m3"}, ("Interface.annotations", "i1"): {"a3"},
+        ("Method.all_getters",): flag("Method", "is_getter"), ("Method.all_setters",): flag("Method", "is_setter"), ("Method.all_constructors",): {"m4"}, ("Method.all_abstract",): {"m3"}, ("Method.all_static",): {"m1"},
+        ("Method.calling_by_callee", "m2"): into("m2", "CALLS"), ("Method.calling", "m2"): {"m1", "m3"}, ("Method.called_by_caller", "m1"): {"m2", "m3"}, ("Method.of_class_id", "c1"): out("c1", "CONTAINS"), ("Annotation.all_interface",): {"a3"}, ("Annotation.all_class",): {"a1"},
+        ("Annotation.annotated_class", "a1"): {"c1"}, ("Annotation.annotated_interface", "a3"): {"i1"}, ("Annotation.annotated_method", "a2"): {"m1", "m2"}, ("Annotation.by_class", "c1"): {"a1"}, ("Annotation.by_interface", "i1"): {"a3"}, ("Annotation.by_method", "m2"): {"a2"},
+        ("JspNode.by_file", "x.jsp"): {i for i in layer if n[i]["source_file"] == "x.jsp"}, ("JspNode.by_id", "f1"): {"f1"}, ("JspNode.by_id", "c1"): set(), ("JspNode.by_file_and_type", "y.jsp", "JSFunction"): {"f2"}, ("JspNode.all",): layer, ("JspNode.interacting", "f1"): {"d1"},
+        ("JSPFile.by_file", "x.jsp"): {"page"}, ("JSPFile.by_id", "page2"): {"page2"}, ("JSPFile.all",): {"page", "page2"}, ("JSPBackendMethod.all",): {"bm"}, ("JSPComponent.all",): {"b1", "b2"}, ("JSPComponent.interacting", "b1"): {"d1"},
+        **{(f"JspNode.all_{k}",): where(node_type=k) for k in finders.PAGE_TYPES}, ("JspNode.page_of_file", "y.jsp"): {"page2"}, ("JspNode.by_tag", "Form_Submission"): {"f1"}, ("JspNode.by_complexity", 3): {"f1"}, ("JspNode.triggering", "bm"): {"b1", "f1"}, ("JSPComponent.triggering", "bm"): {"b1"},
+        ("JspNode.page_containing", "b1"): {"page"}, ("JSPFile.containing", "f1"): {"page"}, ("JSPFile.by_pagecode", "pc.X"): {"page"}, ("JSPBackendMethod.by_class", "pc.X"): {"bm"}, ("JSPBackendMethod.by_method", "bean.save"): {"bm"}, ("JSPBackendMethod.by_class_and_method", "pc.X", "bean.save"): {"bm"},
+        ("JSPComponent.by_component_type", "scriptCollector"): {"b2"}, ("JSPComponent.by_file_and_type", "x.jsp", "jc:download"): {"b1"}, ("JSPComponent.by_file_and_type", "y.jsp", "jc:download"): set(),
+    }
+    every = None
+    for k, (key, _) in enumerate(want.items()):
+        one = finders.CATALOG[key[0]](nodes, edges, *key[1:]).select(F.lit(k).alias("k"), "id")
+        every = one if every is None else every.unionByName(one)
+    got = {key: set() for key in want}
+    for r in every.coalesce(2).collect():
+        got[[*want][r.k]].add(r.id)
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+    value = lambda name, *args: finders.CATALOG[name](nodes, edges, *args).first()[0]
+    assert [value("Class.count"), value("Interface.count_by_package", "p"), value("Method.count_by_class", "c1"), value("Annotation.count_by_target", "Method"), value("Annotation.count_usages", "X"), value("JspNode.count"), value("JSPComponent.count"), value("JspNode.count_relationships")] == [3, 1, 2, 1, 3, len(layer), 2, len(triples)]
+    assert value("JspNode.exists") and rows(finders.CATALOG["Class.existing_ids"](nodes, edges, spark.createDataFrame([("c1",), ("i1",), ("no",)], "id string")), "id") == [("c1",)]
+    assert rows(finders.CATALOG["JspNode.workflow"](nodes, edges, "b1"), "button", "method", "element", "function") == [("b1", "bm", "d1", "f2")]
+    assert rows(finders.CATALOG["Class.count_by_node_type"](nodes, edges), "node_type", "count") == [("AbstractClass", 1), ("Class", 1), ("Interface", 1)]
+    assert rows(finders.CATALOG["JspNode.relationships"](nodes, edges, "f1"), "dst", "type") == [("bm", "TRIGGERS"), ("d1", "INTERACTS_WITH")]
+    report = rows(finders.page_report(nodes, edges), "section", "name", "value")
+    assert ("ajax", "f", 1) in report and ("complexity", "f", 7) in report and ("nodes", "Page", 2) in report and ("relationships", "TRIGGERS", 2) in report and not any(x[:2] == ("complexity", "g") for x in report)
+
+
 def test_trace_against_walk(spark):
     calls = [("p.A.a", "p.B.b", 1), ("p.A.a", "p.C.c", 2), ("p.B.b", "p.C.c", 1), ("p.B.b", "p.A.a", 2), ("p.C.c", "p.C.c", 1), ("p.C.c", "q.D.d", 2), ("q.D.d", "p.A.a", 1), ("p.A.a", "x.Log.log", 3)]
     df = spark.createDataFrame(calls, "caller string, callee string, ordinal int")
