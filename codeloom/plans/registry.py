@@ -796,6 +796,48 @@ def file_statuses(spark, d):
     return runs.file_status(tree, written(runs.marks.marks(tree), "marks"))
 
 
+def _text(*lines: str) -> str:
+    """An SQL expression for lines of text; what stands between ~ is an expression."""
+    parts = "\n".join(lines).split("~")
+    quoted = lambda x: " || chr(10) || ".join("'" + y.replace("'", "''") + "'" for y in x.split("\n"))
+    return " || ".join(quoted(x) if k % 2 == 0 else x for k, x in enumerate(parts))
+
+
+_DIAGRAM = _text(
+    "sequenceDiagram", "actor User", "User->>~s~: run()", "activate ~s~", "  ~s~->>StringBuilder: sb : StringBuilder()", "  ~s~->>StringBuilder: append(n)", "  activate StringBuilder", "    StringBuilder->>unknown: append(\"k~k~, (x\")",
+    "    activate unknown", "      unknown->>unknown: toString()", "    deactivate unknown", "  deactivate StringBuilder", "  alt n > ~k~", "    ~s~->>~c5~: m0(n)", "  else n < 0", "    ~s~->>~c6~: m1(\"a_b\")", "  else",
+    "    ~s~->>~c7~: m2(m2(1), \"c\")", "    ~s~->>~c8~: m2(1)", "  end", "  loop for loop", "    loop while (ready(i))", "      ~s~->>~c9~: ready(i)", "      ~s~->>~c10~: m0(m1(i) + m1(\"z\"))", "      ~s~->>~c11~: m1(i)",
+    "      ~s~->>~c12~: m1(\"z\")", "    end", "  end", "deactivate ~s~",
+)
+
+
+@query(_TREE + ", d as (select fqn, k, replace(fqn, '.', '_') s, " + ", ".join(f"replace(max(case when seq = {i} then callee end), '.', '_') c{i}" for i in range(5, 13)) + f" from calls group by fqn, k) select fqn || '.run' entry, md5({_DIAGRAM}) digest from d")
+def java_diagram_texts(spark, d):
+    """Whole diagrams but for their participants: chains that nest, ladders, loops in loops, arguments as they stand in the source."""
+    p = _tree(spark, d)
+    entries = p.methods.where("name = 'run'").select(F.col("full_name").alias("entry"))
+    t = trace.trace(java.trace_calls(p), entries, trace.TraceConfig(depth=1))
+    out = render.diagrams(t, entries, trace.traced_fragments(t, p.fragments))
+    return out.select("entry", F.md5(F.regexp_replace("diagram", r"(?m)^participant .*\n", "").cast("binary")).alias("digest"))
+
+
+_WOVEN = _text(
+    "package tree.p~(k % 4)~;", "import tree.p~(o % 4)~.T~o~;", "public class T~k~~case when k > 1 then ' extends T' || o else '' end~ {",
+    "~case when used then '    public int m' || (k % 3) || '(int a) { return a; }' || chr(10) || '    public int m' || (k % 3) || '(String s) { return 1; }' || chr(10) || '    public int m' || (k % 3) || '(int a, String s) { return 2; }' || chr(10) else '' end~    public void run(int n, T~o~ other) {",
+    "        StringBuilder sb = new StringBuilder();", "        sb.append(n).append(\"k~k~, (x\").toString();", "        if (n > ~k~) this.m0(n); else if (n < 0) other.m1(\"a;b\");", "        else", "            m2(m2(1), \"c\");",
+    "        for (int i = 0; i < n; i++) while (ready(i))", "            other.m0(other.m1(i) + other.m1(\"z\"));", "    }", "}",
+)
+
+
+@query(_TREE + f", w as (select k, o, fqn, coalesce(bool_or(u = k), false) used from calls group by k, o, fqn) select fqn || '.run' entry, fqn class_fqn, md5({_WOVEN}) digest from w")
+def java_woven_texts(spark, d):
+    """The text of each entry's own class: its imports, its head, and the methods that the trace needs."""
+    p = _tree(spark, d)
+    entries = p.methods.where("name = 'run'").select(F.col("full_name").alias("entry"))
+    out = weave.woven_classes(p, lens.java_tree(spark, d), entries, trace.TraceConfig(depth=1, base_packages=["tree"]))
+    return out.where("entry = class_fqn || '.run'").select("entry", "class_fqn", F.md5(F.col("source").cast("binary")).alias("digest"))
+
+
 # Text without an oracle: held against brute force in the tests -----------------------------------------------------------
 
 
