@@ -14,8 +14,7 @@ earlier neighbour has a link to one, and lines that links join, over any number
 BLOCK lines are dealt into blocks by a hash; then the blocks meet, each task holding one of them while the lines of the
 others stream by, and only lines that are no repeats yet, or of different classes, are compared.
 
-Lines are what splits at \\n. Those of fewer than `short` code points and blank ones take no part and are always kept; op8 and
-the pipeline leave out no line but the blank ones. Lines of up to EDITS code points are all within EDITS edits of each other, so
+Lines are what splits at \\n. Blank ones, and those of fewer than `short` code points (1: none), take no part and are always kept. Lines of up to EDITS code points are all within EDITS edits of each other, so
 they repeat by equality alone; longer ones are compared with those of more than EDITS code points.
 
 Defined results: a null or empty text has no line that takes part; rows with the same id and text share their places, so
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.components import components
 from codeloom.llm.shared import small, written
 
-EDITS, SHORT = 2, 20
+EDITS = 2
 #: Rows up to which a bucket's lines are looked through at once for partners, and up to which they are compared at once.
 MEET, BLOCK = 1024, 2048
 _NULL = -(1 << 63)
@@ -138,7 +137,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_NULL)).cast("long").alias("doc"), F.xxhash64("text").alias("text_id"), "text")
 
 
-def lines_of(docs: DataFrame, short: int = SHORT) -> DataFrame:
+def lines_of(docs: DataFrame, short: int = 1) -> DataFrame:
     """(doc, text_id, line, id, sketch, keys, probes): each line that takes part, the hash of its text, of its segments and probes.
 
     In a task only the first of equal lines has keys and probes; but after many lines, one more may. Lines of up to EDITS
@@ -383,7 +382,7 @@ def links(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     return forest(cand, texts_of(cand.select("id").distinct(), firsts, docs))
 
 
-def repeats(docs: DataFrame, short: int = SHORT, classes: bool = True) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, short: int = 1, classes: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc, text_id, line, near, of) of the lines that repeat an earlier one, near if none that equals them is earlier; `of`
     is the doc_id where their class begins (null if classes aren't asked for). And all lines: (doc, text_id, line, id)."""
     lines = written(lines_of(docs, short), "lines")
@@ -409,7 +408,7 @@ def repeats(docs: DataFrame, short: int = SHORT, classes: bool = True) -> tuple[
     return met.select("doc", "text_id", "line", is_first.alias("near"), "of"), lines.select("doc", "text_id", "line", "id")
 
 
-def report(docs: DataFrame, short: int = SHORT) -> DataFrame:
+def report(docs: DataFrame, short: int = 1) -> DataFrame:
     """(doc_id, n_lines, n_exact, n_near, repeats, classes), a row for each of docs: its lines that take part, those that repeat
     an earlier one exactly or nearly, the numbers of the repeats from 0, and for each the doc_id where its class begins: of
     all the lines that links join, the earliest one's."""
@@ -428,7 +427,7 @@ def report(docs: DataFrame, short: int = SHORT) -> DataFrame:
     return every.select(F.nullif("doc", F.lit(_NULL)).alias("doc_id"), share("n_lines"), share("n_exact"), share("n_near"), list_("line", "int").alias("repeats"), list_("of", "long").alias("classes"))
 
 
-def deduplicated(docs: DataFrame, short: int = SHORT) -> DataFrame:
+def deduplicated(docs: DataFrame, short: int = 1) -> DataFrame:
     """The documents without the lines that repeat earlier ones, with the columns of docs; a document none of whose words
     are left goes, if it had any."""
     out, _ = repeats(docs, short, classes=False)
