@@ -36,8 +36,8 @@ from codeloom.llm.hashing import LONG, TOGETHER, parts, powers
 from codeloom.llm.shared import running_total, small, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, document long"
-#: Units that a worker remembers the ids of.
-REMEMBERED = 400_000
+#: Units that a worker remembers the ids of; documents whose pieces are handed on at once.
+REMEMBERED, HANDED = 200_000, 500
 #: The share of the pieces that one sweep over their lengths places at the end; rows of a range of a superstep, and rows of three
 #: numbers that may be broadcast.
 REST, RANGE, NARROW = 1 / 2, 1 << 16, 200_000
@@ -245,9 +245,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, number = _tokens(tokenizer), TaskContext.get().partitionId() << 40
-        for b in batches:
+        for some in (b.iloc[at : at + HANDED] for b in batches for at in range(0, len(b), HANDED)):
             rows = []
-            for doc, ids in zip(b.doc_id.astype(object), tokens.many(b.text.tolist())):
+            for doc, ids in zip(some.doc_id.astype(object), tokens.many(some.text.tolist())):
                 ids += last
                 number += 1
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
