@@ -10,9 +10,16 @@ A line is a repeat if an earlier line (by doc_id, text and number of the line) e
 bucket need not hand on its pairs. Its lines are taken in order, and each is compared by a banded bit-parallel edit distance
 with the earlier ones until it is known as a repeat, and with one line at most of each class of lines that it has been
 linked with. What leaves a bucket are the links of a spanning forest: fewer than it has lines, though every line that has an
-earlier neighbour has a link to one, and lines that links join, over any number of them, stay joined. Buckets of more than
-BLOCK lines are dealt into blocks by a hash; then the blocks meet, each task holding one of them while the lines of the
-others stream by, and only lines that are no repeats yet, or of different classes, are compared.
+earlier neighbour has a link to one, and lines that links join, over any number of them, stay joined.
+
+A bucket of more than DEAL lines, such as those of one template with a number in it, is dealt anew by grams of up to three
+characters, numbered by how often they have come in the line before. Two edits destroy at most EDITS * q grams of q
+characters, so of each line's EDITS * q + 1 rarest grams in the bucket, in one order for all its lines, two lines that are
+near share at least one: those are the keys of smaller buckets, and so on as long as a bucket has at most 1 / SHRINK of the
+lines of the one that it came from. Other buckets of more than BLOCK lines are dealt into blocks by a hash; then the blocks
+meet, each task holding one of them while the lines of the others stream by, and only lines that are no repeats yet, or of
+different classes, are compared. A sketch of the counts of pairs of characters (128 bits, four for an edit) tells in a block
+which of them need the distance.
 
 Lines are what splits at \\n. Blank ones, and those of fewer than `short` code points (1: none), take no part and are always kept. Lines of up to EDITS code points are all within EDITS edits of each other, so
 they repeat by equality alone; longer ones are compared with those of more than EDITS code points.
@@ -25,6 +32,7 @@ of their own, in the order of a hash of their texts; a null id comes before all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +46,8 @@ from codeloom.llm.shared import small, written
 EDITS = 2
 #: Rows up to which a bucket's lines are looked through at once for partners, and up to which they are compared at once.
 MEET, BLOCK = 1024, 2048
+#: Lines from which on a bucket is dealt anew by its rarest grams, and by how much each of the new buckets must be smaller.
+DEAL, SHRINK = 4 * BLOCK, 4
 _NULL = -(1 << 63)
 BLANK = " \t\n\v\f\r"
 
@@ -132,6 +142,50 @@ def sketches(texts: list[str]) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 32), axis=1, bitorder="little").view("<i4").ravel()
 
 
+def _parities(owner: np.ndarray, group: np.ndarray, n: int, bits: int) -> np.ndarray:
+    counts = np.bincount(owner * bits + group.astype(np.int64), minlength=bits * n)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little")
+
+
+def pair_sketches(texts: list[str]) -> np.ndarray:
+    """Two words of 64 bits for each text: whether the pairs of characters of each group occur an odd number of times."""
+    out = [np.zeros((0, 2), np.uint64)]
+    for at in range(0, len(texts), 256):  # so that few counts are held at once
+        some = texts[at : at + 256]
+        line, pair = grams(some, 2, numbered=False)
+        out.append(_parities(line, (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57), len(some), 128).view(np.uint64))
+    return np.concatenate(out)
+
+
+def grams(texts: list[str], q: int, numbered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, gram) of all grams of q <= 3 characters; numbered: a hash of the gram and of its number among equal ones."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    line, ends = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    at = np.flatnonzero(np.arange(len(codes)) + q <= ends)
+    line, gram = line[at], codes[at]
+    for j in range(1, q):  # 21 bits a character
+        gram = (gram << np.uint64(21)) | codes[at + j]
+    if not numbered or not len(gram):
+        return line, gram
+    order = np.lexsort((gram, line))
+    line, gram = line[order], gram[order]
+    fresh = np.append(True, (line[1:] != line[:-1]) | (gram[1:] != gram[:-1]))
+    return line, _mixed(gram, _rank(fresh))
+
+
+def _rank(fresh: np.ndarray) -> np.ndarray:
+    """The place of each row after the last one that is marked as fresh."""
+    here = np.arange(len(fresh))
+    return here - np.maximum.accumulate(np.where(fresh, here, 0))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
     """(doc, text_id, text): what tells one row from another, and the order of the rows."""
     return docs.select(F.coalesce("doc_id", F.lit(_NULL)).cast("long").alias("doc"), F.xxhash64("text").alias("text_id"), "text")
@@ -272,29 +326,32 @@ class _Block:
 
     def __init__(self, ids: list, places: list[tuple], texts: list[str], group: list, known: list):
         self.ids, self.places, self.texts = ids, places, texts
-        self.sketch = sketches(texts).view(np.uint32)
+        self.sketch, self.pairs = sketches(texts).view(np.uint32), pair_sketches(texts)
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.group, self.known = np.array(group, np.int64), np.array(known, bool)
         self.links: list[tuple[int, int]] = []
 
-    def near(self, sketch, length: int, upto: int | None = None) -> np.ndarray:
-        return (np.bitwise_count(self.sketch[:upto] ^ sketch) <= 2 * EDITS) & (np.abs(self.lengths[:upto] - length) <= EDITS)
+    def near(self, sketch, pairs, length: int, wanted: np.ndarray) -> np.ndarray:
+        """The wanted lines, of the first ones, whose sketches and lengths allow EDITS edits."""
+        n = len(wanted)
+        x = np.flatnonzero(wanted & (np.bitwise_count(self.sketch[:n] ^ sketch) <= 2 * EDITS) & (np.abs(self.lengths[:n] - length) <= EDITS))
+        return x[np.bitwise_count(self.pairs[x] ^ pairs).sum(axis=1) <= 4 * EDITS]
 
     def inside(self) -> None:
         """Links each line with an earlier one, and with one of each class beside its own."""
         for k in range(1, len(self.ids)):
-            for y in np.flatnonzero(self.near(self.sketch[k], self.lengths[k], k) & ((self.group[:k] != self.group[k]) | ~self.known[k])):
+            wanted = np.ones(k, bool) if not self.known[k] else self.group[:k] != self.group[k]
+            for y in self.near(self.sketch[k], self.pairs[k], self.lengths[k], wanted):
                 if (self.group[y] != self.group[k] or not self.known[k]) and within(self.texts[y], self.texts[k]):
                     self.links.append((self.ids[y], self.ids[k]))
                     self.known[k] = True
                     self.group[self.group == self.group[y]] = self.group[k]
 
-    def across(self, own: int, place: tuple, text: str, group: int, same: dict[int, int]) -> None:
+    def across(self, own: int, place: tuple, text: str, group: int, same: dict[int, int], sketch, pairs) -> None:
         """Links a line of another block with these. same: classes that have been joined here since."""
         while group in same:
             group = same[group]
-        sketch = sketches([text]).view(np.uint32)[0]
-        for x in np.flatnonzero(self.near(sketch, len(text)) & ((self.group != group) | ~self.known)):
+        for x in self.near(sketch, pairs, len(text), (self.group != group) | ~self.known):
             later = place < self.places[x]
             if (self.group[x] != group or (later and not self.known[x])) and within(text, self.texts[x]):
                 self.links.append((own, self.ids[x]) if later else (self.ids[x], own))
@@ -305,11 +362,62 @@ class _Block:
                     same[gone] = group
 
 
+def dealt_anew(cand: DataFrame, own: DataFrame) -> DataFrame:
+    """cand, own: as for `forest`. The buckets, those of more than DEAL lines split by the rarest grams of their lines, so that
+    lines within EDITS edits of each other that shared a bucket still share one."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (part.iloc[at : at + 1000] for part in batches for at in range(0, len(part), 1000)):
+            for q, rows in b.groupby("q"):
+                line, gram = grams(rows.text.tolist(), int(q))
+                found = pd.DataFrame({"key": rows.key.to_numpy()[line], "gram": gram.view(np.int64)})
+                yield found.groupby(["key", "gram"]).size().reset_index(name="c")
+
+    def deal(here: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
+        if not len(here):
+            return pd.DataFrame({"key": [], "id": [], "parent": []}, dtype="int64")
+        q = int(here.q.iloc[0])
+        line, gram = grams(here.text.tolist(), q)
+        rarity = np.zeros(len(gram), np.int64)  # all grams that aren't frequent are alike
+        if len(often):
+            known, c = np.asarray(often["grams"].iloc[0], np.int64).view(np.uint64), np.asarray(often["counts"].iloc[0], np.int64)
+            sort = np.argsort(known)
+            at = np.minimum(np.searchsorted(known[sort], gram), len(known) - 1)
+            rarity = np.where(known[sort][at] == gram, c[sort][at], 0)
+        order = np.lexsort((gram, rarity, line))
+        line, gram = line[order], gram[order]
+        rarest = _rank(np.append(True, line[1:] != line[:-1])) <= EDITS * q
+        line, gram = line[rarest], gram[rarest]
+        key = _mixed(np.full(len(gram), here.key.iloc[0]).astype(np.int64).view(np.uint64), gram).view(np.int64)
+        return pd.DataFrame({"key": key, "id": here.id.to_numpy()[line], "parent": here.n.to_numpy()[line]})
+
+    parts, now = [], cand.withColumn("parent", F.lit(None).cast("long"))
+    while True:
+        sizes = now.groupBy("key").agg(F.count("*").alias("n"), F.max("parent").alias("parent"))
+        some = now.join(sizes.where("n > 1"), "key", "left_semi") if parts else now
+        sizes = written(sizes.where((F.col("n") > DEAL) & (F.col("parent").isNull() | (F.col("n") * SHRINK <= F.col("parent")))), "large")
+        if sizes.isEmpty():
+            return written(reduce(DataFrame.unionByName, [*parts, some.select("key", "id")]), "buckets") if parts else cand
+        sizes = small(sizes.select("key", "n"))
+        parts.append(some.join(sizes, "key", "left_anti").select("key", "id"))
+        rows = written(now.select("key", "id").join(sizes, "key").join(own.select("id", "text"), "id"), "rows")
+        # Lines of 3 * q characters and more have more grams than EDITS edits destroy.
+        q = written(rows.groupBy("key").agg(F.least(F.lit(3), F.expr(f"min(length(text)) div {EDITS + 1}")).cast("int").alias("q")), "widths")
+        rows = rows.join(small(q), "key")
+        often = rows.select("key", "q", "text").mapInPandas(count, "key long, gram long, c long").groupBy("key", "gram").agg(F.sum("c").alias("c"))
+        often = often.join(sizes, "key").where(F.col("c") * 32 > F.col("n")).groupBy("key", "n").agg(F.collect_list(F.struct("gram", "c")).alias("x"))
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        often = often.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("x.gram").alias("grams"), F.col("x.c").alias("counts"))
+        here = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).groupBy("key", "block")
+        now = written(here.cogroup(often.groupBy("key", "block")).applyInPandas(deal, "key long, id long, parent long"), "dealt")
+
+
 def forest(cand: DataFrame, own: DataFrame) -> DataFrame:
     """cand: (key, id) of the lines of each bucket; own: their texts. (u, v), u before v: links within EDITS edits that give
     every line an earlier neighbour if it has one, and join whatever links join."""
     schema = "key long, block int, id long, doc long, text_id long, line int, text string, group long, known boolean"
     columns = [x.split()[0] for x in schema.split(", ")]
+    cand = dealt_anew(cand, own)
     large = cand.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     large = written(large, "large")
     split = large.count() > 0
@@ -358,7 +466,7 @@ def forest(cand: DataFrame, own: DataFrame) -> DataFrame:
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, gathered, block, same = None, [], None, {}
         for b in batches:
-            for r in zip(*(b[c].tolist() for c in [*columns, "other"])):
+            for r, sketch, pairs in zip(zip(*(b[c].tolist() for c in [*columns, "other"])), sketches(b.text.tolist()).view(np.uint32), pair_sketches(b.text.tolist())):
                 if r[:2] != at:
                     at, gathered, block, same = r[:2], [], None, {}
                 if not r[9]:
@@ -368,7 +476,7 @@ def forest(cand: DataFrame, own: DataFrame) -> DataFrame:
                     if not gathered:  # a block that the hash left empty
                         continue
                     block = block_of(gathered)
-                block.across(r[2], r[3:6], r[6], r[7], same)
+                block.across(r[2], r[3:6], r[6], r[7], same, sketch, pairs)
                 if block.links:
                     yield pd.DataFrame(block.links, columns=["u", "v"], dtype="int64")
                     block.links = []

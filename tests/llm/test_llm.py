@@ -254,6 +254,32 @@ def test_edit_distance_and_segments():
             assert index & {(i, long[p : p + z]) for i, p, z in lines.places(len(long), len(long) - len(s))}
 
 
+def test_grams_and_sketches():
+    """What EDITS edits leave of grams and sketches, in any order of the grams."""
+    rng = random.Random(8)
+    for t in range(3000):
+        a = "".join(rng.choice("ab" if t % 2 else "abcdefé") for _ in range(rng.randint(3, 16)))
+        b = list(a)
+        for _ in range(rng.randint(1, 2)):
+            k, r = rng.randint(0, len(b)), rng.random()
+            if r < 0.33:
+                b.insert(k, rng.choice("abc"))
+            elif k < len(b):
+                b[k : k + 1] = rng.choice("abc") if r < 0.66 else ""
+        b = "".join(b)
+        if len(b) < 3:
+            continue
+        x, y = lines.pair_sketches([a, b])
+        assert np.bitwise_count(x ^ y).sum() <= 8
+        q = min(3, len(a) // 3, len(b) // 3)
+        line, gram = lines.grams([a, b], q)
+        both = [gram[line == k].tolist() for k in (0, 1)]
+        assert [len(set(z)) for z in both] == [len(a) - q + 1, len(b) - q + 1]
+        order = {g: rng.random() for g in both[0] + both[1]}
+        assert set(sorted(both[0], key=order.get)[: 2 * q + 1]) & set(sorted(both[1], key=order.get)[: 2 * q + 1])
+    assert lines.pair_sketches([]).shape == (0, 2) and len(lines.grams([], 2)[0]) == 0
+
+
 def brute_lines(every, short):
     """Per row of `every`, whose rows differ: [lines, exact, near, numbers of repeats, docs where their classes begin]."""
     at = [(i, k, x) for i, t, *_ in every for k, x in enumerate((t or "").split("\n")) if len(x) >= short and x.strip(" \t\n\v\f\r")]
@@ -312,11 +338,12 @@ def test_lines(spark, docs, rows, empty):
     assert lines.report(empty).count() == 0 and lines.deduplicated(empty).count() == 0
 
 
-@pytest.mark.parametrize("meet, block", [(1024, 2048), (8, 4)])
-def test_line_buckets(spark, monkeypatch, meet, block):
+@pytest.mark.parametrize("meet, block, deal", [(1024, 2048, 8192), (8, 4, 8192), (8, 4, 6), (8, 4, 12)])
+def test_line_buckets(spark, monkeypatch, meet, block, deal):
     """Large groups of near lines, chains and templates: a link to an earlier line and the classes survive blocks of any size."""
     monkeypatch.setattr(lines, "MEET", meet)
     monkeypatch.setattr(lines, "BLOCK", block)
+    monkeypatch.setattr(lines, "DEAL", deal)
     rng = random.Random(7)
     base = "the quick brown fox jumps over the lazy dog"
     pool = [base[:k] + rng.choice("xyz") + base[k + 1 :] for k in range(0, 40, 2)]  # all within two of each other
@@ -325,6 +352,7 @@ def test_line_buckets(spark, monkeypatch, meet, block):
         chain[k : k + 2] = "#%"
         pool.append("".join(chain))
     pool += [f"item number {k:04d} of the list" for k in rng.sample(range(10000), 60)]
+    pool += [f"{rng.randrange(300)}{x}" for x in ("abcd", "aa", "é#")] + [f"7{k:03d}" for k in rng.sample(range(1000), 40)] + ["a" * k for k in range(3, 30)]
     rng.shuffle(pool)
     every = [(i, "\n".join(rng.choice(pool) for _ in range(3)), "en", "s", 0) for i in range(70)]
     want = brute_lines(every, 1)
