@@ -244,12 +244,13 @@ def lines_of(docs: DataFrame, short: int = 1) -> DataFrame:
 
 
 def _partners(key: np.ndarray, own: np.ndarray, sketch: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Rows sorted by key: which have a different line in their bucket that they may be near; all in buckets above MEET rows."""
+    """Rows sorted by key, those of the index first: which have a different line in their bucket that they may be near; in
+    buckets above MEET rows all, if any is of the index."""
     hit, n = np.zeros(len(key), bool), len(key)
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(starts, n))
     large = np.repeat(sizes > MEET, sizes)
-    hit[large] = True
+    hit[large & np.repeat(index[starts], sizes)] = True
     here, d = np.flatnonzero(~large & np.repeat(sizes > 1, sizes)), 1
     while len(here):
         here = here[here + d < n]
@@ -269,7 +270,7 @@ def buckets(firsts: DataFrame) -> DataFrame:
     one = lambda name: every.select(F.explode(name).alias("key"), "id", "sketch", F.lit(name == "keys").alias("index"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, passing = None, None
+        held, passing, indexed = None, None, False
 
         def out(key: np.ndarray, own: np.ndarray) -> pd.DataFrame:
             return pd.DataFrame({"key": key, "id": own}).drop_duplicates()
@@ -281,10 +282,10 @@ def buckets(firsts: DataFrame) -> DataFrame:
             key = rows[0]
             if passing is not None:  # a bucket that has grown beyond MEET goes on as it is
                 n = int(np.searchsorted(key, passing, "right"))
-                if n:
+                if n and indexed:
                     yield out(key[:n], rows[1][:n])
-                    rows = [x[n:] for x in rows]
-                    key = rows[0]
+                rows = [x[n:] for x in rows]
+                key = rows[0]
                 passing = passing if not len(key) else None
             held = None
             if not len(key):
@@ -292,7 +293,7 @@ def buckets(firsts: DataFrame) -> DataFrame:
             whole = int(np.searchsorted(key, key[-1], "left"))  # the last bucket may go on
             held = [x[whole:] for x in rows]
             if len(held[0]) > MEET:
-                passing, held, whole = key[-1], None, len(key)
+                passing, indexed, held, whole = key[-1], bool(rows[3][whole]), None, len(key)
             hit = _partners(*(x[:whole] for x in rows))
             if hit.any():
                 yield out(key[:whole][hit], rows[1][:whole][hit])
@@ -300,7 +301,7 @@ def buckets(firsts: DataFrame) -> DataFrame:
             hit = _partners(*held)
             yield out(held[0][hit], held[1][hit])
 
-    met = one("keys").unionByName(one("probes")).repartition("key").sortWithinPartitions("key")
+    met = one("keys").unionByName(one("probes")).repartition("key").sortWithinPartitions("key", F.desc("index"))
     return written(met.mapInPandas(meet, "key long, id long"), "buckets")
 
 
