@@ -327,11 +327,11 @@ def test_lines(spark, docs, rows, empty):
     every = sorted(list({r[0]: r for r in rows}.values()) + extra, key=lambda r: r[0])
     want = brute_lines(every, 20)
     df = spark.createDataFrame(every, SCHEMA)
-    got = lines.report(df).collect()
+    got = lines.report(df, 20).collect()
     assert len(got) == len(every)
     for r in got:
         assert [r.n_lines, r.n_exact, r.n_near, r.repeats, r.classes] == want[r.doc_id]
-    kept = {r.doc_id: r.text for r in lines.deduplicated(df).collect()}
+    kept = {r.doc_id: r.text for r in lines.deduplicated(df, 20).collect()}
     for i, t, *_ in every:
         left = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in want[i][3])
         assert kept.get(i, None) == (None if want[i][3] and not left.split() else t if not want[i][3] else left)
