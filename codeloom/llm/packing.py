@@ -1,14 +1,15 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences of a fixed length.
 
 Documents are tokenized where they lie, and only those longer than a sequence are cut. The pieces are placed class by class,
-from long to short: those of more than half of `top` tokens and no more than it, then `top` is halved. A gap offers a class as many
+from long to short: those of more than half of `top` tokens and no more than it, then `top` is halved. No two of the first class
+fit together, so each of them opens a sequence, which has its number. From then on a gap offers a class as many
 slots of `top` tokens as it holds, and what is left over as one more.
 
 A superstep range-sorts the pieces of the class and the slots by size, falling, and looks for each piece's successor, the
 smallest free slot that holds it, ties to the smallest gap. Each range is swept by itself: a slot goes on a stack, a piece takes the
 top. Pieces that found no slot in their range and slots that were left over are settled among the ranges by rank: the r-th
-such piece takes the r-th slot from the top of the ranges above, which a table of one row for each range tells. Then the gaps
-are updated, and the rest of the class goes round again. Once no more than half of what went round was placed, new sequences
+such piece takes the r-th slot from the top of the ranges above, which a table of one row for each range tells; the sweep adds that row
+to what it writes. The gaps are summed up from what was placed when the next superstep reads them, and the rest of the class goes round again. Once no more than half of what went round was placed, new sequences
 are opened for the rest. Once no more than REST of all pieces, the shortest ones, are left, they are
 placed by one sweep over the counts of their lengths and of the gaps, best-fit decreasing: so many supersteps do at any size.
 
@@ -35,12 +36,14 @@ from pyspark.sql import functions as F
 from codeloom.llm.hashing import LONG, TOGETHER, parts, powers
 from codeloom.llm.shared import running_total, small, written
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, document long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Units that a worker remembers the ids of; documents whose pieces are handed on at once.
 REMEMBERED, HANDED = 200_000, 500
 #: The share of the pieces that one sweep over their lengths places at the end; rows of a range of a superstep, and rows of three
 #: numbers that may be broadcast.
 REST, RANGE, NARROW = 1 / 2, 1 << 16, 200_000
+#: The number of the first sequence that no piece of more than half of it opens; the others have their pieces' numbers.
+SHARED = 1 << 62
 
 
 _SPACE, _LETTER, _DIGIT, _MARK, _HARD = range(5)
@@ -239,9 +242,9 @@ def _tokens(path: str) -> WordTokens:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_ids: bool = False) -> DataFrame:
-    """PIECES, and `ids` (little-endian unsigned 32-bit) if they are to be kept: each document's tokens and one `end`. document: a number
-    for each row of docs, which tells rows with the same id apart."""
-    last = np.array([end], "<u4").tobytes()
+    """PIECES, `document`, and `ids` (little-endian unsigned 32-bit) if they are to be kept: each document's tokens and one `end`. document:
+    a number for each row of docs, which tells rows with the same id apart."""
+    last, schema = np.array([end], "<u4").tobytes(), f"{PIECES}, document long" + ", ids binary" * keep_ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, number = _tokens(tokenizer), TaskContext.get().partitionId() << 40
@@ -253,10 +256,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), number) + ((own,) if keep_ids else ()))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids)
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES + ", ids binary" * keep_ids)
+    return docs.select("doc_id", "text").mapInPandas(cut, schema)
 
 
 def sweep(runs: dict[int, int], capacity: int, free: dict[int, int] | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -326,13 +329,14 @@ def _slots(gaps: DataFrame, top: int, low: int) -> DataFrame:
 
 def _swept(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: int) -> DataFrame:
     """Each range by itself: (part, what, rank, uid, length, seq, gap). what: 0 a piece in its slot, 1 a piece that found none,
-    2 a slot left over; ranks are in order from 0 of either kind."""
+    2 a slot left over; ranks are in order from 0 of either kind. 3, at the end of each: how many were placed as its rank, lost as its
+    uid, and left over as its length."""
     items = _slots(gaps, top, low).unionByName(pieces.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("gap"), F.col("uid").alias("id")))
     order = [F.desc("size"), F.asc("kind"), F.desc("gap"), F.asc("id")]
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack: list[tuple[int, int]] = []
-        part, lost = TaskContext.get().partitionId(), 0
+        part, met, lost = TaskContext.get().partitionId(), 0, 0
         columns = ["part", "what", "rank", "uid", "length", "seq", "gap"]
         for b in batches:
             out = []
@@ -341,11 +345,13 @@ def _swept(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: int)
                     stack.append((own, gap))
                 elif stack:
                     out.append((part, 0, 0, own, size, *stack.pop()))
+                    met += 1
                 else:
                     out.append((part, 1, lost, own, size, -1, -1))
                     lost += 1
             yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame([(part, 2, k, -1, -1, *x) for k, x in enumerate(stack)], columns=columns)
+        rest = [(part, 2, k, -1, -1, *x) for k, x in enumerate(stack)]
+        yield pd.DataFrame([*rest, (part, 3, met, lost, len(stack), -1, -1)], columns=columns)
 
     schema = "part int, what int, rank long, uid long, length long, seq long, gap long"
     return written(items.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(match, schema), "swept")
@@ -371,14 +377,12 @@ def _flows(summary: list) -> tuple[list[tuple], dict[int, int]]:
     return flows, settled
 
 
-def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int, int]:
+def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: int) -> tuple[DataFrame, DataFrame, int, int]:
     """pieces: (uid, length), all of more than `low` and at most `top`; gaps: (seq, gap). Returns what was placed (uid, length,
-    seq), the gaps and the pieces left, how many were placed, how many are left, and their tokens."""
+    seq), the pieces left, how many were placed, and how many are left."""
     spark = pieces.sparkSession
     swept = _swept(pieces, gaps, top, low, ranges)
-    some = lambda k: F.count_if(F.col("what") == k)
-    tokens = F.coalesce(F.sum(F.when(F.col("what") == 1, F.col("length"))), F.lit(0))
-    summary = sorted(swept.groupBy("part").agg(some(0), some(1), some(2), tokens).collect())  # a row for each range
+    summary = sorted(swept.where("what = 3").select("part", "rank", "uid", "length").collect())  # a row for each range
     flows, settled = _flows([(r[0], r[2], r[3]) for r in summary])
     across = sum(settled.values())
     met = swept.where("what = 0").select("uid", "length", "seq")
@@ -389,27 +393,23 @@ def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, ranges: in
         lost = lost.select("uid", "length", F.expr("first + rank - lo").alias("number"))
         over = over.select("seq", F.expr("first + top - 1 - rank").alias("number"))
         met = met.unionByName(lost.join(F.broadcast(over) if across <= NARROW else over, "number").select("uid", "length", "seq"))
-    placed = written(met, "placed")
-    left_over = gaps.unionByName(placed.select("seq", (-F.col("length")).alias("gap"))).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
     took = F.broadcast(spark.createDataFrame([*settled.items()], "part int, took long"))
     left = swept.where("what = 1").join(took, "part").where("rank >= took").select("uid", "length")
-    n_left, total = sum(r[2] for r in summary) - across, sum(r[4] for r in summary)
-    if n_left and across:
-        total = left.agg(F.sum("length")).first()[0]
-    return placed, written(left_over, "gaps"), left, sum(r[1] for r in summary) + across, n_left, total
+    return written(met, "placed"), left, sum(r[1] for r in summary) + across, sum(r[2] for r in summary) - across
 
 
-def _last(pieces: DataFrame, gaps: DataFrame, opened: int, capacity: int) -> DataFrame:
+def _last(pieces: DataFrame, gaps: DataFrame | None, opened: int, capacity: int) -> DataFrame:
     """(uid, length, seq, at) of the last pieces, `at` their order in a sequence: by the counts of their lengths, and of the gaps by size, `capacity` rows each."""
+    pieces, gaps = written(pieces.withColumn("one", F.lit(1)), "rest"), None if gaps is None else written(gaps.withColumn("one", F.lit(1)), "gaps")
     runs = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    free = {r[0]: r[1] for r in gaps.groupBy("gap").count().collect()}
+    free = {} if gaps is None else {r[0]: r[1] for r in gaps.groupBy("gap").count().collect()}
     plan = sweep(runs, capacity, free)
     spark, known = pieces.sparkSession, sum(free.values())
     plan = spark.createDataFrame(pd.DataFrame(plan, columns=["run", "lo", "hi", "first", "offset"]).astype("int64"), "run long, lo long, hi long, first long, offset long")
-    ranked = running_total(written(pieces.withColumn("one", F.lit(1)), "rest"), "length", ["uid"], "one", "rank")
+    ranked = running_total(pieces, "length", ["uid"], "one", "rank", counts=runs)
     met = ranked.join(F.broadcast(plan), (F.col("length") == F.col("run")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    met = written(met.select("uid", "length", F.expr("first + rank - lo").alias("place"), F.col("offset").alias("at")), "last")
-    new = met.where(F.col("place") >= known).select("uid", "length", (F.col("place") - known + opened).alias("seq"), "at")
+    met = written(met.select("uid", "length", F.expr("first + rank - lo").alias("place"), F.col("offset").alias("at")).coalesce(-(-sum(runs.values()) // RANGE)), "last")
+    new = met.where(F.col("place") >= known).select("uid", "length", (F.col("place") - known + opened + SHARED).alias("seq"), "at")
     if not known:
         return new
     starts, at = [], 0
@@ -417,7 +417,7 @@ def _last(pieces: DataFrame, gaps: DataFrame, opened: int, capacity: int) -> Dat
         starts.append((gap, at))
         at += n
     starts = F.broadcast(spark.createDataFrame(starts, "gap long, at long"))
-    numbered = running_total(gaps.withColumn("one", F.lit(1)), "gap", ["seq"], "one", "nth").join(starts, "gap").select("seq", (F.col("at") + F.col("nth")).alias("place"))
+    numbered = running_total(gaps, "gap", ["seq"], "one", "nth", counts=free).join(starts, "gap").select("seq", (F.col("at") + F.col("nth")).alias("place"))
     return met.join(numbered, "place").select("uid", "length", "seq", "at").unionByName(new)
 
 
@@ -425,32 +425,51 @@ def packed(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """cut: the pieces. Adds sequence_id and offset."""
     cut = written(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     runs = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    spark, opened, placed = cut.sparkSession, 0, []
-    fresh = lambda n: spark.range(opened, opened + n).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-    gaps, top, rest, left = fresh(0), capacity, sum(runs.values()), None
+    spark, top, opened, placed, rest, left = cut.sparkSession, capacity // 2, 0, [], sum(runs.values()), None
     last, least = int(REST * rest), -(-sum(k * n for k, n in runs.items()) // capacity)
+    alone = sum(n for k, n in runs.items() if k > top) if rest > last else 0
+    if alone:  # no two of them fit together
+        long = cut.where(F.col("length") > top).select("uid", "length", F.col("uid").alias("seq"))
+        placed.append(long)
+        rest -= alone
+    else:
+        top = capacity
+
+    def gaps() -> DataFrame | None:
+        """(seq, gap): what is left of each sequence, by what was placed so far."""
+        if not alone + opened:
+            return None
+        own = spark.range(SHARED, SHARED + opened).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+        if alone:
+            own = own.unionByName(long.where(F.col("length") < capacity).select("seq", (capacity - F.col("length")).alias("gap")))
+        for x in placed[bool(alone) :]:
+            own = own.unionByName(x.select("seq", (-F.col("length")).alias("gap")))
+        left = own.groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
+        return left.coalesce(-(-(alone + opened) // RANGE))  # one row for each sequence at most
+
     while rest > last:
         low = top // 2
         own = {k: n for k, n in runs.items() if low < k <= top}
         n, tokens = sum(own.values()), sum(k * n for k, n in own.items())
         left = cut.where((F.col("length") > low) & (F.col("length") <= top)).select("uid", "length")
-        done = n if opened else 0
+        done = n if alone + opened else 0
         while n and rest > last:
             if done < n:  # as many as their tokens need at least; the last few of a class at once, if all have so many
                 more = -(-n // (capacity // top))
-                if top < capacity and (n > last // 16 or opened + more > least):
-                    more = -(-tokens // capacity)
-                gaps = gaps.unionByName(fresh(more))
+                if top < capacity and (n > last // 16 or alone + opened + more > least):
+                    more = -(-(tokens or left.agg(F.sum("length")).first()[0]) // capacity)
                 opened += more
-            ranges = -(-(n + opened) // RANGE)
-            out, gaps, left, done, n, tokens = superstep(left, gaps, top, low, ranges)
-            placed.append(out.select(F.lit(len(placed)).alias("step"), "uid", "length", "seq", F.col("uid").alias("at")))
+            ranges = -(-(n + alone + opened) // RANGE)
+            out, left, done, n = superstep(left, gaps(), top, low, ranges)
+            tokens = 0 if done else tokens  # else as before
+            placed.append(out)
             rest -= done
         if not n:
             left, top = None, low
     small_ones = cut.where(F.col("length") <= (top if left is None else top // 2)).select("uid", "length")
+    placed = [x.select(F.lit(k).alias("step"), "uid", "length", "seq", F.col("uid").alias("at")) for k, x in enumerate(placed)]
     if rest:
-        last = _last(small_ones if left is None else small_ones.unionByName(left), gaps, opened, capacity)
+        last = _last(small_ones if left is None else small_ones.unionByName(left), gaps(), opened, capacity)
         placed.append(last.select(F.lit(len(placed)).alias("step"), "uid", "length", "seq", "at"))
     if not placed:
         return cut.drop("uid").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))

@@ -633,6 +633,24 @@ def test_supersteps(spark, monkeypatch, rest, lengths):
     assert len(at) <= len(gaps) * 1.02 + 1
 
 
+def test_supersteps_write_little(spark, monkeypatch):
+    """No superstep for pieces of more than half a sequence, and two tables for each of the others: what was swept, and placed."""
+    names, tops, own, step = [], [], packing.written, packing.superstep
+    monkeypatch.setattr(packing, "written", lambda df, name: names.append(name) or own(df, name))
+    monkeypatch.setattr(packing, "superstep", lambda p, g, top, *rest: tops.append(top) or step(p, g, top, *rest))
+    sizes = [256] * 3 + [129] * 20 + [200] * 20 + [100] * 30 + [56, 40, 30, 20] * 40
+    out = packing.packed(spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECES), 256).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(sizes))
+    assert tops and max(tops) == 128
+    assert Counter(names) == {"pieces": 1, "swept": len(tops), "placed": len(tops), "rest": 1, "gaps": 1, "last": 1}
+    at = defaultdict(list)
+    for r in out:
+        at[r.sequence_id].append((r.offset, r.length))
+    for x in at.values():
+        assert [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 256
+    assert len(at) <= -(-sum(sizes) // 256) + 3
+
+
 def test_warc(spark):
     rows = [(3, "u", "<p>same</p>"), (1, "u", "<p>same</p>"), (2, None, None), (4, "u\r\nX: y", ""), (5, "u", "é" * 5000), (1, "u", "<p>same</p>"), (None, "u", "<p>same</p>"), (None, "u", "alone")]
     rows += [(k, "u", f"<html>{k % 9} some page that many share</html>" * 20) for k in range(10, 60)]
