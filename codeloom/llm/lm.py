@@ -107,6 +107,21 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("id", "k").agg(F.sum("n").alias("n"))
 
 
+def _softmax(logits: np.ndarray, own: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Natural logs of the probabilities of `own`, and, in the place of the logits, the gradient for them. The largest of all logits is
+    taken off, or each row's own if they lie far apart."""
+    top, at = logits.max(), np.arange(len(own))
+    logits -= top if top - logits.min() < 60 else logits.max(1, keepdims=True)
+    logs = logits[at, own]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    logs -= np.log(total)
+    if gradient:
+        logits *= (1 / total)[:, None]
+        logits[at, own] -= 1
+    return logs, logits
+
+
 class Network:
     """Weights, forward pass and one training step. Symbols: HEAD words, then TAILS open classes."""
 
@@ -132,57 +147,62 @@ class Network:
         """inputs: (steps, streams). The states after each step, and the last."""
         h, u = HIDDEN, self.w["u"]
         out = np.empty((*inputs.shape, h), np.float32)
+        gated, fresh = -projected[:, : 2 * h], np.ascontiguousarray(projected[:, 2 * h :])  # the gates are wanted as exp(-x)
+        by_gate, by_fresh = np.ascontiguousarray(-u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
         for t in range(len(inputs)):
-            x, r = projected[inputs[t]], state @ u
-            gates = x[:, : 2 * h] + r[:, : 2 * h]
-            np.negative(gates, out=gates)
+            gates, r = gated.take(inputs[t], axis=0), state @ by_fresh
+            gates += state @ by_gate
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, s = gates[:, :h], gates[:, h:]
-            n = np.tanh(x[:, 2 * h :] + s * r[:, 2 * h :])
-            new = n + z * (state - n)
+            n = s * r
+            n += fresh.take(inputs[t], axis=0)
+            np.tanh(n, out=n)
+            new = state - n
+            new *= z
+            new += n
             if keep is not None:
-                keep.append((state, z, s, n, r[:, 2 * h :]))
+                keep.append((state, z, s, n, r))
             out[t] = state = new
         return out, state
 
     def log_p(self, states: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> np.ndarray | tuple:
         """Natural logs of the probabilities of `targets` (of a rare word's open class); with grad, also the states' gradient."""
         w, classes = self.w, HEAD // CLASS
-        cls = np.where(targets < HEAD, targets // CLASS, targets - HEAD + classes)
-        logits = states @ w["c"] + w["cb"]
-        logits -= logits.max(1, keepdims=True)
-        at = np.arange(len(targets))
-        own = logits[at, cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out = own - np.log(total)
+        cls = np.where(targets < HEAD, targets // CLASS, targets - HEAD + classes).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")  # by class, so that each class is a stretch
+        cls, states = cls[order], states[order]
+        bounds = np.searchsorted(cls, np.arange(classes + 1))
+        logs, back = np.empty(len(cls), np.float32), None
         if grad is not None:
-            p = logits / total[:, None]
-            p[at, cls] -= 1
-            grad["c"], grad["cb"] = states.T @ p, p.sum(0)
-            back = p @ w["c"].T
-            grad["o"], grad["ob"] = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(classes + 1))
-        for k in range(classes):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if not len(rows):
-                continue
-            s, inner = states[rows], targets[rows] - k * CLASS
-            logits = s @ w["o"][k].T + w["ob"][k]
-            logits -= logits.max(1, keepdims=True)
-            at, own = np.arange(len(rows)), logits[np.arange(len(rows)), inner]
-            np.exp(logits, out=logits)
-            total = logits.sum(1)
-            out[rows] += own - np.log(total)
+            grad |= {k: np.zeros_like(w[k]) for k in ("c", "cb", "o", "ob")}
+            back = np.empty_like(states)
+        for at in range(0, len(cls), BLOCK):  # in blocks that stay in the cache
+            s, own = states[at : at + BLOCK], cls[at : at + BLOCK]
+            logs[at : at + BLOCK], p = _softmax(s @ w["c"] + w["cb"], own, grad is not None)
             if grad is not None:
-                p = logits / total[:, None]
-                p[at, inner] -= 1
-                grad["o"][k], grad["ob"][k] = p.T @ s, p.sum(0)
-                back[rows] += p @ w["o"][k]
-        return out if grad is None else (out, back)
+                grad["c"] += s.T @ p
+                grad["cb"] += np.ones(len(p), np.float32) @ p
+                np.matmul(p, w["c"].T, out=back[at : at + BLOCK])
+        inner = targets[order[: bounds[-1]]] % CLASS
+        for k in range(classes):
+            for a in range(bounds[k], bounds[k + 1], BLOCK):
+                b = min(a + BLOCK, bounds[k + 1])
+                s = states[a:b]
+                own, p = _softmax(s @ w["o"][k].T + w["ob"][k], inner[a:b], grad is not None)
+                logs[a:b] += own
+                if grad is not None:
+                    grad["o"][k] += p.T @ s
+                    grad["ob"][k] += np.ones(len(p), np.float32) @ p
+                    back[a:b] += p @ w["o"][k]
+        out = np.empty_like(logs)
+        out[order] = logs
+        if grad is None:
+            return out
+        turned = np.empty_like(back)
+        turned[order] = back
+        return out, turned
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, rate: float) -> tuple[float, np.ndarray]:
         """One step of truncated backpropagation over a window (steps, streams)."""
@@ -190,31 +210,56 @@ class Network:
         states, last = self.run(self.project(), inputs, state, keep)
         logs, back = self.log_p(states.reshape(-1, h), targets.reshape(-1), g)
         back = back.reshape(states.shape)
-        d_state, d_x, d_u = np.zeros_like(state), np.empty((*inputs.shape, 3 * h), np.float32), np.zeros_like(w["u"])
+        d_state, d_x, turned = np.zeros_like(state), np.empty((*inputs.shape, 3 * h), np.float32), np.ascontiguousarray(w["u"].T)
+        d_r, befores = np.empty_like(d_x), np.empty((*inputs.shape, h), np.float32)
+        one, two = np.empty_like(state), np.empty_like(state)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, s, n, r = keep[t]
-            d = d_state + back[t]
-            d_n = d * (1 - z) * (1 - n * n)
-            d_z, d_s = d * (before - n) * z * (1 - z), d_n * r * s * (1 - s)
-            d_x[t] = np.concatenate([d_z, d_s, d_n], 1)
-            d_r = np.concatenate([d_z, d_s, d_n * s], 1)
-            d_u += before.T @ d_r
-            d_state = d * z + d_r @ w["u"].T
-        flat, rows = d_x.reshape(-1, 3 * h), inputs.reshape(-1)
-        g["u"], g["b"] = d_u, flat.sum(0)
+            d, x, befores[t] = back[t], d_x[t], before
+            d += d_state
+            d_z, d_s, d_n = x[:, :h], x[:, h : 2 * h], x[:, 2 * h :]
+            np.multiply(d, z, out=d_state)
+            np.subtract(d, d_state, out=one)  # d * (1 - z)
+            np.multiply(n, n, out=two)
+            np.subtract(1, two, out=two)
+            np.multiply(one, two, out=d_n)
+            np.subtract(before, n, out=two)
+            two *= one
+            np.multiply(two, z, out=d_z)
+            np.multiply(d_n, s, out=d_r[t, :, 2 * h :])
+            np.multiply(d_r[t, :, 2 * h :], r, out=one)
+            np.subtract(1, s, out=two)
+            np.multiply(one, two, out=d_s)
+            d_r[t, :, : 2 * h] = x[:, : 2 * h]
+            d_state += d_r[t] @ turned
+        flat, rows = d_x.reshape(-1, 3 * h), inputs.reshape(-1).astype(np.uint16)
+        g["u"], g["b"] = befores.reshape(-1, h).T @ d_r.reshape(-1, 3 * h), np.ones(len(flat), np.float32) @ flat
         embedded = w["e"][rows]
         g["x"], d_e = embedded.T @ flat, flat @ w["x"].T
         order = np.argsort(rows, kind="stable")
-        used, first = np.unique(rows[order], return_index=True)
+        ordered = rows[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        used = ordered[first]
         g["e"] = np.zeros_like(w["e"])
         g["e"][used] = np.add.reduceat(d_e[order], first)
         self.t += 1
         n = inputs.size
         for k, x in w.items():
-            d = np.clip(g[k] / n, -0.05, 0.05)
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.01 * (d * d - self.v[k])
-            x -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)
+            d, m, v = g[k], self.m[k], self.v[k]
+            d /= n
+            np.clip(d, -0.05, 0.05, out=d)
+            m *= 0.9
+            v *= 0.99
+            m += 0.1 * d
+            d *= d
+            d *= 0.01
+            v += d
+            np.multiply(v, 1 / (1 - 0.99**self.t), out=d)
+            np.sqrt(d, out=d)
+            d += 1e-7
+            np.divide(m, d, out=d)
+            d *= rate / (1 - 0.9**self.t)
+            x -= d
         return float(logs.mean()), last
 
     def learn(self, flat: np.ndarray, rate: float) -> None:
@@ -269,30 +314,35 @@ class _Scorer:
     def __init__(self, w: dict):
         h = HIDDEN
         sign = np.repeat(np.array([-1, 1], np.float32), [2 * h, h])  # the gates are wanted as exp(-x)
-        self.projected, self.u = (w["e"] @ w["x"] + w["b"]) * sign, w["u"] * sign
+        projected, u = (w["e"] @ w["x"] + w["b"]) * sign, w["u"] * sign
+        self.gated, self.fresh = np.ascontiguousarray(projected[:, : 2 * h]), np.ascontiguousarray(projected[:, 2 * h :])
+        self.by_gate, self.by_fresh = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
         self.c, self.own = w["c"], w["o"]
         # Biases are factors of what is summed up.
         self.class_bias, self.class_mass = w["cb"], np.exp(w["cb"])
         self.bias, self.mass = w["ob"], np.exp(w["ob"])
         self.logits = np.empty((BLOCK, self.c.shape[1]), np.float32)
         self.inner = np.empty((BLOCK, CLASS), np.float32)
-        self.gates, self.recurrent = np.empty((GROUP, 3 * h), np.float32), np.empty((GROUP, 3 * h), np.float32)
+        # States lie between -1 and 1, so no sum is larger than those of the weights; only larger ones have to be cut.
+        self.cut = max(np.abs(self.c).sum(0).max(), np.abs(self.own).sum(2).max()) > 80
+        self.gates, self.recurrent, self.new = (np.empty((GROUP, k * h), np.float32) for k in (2, 2, 1))
+        self.back = np.empty((GROUP, h), np.float32)
 
     def run(self, inputs: np.ndarray, state: np.ndarray) -> np.ndarray:
         """inputs: (steps, documents). The states after each step."""
         h, n = HIDDEN, inputs.shape[1]
-        x, r, out = self.gates[:n], self.recurrent[:n], np.empty((len(inputs), n, h), np.float32)
+        gates, r, x, fresh = self.gates[:n], self.recurrent[:n], self.new[:n], self.back[:n]
+        out = np.empty((len(inputs), n, h), np.float32)
         for t in range(len(inputs)):
-            np.take(self.projected, inputs[t], axis=0, out=x, mode="clip")
-            np.matmul(state, self.u, out=r)
-            gates = x[:, : 2 * h]
-            gates += r[:, : 2 * h]
+            np.take(self.gated, inputs[t], axis=0, out=gates, mode="clip")
+            gates += np.matmul(state, self.by_gate, out=r)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            new, fresh = out[t], r[:, 2 * h :]
+            new = out[t]
+            np.matmul(state, self.by_fresh, out=fresh)
             fresh *= gates[:, h:]
-            fresh += x[:, 2 * h :]
+            fresh += np.take(self.fresh, inputs[t], axis=0, out=x, mode="clip")
             np.tanh(fresh, out=fresh)
             np.subtract(state, fresh, out=new)
             new *= gates[:, :h]
@@ -302,12 +352,13 @@ class _Scorer:
 
     def log_p(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         classes, out = HEAD // CLASS, np.empty(len(targets))
-        cls = np.where(targets < HEAD, targets // CLASS, targets - HEAD + classes)
+        cls = np.where(targets < HEAD, targets // CLASS, targets - HEAD + classes).astype(np.uint8)
         for at in range(0, len(targets), BLOCK):
             own = cls[at : at + BLOCK]
             logits = np.matmul(states[at : at + BLOCK], self.c, out=self.logits[: len(own)])
             mine = logits[np.arange(len(own)), own] + self.class_bias[own]
-            np.minimum(logits, 80, out=logits)
+            if self.cut:
+                np.minimum(logits, 80, out=logits)
             np.exp(logits, out=logits)
             out[at : at + BLOCK] = mine - np.log(logits @ self.class_mass)
         order = np.argsort(cls, kind="stable")
@@ -319,7 +370,8 @@ class _Scorer:
                 b = min(a + BLOCK, bounds[k + 1])
                 logits = np.matmul(gathered[a:b], self.own[k].T, out=self.inner[: b - a])
                 mine = logits[np.arange(b - a), wanted[a:b]] + self.bias[k][wanted[a:b]]
-                np.minimum(logits, 80, out=logits)
+                if self.cut:
+                    np.minimum(logits, 80, out=logits)
                 np.exp(logits, out=logits)
                 logs[a:b] = mine - np.log(logits @ self.mass[k])
         out[order[: bounds[-1]]] += logs

@@ -8,6 +8,7 @@ import math
 import os
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -878,6 +879,67 @@ def test_lm_network():
     assert total + np.exp(net.log_p(np.repeat(states, lm.TAILS, 0), own)).sum() == pytest.approx(1, rel=1e-3)
 
 
+def test_lm_blocks():
+    """Probabilities and gradients in blocks: as those of plain formulas, without arrays of all logits; large weights are cut."""
+    rng = np.random.default_rng(4)
+    net = lm.Network(rng.integers(1, 50, lm.HEAD).astype(float), rng.integers(1, 50, lm.TAILS).astype(float))
+    states = np.tanh(rng.normal(size=(3 * lm.BLOCK + 7, lm.HIDDEN))).astype(np.float32)
+    targets = rng.integers(0, lm.HEAD + lm.TAILS, len(states))
+
+    def plain(w: dict, states: np.ndarray) -> np.ndarray:
+        soft = lambda x: x - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True)) - x.max(1, keepdims=True)
+        cls = np.where(targets < lm.HEAD, targets // lm.CLASS, targets - lm.HEAD + lm.HEAD // lm.CLASS)
+        out = soft(states.astype(float) @ w["c"] + w["cb"])[np.arange(len(cls)), cls]
+        near = np.flatnonzero(targets < lm.HEAD)
+        inner = np.einsum("nh,nch->nc", states[near].astype(float), w["o"][cls[near]]) + w["ob"][cls[near]]
+        out[near] += soft(inner)[np.arange(len(near)), targets[near] % lm.CLASS]
+        return out
+
+    for scale in (1, 1000):
+        for k in ("c", "o"):
+            net.w[k] = net.w[k] * scale
+        want = plain(net.w, states)
+        logs, back = net.log_p(states, targets, grad := {})
+        assert logs == pytest.approx(want, rel=1e-3, abs=1e-3) and net.log_p(states, targets) == pytest.approx(want, rel=1e-3, abs=1e-3)
+        assert scale > 1 or lm._Scorer(net.w).log_p(states, targets) == pytest.approx(want, rel=1e-3, abs=1e-3)
+        for k in ("c", "cb", "o", "ob"):  # gradients are of minus the logs
+            step, at = rng.normal(size=net.w[k].shape), 1e-4 / scale
+            differ = (plain(net.w | {k: net.w[k] + at * step}, states) - plain(net.w | {k: net.w[k] - at * step}, states)).sum() / (2 * at)
+            assert -(grad[k] * step).sum() == pytest.approx(differ, rel=0.02, abs=0.02 * float(np.abs(grad[k]).sum()) ** 0.5)
+        step, at = rng.normal(size=states.shape), 1e-4 / scale
+        differ = (plain(net.w, states + at * step) - plain(net.w, states - at * step)).sum() / (2 * at)
+        assert -(back * step).sum() == pytest.approx(differ, rel=0.02, abs=0.02 * float(np.abs(back).sum()) ** 0.5)
+    states, targets = np.tile(states, (5, 1)), np.tile(targets, 5)
+    tracemalloc.start()
+    net.log_p(states, targets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.8 * 4 * len(states) * (lm.HEAD // lm.CLASS + lm.TAILS)
+
+
+def test_lm_gradients_through_time():
+    """A step from equal moments goes down the differences of the windows' logs, for each of the network's weights."""
+    rng = np.random.default_rng(7)
+    net = lm.Network(rng.integers(1, 50, lm.HEAD).astype(float), rng.integers(1, 50, lm.TAILS).astype(float))
+    for k in net.w:
+        net.w[k] = (net.w[k] * (5 if k in "exu" else 1)).astype(np.float32)
+    inputs, targets = rng.integers(0, 60, (9, 6)), rng.integers(0, 60, (9, 6))
+    w, start = {k: x.copy() for k, x in net.w.items()}, rng.normal(0, 0.3, (6, lm.HIDDEN)).astype(np.float32)
+
+    def total(w: dict) -> float:
+        net.w = w
+        states, _ = net.run(net.project(), inputs, start)
+        return float(net.log_p(states.reshape(-1, lm.HIDDEN), targets.reshape(-1)).sum(dtype=float))
+
+    net.w = {k: x.copy() for k, x in w.items()}
+    net.train(inputs, targets, start, 0.0)
+    for k in ("e", "x", "u", "b"):
+        g = net.m[k] / 0.1 * inputs.size  # the first moment of the first step
+        step = g / np.sqrt((g * g).sum())
+        differ = (total(w | {k: w[k] + 0.01 * step}) - total(w | {k: w[k] - 0.01 * step})) / 0.02
+        assert -float((g * step).sum()) == pytest.approx(differ, rel=0.03), k
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     """Each stage against brute force on its own input, and sequences decoded to the texts of the mix."""
     import corpus_pipeline
