@@ -18,6 +18,7 @@ nothing; a null id is not held out; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -37,8 +38,9 @@ HIDDEN, WINDOW, STREAMS = 24, 32, 384
 SHARES, FAN, TASKS, PER_TASK = (1, 2, 5), 64, 4096, 250_000
 #: Bytes of text that are read at once, and tokens that are laid over the streams at once.
 READ, LAID = 4 << 20, 1 << 20
-#: Documents that are scored together; tokens whose classes are scored at once.
-GROUP, BLOCK = 512, 1024
+#: Documents that are scored together; tokens whose classes are scored at once, and are gathered for that; tokens whose documents are
+#: scored at once.
+GROUP, BLOCK, READY, SCORED = 512, 1024, 8192, 4 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text; no word's hash but by chance
 _SCORES = "doc_id long, row long, held_out boolean, n_tokens long, known long, logs double, network double, words array<long>, times array<int>"
 
@@ -107,19 +109,95 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("id", "k").agg(F.sum("n").alias("n"))
 
 
-def _softmax(logits: np.ndarray, own: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logs of the probabilities of `own`, and, in the place of the logits, the gradient for them. The largest of all logits is
-    taken off, or each row's own if they lie far apart."""
-    top, at = logits.max(), np.arange(len(own))
-    logits -= top if top - logits.min() < 60 else logits.max(1, keepdims=True)
-    logs = logits[at, own]
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    logs -= np.log(total)
-    if gradient:
-        logits *= (1 / total)[:, None]
-        logits[at, own] -= 1
-    return logs, logits
+class _Spaces(dict):
+    """Arrays that are written anew in each step, so that no step asks the system for memory."""
+
+    def of(self, name: str, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self or self[name].size < n:
+            self[name] = np.empty(n, np.float32)
+        return self[name][:n].reshape(shape)
+
+
+class _Softmaxes:
+    """The softmaxes of classes, each over the symbols in it. weights: (classes, symbols, HIDDEN); biases: (classes, symbols)."""
+
+    def __init__(self, weights: np.ndarray, biases: np.ndarray):
+        self.weights, self.turned = weights, np.ascontiguousarray(weights.transpose(0, 2, 1))
+        # Biases are factors of what is summed up.
+        self.biases = np.maximum(biases - biases.max(1, keepdims=True), -60)
+        self.mass = np.exp(self.biases)
+        # States lie between -1 and 1, so no sum is larger than those of the weights; only larger ones need their row's largest taken off.
+        self.cut = np.abs(weights).sum(2).max() > 60
+        self.logits, self.total, self.rows = np.empty((BLOCK, weights.shape[1]), np.float32), np.empty(BLOCK, np.float32), np.arange(BLOCK)
+
+    def __call__(self, states: np.ndarray, own: np.ndarray, bounds: np.ndarray, grad: tuple | None = None) -> np.ndarray:
+        """Natural logs of the probabilities of `own`, each in its class; states: those of class k are from bounds[k] to bounds[k + 1].
+        grad: the gradients of the weights and the biases, and the states', to be filled."""
+        logs, bias = np.empty(len(own), np.float32), self.biases[np.repeat(np.arange(len(self.biases)), np.diff(bounds)), own]
+        edges, k = bounds.tolist(), 0
+        if grad is not None:
+            by_weight, by_bias, back = grad
+            heavy = self.weights * self.mass[:, :, None]
+        for at in range(0, len(own), BLOCK):  # in blocks that stay in the cache
+            to, parts = min(at + BLOCK, len(own)), []
+            while True:
+                if (a := max(at, edges[k])) < (b := min(to, edges[k + 1])):
+                    parts.append((k, slice(a, b), slice(a - at, b - at)))
+                if edges[k + 1] >= to:
+                    break
+                k += 1
+            p, total, rows = self.logits[: to - at], self.total[: to - at], self.rows[: to - at]
+            for c, x, y in parts:
+                np.matmul(states[x], self.turned[c], out=p[y])
+            if self.cut:
+                p -= p.max(1, keepdims=True)
+            mine = p[rows, own[at:to]]
+            np.exp(p, out=p)
+            for c, _, y in parts:
+                np.matmul(p[y], self.mass[c], out=total[y])
+            logs[at:to] = mine + bias[at:to] - np.log(total)
+            if grad is None:
+                continue
+            # p times its mass over the total is the probability: the narrow sides of the products are divided, and the sums get the mass.
+            p[rows, own[at:to]] -= total * np.exp(-bias[at:to])
+            np.reciprocal(total, out=total)
+            scaled = states[at:to] * total[:, None]
+            for c, x, y in parts:
+                by_weight[c] += p[y].T @ scaled[y]
+                by_bias[c] += total[y] @ p[y]
+                np.matmul(p[y], heavy[c], out=back[x])
+            back[at:to] *= total[:, None]
+        if grad is not None:
+            by_weight *= self.mass[:, :, None]
+            by_bias *= self.mass
+        return logs
+
+
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """(rows, 3 * HIDDEN) as (3, rows, HIDDEN), the two gates negative, as they are wanted as exp(-x)."""
+    out = np.ascontiguousarray(x.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+    np.negative(out[:2], out=out[:2])
+    return out
+
+
+def _log_p(outer: _Softmaxes, inner: _Softmaxes, states: np.ndarray, targets: np.ndarray, spaces: _Spaces, grad: dict | None = None) -> np.ndarray | tuple:
+    """Natural logs of the probabilities of `targets`: of their class, and in it; with grad, whose arrays are filled, also the states' gradient."""
+    classes = HEAD // CLASS
+    cls = np.where(targets < HEAD, targets // CLASS, targets - HEAD + classes).astype(np.uint8)
+    order = np.argsort(cls, kind="stable")  # by class, so that each class is a stretch
+    cls, states = cls[order], states.take(order, axis=0, out=spaces.of("ordered", *states.shape), mode="clip")
+    bounds = np.searchsorted(cls, np.arange(classes + 1))
+    near, place = bounds[-1], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    if grad is not None:
+        back, more = spaces.of("outer", *states.shape), spaces.of("inner", near, states.shape[1])
+    logs = outer(states, cls, np.array([0, len(cls)]), grad and (grad["c"], grad["cb"], back))
+    logs[:near] += inner(states[:near], targets[order[:near]] % CLASS, bounds, grad and (grad["o"], grad["ob"], more))
+    if grad is None:
+        return logs[place]
+    back[:near] += more
+    return logs[place], back.take(place, axis=0, out=spaces.of("back", *states.shape), mode="clip")
 
 
 class Network:
@@ -138,110 +216,84 @@ class Network:
         }
         self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.w.items()}
-        self.t = 0
+        self.t, self.spaces = 0, _Spaces()
 
     def project(self) -> np.ndarray:
         return self.w["e"] @ self.w["x"] + self.w["b"]
 
-    def run(self, projected: np.ndarray, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """inputs: (steps, streams). The states after each step, and the last."""
-        h, u = HIDDEN, self.w["u"]
-        out = np.empty((*inputs.shape, h), np.float32)
-        gated, fresh = -projected[:, : 2 * h], np.ascontiguousarray(projected[:, 2 * h :])  # the gates are wanted as exp(-x)
-        by_gate, by_fresh = np.ascontiguousarray(-u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
-        for t in range(len(inputs)):
-            gates, r = gated.take(inputs[t], axis=0), state @ by_fresh
-            gates += state @ by_gate
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            z, s = gates[:, :h], gates[:, h:]
-            n = s * r
-            n += fresh.take(inputs[t], axis=0)
-            np.tanh(n, out=n)
-            new = state - n
-            new *= z
-            new += n
-            if keep is not None:
-                keep.append((state, z, s, n, r))
-            out[t] = state = new
-        return out, state
+    def run(self, projected: np.ndarray, inputs: np.ndarray, state: np.ndarray, keep: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """inputs: (steps, streams). The states after each step, and the last. keep: arrays for the states, the first one before them, for
+        the gates and the fresh states, and for the recurrent parts of the latter, of each step."""
+        steps, n = inputs.shape
+        states, gates, recurrent = keep or (np.empty(shape, np.float32) for shape in ((steps + 1, n, HIDDEN), (1, 3, n, HIDDEN), (1, n, HIDDEN)))
+        table, u, by_state = _by_gate(projected), _by_gate(self.w["u"]), np.empty((2, n, HIDDEN), np.float32)
+        states[0] = state
+        for t in range(steps):
+            state, new, own, r = states[t], states[t + 1], gates[t % len(gates)], recurrent[t % len(gates)]
+            table.take(inputs[t], axis=1, out=own, mode="clip")
+            both, fresh = own[:2], own[2]
+            both += np.matmul(state, u[:2], out=by_state)
+            np.exp(both, out=both)
+            both += 1
+            np.reciprocal(both, out=both)
+            fresh += np.multiply(both[1], np.matmul(state, u[2], out=r), out=new)
+            np.tanh(fresh, out=fresh)
+            np.subtract(state, fresh, out=new)
+            new *= both[0]
+            new += fresh
+        return states[1:], states[-1]
 
     def log_p(self, states: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> np.ndarray | tuple:
         """Natural logs of the probabilities of `targets` (of a rare word's open class); with grad, also the states' gradient."""
-        w, classes = self.w, HEAD // CLASS
-        cls = np.where(targets < HEAD, targets // CLASS, targets - HEAD + classes).astype(np.uint8)
-        order = np.argsort(cls, kind="stable")  # by class, so that each class is a stretch
-        cls, states = cls[order], states[order]
-        bounds = np.searchsorted(cls, np.arange(classes + 1))
-        logs, back = np.empty(len(cls), np.float32), None
-        if grad is not None:
-            grad |= {k: np.zeros_like(w[k]) for k in ("c", "cb", "o", "ob")}
-            back = np.empty_like(states)
-        for at in range(0, len(cls), BLOCK):  # in blocks that stay in the cache
-            s, own = states[at : at + BLOCK], cls[at : at + BLOCK]
-            logs[at : at + BLOCK], p = _softmax(s @ w["c"] + w["cb"], own, grad is not None)
-            if grad is not None:
-                grad["c"] += s.T @ p
-                grad["cb"] += np.ones(len(p), np.float32) @ p
-                np.matmul(p, w["c"].T, out=back[at : at + BLOCK])
-        inner = targets[order[: bounds[-1]]] % CLASS
-        for k in range(classes):
-            for a in range(bounds[k], bounds[k + 1], BLOCK):
-                b = min(a + BLOCK, bounds[k + 1])
-                s = states[a:b]
-                own, p = _softmax(s @ w["o"][k].T + w["ob"][k], inner[a:b], grad is not None)
-                logs[a:b] += own
-                if grad is not None:
-                    grad["o"][k] += p.T @ s
-                    grad["ob"][k] += np.ones(len(p), np.float32) @ p
-                    back[a:b] += p @ w["o"][k]
-        out = np.empty_like(logs)
-        out[order] = logs
+        w = self.w
+        outer, inner = _Softmaxes(np.ascontiguousarray(w["c"].T)[None], w["cb"][None]), _Softmaxes(w["o"], w["ob"])
         if grad is None:
-            return out
-        turned = np.empty_like(back)
-        turned[order] = back
-        return out, turned
+            return _log_p(outer, inner, states, targets, self.spaces)
+        g = {"c": np.zeros_like(outer.weights), "cb": np.zeros_like(outer.mass), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
+        logs, back = _log_p(outer, inner, states, targets, self.spaces, g)
+        grad |= g | {"c": g["c"][0].T, "cb": g["cb"][0]}
+        return logs, back
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, rate: float) -> tuple[float, np.ndarray]:
         """One step of truncated backpropagation over a window (steps, streams)."""
-        h, w, keep, g = HIDDEN, self.w, [], {}
+        h, w, g, (steps, n), space = HIDDEN, self.w, {}, inputs.shape, self.spaces.of
+        keep = all_states, gates, recurrent = space("states", steps + 1, n, h), space("gates", steps, 3, n, h), space("recurrent", steps, n, h)
         states, last = self.run(self.project(), inputs, state, keep)
         logs, back = self.log_p(states.reshape(-1, h), targets.reshape(-1), g)
         back = back.reshape(states.shape)
-        d_state, d_x, turned = np.zeros_like(state), np.empty((*inputs.shape, 3 * h), np.float32), np.ascontiguousarray(w["u"].T)
-        d_r, befores = np.empty_like(d_x), np.empty((*inputs.shape, h), np.float32)
-        one, two = np.empty_like(state), np.empty_like(state)
-        for t in range(len(inputs) - 1, -1, -1):
-            before, z, s, n, r = keep[t]
-            d, x, befores[t] = back[t], d_x[t], before
+        # The gradients before the two gates, before the recurrent part of the fresh state, and before all of the fresh state.
+        by, turned = space("by", 4, steps, n, h), np.ascontiguousarray(w["u"].reshape(h, 3, h).transpose(1, 2, 0))
+        d_state, one, two, handed = np.zeros((n, h), np.float32), space("one", n, h), space("two", n, h), space("handed", 3, n, h)
+        for t in range(steps - 1, -1, -1):
+            (z, s, fresh), d, (d_z, d_s, d_r, d_n) = gates[t], back[t], by[:, t]
             d += d_state
-            d_z, d_s, d_n = x[:, :h], x[:, h : 2 * h], x[:, 2 * h :]
             np.multiply(d, z, out=d_state)
             np.subtract(d, d_state, out=one)  # d * (1 - z)
-            np.multiply(n, n, out=two)
+            np.multiply(fresh, fresh, out=two)
             np.subtract(1, two, out=two)
             np.multiply(one, two, out=d_n)
-            np.subtract(before, n, out=two)
-            two *= one
-            np.multiply(two, z, out=d_z)
-            np.multiply(d_n, s, out=d_r[t, :, 2 * h :])
-            np.multiply(d_r[t, :, 2 * h :], r, out=one)
+            np.subtract(states[t], fresh, out=two)  # z * (the state before - fresh)
+            np.multiply(one, two, out=d_z)
+            np.multiply(d_n, s, out=d_r)
+            np.multiply(d_r, recurrent[t], out=one)
             np.subtract(1, s, out=two)
             np.multiply(one, two, out=d_s)
-            d_r[t, :, : 2 * h] = x[:, : 2 * h]
-            d_state += d_r[t] @ turned
-        flat, rows = d_x.reshape(-1, 3 * h), inputs.reshape(-1).astype(np.uint16)
-        g["u"], g["b"] = befores.reshape(-1, h).T @ d_r.reshape(-1, 3 * h), np.ones(len(flat), np.float32) @ flat
-        embedded = w["e"][rows]
-        g["x"], d_e = embedded.T @ flat, flat @ w["x"].T
+            for x in np.matmul(by[:3, t], turned, out=handed):
+                d_state += x
+        flat, rows, befores = by.reshape(4, -1, h), inputs.reshape(-1).astype(np.uint16), all_states[:-1].reshape(-1, h)
+        by_input, ones = (flat[0], flat[1], flat[3]), np.ones(inputs.size, np.float32)
+        embedded = w["e"].take(rows, axis=0, out=space("embedded", inputs.size, h), mode="clip")
+        g["u"] = np.concatenate([befores.T @ x for x in flat[:3]], 1)
+        g["b"], g["x"] = np.concatenate([ones @ x for x in by_input]), np.concatenate([embedded.T @ x for x in by_input], 1)
+        d_e = np.matmul(flat[0], w["x"][:, :h].T, out=space("outer", inputs.size, h))
+        for k in (1, 2):
+            d_e += np.matmul(by_input[k], w["x"][:, k * h : (k + 1) * h].T, out=space("inner", inputs.size, h))
         order = np.argsort(rows, kind="stable")
         ordered = rows[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         used = ordered[first]
         g["e"] = np.zeros_like(w["e"])
-        g["e"][used] = np.add.reduceat(d_e[order], first)
+        g["e"][used] = np.add.reduceat(d_e.take(order, axis=0, out=space("embedded", inputs.size, h), mode="clip"), first)
         self.t += 1
         n = inputs.size
         for k, x in w.items():
@@ -260,7 +312,7 @@ class Network:
             np.divide(m, d, out=d)
             d *= rate / (1 - 0.9**self.t)
             x -= d
-        return float(logs.mean()), last
+        return float(logs.mean()), last.copy()
 
     def learn(self, flat: np.ndarray, rate: float) -> None:
         """flat: the symbols of documents, end to end, an end token after each; laid over streams, each a stretch of the text that begins
@@ -283,99 +335,69 @@ class Network:
         """symbols: of documents, end to end, which begin at `bounds`. The natural log of each one's probability (open classes
         without their words), from a state of zeros."""
         lengths = np.diff(bounds)
-        out = np.zeros(len(lengths))
+        out, held, ready = np.zeros(len(lengths)), [], 0
         fast = _Scorer(self.w)
+
+        def settle() -> None:
+            states, targets, docs = (np.concatenate(x) for x in zip(*held))
+            np.add(out, np.bincount(docs, fast.log_p(states, targets), len(out)), out=out)
+            held.clear()
+
         order = np.argsort(-lengths, kind="stable")
         for at in range(0, len(order), GROUP):
             group = order[at : at + GROUP]
             size, begins = lengths[group], bounds[:-1][group]
             state = np.zeros((len(group), HIDDEN), np.float32)
-            last = np.zeros(len(group), np.int64)
+            last = np.zeros(len(group), symbols.dtype)
             for begin in range(0, int(size[0]), WINDOW):
                 n = int((size > begin).sum())  # documents that go on; the longest are first
                 steps = min(WINDOW, int(size[0]) - begin)
                 step = np.arange(begin, begin + steps)[:, None]
                 inside = step < size[None, :n]
                 targets = symbols[np.minimum(begins[None, :n] + step, len(symbols) - 1)]
-                inputs = np.vstack([last[None, :n], targets[:-1]])
-                states = fast.run(inputs, state[:n])
+                states = fast.run(np.vstack([last[None, :n], targets[:-1]]), state[:n])
                 state, last = states[-1].copy(), targets[-1]
-                if inside.all():
-                    out[group[:n]] += fast.log_p(states.reshape(-1, HIDDEN), targets.reshape(-1)).reshape(steps, n).sum(0)
-                else:
-                    logs = fast.log_p(states[inside], targets[inside])
-                    out[group[:n]] += np.bincount(np.nonzero(inside)[1], logs, n)
+                held.append((states[inside], targets[inside], group[np.nonzero(inside)[1]]))
+                ready += len(held[-1][1])
+                if ready >= READY:  # a window of few documents waits for others
+                    settle()
+                    ready = 0
+        if held:
+            settle()
         return out
 
 
 class _Scorer:
-    """The network's forward pass alone, in blocks that stay in the cache, without new arrays for each step."""
+    """The network's forward pass alone, without new arrays for each step."""
 
     def __init__(self, w: dict):
-        h = HIDDEN
-        sign = np.repeat(np.array([-1, 1], np.float32), [2 * h, h])  # the gates are wanted as exp(-x)
-        projected, u = (w["e"] @ w["x"] + w["b"]) * sign, w["u"] * sign
-        self.gated, self.fresh = np.ascontiguousarray(projected[:, : 2 * h]), np.ascontiguousarray(projected[:, 2 * h :])
-        self.by_gate, self.by_fresh = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
-        self.c, self.own = w["c"], w["o"]
-        # Biases are factors of what is summed up.
-        self.class_bias, self.class_mass = w["cb"], np.exp(w["cb"])
-        self.bias, self.mass = w["ob"], np.exp(w["ob"])
-        self.logits = np.empty((BLOCK, self.c.shape[1]), np.float32)
-        self.inner = np.empty((BLOCK, CLASS), np.float32)
-        # States lie between -1 and 1, so no sum is larger than those of the weights; only larger ones have to be cut.
-        self.cut = max(np.abs(self.c).sum(0).max(), np.abs(self.own).sum(2).max()) > 80
-        self.gates, self.recurrent, self.new = (np.empty((GROUP, k * h), np.float32) for k in (2, 2, 1))
-        self.back = np.empty((GROUP, h), np.float32)
+        self.table, self.u = _by_gate(w["e"] @ w["x"] + w["b"]), _by_gate(w["u"])
+        self.outer, self.inner = _Softmaxes(np.ascontiguousarray(w["c"].T)[None], w["cb"][None]), _Softmaxes(w["o"], w["ob"])
+        self.spaces = _Spaces()
 
     def run(self, inputs: np.ndarray, state: np.ndarray) -> np.ndarray:
         """inputs: (steps, documents). The states after each step."""
-        h, n = HIDDEN, inputs.shape[1]
-        gates, r, x, fresh = self.gates[:n], self.recurrent[:n], self.new[:n], self.back[:n]
-        out = np.empty((len(inputs), n, h), np.float32)
-        for t in range(len(inputs)):
-            np.take(self.gated, inputs[t], axis=0, out=gates, mode="clip")
-            gates += np.matmul(state, self.by_gate, out=r)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            new = out[t]
-            np.matmul(state, self.by_fresh, out=fresh)
-            fresh *= gates[:, h:]
-            fresh += np.take(self.fresh, inputs[t], axis=0, out=x, mode="clip")
+        n, space = inputs.shape[1], self.spaces.of
+        gates, r, out = space("gates", 3, n, HIDDEN), space("recurrent", 3, n, HIDDEN), space("states", len(inputs), n, HIDDEN)
+        both, fresh, by_state, by_fresh = gates[:2], gates[2], r[:2], r[2]
+        for own, new in zip(inputs, out):
+            np.take(self.table, own, axis=1, out=gates, mode="clip")
+            np.matmul(state, self.u, out=r)
+            both += by_state
+            np.exp(both, out=both)
+            both += 1
+            np.reciprocal(both, out=both)
+            by_fresh *= both[1]
+            fresh += by_fresh
             np.tanh(fresh, out=fresh)
             np.subtract(state, fresh, out=new)
-            new *= gates[:, :h]
+            new *= both[0]
             new += fresh
             state = new
         return out
 
     def log_p(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        classes, out = HEAD // CLASS, np.empty(len(targets))
-        cls = np.where(targets < HEAD, targets // CLASS, targets - HEAD + classes).astype(np.uint8)
-        for at in range(0, len(targets), BLOCK):
-            own = cls[at : at + BLOCK]
-            logits = np.matmul(states[at : at + BLOCK], self.c, out=self.logits[: len(own)])
-            mine = logits[np.arange(len(own)), own] + self.class_bias[own]
-            if self.cut:
-                np.minimum(logits, 80, out=logits)
-            np.exp(logits, out=logits)
-            out[at : at + BLOCK] = mine - np.log(logits @ self.class_mass)
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(classes + 1))
-        gathered, wanted = states[order[: bounds[-1]]], targets[order[: bounds[-1]]] % CLASS
-        logs = np.empty(len(wanted))
-        for k in range(classes):
-            for a in range(bounds[k], bounds[k + 1], BLOCK):
-                b = min(a + BLOCK, bounds[k + 1])
-                logits = np.matmul(gathered[a:b], self.own[k].T, out=self.inner[: b - a])
-                mine = logits[np.arange(b - a), wanted[a:b]] + self.bias[k][wanted[a:b]]
-                if self.cut:
-                    np.minimum(logits, 80, out=logits)
-                np.exp(logits, out=logits)
-                logs[a:b] = mine - np.log(logits @ self.mass[k])
-        out[order[: bounds[-1]]] += logs
-        return out
+        return _log_p(self.outer, self.inner, states, targets, self.spaces).astype(float)
 
 
 class Lexicon:
@@ -504,8 +526,16 @@ def scored(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, numbers, weights, within = shared.value
         net, words, logs_of = _network(weights), Words(), np.log10(numbers + 1.0)
+
+        def settled(held: list[tuple]) -> Iterator[pd.DataFrame]:
+            symbols, bounds = np.concatenate([x for x, _ in held]), np.cumsum(np.concatenate([[0], *(x.n_tokens for _, x in held)]))
+            logs, at = net.score(symbols, bounds) / np.log(10), 0
+            for _, x in held:
+                yield x.assign(network=x.network + logs[at : at + len(x)])
+                at += len(x)
+
         for b in batches:
-            texts = b.text.tolist()
+            texts, held, size = b.text.tolist(), [], 0
             for part in _together(texts):
                 own, cls, bounds = tokens(words, texts[part])
                 index, symbols = lexicon.read(own, cls)
@@ -522,11 +552,17 @@ def scored(docs: DataFrame) -> DataFrame:
                 fresh = np.flatnonzero(np.append(True, (far[1:] != far[:-1]) | (far_doc[1:] != far_doc[:-1]))) if len(far) else np.zeros(0, np.int64)
                 times = np.diff(np.append(fresh, len(far))).astype(np.int32)
                 cut = np.searchsorted(far_doc[fresh], np.arange(1, len(n)))
-                out = b.iloc[part][["doc_id", "row", "held_out"]].reset_index(drop=True)
-                yield out.assign(
-                    n_tokens=n, known=known, logs=summed(logs), network=net.score(symbols, bounds) / np.log(10) + outside,
+                out = b.iloc[part][["doc_id", "row", "held_out"]].reset_index(drop=True).assign(
+                    n_tokens=n, known=known, logs=summed(logs), network=outside,
                     words=pd.Series(np.split(far[fresh].view(np.int64), cut), dtype=object), times=pd.Series(np.split(times, cut), dtype=object),
                 ).astype({"doc_id": "Int64"})
+                held.append((symbols.astype(np.uint16), out))
+                size += len(symbols)
+                if size >= SCORED:
+                    yield from settled(held)
+                    held, size = [], 0
+            if held:
+                yield from settled(held)
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), held_out().alias("held_out"), "text").mapInPandas(score, _SCORES)
     rows = written(rows, "scores")

@@ -940,6 +940,50 @@ def test_lm_gradients_through_time():
         assert -float((g * step).sum()) == pytest.approx(differ, rel=0.03), k
 
 
+def test_lm_steps_reuse_arrays():
+    """A step of training makes few new arrays, and what it hands on is its own."""
+    rng = np.random.default_rng(5)
+    net = lm.Network(rng.integers(1, 50, lm.HEAD).astype(float), rng.integers(1, 50, lm.TAILS).astype(float))
+    lanes = rng.integers(0, lm.HEAD + lm.TAILS, (lm.WINDOW + 1, lm.STREAMS))
+    _, state = net.train(lanes[:-1], lanes[1:], np.zeros((lm.STREAMS, lm.HIDDEN), np.float32), 0.01)
+    before = state.copy()
+    tracemalloc.start()
+    net.train(lanes[:-1], lanes[1:], state, 0.01)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (state == before).all()
+    assert most < 4 * 4 * lm.HIDDEN * lanes[1:].size
+
+
+def test_lm_windows_gathered(monkeypatch):
+    """Windows of few documents are scored together, as they are one by one."""
+    rng = np.random.default_rng(6)
+    net = lm.Network(rng.integers(1, 50, lm.HEAD).astype(float), rng.integers(1, 50, lm.TAILS).astype(float))
+    lengths = np.array([*rng.integers(1, 90, 40), 4000, 2500, 1])
+    symbols, bounds = rng.integers(0, lm.HEAD + lm.TAILS, lengths.sum()), np.cumsum([0, *lengths])
+    calls, log_p = [], lm._Scorer.log_p
+    monkeypatch.setattr(lm._Scorer, "log_p", lambda own, states, targets: calls.append(len(targets)) or log_p(own, states, targets))
+    got = net.score(symbols, bounds)
+    assert sum(calls) == len(symbols) and len(calls) <= 2
+    monkeypatch.setattr(lm, "READY", 1, raising=False)
+    assert got == pytest.approx(net.score(symbols.astype(np.uint16), bounds), rel=1e-6)
+    assert len(calls) > 100
+
+
+def test_lm_scored_in_parts(spark, monkeypatch):
+    """Documents have their own scores and counts, however many are read and scored at once."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(30)}" for _ in range(k % 60)) + f" rare{k}") for k in range(200)], "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: r for r in lm.scored(docs).collect()}
+    monkeypatch.setattr(lm, "READ", 500)
+    monkeypatch.setattr(lm, "SCORED", 300, raising=False)
+    for r in lm.scored(docs).collect():
+        w = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.base_score) == (w.n_tokens, w.n_known, pytest.approx(w.base_score))
+        assert r.score == pytest.approx(w.score, rel=1e-4)
+    assert len(want) == 200
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     """Each stage against brute force on its own input, and sequences decoded to the texts of the mix."""
     import corpus_pipeline
