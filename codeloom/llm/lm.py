@@ -77,6 +77,14 @@ def _together(texts: list) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
+def _distinct(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers, the order that sorts all, and where each begins in it. Equal ones take any order, which sorts much faster."""
+    order = np.argsort(own)
+    ordered = own[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], order, first
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(id, k, n): the tokens of the training documents by their hashes, with their open classes, pre-aggregated in the tasks."""
 
@@ -86,8 +94,8 @@ def counts(docs: DataFrame) -> DataFrame:
             texts = b.text.tolist()
             for part in _together(texts):
                 own, cls, _ = tokens(words, texts[part])
-                keys, first, n = np.unique(own, return_index=True, return_counts=True)
-                held.append((keys, cls[first], n))
+                keys, order, first = _distinct(own)
+                held.append((keys, cls[order[first]], np.diff(first, append=len(own))))
                 total += len(keys)
                 if total > 1_000_000:
                     held = [merged(held)]
@@ -99,8 +107,8 @@ def counts(docs: DataFrame) -> DataFrame:
             yield frame(*merged(held))
 
     def merged(held: list) -> tuple:
-        keys, first, own = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
-        return keys, np.concatenate([x[1] for x in held])[first], np.bincount(own, np.concatenate([x[2] for x in held])).astype(np.int64)
+        keys, order, first = _distinct(np.concatenate([x[0] for x in held]))
+        return keys, np.concatenate([x[1] for x in held])[order[first]], np.add.reduceat(np.concatenate([x[2] for x in held])[order], first)
 
     def frame(keys: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"id": keys.view(np.int64), "k": cls.astype(np.int32), "n": n})

@@ -940,6 +940,21 @@ def test_lm_gradients_through_time():
         assert -float((g * step).sum()) == pytest.approx(differ, rel=0.03), k
 
 
+def test_lm_counts(spark, monkeypatch):
+    """Words are counted with their open classes, in one part or many."""
+    rng = random.Random(2)
+    texts = [" ".join(f"{rng.choice('abc')}{rng.randrange(50)}" for _ in range(k % 90)) for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = Counter(w for k, x in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2 for w in [*x.split(), None])
+    numbers, heads, _ = lm.Words().of([" ".join(w for w in want if w)])
+    words = dict(zip((w for w in want if w), zip(numbers.view(np.int64).tolist(), lm.open_class(heads).tolist()))) | {None: (int(lm.END.view(np.int64)), 0)}
+    for read in (lm.READ, 300):
+        monkeypatch.setattr(lm, "READ", read)
+        assert {(r.id, r.k): r.n for r in lm.counts(docs).collect()} == {words[w]: n for w, n in want.items()}
+    keys, order, first = lm._distinct(np.array([7, 3, 7, 9, 3, 7], np.uint64))
+    assert keys.tolist() == [3, 7, 9] and first.tolist() == [0, 2, 5] and sorted(order[2:5].tolist()) == [0, 2, 5]
+
+
 def test_lm_steps_reuse_arrays():
     """A step of training makes few new arrays, and what it hands on is its own."""
     rng = np.random.default_rng(5)
