@@ -322,9 +322,10 @@ class Network:
             x -= d
         return float(logs.mean()), last.copy()
 
-    def learn(self, flat: np.ndarray, rate: float) -> None:
+    def learn(self, flat: np.ndarray, rate: float, seed: int | None = None) -> None:
         """flat: the symbols of documents, end to end, an end token after each; laid over streams, each a stretch of the text that begins
-        with a state of zeros. Every window is backpropagated, and hands its state on; after an end token it is zeros again."""
+        with a state of zeros. Every window is backpropagated, and hands its state on; after an end token it is zeros again.
+        seed: without effect, as no windows are drawn any more; callers may still give one."""
         streams = int(np.clip(len(flat) // (64 * WINDOW), 1, STREAMS))
         steps = len(flat) // streams
         if steps < 2:
