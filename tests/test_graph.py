@@ -630,3 +630,43 @@ def test_oracle(spark, name):
     assert columns == sorted(want.columns)
     plain = lambda df: sorted(map(str, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
     assert plain(got) == plain(want)
+
+
+def _broadcasts(spark, run) -> list[int]:
+    """The rows of each table that is broadcast while run() works."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {x.executionId() for x in (lambda e: [e.apply(i) for i in range(e.size())])(store.executionsList())}
+    before, out = ids(), []
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for k in ids() - before:
+        nodes, values = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (n.metrics().apply(i) for i in range(n.metrics().size())) if n.name() == "BroadcastExchange" else ():
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    out.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out
+
+
+def _star(spark, path, parts: int, suppliers: int) -> str:
+    """The tables that the made sources are written from, as one small file each."""
+    spark.range(parts).selectExpr("id p_partkey", "'ring' p_name", "'Brand#1' p_brand", "'LARGE' p_type", "cast(id % 50 as int) p_size", "1D p_retailprice").coalesce(1).write.parquet(f"{path}/part.parquet")
+    spark.range(suppliers).selectExpr("id s_suppkey", "concat('S', id) s_name", "cast(id % 25 as int) s_nationkey", "0D s_acctbal").coalesce(1).write.parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+@pytest.fixture
+def tight(spark):
+    """A limit for broadcasts that the made tables pass only by how small they are on disk, and the rows that it is enough for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    yield (32 << 10) // 32
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_extraction_broadcasts_nothing_by_its_size_on_disk(spark, tmp_path, tight):
+    from codeloom.plans import registry
+
+    d = _star(spark, tmp_path, 1500, 1)
+    got = []
+    assert max(_broadcasts(spark, lambda: got.extend(registry.java_extraction(spark, d).collect())), default=0) <= tight
+    assert len(got) == 300 and {(r.class_fqn == "util.Helper", r.lines) for r in got} == {(True, 11), (False, 70)}
