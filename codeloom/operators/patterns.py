@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.trace import reach
-from codeloom.tables import written
+from codeloom.tables import stored
 
 
 @dataclass(frozen=True)
@@ -72,13 +72,13 @@ class Pattern:
             # Walks begin at the end that says more about its nodes.
             backwards = src.free and not dst.free
             here = step.dst if backwards else step.src
-            walked = _hops(written(e, "steps"), self._ids(nodes, here).withColumnRenamed(here, "start"), step.most, backwards)
+            walked = _hops(stored(e, "steps"), self._ids(nodes, here).withColumnRenamed(here, "start"), step.most, backwards)
             ends = ("node", "start") if backwards else ("start", "node")
             out = walked.select(F.col(ends[0]).alias(step.src), F.col(ends[1]).alias(step.dst), *([F.col("distance").alias(step.hops)] if step.hops else []))
         for v in (src, dst):
             if not v.free:
                 out = out.join(self._ids(nodes, v.name), v.name, "left_semi")
-        return written(out, "pairs")
+        return stored(out, "pairs")
 
     def plan(self, counts: dict[int, int]) -> list[int]:
         """The order of the required steps, by their counted pairs."""
@@ -107,4 +107,4 @@ class Pattern:
                     raise ValueError("an optional step must begin or end at a vertex that is matched before")
                 out = out.join(pairs[k], shared, "left")
         extra = [s.hops for s in self.steps if s.hops]
-        return out.select(*(v for v in self.vertices if v in out.columns), *extra)
+        return stored(out.select(*(v for v in self.vertices if v in out.columns), *extra), "matches")

@@ -670,3 +670,19 @@ def test_extraction_broadcasts_nothing_by_its_size_on_disk(spark, tmp_path, tigh
     got = []
     assert max(_broadcasts(spark, lambda: got.extend(registry.java_extraction(spark, d).collect())), default=0) <= tight
     assert len(got) == 300 and {(r.class_fqn == "util.Helper", r.lines) for r in got} == {(True, 11), (False, 70)}
+
+
+@pytest.mark.parametrize("name", ["pattern_inheritance"])
+def test_tree_broadcasts_nothing_by_its_size_on_disk(spark, tmp_path, tight, name):
+    import duckdb
+
+    from codeloom.plans import registry
+
+    d = _star(spark, tmp_path, 1, 300)
+    got = []
+    assert max(_broadcasts(spark, lambda: got.extend(registry.queries()[name](spark, d).collect())), default=0) <= tight
+    c = duckdb.connect()
+    c.sql(f"create view supplier as select * from '{d}/supplier.parquet/*.parquet'")
+    want = c.sql(registry.oracle_sql()[name])
+    columns = [want.columns.index(x) for x in got[0].asDict()]
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(r[k] for k in columns)) for r in want.fetchall())
