@@ -672,7 +672,7 @@ def test_extraction_broadcasts_nothing_by_its_size_on_disk(spark, tmp_path, tigh
     assert len(got) == 300 and {(r.class_fqn == "util.Helper", r.lines) for r in got} == {(True, 11), (False, 70)}
 
 
-@pytest.mark.parametrize("name", ["pattern_inheritance", "java_diagram_texts", "java_woven_texts", "java_inherited_calls", "java_overload_edges"])
+@pytest.mark.parametrize("name", ["pattern_inheritance", "java_diagram_texts", "java_woven_texts", "java_inherited_calls", "java_overload_edges", "java_call_sites"])
 def test_tree_broadcasts_nothing_by_its_size_on_disk(spark, tmp_path, tight, name):
     import duckdb
 
