@@ -686,3 +686,14 @@ def test_tree_broadcasts_nothing_by_its_size_on_disk(spark, tmp_path, tight, nam
     want = c.sql(registry.oracle_sql()[name])
     columns = [want.columns.index(x) for x in got[0].asDict()]
     assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(r[k] for k in columns)) for r in want.fetchall())
+
+
+def test_trace_chains_only_the_callers_that_it_meets(spark, monkeypatch):
+    real, made = trace.stored, []
+    monkeypatch.setattr(trace, "stored", lambda df, name: made.append((name, df.count())) or real(df, name))
+    calls = [("a.A.m", "b.B.x", 1, "c1", None), ("a.A.m", "b.B.y", 2, "c2", "c1"), ("b.B.y", "b.B.x", 1, "c3", None), ("z.Z.q", "b.B.x", 1, "c4", None)]
+    calls = spark.createDataFrame(calls, "caller string, callee string, ordinal int, call_id string, receiver_call_id string")
+    entries = spark.createDataFrame([("a.A.m",)], "entry string")
+    t = trace.trace(calls, entries, trace.TraceConfig(depth=3)).collect()
+    assert sorted((r.depth, r.callee, r.place, r.via) for r in t) == [(1, "b.B.x", [1], None), (1, "b.B.y", [1, trace.LINK, 2], "b.B.x"), (2, "b.B.x", [1, trace.LINK, 2, 1], None)]
+    assert [n for name, n in made if name == "calls"][:2] == [2, 1]
