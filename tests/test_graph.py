@@ -697,3 +697,15 @@ def test_trace_chains_only_the_callers_that_it_meets(spark, monkeypatch):
     t = trace.trace(calls, entries, trace.TraceConfig(depth=3)).collect()
     assert sorted((r.depth, r.callee, r.place, r.via) for r in t) == [(1, "b.B.x", [1], None), (1, "b.B.y", [1, trace.LINK, 2], "b.B.x"), (2, "b.B.x", [1, trace.LINK, 2, 1], None)]
     assert [n for name, n in made if name == "calls"][:2] == [2, 1]
+
+
+def test_bucket_of_one_batch_is_read_without_a_shuffle(spark, tmp_path):
+    from codeloom.operators.changelog import IncrementalStore
+
+    g = IncrementalStore(spark, str(tmp_path / "one"), buckets=2)
+    node = lambda *ids: spark.createDataFrame([(x, f"{x}.java") for x in ids], "id string, source_file string")
+    g.apply(node(*"abcdef"))
+    plan = g.nodes()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and sorted(r.id for r in g.nodes().collect()) == list("abcdef")
+    g.apply(gone=node("b").select("id"))
+    assert sorted(r.id for r in g.nodes().collect()) == list("acdef")
